@@ -1 +1,158 @@
-"""(filled in below)"""
+"""Validation queries over ``raw_lines``, ``requests``, ``pages`` and ``documents``."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tuneframe import constants as K
+from tuneframe.functions import paths as P
+from tuneframe.functions import text as TX
+from tuneframe.operators import validation as V
+from tuneframe.plans import fixtures as FX
+from tuneframe.plans.catalog import query
+from tuneframe.plans.oracle_views import with_views
+from tuneframe.plans.sqltext import strip
+from tuneframe.sources.lines import number_in_blocks
+
+REQUIRED = ("k",)
+EXPECTED = 60
+
+
+def _verdicts(spark, d):
+    classified = V.classify_lines(FX.raw_lines(spark, d), "line", REQUIRED)
+    return V.file_verdicts(classified, "file_id", "line_no", REQUIRED, EXPECTED)
+
+
+# DuckDB: json_valid matches Python's json.loads on "one value, nothing after".
+_KIND = ("CASE WHEN NOT coalesce(json_valid(line), false) THEN 'invalid_json' "
+         "WHEN json_type(CASE WHEN json_valid(line) THEN line ELSE 'null' END) <> 'OBJECT' THEN 'not_object' "
+         "ELSE 'ok' END")
+_CLS = f"SELECT file_id, line_no, line, {_KIND} AS kind FROM raw_lines WHERE length({strip('line')}) > 0"
+_MISS_K = "(kind = 'ok' AND NOT list_contains(json_keys(CASE WHEN kind = 'ok' THEN line ELSE '{}' END), 'k'))"
+_PER_FILE = (f"SELECT file_id, count(*) FILTER (WHERE kind = 'ok') AS record_count, "
+             f"count(*) FILTER (WHERE kind <> 'ok') AS n_bad, bool_or({_MISS_K}) AS miss_k FROM cls GROUP BY file_id")
+
+
+def _lines_sql(body: str) -> str:
+    return with_views(f", cls AS ({_CLS}), per AS ({_PER_FILE})\n{body}", "raw_lines").replace("\n, cls", ", cls", 1)
+
+
+@query("record_check", _lines_sql("SELECT file_id, line_no, kind FROM cls"))
+def q_record_check(spark, d):
+    return V.classify_lines(FX.raw_lines(spark, d), "line", REQUIRED).select("file_id", "line_no", "kind")
+
+
+@query("missing_fields", _lines_sql(f"SELECT file_id, line_no, CASE WHEN {_MISS_K} THEN 'k' ELSE '' END AS missing "
+                                    "FROM cls WHERE kind = 'ok'"))
+def q_missing_fields(spark, d):
+    c = V.classify_lines(FX.raw_lines(spark, d), "line", REQUIRED)
+    return c.where(F.col("kind") == "ok").select("file_id", "line_no", F.array_join("missing", ",").alias("missing"))
+
+
+@query("dataset_verdict", _lines_sql(
+    f"SELECT file_id, record_count, CASE WHEN miss_k THEN 'k' ELSE '' END AS missing_fields, "
+    f"record_count > 0 AND NOT miss_k AS schema_valid, "
+    f"record_count > 0 AND NOT miss_k AND record_count = {EXPECTED} AS valid FROM per WHERE n_bad = 0"))
+def q_dataset_verdict(spark, d):
+    return V.dataset_verdict(_verdicts(spark, d))
+
+
+@query("first_error", _lines_sql(
+    "SELECT file_id, min(line_no) AS line_no, arg_min(kind, line_no) AS kind FROM cls WHERE kind <> 'ok' GROUP BY file_id"))
+def q_first_error(spark, d):
+    return V.first_error(_verdicts(spark, d))
+
+
+@query("quarantine_split", _lines_sql(
+    "SELECT file_id, CASE WHEN n_bad = 0 THEN 'published' ELSE 'quarantined' END AS state, record_count FROM per"))
+def q_quarantine_split(spark, d):
+    return V.publish_state(_verdicts(spark, d))
+
+
+# --- training requests ------------------------------------------------------------
+
+def _request_sql() -> str:
+    cols = {"rank": "adapter_rank", "epochs": "epochs", "learning_rate": "learning_rate", "batch_size": "batch_size"}
+    parts = ["CASE WHEN NOT coalesce(method IN ('lora', 'qlora'), false) THEN 'method' END"]
+    for name, default, lo, lo_incl, hi in K.REQUEST_RULES:
+        v = f"coalesce({cols[name]}, {default})" if name in cols else f"{default}"
+        op = ">=" if lo_incl else ">"
+        parts.append(f"CASE WHEN NOT ({v} {op} {lo} AND {v} <= {hi}) THEN '{name}' END")
+    return with_views(f"SELECT request_id, concat_ws(',', {', '.join(parts)}) AS violations FROM requests",
+                      "requests")
+
+
+@query("request_check", _request_sql())
+def q_request_check(spark, d):
+    return V.check_requests(FX.requests(spark, d), cols={"rank": "adapter_rank"}).select("request_id", "violations")
+
+
+# --- ids, stored names, safe names, paths, repo refs -------------------------------
+
+_ID_SQL = ("SELECT page_id, upload_id, coalesce(regexp_full_match(upload_id, '[0-9a-f]{32}'), false) AS ok FROM ("
+           "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN left(u, 31) ELSE u END AS upload_id FROM ("
+           "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN upper(md5(cast(page_id AS VARCHAR))) "
+           "ELSE md5(cast(page_id AS VARCHAR)) END AS u FROM pages) a) b")
+
+
+@query("id_check", _ID_SQL)
+def q_id_check(spark, d):
+    pages = FX.table(spark, d, "pages").select("page_id")
+    pid = F.col("page_id")
+    u = F.md5(pid.cast("string"))
+    u = F.when(pid % 2 == 0, F.upper(u)).otherwise(u)
+    u = F.when(pid % 3 == 0, F.substring(u, 1, 31)).otherwise(u)
+    return pages.select(pid, u.alias("upload_id")).withColumn("ok", TX.is_upload_id("upload_id"))
+
+
+@query("stored_names", with_views(
+    "SELECT page_id, CASE WHEN strpos(stored_name, '_') > 0 THEN substr(stored_name, 1, strpos(stored_name, '_') - 1) "
+    "ELSE stored_name END AS upload_id, "
+    "CASE WHEN strpos(stored_name, '_') > 0 THEN substr(stored_name, strpos(stored_name, '_') + 1) ELSE '' END "
+    "AS filename FROM upload_paths", "upload_paths"))
+def q_stored_names(spark, d):
+    up = FX.upload_paths(spark, d)
+    uid, fname = TX.split_stored_name("stored_name")
+    return up.select("page_id", uid.alias("upload_id"), fname.alias("filename"))
+
+
+_PARTS = "list_filter(string_split(replace(path, chr(92), '/'), '/'), lambda p: p <> '' AND p <> '.')"
+
+
+@query("safe_names", with_views(
+    f"SELECT page_id, coalesce(nullif(left(trim(regexp_replace(coalesce({_PARTS}[-1], ''), "
+    f"'[^A-Za-z0-9._-]+', '_', 'g'), '._'), 160), ''), 'upload.jsonl') AS safe_name FROM upload_paths",
+    "upload_paths"))
+def q_safe_names(spark, d):
+    return FX.upload_paths(spark, d).select("page_id", TX.safe_name("path").alias("safe_name"))
+
+
+@query("path_check", with_views(
+    f"SELECT page_id, CASE WHEN starts_with(replace(path, chr(92), '/'), '/') THEN '/' ELSE '' END "
+    f"|| array_to_string({_PARTS}, '/') AS normal_path, "
+    f"length({strip('path')}) > 0 AND NOT starts_with(replace(path, chr(92), '/'), '/') AND len({_PARTS}) > 0 "
+    f"AND NOT list_contains({_PARTS}, '..') AS is_safe FROM upload_paths", "upload_paths"))
+def q_path_check(spark, d):
+    up = FX.upload_paths(spark, d)
+    return up.select("page_id", P.normalise_path("path").alias("normal_path"), P.is_safe_path("path").alias("is_safe"))
+
+
+@query("repo_refs",
+       "SELECT doc_id, repo, coalesce(regexp_full_match(repo, '[A-Za-z0-9][A-Za-z0-9_.-]*/[A-Za-z0-9][A-Za-z0-9_.-]*') "
+       "AND length(repo) BETWEEN 3 AND 200, false) AS ok FROM (SELECT doc_id, lang || '/' || source || "
+       "CASE WHEN doc_id % 7 = 0 THEN '!' ELSE '' END AS repo FROM documents) t")
+def q_repo_refs(spark, d):
+    docs = FX.table(spark, d, "documents")
+    repo = F.concat(F.col("lang"), F.lit("/"), F.col("source"),
+                    F.when(F.col("doc_id") % 7 == 0, F.lit("!")).otherwise(F.lit("")))
+    return docs.select("doc_id", repo.alias("repo")).withColumn("ok", TX.is_repo_ref("repo"))
+
+
+# --- line numbers (A2) -----------------------------------------------------------------
+
+@query("line_numbers",
+       "SELECT source, doc_id, cast(row_number() OVER (PARTITION BY source ORDER BY lang, doc_id) AS BIGINT) AS line_no "
+       "FROM documents")
+def q_line_numbers(spark, d):
+    docs = FX.table(spark, d, "documents").select("source", "lang", "doc_id")
+    return number_in_blocks(docs, "source", "lang", "doc_id", "line_no").select("source", "doc_id", "line_no")

@@ -1 +1,67 @@
-"""(filled in below)"""
+"""Token, batch and inference queries over ``records`` and ``documents``."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tuneframe.functions.text import TOKEN_PATTERN
+from tuneframe.functions.tokens import answer_tokens, join_ints, pad_tokens
+from tuneframe.operators import batches as B
+from tuneframe.operators import infer as I
+from tuneframe.operators import render as RO
+from tuneframe.plans import fixtures as FX
+from tuneframe.plans.catalog import query
+from tuneframe.plans.oracle_views import with_views
+
+EPOCHS, BATCH, SEED = 2, 2, 3407
+ACCUM = max(1, 4 // BATCH)
+BUDGET = 64
+PAD_WIDTH = 24
+
+_TOKS = f"regexp_extract_all(text, '{TOKEN_PATTERN}')"
+_IDS = f"list_transform({_TOKS}, lambda w: length(w))"
+
+
+@query("batch_plan", with_views(
+    f"SELECT cast(epoch AS BIGINT) AS epoch, cast((rn - 1) // {BATCH} AS BIGINT) AS batch_no, record_id, "
+    f"cast(((rn - 1) // {BATCH}) // {ACCUM} AS BIGINT) AS step FROM ("
+    f"SELECT epoch, record_id, row_number() OVER (PARTITION BY epoch ORDER BY "
+    f"md5('{SEED}:' || cast(epoch AS VARCHAR) || ':' || cast(record_id AS VARCHAR)), record_id) AS rn FROM ("
+    f"SELECT record_id, unnest(range(1, {EPOCHS + 1})) AS epoch FROM records) e) t", "records"))
+def q_batch_plan(spark, d):
+    return B.batch_plan(FX.records(spark, d), "record_id", EPOCHS, BATCH, SEED)
+
+
+@query("token_budget",
+       f"SELECT doc_id, cast(len(toks) AS BIGINT) AS n_tokens, array_to_string(list_slice(toks, 1, {BUDGET}), ' ') "
+       f"AS kept_text, len(toks) > {BUDGET} AS cut FROM (SELECT doc_id, {_TOKS} AS toks FROM documents) t")
+def q_token_budget(spark, d):
+    docs = FX.table(spark, d, "documents").select("doc_id", "text")
+    return B.token_budget(docs, "text", BUDGET).select("doc_id", "n_tokens", "kept_text", "cut")
+
+
+@query("answer_tokens",
+       "SELECT doc_id, array_to_string(list_slice(ids, doc_id % 25 + 1, len(ids)), ',') AS answer "
+       f"FROM (SELECT doc_id, {_IDS} AS ids FROM documents) t")
+def q_answer_tokens(spark, d):
+    docs = FX.table(spark, d, "documents").select("doc_id", B.word_length_ids("text").alias("ids"))
+    return docs.select("doc_id", join_ints(answer_tokens("ids", F.col("doc_id") % 25)).alias("answer"))
+
+
+_PAD = f"list_resize([0], greatest({PAD_WIDTH} - len(ids), 0), 0)"
+
+
+@query("padded_tokens",
+       f"SELECT doc_id, array_to_string(CASE WHEN doc_id % 2 = 0 THEN list_concat({_PAD}, ids) "
+       f"ELSE list_concat(ids, {_PAD}) END, ',') AS padded FROM (SELECT doc_id, {_IDS} AS ids FROM documents) t")
+def q_padded_tokens(spark, d):
+    docs = FX.table(spark, d, "documents").select("doc_id", B.word_length_ids("text").alias("ids"))
+    padded = pad_tokens("ids", PAD_WIDTH, 0, F.col("doc_id") % 2 == 0)
+    return docs.select("doc_id", join_ints(padded).alias("padded"))
+
+
+@query("batch_infer")
+def q_batch_infer(spark, d):
+    cmds = FX.records(spark, d).select("record_id", F.col("input").alias("command"))
+    prompts = RO.inference_prompts(cmds)
+    return I.batch_infer(prompts, I.echo_model, "prompt", keep=("record_id",))

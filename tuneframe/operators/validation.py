@@ -166,3 +166,28 @@ def filter_listing(entries: DataFrame, listing_col: str, type_col: str = "type",
     per = entries.groupBy(listing_col).agg(F.count_if(F.coalesce(keep, F.lit(False))).cast("bigint").alias("files"))
     return per.withColumn("status", F.when(F.col("files") == 0, "empty")
                           .when(F.col("files") > max_files, "too_many").otherwise("ok"))
+
+
+# --- whole files (A1-A3 + C1-C5 + E1 + E2) ---------------------------------------
+
+def validate_files(spark, dataset_dir: str, required=K.REQUIRED_FIELDS, expected: int = K.EXPECTED_RECORDS):
+    """Verdict per stored dataset file: the listing joined to per-file
+    aggregates of its lines. ``error`` is ``utf8`` (reported before any line
+    error), ``invalid_json`` or ``not_object`` with ``error_line``; files
+    with no error carry ``record_count, missing_fields, schema_valid, valid``.
+    Empty files are rows: count 0, not schema-valid."""
+    from tuneframe.sources.files import list_datasets, read_lines
+
+    listing = list_datasets(spark, dataset_dir)
+    lines = read_lines(spark, dataset_dir).withColumnRenamed("file", "file_id")
+    utf8 = lines.groupBy("file_id").agg(F.bool_and("utf8_ok").alias("utf8_ok"))
+    classified = classify_lines(lines, "line", required)
+    verdicts = file_verdicts(classified, "file_id", "line_no", required, expected)
+    all_files = with_empty_files(verdicts, listing.select(F.col("file").alias("file_id")), "file_id")
+    j = listing.join(all_files, listing["file"] == all_files["file_id"], "left") \
+        .join(utf8.withColumnRenamed("file_id", "_u_file"), F.col("file") == F.col("_u_file"), "left")
+    bad_utf8 = ~F.coalesce(F.col("utf8_ok"), F.lit(True))
+    error = F.when(bad_utf8, "utf8").when(F.col("n_bad") > 0, F.col("first_bad_kind"))
+    return j.select("file", "upload_id", "filename", "size_bytes", error.alias("error"),
+                    F.when(~bad_utf8 & (F.col("n_bad") > 0), F.col("first_bad_line")).alias("error_line"),
+                    "record_count", "missing_fields", "schema_valid", "valid")

@@ -51,6 +51,11 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
                          F.col("_metadata.file_block_start").alias("block"),
                          F.col("value").alias("line"),
                          F.monotonically_increasing_id().alias("_pos"))
+    return number_scanned_lines(scanned)
+
+
+def number_scanned_lines(scanned: DataFrame) -> DataFrame:
+    """``file, block, line, _pos`` (scan order) -> ``file, line_no, line, utf8_ok``."""
     splits = scanned.groupBy("file", "block").agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select(F.col("file").alias("_o_file"), F.col("block").alias("_o_block"), "_first",

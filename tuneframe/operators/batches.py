@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,7 +33,6 @@ def token_budget(df: DataFrame, text: str = "text", limit: int = K.TRAIN_MAX_TOK
             .withColumn("kept_text", F.array_join(F.slice("_tf_toks", 1, limit), " ")) \
             .withColumn("cut", F.col("n_tokens") > limit).drop("_tf_toks")
 
-    import pandas as pd
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,7 +41,6 @@ def chat_texts(df: DataFrame, cols: dict | None = None, out: str = "text", templ
     if template is None:
         return df.withColumn(out, R.role_tag_template(msgs, add_generation_prompt))
 
-    import pandas as pd
 
     @F.pandas_udf(T.StringType())
     def apply_template(batch: pd.Series) -> pd.Series:
@@ -76,12 +78,9 @@ def render_values(df: DataFrame, variant_col: str, out: str) -> DataFrame:
     native = (F.when(v.isNull() | (kind == "VOID"), F.lit("None"))
               .when(kind == "STRING", F.variant_get(v, "$", "string"))
               .when(kind == "BOOLEAN", F.when(F.variant_get(v, "$", "boolean"), "True").otherwise("False")))
-    import json as _json
-
-    import pandas as pd
 
     @F.pandas_udf(T.StringType())
     def py_str(js: pd.Series) -> pd.Series:
-        return js.map(lambda s: None if s is None else str(_json.loads(s)))
+        return js.map(lambda s: None if s is None else str(json.loads(s)))
 
     return df.withColumn(out, F.coalesce(native, py_str(F.to_json(v))))

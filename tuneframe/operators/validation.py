@@ -115,20 +115,23 @@ def check_architecture(df: DataFrame, config: str = "config", out: str = "proble
     order: not an object / no string model_type; architectures not a name or
     list of names; a non-empty list with no causal-LM name. Empty passes."""
     v = F.col(config)
-    kind = F.schema_of_variant(v)
-    mt_kind = F.schema_of_variant(F.variant_get(v, "$.model_type", "variant"))
+    kind = F.coalesce(F.schema_of_variant(v), F.lit("NULL"))
+    mt_kind = F.coalesce(F.schema_of_variant(F.variant_get(v, "$.model_type", "variant")), F.lit("NULL"))
     arch = F.variant_get(v, "$.architectures", "variant")
-    arch_kind = F.schema_of_variant(arch)
-    as_list = F.try_variant_get(arch, "$", "array<string>")
+    arch_kind = F.coalesce(F.schema_of_variant(arch), F.lit("VOID"))
+    elems = F.try_variant_get(arch, "$", "array<variant>")
     as_one = F.try_variant_get(arch, "$", "string")
-    names = F.when(arch.isNull() | (arch_kind == "VOID"), F.array().cast("array<string>")) \
-        .when(arch_kind == "STRING", F.when(as_one == "", F.array().cast("array<string>")).otherwise(F.array(as_one))) \
-        .otherwise(as_list)
-    list_of_names = arch.isNull() | (arch_kind == "VOID") | (arch_kind == "STRING") | \
-        (F.coalesce(F.size(as_list), F.lit(-1)) >= 0) & ~F.exists(F.coalesce(as_list, F.array()), lambda x: x.isNull())
-    # "architectures or []": an empty list, empty string, false, 0 all count as empty.
-    causal = F.exists(F.coalesce(names, F.array().cast("array<string>")),
-                      lambda x: _any_contains(x, K.CAUSAL_MARKERS))
+    # "architectures or []": every falsy JSON value counts as an empty list.
+    falsy = ((arch_kind == "VOID") | ((arch_kind == "BOOLEAN") & ~F.coalesce(F.try_variant_get(arch, "$", "boolean"), F.lit(True)))
+             | (arch_kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)") &
+                (F.try_variant_get(arch, "$", "double") == 0))
+             | ((arch_kind == "STRING") & (as_one == "")) | (arch_kind.startswith("ARRAY") & (F.size(elems) == 0))
+             | ((arch_kind == "OBJECT<>")))
+    all_strings = F.forall(F.coalesce(elems, F.array()), lambda x: F.schema_of_variant(x) == "STRING")
+    list_of_names = falsy | (arch_kind == "STRING") | (arch_kind.startswith("ARRAY") & all_strings)
+    names = F.when(falsy, F.array().cast("array<string>")).when(arch_kind == "STRING", F.array(as_one)) \
+        .otherwise(F.transform(F.coalesce(elems, F.array()), lambda x: F.try_variant_get(x, "$", "string")))
+    causal = F.exists(names, lambda x: _any_contains(x, K.CAUSAL_MARKERS))
     return df.withColumn(out, F.when(~kind.startswith("OBJECT") | (mt_kind != "STRING"), F.lit("no_model_type"))
                          .when(~list_of_names, F.lit("bad_architectures"))
                          .when((F.size(names) > 0) & ~causal, F.lit("not_causal_lm")))

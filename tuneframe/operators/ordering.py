@@ -14,8 +14,6 @@ breaker such as an id as the last order column).
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +26,7 @@ __all__ = ["number_rows", "running_sum", "order_surrogate"]
 
 _KEY = "_tf_okey"
 _BKT = "_tf_obkt"
+_GK = "_tf_gkey"
 
 
 def _string_surrogate(c: Column) -> Column:
@@ -46,11 +45,13 @@ def order_surrogate(df: DataFrame, col: str) -> Column:
         return c.cast("double")
     if isinstance(dtype, T.BooleanType):
         return c.cast("int").cast("double")
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        # Wall-clock digits: time-zone free and monotone for both kinds.
-        return F.date_format(c, "yyyyMMddHHmmss").cast("double")
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(c).cast("double")
+    if isinstance(dtype, T.TimestampNTZType):
+        # Difference of two wall-clock values: no time zone involved.
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c).cast("double")
     if isinstance(dtype, T.DateType):
-        return F.date_format(c, "yyyyMMdd").cast("double")
+        return F.unix_date(c).cast("double")
     if isinstance(dtype, T.StringType):
         return _string_surrogate(c)
     if isinstance(dtype, T.BinaryType):
@@ -74,24 +75,22 @@ def _with_ranges(df: DataFrame, order_cols: list[str], n_ranges: int | None) ->
 
 def _ordered(df: DataFrame, group_cols: list[str], order_cols: list[str], out_col: str,
              local: Column, total: Column, n_ranges: int | None) -> DataFrame:
-    ranged = _with_ranges(df, order_cols, n_ranges)
-    keys = list(group_cols) + [_BKT]
-    w = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # The group travels as one struct column: struct equality treats null
+    # fields as equal (null groups stay groups), and the join below is on the
+    # very columns the window is partitioned by, so the big side is shuffled
+    # once, for the window, and never again for the join.
+    ranged = _with_ranges(df, order_cols, n_ranges).withColumn(_GK, F.struct(*group_cols))
+    w = Window.partitionBy(_GK, _BKT).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     within = ranged.withColumn("_tf_local", local.over(w))
 
-    totals = ranged.groupBy(*keys).agg(total.alias("_tf_n"))
-    before = Window.partitionBy(*group_cols).orderBy(_BKT).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *[F.col(g).alias(f"_tf_g{i}") for i, g in enumerate(group_cols)],
-        F.col(_BKT).alias("_tf_b"),
-        F.coalesce(F.sum("_tf_n").over(before), F.lit(0)).alias("_tf_off"))
-
-    cond = reduce(lambda a, b: a & b,
-                  [F.col(g).eqNullSafe(F.col(f"_tf_g{i}")) for i, g in enumerate(group_cols)],
-                  F.col(_BKT) == F.col("_tf_b"))
-    joined = within.join(offsets, cond, "inner")
+    totals = ranged.groupBy(_GK, _BKT).agg(total.alias("_tf_n"))
+    before = Window.partitionBy(_GK).orderBy(_BKT).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(F.col(_GK).alias("_tf_gk2"), F.col(_BKT).alias("_tf_b"),
+                            F.coalesce(F.sum("_tf_n").over(before), F.lit(0)).alias("_tf_off"))
+
+    joined = within.join(offsets, (F.col(_GK) == F.col("_tf_gk2")) & (F.col(_BKT) == F.col("_tf_b")), "inner")
     result = joined.withColumn(out_col, F.col("_tf_off") + F.col("_tf_local"))
-    return result.drop("_tf_local", "_tf_off", "_tf_b", _BKT, *[f"_tf_g{i}" for i in range(len(group_cols))])
+    return result.drop("_tf_local", "_tf_off", "_tf_b", "_tf_gk2", _BKT, _GK)
 
 
 def number_rows(df: DataFrame, group_cols, order_cols, out_col: str = "rn",

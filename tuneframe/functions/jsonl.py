@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from tuneframe.functions.text import col_of
 
 __all__ = ["JSON_OPTS", "parsed_map", "is_json_object", "is_json_value", "line_kind", "missing_keys",
-           "KIND_OK", "KIND_INVALID", "KIND_NOT_OBJECT"]
+           "KIND_OK", "KIND_INVALID", "KIND_NOT_OBJECT", "object_wrappers", "object_from_wrappers",
+           "kind_from_wrappers"]
 
 JSON_OPTS = {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}
 KIND_OK = "ok"
@@ -37,15 +38,33 @@ def parsed_map(c) -> Column:
     return F.get(_as_array(col_of(c), "map<string,string>"), 0)
 
 
-def is_json_object(c) -> Column:
+def object_wrappers(c) -> tuple[Column, Column]:
+    """The two wrapped parses; select them once as columns and pass them to
+    ``object_from_wrappers``/``kind_from_wrappers`` so each line is parsed
+    once per wrapper."""
     s = col_of(c)
-    a = _as_array(s, "map<string,string>")
-    b = _as_member(s, "map<string,string>")
+    return _as_array(s, "map<string,string>"), _as_member(s, "map<string,string>")
+
+
+def object_from_wrappers(a, b, c) -> Column:
+    a, b, s = col_of(a), col_of(b), col_of(c)
     return F.coalesce(
         (F.size(a) == 1) & F.get(a, 0).isNotNull() & (F.size(b) == 1) & s.rlike(r"^[ \t\r\n]*\{"),
         F.lit(False))
 
 
+def kind_from_wrappers(a, b, c) -> Column:
+    """Like ``line_kind``; the variant parses run only for non-objects."""
+    return (F.when(object_from_wrappers(a, b, c), F.lit(KIND_OK))
+            .when(is_json_value(c), F.lit(KIND_NOT_OBJECT))
+            .otherwise(F.lit(KIND_INVALID)))
+
+
+def is_json_object(c) -> Column:
+    a, b = object_wrappers(c)
+    return object_from_wrappers(a, b, c)
+
+
 def is_json_value(c) -> Column:
     s = col_of(c)
     return F.coalesce((F.size(_as_array(s, "variant")) == 1) & (F.size(_as_member(s, "variant")) == 1),

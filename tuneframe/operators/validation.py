@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tuneframe import constants as K
-from tuneframe.functions.jsonl import KIND_OK, line_kind, parsed_map
+from tuneframe.functions.jsonl import KIND_OK, kind_from_wrappers, object_wrappers
 from tuneframe.functions.text import is_blank
 
 
@@ -21,13 +21,18 @@ def _field_flag(name: str) -> str:
 
 def classify_lines(lines: DataFrame, line: str = "line", required=K.REQUIRED_FIELDS) -> DataFrame:
     """Drop blank lines; add ``kind`` and, for objects, one ``_miss_<field>``
-    flag per required field plus ``missing`` (array, in required order)."""
+    flag per required field plus ``missing`` (array, in required order).
+
+    Each line is parsed once per wrapper (the parses are selected as columns
+    and reused); the variant parses run only for lines that are not objects."""
     body = lines.where(~is_blank(F.col(line)))
-    kinded = body.withColumn("kind", line_kind(F.col(line)))
-    keys = F.map_keys(parsed_map(F.col(line)))
-    for r in required:
-        kinded = kinded.withColumn(
-            _field_flag(r), (F.col("kind") == KIND_OK) & ~F.coalesce(F.array_contains(keys, F.lit(r)), F.lit(False)))
+    a, b = object_wrappers(F.col(line))
+    parsed = body.withColumn("_tf_a", a).withColumn("_tf_b", b)
+    kinded = parsed.withColumn("kind", kind_from_wrappers("_tf_a", "_tf_b", F.col(line)))
+    keys = F.map_keys(F.get(F.col("_tf_a"), 0))
+    kinded = kinded.select(*[c for c in kinded.columns if c not in ("_tf_a", "_tf_b")], *[
+        ((F.col("kind") == KIND_OK) & ~F.coalesce(F.array_contains(keys, F.lit(r)), F.lit(False))).alias(_field_flag(r))
+        for r in required])
     missing = F.filter(F.array(*[F.when(F.col(_field_flag(r)), F.lit(r)) for r in required]),
                        lambda x: x.isNotNull()) if required else F.array().cast("array<string>")
     return kinded.withColumn("missing", missing)

@@ -83,3 +83,14 @@ def test_no_cross_joins_in_any_query(spark):
     for name, fn in E.queries().items():
         plan = _plan(fn(spark, SF_SMALL))
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_hot_group_with_tied_first_key_is_split_by_second(spark):
+    # one group, one timestamp for every row: only the id can split it
+    df = spark.range(0, 4000).select(F.lit("hot").alias("g"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("t"),
+                                     F.col("id"))
+    numbered = number_rows(df, ["g"], ["t", "id"], "rn", n_ranges=16)
+    assert {(r.id, r.rn) for r in numbered.collect()} == {(i, i + 1) for i in range(4000)}
+    from tuneframe.operators import ordering as O
+    ranged = O._with_ranges(df, ["t", "id"], 16)
+    assert ranged.select("_tf_obkt").distinct().count() >= 8

@@ -59,18 +59,56 @@ def order_surrogate(df: DataFrame, col: str) -> Column:
     raise TypeError(f"cannot order-bucket a column of type {dtype.simpleString()}")
 
 
+def _bucketable(df: DataFrame, col: str) -> bool:
+    try:
+        order_surrogate(df, col)
+        return True
+    except TypeError:
+        return False
+
+
+_EXACT = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DateType,
+          T.TimestampType, T.TimestampNTZType)
+
+
 def _with_ranges(df: DataFrame, order_cols: list[str], n_ranges: int | None) -> DataFrame:
+    """Add a range id that never decreases along ``order_cols``.
+
+    Ranges come from quantiles of the first order column. A value of that
+    column can be so frequent that it fills whole ranges (say one timestamp
+    for a bulk import); rows holding exactly the lower cut point of their range
+    are then split further by quantile ranges of the second order column, and
+    the other rows of that range are placed after them. The split is used only
+    where the first column's surrogate is exact (integers and times below
+    2**53, floats), so equal surrogates mean equal values."""
     spark = df.sparkSession
     if n_ranges is None:
         n_ranges = max(8, min(4096, 4 * shuffle_partitions(spark)))
-    keyed = df.withColumn(_KEY, order_surrogate(df, order_cols[0]))
+    first_type = df.schema[order_cols[0]].dataType
+    if not _bucketable(df, order_cols[0]):
+        return df.withColumn(_BKT, F.lit(0).cast("bigint"))
+    cols = [order_cols[0]]
+    if len(order_cols) > 1 and isinstance(first_type, _EXACT) and _bucketable(df, order_cols[1]):
+        cols.append(order_cols[1])
+    keys = [f"{_KEY}{i}" for i in range(len(cols))]
+    keyed = df
+    for k, c in zip(keys, cols):
+        keyed = keyed.withColumn(k, order_surrogate(df, c))
     probs = [i / n_ranges for i in range(1, n_ranges)]
-    cuts = keyed.approxQuantile(_KEY, probs, 1.0 / (4 * n_ranges)) if probs else []
-    splits = [float("-inf")] + sorted({c for c in cuts if c == c}) + [float("inf")]
-    bucketed = Bucketizer(splits=splits, inputCol=_KEY, outputCol=_BKT, handleInvalid="keep").transform(keyed)
-    # Spark sorts nulls first: give them a range before all others.
-    return bucketed.withColumn(_BKT, F.when(F.col(_KEY).isNull(), F.lit(-1)).otherwise(F.col(_BKT).cast("int"))) \
-        .drop(_KEY)
+    cuts = keyed.approxQuantile(keys, probs, 1.0 / (4 * n_ranges)) if probs else [[] for _ in keys]
+    splits = [[float("-inf")] + sorted({c for c in cs if c == c}) + [float("inf")] for cs in cuts]
+    outs = [f"{_BKT}{i}" for i in range(len(keys))]
+    bucketed = Bucketizer(splitsArray=splits, inputCols=keys, outputCols=outs, handleInvalid="keep").transform(keyed)
+    # Spark sorts nulls first: a null key gets range 0, values 1..n.
+    parts = [F.when(F.col(k).isNull(), F.lit(0)).otherwise(F.col(o).cast("bigint") + 1) for k, o in zip(keys, outs)]
+    rid = parts[0]
+    if len(keys) == 2:
+        lower = F.element_at(F.array(*[F.lit(x) for x in splits[0]]), F.col(outs[0]).cast("int") + 1)
+        tied = F.col(keys[0]).isNull() | ((F.col(keys[0]) == lower) & (F.abs(lower) < float(2 ** 53)))
+        width = len(splits[1]) + 1
+        sub = F.when(F.coalesce(tied, F.lit(False)), parts[1]).otherwise(F.lit(width - 1))
+        rid = parts[0] * width + sub
+    return bucketed.withColumn(_BKT, rid).drop(*keys, *outs)
 
 
 def _ordered(df: DataFrame, group_cols: list[str], order_cols: list[str], out_col: str,

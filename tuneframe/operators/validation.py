@@ -19,19 +19,24 @@ def _field_flag(name: str) -> str:
     return f"_miss_{name}"
 
 
-def classify_lines(lines: DataFrame, line: str = "line", required=K.REQUIRED_FIELDS) -> DataFrame:
-    """Drop blank lines; add ``kind`` and, for objects, one ``_miss_<field>``
-    flag per required field plus ``missing`` (array, in required order).
+def classify_lines(lines: DataFrame, line: str = "line", required=K.REQUIRED_FIELDS,
+                   keep_blank: bool = False) -> DataFrame:
+    """Drop blank lines (or, with ``keep_blank``, keep them with a null
+    ``kind``); add ``kind`` and, for objects, one ``_miss_<field>`` flag per
+    required field plus ``missing`` (array, in required order).
 
     Each line is parsed once per wrapper (the parses are selected as columns
     and reused); the variant parses run only for lines that are not objects."""
-    body = lines.where(~is_blank(F.col(line)))
+    blank = is_blank(F.col(line))
+    body = lines if keep_blank else lines.where(~blank)
     a, b = object_wrappers(F.col(line))
     parsed = body.withColumn("_tf_a", a).withColumn("_tf_b", b)
-    kinded = parsed.withColumn("kind", kind_from_wrappers("_tf_a", "_tf_b", F.col(line)))
+    kind = kind_from_wrappers("_tf_a", "_tf_b", F.col(line))
+    kinded = parsed.withColumn("kind", F.when(~blank, kind) if keep_blank else kind)
     keys = F.map_keys(F.get(F.col("_tf_a"), 0))
     kinded = kinded.select(*[c for c in kinded.columns if c not in ("_tf_a", "_tf_b")], *[
-        ((F.col("kind") == KIND_OK) & ~F.coalesce(F.array_contains(keys, F.lit(r)), F.lit(False))).alias(_field_flag(r))
+        F.coalesce((F.col("kind") == KIND_OK) & ~F.coalesce(F.array_contains(keys, F.lit(r)), F.lit(False)),
+                   F.lit(False)).alias(_field_flag(r))
         for r in required])
     missing = F.filter(F.array(*[F.when(F.col(_field_flag(r)), F.lit(r)) for r in required]),
                        lambda x: x.isNotNull()) if required else F.array().cast("array<string>")
@@ -39,7 +44,7 @@ def classify_lines(lines: DataFrame, line: str = "line", required=K.REQUIRED_FIE
 
 
 def file_verdicts(classified: DataFrame, file_col: str = "file_id", line_no: str = "line_no",
-                  required=K.REQUIRED_FIELDS, expected: int = K.EXPECTED_RECORDS) -> DataFrame:
+                  required=K.REQUIRED_FIELDS, expected: int = K.EXPECTED_RECORDS, extra_aggs=()) -> DataFrame:
     """One row per file seen in ``classified``:
     ``record_count, n_bad, first_bad_line, first_bad_kind, missing_fields
     (sorted, comma-joined), schema_valid, valid``.
@@ -47,11 +52,13 @@ def file_verdicts(classified: DataFrame, file_col: str = "file_id", line_no: str
     Files without any non-blank line do not appear here; join to the file
     listing (``with_empty_files``) to report them."""
     ok = F.col("kind") == KIND_OK
+    bad = F.col("kind") != KIND_OK  # null (blank line) counts as neither
     aggs = [F.count_if(ok).cast("bigint").alias("record_count"),
-            F.count_if(~ok).cast("bigint").alias("n_bad"),
-            F.min(F.when(~ok, F.struct(F.col(line_no).alias("l"), F.col("kind").alias("k")))).alias("_first")]
+            F.count_if(bad).cast("bigint").alias("n_bad"),
+            F.min(F.when(bad, F.struct(F.col(line_no).alias("l"), F.col("kind").alias("k")))).alias("_first")]
     aggs += [F.max(F.col(_field_flag(r)).cast("int")).alias(_field_flag(r)) for r in required]
-    per_file = classified.groupBy(file_col).agg(*aggs)
+    per_file = classified.groupBy(file_col).agg(*aggs, *extra_aggs)
+    extra = per_file.columns[len(per_file.columns) - len(extra_aggs):] if extra_aggs else []
     ordered = sorted(required)
     missing = F.concat_ws(",", *[F.when(F.col(_field_flag(r)) == 1, F.lit(r)) for r in ordered]) \
         if ordered else F.lit("")
@@ -60,7 +67,7 @@ def file_verdicts(classified: DataFrame, file_col: str = "file_id", line_no: str
         file_col, "record_count", "n_bad",
         F.col("_first.l").alias("first_bad_line"), F.col("_first.k").alias("first_bad_kind"),
         missing.alias("missing_fields"), schema_valid.alias("schema_valid"),
-        (schema_valid & (F.col("record_count") == expected)).alias("valid"))
+        (schema_valid & (F.col("record_count") == expected)).alias("valid"), *extra)
 
 
 def with_empty_files(verdicts: DataFrame, listing: DataFrame, file_col: str = "file_id") -> DataFrame:
@@ -188,12 +195,13 @@ def validate_files(spark, dataset_dir: str, required=K.REQUIRED_FIELDS, expected
 
     listing = list_datasets(spark, dataset_dir)
     lines = read_lines(spark, dataset_dir).withColumnRenamed("file", "file_id")
-    utf8 = lines.groupBy("file_id").agg(F.bool_and("utf8_ok").alias("utf8_ok"))
-    classified = classify_lines(lines, "line", required)
-    verdicts = file_verdicts(classified, "file_id", "line_no", required, expected)
-    all_files = with_empty_files(verdicts, listing.select(F.col("file").alias("file_id")), "file_id")
+    # Blank lines stay (kind null) so UTF-8 validity of every line rides in
+    # the same per-file aggregation: the text is scanned once for verdicts.
+    verdicts = file_verdicts(classify_lines(lines, "line", required, keep_blank=True), "file_id", "line_no",
+                             required, expected, extra_aggs=[F.bool_and("utf8_ok").alias("utf8_ok")])
+    all_files = with_empty_files(verdicts.drop("utf8_ok"), listing.select(F.col("file").alias("file_id")), "file_id")
     j = listing.join(all_files, listing["file"] == all_files["file_id"], "left") \
-        .join(utf8.withColumnRenamed("file_id", "_u_file"), F.col("file") == F.col("_u_file"), "left")
+        .join(verdicts.select(F.col("file_id").alias("_u_file"), "utf8_ok"), F.col("file") == F.col("_u_file"), "left")
     bad_utf8 = ~F.coalesce(F.col("utf8_ok"), F.lit(True))
     error = F.when(bad_utf8, "utf8").when(F.col("n_bad") > 0, F.col("first_bad_kind"))
     return j.select("file", "upload_id", "filename", "size_bytes", error.alias("error"),

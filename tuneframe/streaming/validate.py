@@ -30,9 +30,9 @@ def stream_validate(spark: SparkSession, in_dir: str, out_dir: str, checkpoint:
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         lines = number_scanned_lines(batch.withColumn("_pos", F.monotonically_increasing_id()))
         lines = lines.withColumnRenamed("file", "file_id").persist()
-        utf8 = lines.groupBy("file_id").agg(F.bool_and("utf8_ok").alias("utf8_ok"))
-        verdicts = V.file_verdicts(V.classify_lines(lines, "line", required), "file_id", "line_no", required, expected)
-        verdicts = verdicts.join(utf8, "file_id", "left") \
+        verdicts = V.file_verdicts(V.classify_lines(lines, "line", required, keep_blank=True), "file_id", "line_no",
+                                   required, expected, extra_aggs=[F.bool_and("utf8_ok").alias("utf8_ok")])
+        verdicts = verdicts \
             .withColumn("error", F.when(~F.col("utf8_ok"), "utf8").when(F.col("n_bad") > 0, F.col("first_bad_kind"))) \
             .withColumn("batch_id", F.lit(batch_id))
         verdicts.write.mode("append").parquet(f"{out_dir}/verdicts")

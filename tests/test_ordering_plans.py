@@ -94,3 +94,12 @@ def test_hot_group_with_tied_first_key_is_split_by_second(spark):
     from tuneframe.operators import ordering as O
     ranged = O._with_ranges(df, ["t", "id"], 16)
     assert ranged.select("_tf_obkt").distinct().count() >= 8
+
+
+def test_line_offsets_are_broadcast_not_shuffled(spark, tmp_path):
+    from tuneframe.sources.files import read_lines
+    (tmp_path / "a.jsonl").write_text("{}\n" * 50)
+    plan = _plan(read_lines(spark, str(tmp_path)))
+    assert "BroadcastHashJoin" in plan
+    lines_side = plan.split("BroadcastHashJoin", 1)[1].split("BroadcastExchange", 1)[0]
+    assert "Exchange" not in lines_side  # lines are never shuffled

@@ -1,0 +1,44 @@
+"""Broadcast only behind a size check, with a plain join beyond it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+DEFAULT_LIMIT_BYTES = 512 * 1024 * 1024
+
+
+def broadcast_if_small(small: DataFrame, est_rows: int, row_bytes: int,
+                       limit_bytes: int = DEFAULT_LIMIT_BYTES) -> DataFrame:
+    """Hint a broadcast when ``est_rows * row_bytes`` is within the limit;
+    otherwise leave the choice to the planner (sort-merge join)."""
+    return F.broadcast(small) if est_rows * row_bytes <= limit_bytes else small
+
+
+def _conf_bytes(spark: SparkSession, key: str, default: int) -> int:
+    raw = spark.conf.get(key, None)
+    if raw is None:
+        return default
+    raw = str(raw).strip().lower()
+    units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30,
+             "t": 1 << 40, "tb": 1 << 40}
+    for u in sorted(units, key=len, reverse=True):
+        if raw.endswith(u) and raw[: -len(u)].strip().replace(".", "", 1).isdigit():
+            return int(float(raw[: -len(u)]) * units[u])
+    return int(raw) if raw.isdigit() else default
+
+
+def estimated_splits(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Upper estimate of the input splits a file scan of ``path`` makes, and
+    the file count, from the file system's summary (one metadata call) and
+    Spark's documented split-size rule."""
+    sc = spark.sparkContext
+    jvm = sc._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    summary = hpath.getFileSystem(sc._jsc.hadoopConfiguration()).getContentSummary(hpath)
+    total, files = int(summary.getLength()), int(summary.getFileCount())
+    max_part = _conf_bytes(spark, "spark.sql.files.maxPartitionBytes", 128 << 20)
+    open_cost = _conf_bytes(spark, "spark.sql.files.openCostInBytes", 4 << 20)
+    parallel = max(1, sc.defaultParallelism)
+    split = min(max_part, max(open_cost, (total + files * open_cost) // parallel))
+    return files + total // max(1, split) + 1, files

@@ -17,8 +17,10 @@ from pyspark.sql.window import Window
 from tuneframe import constants as K
 from tuneframe.functions.jsonl import JSON_OPTS, is_json_object
 from tuneframe.functions.text import is_upload_id, split_stored_name
+from tuneframe.operators.joins import broadcast_if_small, estimated_splits
 
 BOM = "\ufeff"
+SPLIT_ROW_BYTES = 320  # path string + block, first position, count
 
 
 def file_listing(spark: SparkSession, path: str, recursive: bool, glob: str | None = None) -> DataFrame:
@@ -51,15 +53,22 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
                          F.col("_metadata.file_block_start").alias("block"),
                          F.col("value").alias("line"),
                          F.monotonically_increasing_id().alias("_pos"))
-    return number_scanned_lines(scanned)
+    est_splits, _ = estimated_splits(spark, path)
+    return number_scanned_lines(scanned, est_splits)
 
 
-def number_scanned_lines(scanned: DataFrame) -> DataFrame:
-    """``file, block, line, _pos`` (scan order) -> ``file, line_no, line, utf8_ok``."""
+def number_scanned_lines(scanned: DataFrame, est_splits: int | None = None) -> DataFrame:
+    """``file, block, line, _pos`` (scan order) -> ``file, line_no, line, utf8_ok``.
+
+    The split table (one row per input split) is broadcast when the estimated
+    number of splits keeps it within the broadcast budget, so the lines are
+    never shuffled; beyond that the planner joins it normally."""
     splits = scanned.groupBy("file", "block").agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select(F.col("file").alias("_o_file"), F.col("block").alias("_o_block"), "_first",
                             F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    if est_splits is not None:
+        offsets = broadcast_if_small(offsets, est_splits, SPLIT_ROW_BYTES)
     numbered = scanned.join(offsets, (F.col("file") == F.col("_o_file")) & (F.col("block") == F.col("_o_block")))
     line_no = (F.col("_before") + F.col("_pos") - F.col("_first") + 1).cast("bigint")
     first = (line_no == 1) & (F.col("block") == 0)

@@ -158,3 +158,24 @@ def resolve_requests(requests: DataFrame, datasets: DataFrame, models: DataFrame
                .when(F.col("_m_id").isNull(), "model_not_found")
                .when(F.col("_m_type").isNull(), "no_config").otherwise("ok"))
     return j.select("request_id", outcome.alias("outcome"))
+
+
+def latest_job(state: DataFrame, key: str = "job_id", created: str = "created_at") -> DataFrame:
+    """The job with the latest creation time (ties: the larger id), as one
+    row with all state columns; no row when there are no jobs (E8). A single
+    global aggregation: partial maxima per task, one tiny final merge."""
+    cols = [c for c in state.columns]
+    best = state.agg(F.max_by(F.struct(*cols), F.struct(created, key)).alias("_j"))
+    return best.where(F.col("_j").isNotNull()).select("_j.*")
+
+
+def restore_jobs(spark, runs_dir: str) -> DataFrame:
+    """Persisted job states as a service restart sees them (A5 + D4): every
+    job still queued, loading or running has no live worker, so it becomes
+    ``failed`` with the fixed interruption error and message."""
+    from tuneframe.sources.files import read_job_states
+    jobs = read_job_states(spark, runs_dir)
+    orphan = F.col("status").isin(*K.ACTIVE_STATUSES)
+    out = jobs.withColumn("error", F.when(orphan, F.lit(K.INTERRUPTED_ERROR)).otherwise(F.col("error"))) \
+        .withColumn("message", F.when(orphan, F.lit(K.INTERRUPTED_MESSAGE)).otherwise(F.col("message")))
+    return out.withColumn("status", F.when(orphan, F.lit("failed")).otherwise(F.col("status")))

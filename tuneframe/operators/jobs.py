@@ -19,20 +19,23 @@ from tuneframe.functions.text import classify_failure, display_name
 TS_TEXT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
-def fold_state(events: DataFrame, key: str = "job_id", seq: str = "seq",
+def fold_state(events: DataFrame, key: str = "job_id", seq="seq",
                fields: dict[str, Column | None] | None = None) -> DataFrame:
     """Current value of each field: the value at the highest ``seq`` among
     events that name it (``None`` = named by every event). A named null
-    overwrites, as an update with ``loss=None`` does."""
+    overwrites, as an update with ``loss=None`` does. ``seq`` may be a column
+    name or a list of columns ordering the events (compared as a struct)."""
     if fields is None:
         fields = {"status": None, "step": None, "total_steps": None, "model_id": None,
                   "loss": F.col("loss_named"), "error": F.col("error").isNotNull()}
+    rank = F.col(seq) if isinstance(seq, str) else F.struct(*seq)
     aggs = []
     for name, named in fields.items():
-        order = F.col(seq) if named is None else F.when(named, F.col(seq))
+        order = rank if named is None else F.when(named, rank)
         aggs.append(F.max_by(F.col(name), order).alias(name))
-    aggs += [F.min_by(F.col("ts"), F.col(seq)).alias("created_at"), F.max_by(F.col("ts"), F.col(seq)).alias("updated_at"),
-             F.max(F.col(seq)).alias("last_seq")]
+    aggs += [F.min_by(F.col("ts"), rank).alias("created_at"), F.max_by(F.col("ts"), rank).alias("updated_at")]
+    if isinstance(seq, str):
+        aggs.append(F.max(F.col(seq)).alias("last_seq"))
     return events.groupBy(key).agg(*aggs)
 
 

@@ -38,10 +38,13 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("The reply follows the message.").alias("success_condition"))
 
 
-def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSONL lines per file, with some lines broken on purpose."""
+def raw_lines(spark: SparkSession, sf_dir: str, numbered: bool = True) -> DataFrame:
+    """JSONL lines per file, with some lines broken on purpose. With
+    ``numbered=False`` (for results that never show a line number) the
+    numbering pass is skipped and ``line_no`` is null."""
     ev = table(spark, sf_dir, "events").select("event_id", "user_id", "props")
-    numbered = number_rows(ev, ["user_id"], ["event_id"], "line_no")
+    numbered = number_rows(ev, ["user_id"], ["event_id"], "line_no") if numbered else \
+        ev.withColumn("line_no", F.lit(None).cast("bigint"))
     eid, props = F.col("event_id"), F.col("props")
     line = (F.when(eid % 97 == 5, F.substring(props, 1, 4))
             .when(eid % 89 == 7, F.concat(F.lit("["), props, F.lit("]")))
@@ -53,10 +56,13 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                            line.alias("line"))
 
 
-def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training-job progress events."""
+def job_events(spark: SparkSession, sf_dir: str, numbered: bool = True) -> DataFrame:
+    """Training-job progress events. ``seq`` is the rank of ``(ts, event_id)``
+    inside a job; with ``numbered=False`` it is left null and consumers order
+    by ``(ts, event_id)`` directly, which gives the same order."""
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    numbered = number_rows(ev, ["user_id"], ["ts", "event_id"], "seq")
+    numbered = number_rows(ev, ["user_id"], ["ts", "event_id"], "seq") if numbered else \
+        ev.withColumn("seq", F.lit(None).cast("bigint"))
     et, eid = F.col("event_type"), F.col("event_id")
     status = (F.when(et == "view", "queued").when(et == "signup", "loading").when(et == "click", "running")
               .when(et == "purchase", "completed").otherwise("failed"))
@@ -67,7 +73,7 @@ def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         status.alias("status"), (eid % 50).cast("int").alias("step"), F.lit(50).alias("total_steps"),
         F.when((et == "click") & (F.col("value") < 30), F.col("value")).alias("loss"),
         (et == "click").alias("loss_named"), error.alias("error"),
-        (F.col("user_id") % 30).alias("model_id"))
+        (F.col("user_id") % 30).alias("model_id"), "event_id")
 
 
 def models(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,8 @@ def _state_sql(body: str) -> str:
 
 
 def _state(spark, d):
-    return J.fold_state(FX.job_events(spark, d))
+    # The fold needs the event order, not dense numbers: order by (ts, event_id).
+    return J.fold_state(FX.job_events(spark, d, numbered=False), seq=["ts", "event_id"])
 
 
 @query("job_state", _state_sql("SELECT job_id, status, loss, step FROM state"))
@@ -46,7 +47,7 @@ def q_job_progress(spark, d):
     f"SELECT CASE WHEN lower(error) LIKE '%{K.OOM_MARKER}%' THEN '{K.OOM_ADVICE}' ELSE error END AS message, "
     "count(*) AS count FROM job_events WHERE status = 'failed' GROUP BY 1", "job_events"))
 def q_failure_classes(spark, d):
-    return J.failure_classes(FX.job_events(spark, d))
+    return J.failure_classes(FX.job_events(spark, d, numbered=False))
 
 
 @query("active_guard", _state_sql(
@@ -142,7 +143,7 @@ _RESOLVE = with_views(
 
 @query("request_resolution", _RESOLVE)
 def q_request_resolution(spark, d):
-    classified = V.classify_lines(FX.raw_lines(spark, d), "line", REQUIRED)
+    classified = V.classify_lines(FX.raw_lines(spark, d, numbered=False), "line", REQUIRED)
     verdicts = V.file_verdicts(classified, "file_id", "line_no", REQUIRED, EXPECTED)
     datasets = verdicts.select("file_id", (F.col("valid") & (F.col("n_bad") == 0)).alias("valid"))
     return J.resolve_requests(FX.requests(spark, d), datasets, FX.models(spark, d))

@@ -18,8 +18,8 @@ REQUIRED = ("k",)
 EXPECTED = 60
 
 
-def _verdicts(spark, d):
-    classified = V.classify_lines(FX.raw_lines(spark, d), "line", REQUIRED)
+def _verdicts(spark, d, numbered=True):
+    classified = V.classify_lines(FX.raw_lines(spark, d, numbered), "line", REQUIRED)
     return V.file_verdicts(classified, "file_id", "line_no", REQUIRED, EXPECTED)
 
 
@@ -54,7 +54,7 @@ def q_missing_fields(spark, d):
     f"record_count > 0 AND NOT miss_k AS schema_valid, "
     f"record_count > 0 AND NOT miss_k AND record_count = {EXPECTED} AS valid FROM per WHERE n_bad = 0"))
 def q_dataset_verdict(spark, d):
-    return V.dataset_verdict(_verdicts(spark, d))
+    return V.dataset_verdict(_verdicts(spark, d, numbered=False))
 
 
 @query("first_error", _lines_sql(
@@ -66,7 +66,7 @@ def q_first_error(spark, d):
 @query("quarantine_split", _lines_sql(
     "SELECT file_id, CASE WHEN n_bad = 0 THEN 'published' ELSE 'quarantined' END AS state, record_count FROM per"))
 def q_quarantine_split(spark, d):
-    return V.publish_state(_verdicts(spark, d))
+    return V.publish_state(_verdicts(spark, d, numbered=False))
 
 
 # --- training requests ------------------------------------------------------------

@@ -70,17 +70,40 @@ def clean_responses(df: DataFrame, response: str = "response", out: str = "respo
 
 
 def render_values(df: DataFrame, variant_col: str, out: str) -> DataFrame:
-    """Field values as Python ``str`` prints them (C25). Strings, numbers,
-    booleans and null are native; lists and objects go through a vectorised
-    helper for those rows only."""
+    """Field values as Python ``str`` prints them (C25). Strings, booleans
+    and null are rendered natively; only other values (numbers, lists,
+    objects) are handed to a vectorised helper, which receives null for all
+    native rows."""
     v = F.col(variant_col)
     kind = F.schema_of_variant(v)
     native = (F.when(v.isNull() | (kind == "VOID"), F.lit("None"))
               .when(kind == "STRING", F.variant_get(v, "$", "string"))
               .when(kind == "BOOLEAN", F.when(F.variant_get(v, "$", "boolean"), "True").otherwise("False")))
-
-    @F.pandas_udf(T.StringType())
-    def py_str(js: pd.Series) -> pd.Series:
-        return js.map(lambda s: None if s is None else str(json.loads(s)))
-
-    return df.withColumn(out, F.coalesce(native, py_str(F.to_json(v))))
+    return df.withColumn(out, F.coalesce(native, _py_str(F.when(native.isNull(), F.to_json(v)))))
+
+
+@F.pandas_udf(T.StringType())
+def _py_str(js: pd.Series) -> pd.Series:
+    return js.map(lambda s: None if s is None else str(json.loads(s)))
+
+
+def records_from_lines(lines: DataFrame, line: str = "line", fields=FIELDS, keep=("file_id", "line_no")) -> DataFrame:
+    """Records of well-formed object lines with each field rendered as the
+    reference prints it: a duplicated key takes its last value, non-string
+    values print as Python ``str``, a missing field is null."""
+    from tuneframe.functions.jsonl import JSON_OPTS
+    m = F.from_json(F.col(line), "map<string,variant>", JSON_OPTS)
+    cols = [F.col(k) for k in keep if k in lines.columns]
+    parsed = lines.select(*cols, F.map_entries(m).alias("_tf_e"))
+    for f in fields:
+        hits = F.filter(F.col("_tf_e"), _key_is(f))
+        parsed = parsed.withColumn(f"_tf_v_{f}", F.when(F.size(hits) > 0, F.element_at(hits, -1)["value"]))
+    out = parsed
+    for f in fields:
+        out = render_values(out, f"_tf_v_{f}", f).withColumn(
+            f, F.when(F.exists(F.col("_tf_e"), _key_is(f)), F.col(f)))
+    return out.drop("_tf_e", *[f"_tf_v_{f}" for f in fields])
+
+
+def _key_is(name: str):
+    return lambda e: e["key"] == name

@@ -155,3 +155,21 @@ def test_weight_headers(spark, tmp_path):
     assert by_file["past_end.safetensors"] == "end_past_data"
     assert by_file["bad_shape.safetensors"] == "bad_shape"
     assert "meta_only.safetensors" not in by_file
+
+
+def test_refresh_verdicts_reads_only_new_or_changed_files(spark, tmp_path):
+    d = tmp_path / "ds"
+    d.mkdir()
+    (d / f"{HEX}_one.jsonl").write_text(rec() + "\n")
+    (d / f"{HEX[:31]}0_two.jsonl").write_text(rec() + "\n" + rec() + "\n")
+    table = str(tmp_path / "verdicts")
+    assert V.refresh_verdicts(spark, str(d), table, REQ, 2) == (1, 2)
+    assert V.refresh_verdicts(spark, str(d), table, REQ, 2) == (2, 0)
+    (d / f"{HEX}_one.jsonl").write_text(rec() + "\n" + rec() + "\n")
+    os.utime(d / f"{HEX}_one.jsonl", (1_800_000_000, 1_800_000_000))
+    (d / f"{HEX[:31]}0_two.jsonl").unlink()
+    v, n = V.refresh_verdicts(spark, str(d), table, REQ, 2)
+    assert n == 1
+    from tuneframe.sinks import read_versioned
+    rows = read_versioned(spark, table).collect()
+    assert [(r.filename, r.record_count, r.valid) for r in rows] == [("one.jsonl", 2, True)]

@@ -191,10 +191,18 @@ def validate_files(spark, dataset_dir: str, required=K.REQUIRED_FIELDS, expected
     error), ``invalid_json`` or ``not_object`` with ``error_line``; files
     with no error carry ``record_count, missing_fields, schema_valid, valid``.
     Empty files are rows: count 0, not schema-valid."""
-    from tuneframe.sources.files import list_datasets, read_lines
+    from tuneframe.sources.files import list_datasets
 
-    listing = list_datasets(spark, dataset_dir)
-    lines = read_lines(spark, dataset_dir).withColumnRenamed("file", "file_id")
+    return validate_listed(spark, list_datasets(spark, dataset_dir), dataset_dir, required, expected)
+
+
+def validate_listed(spark, listing: DataFrame, paths, required=K.REQUIRED_FIELDS,
+                    expected: int = K.EXPECTED_RECORDS, est_splits: int | None = None) -> DataFrame:
+    """``validate_files`` for the files of ``listing`` read from ``paths``
+    (a folder or a list of files)."""
+    from tuneframe.sources.files import read_lines
+
+    lines = read_lines(spark, paths, est_splits).withColumnRenamed("file", "file_id")
     # Blank lines stay (kind null) so UTF-8 validity of every line rides in
     # the same per-file aggregation: the text is scanned once for verdicts.
     verdicts = file_verdicts(classify_lines(lines, "line", required, keep_blank=True), "file_id", "line_no",
@@ -204,6 +212,42 @@ def validate_files(spark, dataset_dir: str, required=K.REQUIRED_FIELDS, expected
         .join(verdicts.select(F.col("file_id").alias("_u_file"), "utf8_ok"), F.col("file") == F.col("_u_file"), "left")
     bad_utf8 = ~F.coalesce(F.col("utf8_ok"), F.lit(True))
     error = F.when(bad_utf8, "utf8").when(F.col("n_bad") > 0, F.col("first_bad_kind"))
-    return j.select("file", "upload_id", "filename", "size_bytes", error.alias("error"),
+    keep = [c for c in ("modified",) if c in listing.columns]
+    return j.select("file", "upload_id", "filename", "size_bytes", *keep, error.alias("error"),
                     F.when(~bad_utf8 & (F.col("n_bad") > 0), F.col("first_bad_line")).alias("error_line"),
                     "record_count", "missing_fields", "schema_valid", "valid")
+
+
+def refresh_verdicts(spark, dataset_dir: str, table_dir: str, required=K.REQUIRED_FIELDS,
+                     expected: int = K.EXPECTED_RECORDS) -> tuple[int, int]:
+    """Keep a verdict table for a dataset folder without re-reading unchanged
+    files: files whose ``(path, size, mtime)`` already has a verdict are
+    skipped (anti join), only new or changed files are read, and verdicts of
+    files no longer listed are dropped. The result is a new committed version
+    of ``table_dir``. Returns ``(version, files revalidated)``."""
+    from tuneframe.sinks import read_versioned, write_versioned
+    from tuneframe.sources.files import list_datasets
+
+    listing = list_datasets(spark, dataset_dir).persist()
+    cached = read_versioned(spark, table_dir)
+    todo = listing if cached is None else listing.join(
+        cached.select("file", "size_bytes", "modified"), ["file", "size_bytes", "modified"], "left_anti")
+    todo = todo.persist()
+    # Only the names of files to read reach the driver (they are a read list).
+    paths = [r.file for r in todo.select("file").collect()]
+    if paths:
+        fresh = validate_listed(spark, todo, paths, required, expected)
+    else:
+        fresh = None
+    if cached is not None:
+        kept = cached.join(listing.select("file", "size_bytes", "modified"), ["file", "size_bytes", "modified"],
+                           "left_semi")
+        merged = kept if fresh is None else kept.unionByName(fresh.select(*kept.columns))
+    else:
+        merged = fresh if fresh is not None else None
+    if merged is None:
+        return 0, 0
+    version = write_versioned(merged, table_dir)
+    listing.unpersist()
+    todo.unpersist()
+    return version, len(paths)

@@ -9,7 +9,7 @@ from tuneframe.operators import render as RO
 from tuneframe.plans import fixtures as FX
 from tuneframe.plans.catalog import query
 from tuneframe.plans.oracle_views import with_views
-from tuneframe.plans.sqltext import NL, WS, sections, strip
+from tuneframe.plans.sqltext import NL, sections, strip
 
 _H = K.USER_HEADINGS
 _USER = sections(list(zip(_H, ("instruction", "input", "workflow", "success_condition"))), "")

@@ -93,6 +93,16 @@ def upsert_latest(batch: DataFrame, table_dir: str, key: str = "job_id", order:
     return new_v
 
 
+def write_versioned(df: DataFrame, table_dir: str, keep_versions: int = 3) -> int:
+    """Write ``df`` as the next version of ``table_dir`` (whole replacement)."""
+    spark = df.sparkSession
+    versions = committed_versions(spark, table_dir)
+    new_v = (versions[-1] if versions else 0) + 1
+    df.write.mode("overwrite").parquet(f"{table_dir.rstrip('/')}/v={new_v:010d}")
+    _prune(spark, table_dir, keep_versions)
+    return new_v
+
+
 def _prune(spark: SparkSession, table_dir: str, keep: int) -> None:
     versions = committed_versions(spark, table_dir)
     fs, root, jvm = _fs(spark, table_dir)

@@ -39,7 +39,7 @@ def file_listing(spark: SparkSession, path: str, recursive: bool, glob: str | No
         "path", F.coalesce(F.col("length"), F.lit(0).cast("bigint")).alias("length"), "modificationTime")
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path, est_splits: int | None = None) -> DataFrame:
     """Every physical line of every file under ``path`` with its 1-based line
     number inside its file (A1, A2): ``file, line_no, line, utf8_ok``.
 
@@ -49,11 +49,12 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     line is shuffled. A byte-order mark is removed from the first line of a
     file only."""
     raw = spark.read.format("text").option("recursiveFileLookup", "true").load(path)
+    if est_splits is None:
+        est_splits = sum(estimated_splits(spark, p)[0] for p in ([path] if isinstance(path, str) else path))
     scanned = raw.select(F.col("_metadata.file_path").alias("file"),
                          F.col("_metadata.file_block_start").alias("block"),
                          F.col("value").alias("line"),
                          F.monotonically_increasing_id().alias("_pos"))
-    est_splits, _ = estimated_splits(spark, path)
     return number_scanned_lines(scanned, est_splits)
 
 

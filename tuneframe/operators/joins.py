@@ -28,6 +28,23 @@ def _conf_bytes(spark: SparkSession, key: str, default: int) -> int:
     return int(raw) if raw.isdigit() else default
 
 
+def split_bytes(spark: SparkSession, total: int, files: int) -> int:
+    """Spark's split size for a scan of ``files`` files totalling ``total`` bytes."""
+    max_part = _conf_bytes(spark, "spark.sql.files.maxPartitionBytes", 128 << 20)
+    open_cost = _conf_bytes(spark, "spark.sql.files.openCostInBytes", 4 << 20)
+    parallel = max(1, spark.sparkContext.defaultParallelism)
+    return max(1, min(max_part, max(open_cost, (total + files * open_cost) // parallel)))
+
+
+def estimated_splits_of(listing: DataFrame, size_col: str) -> int:
+    """Upper estimate of input splits for the files of a listing (one small
+    aggregation; the file names never reach the driver)."""
+    spark = listing.sparkSession
+    row = listing.agg(F.coalesce(F.sum(size_col), F.lit(0)).alias("t"), F.count(F.lit(1)).alias("n")).first()
+    total, files = int(row["t"]), int(row["n"])
+    return files + total // split_bytes(spark, total, files) + 1
+
+
 def estimated_splits(spark: SparkSession, path: str) -> tuple[int, int]:
     """Upper estimate of the input splits a file scan of ``path`` makes, and
     the file count, from the file system's summary (one metadata call) and
@@ -37,8 +54,4 @@ def estimated_splits(spark: SparkSession, path: str) -> tuple[int, int]:
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     summary = hpath.getFileSystem(sc._jsc.hadoopConfiguration()).getContentSummary(hpath)
     total, files = int(summary.getLength()), int(summary.getFileCount())
-    max_part = _conf_bytes(spark, "spark.sql.files.maxPartitionBytes", 128 << 20)
-    open_cost = _conf_bytes(spark, "spark.sql.files.openCostInBytes", 4 << 20)
-    parallel = max(1, sc.defaultParallelism)
-    split = min(max_part, max(open_cost, (total + files * open_cost) // parallel))
-    return files + total // max(1, split) + 1, files
+    return files + total // split_bytes(spark, total, files) + 1, files

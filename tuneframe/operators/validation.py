@@ -200,8 +200,11 @@ def validate_listed(spark, listing: DataFrame, paths, required=K.REQUIRED_FIELDS
                     expected: int = K.EXPECTED_RECORDS, est_splits: int | None = None) -> DataFrame:
     """``validate_files`` for the files of ``listing`` read from ``paths``
     (a folder or a list of files)."""
+    from tuneframe.operators.joins import estimated_splits_of
     from tuneframe.sources.files import read_lines
 
+    if est_splits is None and not isinstance(paths, str):
+        est_splits = estimated_splits_of(listing, "size_bytes")
     lines = read_lines(spark, paths, est_splits).withColumnRenamed("file", "file_id")
     # Blank lines stay (kind null) so UTF-8 validity of every line rides in
     # the same per-file aggregation: the text is scanned once for verdicts.

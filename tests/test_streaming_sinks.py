@@ -129,3 +129,16 @@ def test_publish_split_and_training_text(spark, tmp_path):
     tt = FX.records(spark, SF_SMALL).select("record_id", F.lit("x").alias("text"))
     sinks.write_training_text(tt, str(tmp_path / "tt"), 3)
     assert spark.read.parquet(str(tmp_path / "tt")).count() == 34
+
+
+def test_stream_job_state_into_versioned_table(spark, tmp_path):
+    ev, d = _event_files(spark, tmp_path)
+    stream = spark.readStream.schema(SJ.EVENT_SCHEMA).option("maxFilesPerTrigger", 1).json(d)
+    table = str(tmp_path / "jobs")
+    q = SJ.sink_job_state(stream, table, str(tmp_path / "ckpt"))
+    q.awaitTermination(300)
+    assert len(sinks.committed_versions(spark, table)) >= 2
+    cols = ["job_id", "status", "step", "loss", "error"]
+    got = sinks.read_versioned(spark, table).select(*cols)
+    want = J.fold_state(ev).select(*cols)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

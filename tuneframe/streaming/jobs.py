@@ -100,3 +100,21 @@ def stream_interrupted(events: DataFrame, timeout: str = "1 hour", watermark: st
 def _pd_timedelta(interval: str):
     import pandas as pd
     return pd.Timedelta(interval)
+
+
+def sink_job_state(events: DataFrame, table_dir: str, checkpoint: str, available_now: bool = True):
+    """Run ``stream_job_state`` into the versioned job table (T1 + B2).
+
+    In ``update`` mode every micro-batch emits the complete current state of
+    each job it touched (the state store keeps the rest), so writing those
+    rows last-write-wins per job is exact. Batch ``n`` writes version ``n+1``;
+    a batch replayed after a failure finds its version committed and skips."""
+    from tuneframe.sinks import upsert_latest
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        upsert_latest(batch, table_dir, key="job_id", order="last_seq", version=batch_id + 1)
+
+    w = stream_job_state(events).writeStream.outputMode("update").foreachBatch(write) \
+        .option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
+    return w.start()

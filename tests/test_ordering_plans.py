@@ -103,3 +103,12 @@ def test_line_offsets_are_broadcast_not_shuffled(spark, tmp_path):
     assert "BroadcastHashJoin" in plan
     lines_side = plan.split("BroadcastHashJoin", 1)[1].split("BroadcastExchange", 1)[0]
     assert "Exchange" not in lines_side  # lines are never shuffled
+
+
+def test_each_line_is_parsed_once_per_wrapper(spark):
+    import __spark_entry__ as E
+    plan = _plan(E.queries()["record_check"](spark, SF_SMALL))
+    assert plan.count("from_json(ArrayType(MapType(StringType,StringType,true)") == 1
+    assert plan.count("from_json(MapType(StringType,MapType(StringType,StringType,true)") == 1
+    # the variant pair exists once, inside the branch for non-objects
+    assert plan.count("from_json(ArrayType(VariantType,true)") == 1

@@ -112,3 +112,15 @@ def test_each_line_is_parsed_once_per_wrapper(spark):
     assert plan.count("from_json(MapType(StringType,MapType(StringType,StringType,true)") == 1
     # the variant pair exists once, inside the branch for non-objects
     assert plan.count("from_json(ArrayType(VariantType,true)") == 1
+
+
+def test_hot_group_of_strings_with_a_shared_prefix_is_split(spark):
+    df = spark.range(0, 3000).select(
+        F.lit("hot").alias("g"), F.concat(F.lit("adapter/"), F.format_string("%05d", (F.col("id") * 7) % 3000)).alias("p"),
+        F.col("id"))
+    w = Window.partitionBy("g").orderBy("p", "id")
+    want = {(r.id, r.rn) for r in df.select("id", F.row_number().over(w).alias("rn")).collect()}
+    got = {(r.id, r.rn) for r in number_rows(df, ["g"], ["p", "id"], "rn", n_ranges=16).collect()}
+    assert got == want
+    from tuneframe.operators import ordering as O
+    assert O._with_ranges(df, ["p", "id"], 16).select("_tf_obkt").distinct().count() >= 8

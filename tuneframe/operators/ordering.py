@@ -29,11 +29,15 @@ _BKT = "_tf_obkt"
 _GK = "_tf_gkey"
 
 
-def _string_surrogate(c: Column) -> Column:
-    """First 7 UTF-8 bytes as a big-endian number: never decreases with
-    Spark's (byte-wise) string order."""
-    prefix = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 7)), 14, "0")
-    return F.conv(prefix, 16, 10).cast("double")
+def _bytes_surrogate(b: Column, start: int = 1, n: int = 6) -> Column:
+    """``n`` bytes from ``start`` (1-based) as a big-endian number, zero
+    padded: never decreases with byte-wise order, and exact in a double
+    (6 bytes = 48 bits), so equal numbers mean equal padded bytes."""
+    return F.conv(F.rpad(F.hex(F.substring(b, start, n)), 2 * n, "0"), 16, 10).cast("double")
+
+
+def _string_surrogate(c: Column, start: int = 1) -> Column:
+    return _bytes_surrogate(F.encode(c, "UTF-8"), start)
 
 
 def order_surrogate(df: DataFrame, col: str) -> Column:
@@ -55,7 +59,7 @@ def order_surrogate(df: DataFrame, col: str) -> Column:
     if isinstance(dtype, T.StringType):
         return _string_surrogate(c)
     if isinstance(dtype, T.BinaryType):
-        return F.conv(F.rpad(F.hex(F.substring(c, 1, 7)), 14, "0"), 16, 10).cast("double")
+        return _bytes_surrogate(c)
     raise TypeError(f"cannot order-bucket a column of type {dtype.simpleString()}")
 
 
@@ -80,20 +84,27 @@ def _with_ranges(df: DataFrame, order_cols: list[str], n_ranges: int | None) ->
     are then split further by quantile ranges of the second order column, and
     the other rows of that range are placed after them. The split is used only
     where the first column's surrogate is exact (integers and times below
-    2**53, floats), so equal surrogates mean equal values."""
+    2**53, floats), so equal surrogates mean equal values. String and binary
+    keys are cut on their first 6 bytes and, for ties, on the next 6."""
     spark = df.sparkSession
     if n_ranges is None:
         n_ranges = max(8, min(4096, 4 * shuffle_partitions(spark)))
     first_type = df.schema[order_cols[0]].dataType
     if not _bucketable(df, order_cols[0]):
         return df.withColumn(_BKT, F.lit(0).cast("bigint"))
-    cols = [order_cols[0]]
-    if len(order_cols) > 1 and isinstance(first_type, _EXACT) and _bucketable(df, order_cols[1]):
-        cols.append(order_cols[1])
-    keys = [f"{_KEY}{i}" for i in range(len(cols))]
+    # Level 1: the first order column. Level 2 (used only for rows tied on
+    # level 1): the next 6 bytes of a string key, else the second column.
+    levels = [order_surrogate(df, order_cols[0])]
+    if isinstance(first_type, T.StringType):
+        levels.append(_string_surrogate(F.col(order_cols[0]), 7))
+    elif isinstance(first_type, T.BinaryType):
+        levels.append(_bytes_surrogate(F.col(order_cols[0]), 7))
+    elif len(order_cols) > 1 and isinstance(first_type, _EXACT) and _bucketable(df, order_cols[1]):
+        levels.append(order_surrogate(df, order_cols[1]))
+    keys = [f"{_KEY}{i}" for i in range(len(levels))]
     keyed = df
-    for k, c in zip(keys, cols):
-        keyed = keyed.withColumn(k, order_surrogate(df, c))
+    for k, lv in zip(keys, levels):
+        keyed = keyed.withColumn(k, lv)
     probs = [i / n_ranges for i in range(1, n_ranges)]
     cuts = keyed.approxQuantile(keys, probs, 1.0 / (4 * n_ranges)) if probs else [[] for _ in keys]
     splits = [[float("-inf")] + sorted({c for c in cs if c == c}) + [float("inf")] for cs in cuts]

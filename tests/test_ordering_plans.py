@@ -124,3 +124,16 @@ def test_hot_group_of_strings_with_a_shared_prefix_is_split(spark):
     assert got == want
     from tuneframe.operators import ordering as O
     assert O._with_ranges(df, ["p", "id"], 16).select("_tf_obkt").distinct().count() >= 8
+
+
+def test_hot_group_work_is_spread(spark):
+    from tuneframe.operators import ordering as O
+    n = 60000
+    df = spark.range(0, n).select(
+        F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 1000).alias("g"),
+        ((F.col("id") * 2654435761) % 1000003).alias("o"), F.col("id"))
+    ranged = O._with_ranges(df, ["o", "id"], 64).withColumn("_gk", F.struct("g"))
+    biggest = ranged.groupBy("_gk", "_tf_obkt").count().agg(F.max("count")).first()[0]
+    # a plain per-group window would give one task n/3 rows; here the largest
+    # unit of work is about (n/3)/64
+    assert biggest < n / 3 / 16

@@ -74,7 +74,8 @@ FROM orders""",
 }
 
 
-def with_views(sql: str, *names: str) -> str:
-    """Prefix ``sql`` with the CTEs it needs (in dependency order given)."""
-    ctes = ",\n".join(f"{n} AS ({VIEWS[n]}\n)" for n in names)
-    return f"WITH {ctes}\n{sql}" if names else sql
+def with_views(sql: str, *names: str, extra: tuple[tuple[str, str], ...] = ()) -> str:
+    """Prefix ``sql`` with the view CTEs it needs (in the order given), then
+    any ``extra`` ``(name, query)`` CTEs built on them."""
+    ctes = [f"{n} AS ({VIEWS[n]}\n)" for n in names] + [f"{n} AS ({q})" for n, q in extra]
+    return f"WITH {',\n'.join(ctes)}\n{sql}" if ctes else sql

@@ -74,17 +74,17 @@ def q_model_manifest(spark, d):
 
 
 _PAIRED = with_views(
-    ", f AS (SELECT upload_id, row_number() OVER (PARTITION BY upload_id ORDER BY pos) AS ordinal, "
-    "'blob-' || cast(pos AS VARCHAR) AS file FROM artifacts), "
-    "p0 AS (SELECT * FROM artifacts WHERE NOT (upload_id = 'src0' AND pos = "
-    "(SELECT max(pos) FROM artifacts WHERE upload_id = 'src0'))), "
-    "p AS (SELECT upload_id, row_number() OVER (PARTITION BY upload_id ORDER BY pos) AS ordinal, path FROM p0), "
-    "nf AS (SELECT upload_id, count(*) AS n FROM f GROUP BY upload_id), "
-    "np AS (SELECT upload_id, count(*) AS n FROM p GROUP BY upload_id) "
     "SELECT f.upload_id, cast(f.ordinal AS BIGINT) AS ordinal, f.file, p.path, "
     "coalesce(nf.n = np.n, false) AS lengths_match "
     "FROM f LEFT JOIN p ON f.upload_id = p.upload_id AND f.ordinal = p.ordinal "
-    "JOIN nf ON f.upload_id = nf.upload_id LEFT JOIN np ON f.upload_id = np.upload_id", "artifacts")
+    "JOIN nf ON f.upload_id = nf.upload_id LEFT JOIN np ON f.upload_id = np.upload_id", "artifacts",
+    extra=(("f", "SELECT upload_id, row_number() OVER (PARTITION BY upload_id ORDER BY pos) AS ordinal, "
+                 "'blob-' || cast(pos AS VARCHAR) AS file FROM artifacts"),
+           ("p0", "SELECT * FROM artifacts WHERE NOT (upload_id = 'src0' AND pos = "
+                  "(SELECT max(pos) FROM artifacts WHERE upload_id = 'src0'))"),
+           ("p", "SELECT upload_id, row_number() OVER (PARTITION BY upload_id ORDER BY pos) AS ordinal, path FROM p0"),
+           ("nf", "SELECT upload_id, count(*) AS n FROM f GROUP BY upload_id"),
+           ("np", "SELECT upload_id, count(*) AS n FROM p GROUP BY upload_id")))
 
 
 @query("paired_files", _PAIRED)
@@ -104,9 +104,9 @@ def q_archive_members(spark, d):
 
 
 @query("missing_shards", with_views(
-    ", m AS (SELECT DISTINCT index_dir, shard FROM shard_index EXCEPT SELECT dir, name FROM shard_files) "
     "SELECT index_dir, count(*) AS n_missing, array_to_string(list_slice(list_sort(list(shard)), 1, 5), ', ') "
-    "AS first_missing FROM m GROUP BY index_dir", "shard_index", "shard_files"))
+    "AS first_missing FROM m GROUP BY index_dir", "shard_index", "shard_files",
+    extra=(("m", "SELECT DISTINCT index_dir, shard FROM shard_index EXCEPT SELECT dir, name FROM shard_files"),)))
 def q_missing_shards(spark, d):
     return A.missing_shards(FX.shard_index(spark, d), FX.shard_files(spark, d))
 

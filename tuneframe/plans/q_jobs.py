@@ -9,7 +9,7 @@ from tuneframe.operators import jobs as J
 from tuneframe.operators import validation as V
 from tuneframe.plans import fixtures as FX
 from tuneframe.plans.catalog import query
-from tuneframe.plans.oracle_views import VIEWS, with_views
+from tuneframe.plans.oracle_views import with_views
 from tuneframe.plans.q_validation import _CLS, _PER_FILE, EXPECTED, REQUIRED
 
 _STATE = """
@@ -23,7 +23,11 @@ _NAME = "coalesce(nullif(m.repo_id, ''), nullif(m.model_type, ''), 'Trained mode
 
 
 def _state_sql(body: str) -> str:
-    return with_views(f", state AS ({_STATE})\n{body}", "job_events", "models").replace("\n, state", ", state", 1)
+    return _state_sql_with(body)
+
+
+def _state_sql_with(body: str, *extra) -> str:
+    return with_views(body, "job_events", "models", extra=(("state", _STATE),) + tuple(extra))
 
 
 def _state(spark, d):
@@ -104,23 +108,23 @@ def q_run_labels(spark, d):
     return J.run_labels(_state(spark, d), FX.models(spark, d))
 
 
-@query("default_model", _state_sql(
-    ", latest AS (SELECT job_id, status, model_id FROM state ORDER BY created_at DESC, job_id DESC LIMIT 1), "
-    "newest AS (SELECT job_id, model_id FROM state WHERE status = 'completed' ORDER BY created_at DESC, job_id LIMIT 1), "
-    "chosen AS (SELECT CASE WHEN l.status = 'completed' THEN l.job_id ELSE n.job_id END AS job_id, "
-    "CASE WHEN l.status = 'completed' THEN l.model_id ELSE n.model_id END AS model_id "
-    "FROM latest l LEFT JOIN newest n ON true) "
+@query("default_model", _state_sql_with(
     f"SELECT c.job_id, {_NAME} AS model_name FROM chosen c LEFT JOIN models m ON c.model_id = m.model_id "
-    "WHERE c.job_id IS NOT NULL").replace("\n, latest", ", latest", 1).replace(")\n, latest", "), latest", 1))
+    "WHERE c.job_id IS NOT NULL",
+    ("latest", "SELECT job_id, status, model_id FROM state ORDER BY created_at DESC, job_id DESC LIMIT 1"),
+    ("newest", "SELECT job_id, model_id FROM state WHERE status = 'completed' ORDER BY created_at DESC, job_id LIMIT 1"),
+    ("chosen", "SELECT CASE WHEN l.status = 'completed' THEN l.job_id ELSE n.job_id END AS job_id, "
+               "CASE WHEN l.status = 'completed' THEN l.model_id ELSE n.model_id END AS model_id "
+               "FROM latest l LEFT JOIN newest n ON true")))
 def q_default_model(spark, d):
     return J.default_model(_state(spark, d), FX.models(spark, d))
 
 
-@query("exportable_jobs", _state_sql(
-    ", req AS (SELECT unnest(generate_series(0, (SELECT max(job_id) + 5 FROM state))) AS job_id) "
+@query("exportable_jobs", _state_sql_with(
     "SELECT r.job_id, CASE WHEN s.job_id IS NULL THEN 'not_found' WHEN s.status <> 'completed' THEN 'not_completed' "
     "WHEN s.job_id % 3 <> 0 THEN 'folder_missing' ELSE 'ok' END AS outcome "
-    "FROM req r LEFT JOIN state s ON r.job_id = s.job_id").replace(")\n, req", "), req", 1))
+    "FROM req r LEFT JOIN state s ON r.job_id = s.job_id",
+    ("req", "SELECT unnest(generate_series(0, (SELECT max(job_id) + 5 FROM state))) AS job_id")))
 def q_exportable_jobs(spark, d):
     state = _state(spark, d)
     top = state.agg(F.max("job_id").alias("m")).first()["m"]
@@ -130,7 +134,6 @@ def q_exportable_jobs(spark, d):
 
 
 _RESOLVE = with_views(
-    f", cls AS ({_CLS}), per AS ({_PER_FILE}) "
     "SELECT r.request_id, CASE WHEN r.dataset_id IS NULL OR r.dataset_id < 0 THEN 'bad_dataset_id' "
     "WHEN p.file_id IS NULL THEN 'dataset_not_found' "
     f"WHEN NOT (p.n_bad = 0 AND p.record_count > 0 AND NOT p.miss_k AND p.record_count = {EXPECTED}) "
@@ -138,7 +141,7 @@ _RESOLVE = with_views(
     "WHEN r.model_id IS NULL OR r.model_id < 0 THEN 'bad_model_id' WHEN m.model_id IS NULL THEN 'model_not_found' "
     "WHEN m.model_type IS NULL THEN 'no_config' ELSE 'ok' END AS outcome "
     "FROM requests r LEFT JOIN per p ON r.dataset_id = p.file_id LEFT JOIN models m ON r.model_id = m.model_id",
-    "raw_lines", "requests", "models").replace(")\n, cls", "), cls", 1)
+    "raw_lines", "requests", "models", extra=(("cls", _CLS), ("per", _PER_FILE)))
 
 
 @query("request_resolution", _RESOLVE)
@@ -148,5 +151,3 @@ def q_request_resolution(spark, d):
     datasets = verdicts.select("file_id", (F.col("valid") & (F.col("n_bad") == 0)).alias("valid"))
     return J.resolve_requests(FX.requests(spark, d), datasets, FX.models(spark, d))
 
-
-assert "job_events" in VIEWS

@@ -34,7 +34,7 @@ _PER_FILE = (f"SELECT file_id, count(*) FILTER (WHERE kind = 'ok') AS record_cou
 
 
 def _lines_sql(body: str) -> str:
-    return with_views(f", cls AS ({_CLS}), per AS ({_PER_FILE})\n{body}", "raw_lines").replace("\n, cls", ", cls", 1)
+    return with_views(body, "raw_lines", extra=(("cls", _CLS), ("per", _PER_FILE)))
 
 
 @query("record_check", _lines_sql("SELECT file_id, line_no, kind FROM cls"))

@@ -11,9 +11,11 @@ __all__ = ["answer_tokens", "pad_tokens", "join_ints"]
 
 
 def answer_tokens(output_ids, prompt_len) -> Column:
-    """Drop the first ``prompt_len`` ids of a generated sequence."""
-    ids, n = col_of(output_ids), col_of(prompt_len).cast("int")
-    return F.when(n >= F.size(ids), F.slice(ids, 1, 0)).otherwise(F.slice(ids, F.greatest(n, F.lit(0)) + 1, F.size(ids) - F.greatest(n, F.lit(0))))
+    """Drop the first ``prompt_len`` ids of a generated sequence (empty when
+    the prompt is at least as long as the output)."""
+    ids = col_of(output_ids)
+    n = F.greatest(col_of(prompt_len).cast("int"), F.lit(0))
+    return F.when(n >= F.size(ids), F.slice(ids, 1, 0)).otherwise(F.slice(ids, n + 1, F.size(ids) - n))
 
 
 def pad_tokens(ids, width: int, pad_id, left) -> Column:

@@ -137,3 +137,17 @@ def test_hot_group_work_is_spread(spark):
     # a plain per-group window would give one task n/3 rows; here the largest
     # unit of work is about (n/3)/64
     assert biggest < n / 3 / 16
+
+
+def test_neighbor_values_equal_lag_and_lead(spark):
+    from tuneframe.operators.ordering import neighbor_values
+    df = _skewed(spark).withColumn("s", F.when(F.col("id") % 11 == 0, F.lit(None)).otherwise(F.col("id").cast("string")))
+    w = Window.partitionBy("g").orderBy("o", "id")
+    for step, fn, p in ((-1, F.lag, "prev_"), (1, F.lead, "next_")):
+        want = {(r.id, r.a, r.b) for r in df.select("id", fn("s").over(w).alias("a"), fn("v").over(w).alias("b")).collect()}
+        got_df = neighbor_values(df, ["g"], ["o", "id"], ["s", "v"], step, n_ranges=16)
+        got = {(r.id, r[f"{p}s"], r[f"{p}v"]) for r in got_df.collect()}
+        assert got == want
+        exists = {(r.id, r[f"{p}exists"]) for r in got_df.collect()}
+        want_exists = {(r.id, r.e) for r in df.select("id", fn(F.lit(1)).over(w).isNotNull().alias("e")).collect()}
+        assert exists == want_exists

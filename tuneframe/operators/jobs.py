@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tuneframe import constants as K
 from tuneframe.functions.numeric import progress_pct
 from tuneframe.functions.text import classify_failure, display_name
+from tuneframe.operators.ordering import neighbor_values
 
 TS_TEXT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
@@ -55,15 +56,18 @@ def active_guard(state: DataFrame) -> DataFrame:
                      F.count_if(active).cast("bigint").alias("n_active"))
 
 
-def status_transitions(events: DataFrame, key: str = "job_id", seq: str = "seq",
+def status_transitions(events: DataFrame, key: str = "job_id", seq="seq",
                        allowed=K.ALLOWED_TRANSITIONS) -> DataFrame:
     """Counts of consecutive status pairs per job, flagged against the allowed
-    pairs. Consecutive events are matched by an equi-join on ``(job, seq)``
-    (unique keys, so no hot group), not by a per-job window."""
-    prev = events.select(F.col(key).alias("_p_key"), (F.col(seq) + 1).alias("_p_seq"),
-                         F.col("status").alias("from_status"))
-    pairs = events.join(prev, (F.col(key) == F.col("_p_key")) & (F.col(seq) == F.col("_p_seq")), "inner")
-    counts = pairs.groupBy("from_status", F.col("status").alias("to_status")).agg(F.count(F.lit(1)).alias("count"))
+    pairs. ``seq`` is the ordering column (or columns). The previous status
+    comes from the skew-safe ``neighbor_values`` (a ``lag`` inside quantile
+    ranges of the order, edges patched from a small table), so a job with a
+    huge history is never one task and rows are shuffled once."""
+    order = [seq] if isinstance(seq, str) else list(seq)
+    prev = neighbor_values(events.select(key, *order, "status"), [key], order, ["status"], -1, "prev_")
+    pairs = prev.where(F.col("prev_exists"))
+    counts = pairs.groupBy(F.col("prev_status").alias("from_status"), F.col("status").alias("to_status")) \
+        .agg(F.count(F.lit(1)).alias("count"))
     pair_text = F.concat(F.col("from_status"), F.lit(">"), F.col("to_status"))
     return counts.withColumn("allowed", pair_text.isin(*[f"{a}>{b}" for a, b in allowed]))
 

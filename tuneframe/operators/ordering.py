@@ -175,3 +175,46 @@ def running_sum(df: DataFrame, group_cols, order_cols, value_col: str, out_col:
     group_cols, order_cols = list(group_cols), list(order_cols)
     v = F.coalesce(F.col(value_col), F.lit(0)).cast("bigint")
     return _ordered(df, group_cols, order_cols, out_col, F.sum(v), F.sum(v), n_ranges)
+
+
+def neighbor_values(df: DataFrame, group_cols, order_cols, cols, step: int = -1, prefix: str | None = None,
+                    n_ranges: int | None = None) -> DataFrame:
+    """``lag(c)`` (``step=-1``) or ``lead(c)`` (``step=1``) over ``partition
+    by group order by order`` for each of ``cols``, added as ``<prefix><c>``,
+    without a per-group task.
+
+    Inside each (group, range) window the neighbour comes from ``lag``/``lead``.
+    Only the edge row of a range (its first row for ``lag``, last for
+    ``lead``) needs the neighbouring range: a small table holds each range's
+    last (or first) row, shifted by one range inside the group, and is joined
+    on the window's own keys. ``<prefix>exists`` tells a real neighbour with
+    null values from no neighbour."""
+    group_cols, order_cols, cols = list(group_cols), list(order_cols), list(cols)
+    if step not in (-1, 1):
+        raise ValueError("step must be -1 or 1")
+    prefix = prefix or ("prev_" if step < 0 else "next_")
+    shift = F.lag if step < 0 else F.lead
+    ranged = _with_ranges(df, order_cols, n_ranges).withColumn(_GK, F.struct(*group_cols)) \
+        .withColumn("_tf_one", F.lit(True))
+    carried = cols + ["_tf_one"]
+    w = Window.partitionBy(_GK, _BKT).orderBy(*order_cols)
+    within = ranged
+    for c in carried:
+        within = within.withColumn(f"_tf_nb_{c}", shift(c).over(w))
+
+    row = F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(carried)])
+    key = F.struct(*order_cols)
+    edge_row = F.max_by(row, key) if step < 0 else F.min_by(row, key)
+    edges = ranged.groupBy(_GK, _BKT).agg(edge_row.alias("_tf_edge"))
+    across = Window.partitionBy(_GK).orderBy(_BKT)
+    bounds = edges.select(F.col(_GK).alias("_tf_gk2"), F.col(_BKT).alias("_tf_b"),
+                          shift("_tf_edge").over(across).alias("_tf_other"))
+
+    joined = within.join(bounds, (F.col(_GK) == F.col("_tf_gk2")) & (F.col(_BKT) == F.col("_tf_b")), "inner")
+    at_edge = F.col("_tf_nb__tf_one").isNull()
+    out = joined
+    for i, c in enumerate(carried):
+        name = f"{prefix}exists" if c == "_tf_one" else f"{prefix}{c}"
+        out = out.withColumn(name, F.when(at_edge, F.col("_tf_other")[f"v{i}"]).otherwise(F.col(f"_tf_nb_{c}")))
+    out = out.withColumn(f"{prefix}exists", F.coalesce(F.col(f"{prefix}exists"), F.lit(False)))
+    return out.drop("_tf_gk2", "_tf_b", "_tf_other", "_tf_one", _BKT, _GK, *[f"_tf_nb_{c}" for c in carried])

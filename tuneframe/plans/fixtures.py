@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tuneframe.operators.ordering import number_rows
+from tuneframe.operators.ordering import neighbor_values, number_rows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,21 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instruction records: each user turn answered by the next assistant turn."""
     conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    turns = number_rows(conv, ["conv_id"], ["turn"], "rn")
-    users = turns.where(F.col("role") == "user")
-    replies = turns.select(F.col("conv_id").alias("r_conv"), (F.col("rn") - 1).alias("r_rn"),
-                           F.col("role").alias("r_role"), F.col("text").alias("output"))
+    turns = neighbor_values(conv, ["conv_id"], ["turn"], ["role", "text"], 1, "next_")
+    pairs = turns.where((F.col("role") == "user") & (F.col("next_role") == "assistant"))
     system = (conv.where(F.col("role") == "system").groupBy("conv_id")
               .agg(F.max("text").alias("sys")).withColumnRenamed("conv_id", "s_conv"))
-    pairs = users.join(replies.where(F.col("r_role") == "assistant"),
-                       (F.col("conv_id") == F.col("r_conv")) & (F.col("rn") == F.col("r_rn")), "inner")
     pairs = pairs.join(system, F.col("conv_id") == F.col("s_conv"), "left")
     return pairs.select(
         (F.col("conv_id") * 100 + F.col("turn")).alias("record_id"),
         "conv_id", "turn",
         F.coalesce(F.col("sys"), F.lit("Answer the message.")).alias("instruction"),
         F.col("text").alias("input"),
-        "output",
+        F.col("next_text").alias("output"),
         F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("workflow"),
         F.lit("The reply follows the message.").alias("success_condition"))
 

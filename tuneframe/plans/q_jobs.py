@@ -69,7 +69,8 @@ _ALLOWED = "(" + ", ".join(f"'{a}>{b}'" for a, b in K.ALLOWED_TRANSITIONS) + ")"
     "FROM (SELECT lag(status) OVER (PARTITION BY job_id ORDER BY seq) AS from_status, status AS to_status "
     "FROM job_events) t WHERE from_status IS NOT NULL GROUP BY from_status, to_status", "job_events"))
 def q_status_transitions(spark, d):
-    return J.status_transitions(FX.job_events(spark, d)).select("from_status", "to_status", "allowed", "count")
+    events = FX.job_events(spark, d, numbered=False)
+    return J.status_transitions(events, seq=["ts", "event_id"]).select("from_status", "to_status", "allowed", "count")
 
 
 @query("interrupted_jobs", _state_sql(

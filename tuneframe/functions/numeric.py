@@ -23,8 +23,8 @@ def int_div(a, b) -> Column:
 
 def progress_pct(step, max_steps, status=None, done_status: str = "completed") -> Column:
     """``min(99, step*100 // max(max_steps, 1))``; 100 once completed."""
-    pct = F.least(F.lit(99).cast("bigint"),
-                  int_div(col_of(step).cast("bigint") * 100, F.greatest(col_of(max_steps).cast("bigint"), F.lit(1).cast("bigint"))))
+    steps = F.greatest(col_of(max_steps).cast("bigint"), F.lit(1).cast("bigint"))
+    pct = F.least(F.lit(99).cast("bigint"), int_div(col_of(step).cast("bigint") * 100, steps))
     if status is not None:
         pct = F.when(col_of(status) == done_status, F.lit(100).cast("bigint")).otherwise(pct)
     return pct

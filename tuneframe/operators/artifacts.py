@@ -98,7 +98,8 @@ def pair_files(files: DataFrame, paths: DataFrame, upload: str = "upload_id", or
     nf = files.groupBy(upload).agg(F.count(F.lit(1)).alias("_nf"))
     np_ = paths.groupBy(F.col(upload).alias("_np_u")).agg(F.count(F.lit(1)).alias("_np"))
     sizes = nf.join(np_, F.col(upload) == F.col("_np_u"), "left") \
-        .select(F.col(upload).alias("_s_u"), F.coalesce(F.col("_nf") == F.col("_np"), F.lit(False)).alias("lengths_match"),
+        .select(F.col(upload).alias("_s_u"),
+                F.coalesce(F.col("_nf") == F.col("_np"), F.lit(False)).alias("lengths_match"),
                 F.col("_nf").between(1, max_files).alias("_in_bounds"))
     out = zipped.join(sizes, F.col(upload) == F.col("_s_u"), "inner")
     return out.withColumn("ok", F.col("lengths_match") & F.col("_in_bounds")).drop("_s_u", "_in_bounds")

@@ -110,9 +110,10 @@ def run_labels(state: DataFrame, models: DataFrame, key: str = "job_id") -> Data
     """``<name> · run <first 8 chars of id> · <UTC date and time>``."""
     m = models.select(F.col("model_id").alias("_m_id"), "repo_id", "model_type")
     j = state.where(F.col("status") == "completed").join(m, F.col("model_id") == F.col("_m_id"), "left")
-    label = F.concat(display_name("repo_id", "model_type"), F.lit(" · run "), F.substring(F.col(key).cast("string"), 1, 8),
-                     F.when(F.col("created_at").isNotNull(),
-                            F.concat(F.lit(" · "), F.date_format("created_at", "yyyy-MM-dd HH:mm"))).otherwise(F.lit("")))
+    when = F.when(F.col("created_at").isNotNull(),
+                  F.concat(F.lit(" · "), F.date_format("created_at", "yyyy-MM-dd HH:mm"))).otherwise(F.lit(""))
+    label = F.concat(display_name("repo_id", "model_type"), F.lit(" · run "),
+                     F.substring(F.col(key).cast("string"), 1, 8), when)
     return j.select(key, label.alias("label"))
 
 

@@ -134,7 +134,8 @@ def check_architecture(df: DataFrame, config: str = "config", out: str = "proble
     elems = F.try_variant_get(arch, "$", "array<variant>")
     as_one = F.try_variant_get(arch, "$", "string")
     # "architectures or []": every falsy JSON value counts as an empty list.
-    falsy = ((arch_kind == "VOID") | ((arch_kind == "BOOLEAN") & ~F.coalesce(F.try_variant_get(arch, "$", "boolean"), F.lit(True)))
+    false_bool = (arch_kind == "BOOLEAN") & ~F.coalesce(F.try_variant_get(arch, "$", "boolean"), F.lit(True))
+    falsy = ((arch_kind == "VOID") | false_bool
              | (arch_kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)") &
                 (F.try_variant_get(arch, "$", "double") == 0))
              | ((arch_kind == "STRING") & (as_one == "")) | (arch_kind.startswith("ARRAY") & (F.size(elems) == 0))

@@ -86,3 +86,18 @@ def test_manifests_roundtrip_and_assets(spark, tmp_path):
     assert ("u1", "tokenizer", False) in kinds and ("u2", "config", False) in kinds
     listing = {r.rel_path for r in S.list_artifacts(spark, str(models)).collect()}
     assert "u1/deep/config.json" in listing and "u2/config.json" in listing
+
+
+def test_repo_listing_filter_from_files(spark, tmp_path):
+    from tuneframe.operators.validation import filter_listing
+    listings = {
+        "ok.json": [{"type": "file", "path": "config.json"}, {"type": "directory", "path": "sub"},
+                    {"type": "file", "path": ".git/HEAD"}, {"type": "file", "path": 5}, {"type": "file"}],
+        "empty.json": [{"type": "directory", "path": "x"}, {"type": "file", "path": ".git/config"}],
+        "many.json": [{"type": "file", "path": f"w{i}.bin"} for i in range(4001)],
+    }
+    for name, body in listings.items():
+        (tmp_path / name).write_text(json.dumps(body))
+    entries = S.read_repo_listings(spark, str(tmp_path))
+    got = {r.listing.rsplit("/", 1)[1]: (r.files, r.status) for r in filter_listing(entries, "listing").collect()}
+    assert got == {"ok.json": (1, "ok"), "empty.json": (0, "empty"), "many.json": (4001, "too_many")}

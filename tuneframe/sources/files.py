@@ -178,3 +178,19 @@ def model_roots(assets: DataFrame) -> DataFrame:
     cfg = assets.where(F.col("asset") == "config")
     return cfg.groupBy("upload_id").agg(F.min(F.struct("depth", "path", "dir")).alias("_c")) \
         .select("upload_id", F.col("_c.path").alias("config_path"), F.col("_c.dir").alias("model_dir"))
+
+
+def read_repo_listings(spark: SparkSession, root: str, glob: str = "*.json") -> DataFrame:
+    """Repository listings (C29 input): each document is a JSON array of
+    entries such as ``{"type": "file", "path": "a/b.bin"}``. One row per
+    entry: ``listing, type, path``; ``path`` is null unless it is a JSON
+    string (a number or list is not a path)."""
+    docs = read_documents(spark, root, glob).where(F.col("utf8_ok"))
+    entries = docs.select(F.col("path").alias("listing"),
+                          F.explode(F.try_variant_get(F.try_parse_json(F.col("text")), "$", "array<variant>"))
+                          .alias("e"))
+
+    def str_at(field):
+        v = F.try_variant_get(F.col("e"), f"$.{field}", "variant")
+        return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    return entries.select("listing", str_at("type").alias("type"), str_at("path").alias("path"))

@@ -101,3 +101,12 @@ def test_repo_listing_filter_from_files(spark, tmp_path):
     entries = S.read_repo_listings(spark, str(tmp_path))
     got = {r.listing.rsplit("/", 1)[1]: (r.files, r.status) for r in filter_listing(entries, "listing").collect()}
     assert got == {"ok.json": (1, "ok"), "empty.json": (0, "empty"), "many.json": (4001, "too_many")}
+
+
+def test_pair_request_lists(spark):
+    from tuneframe.operators.artifacts import pair_request_lists
+    df = spark.createDataFrame([(1, ["a", "b"], ["x/a", "x/b"]), (2, ["a"], ["x", "y"]), (3, [], [])],
+                               "req int, files array<string>, paths array<string>")
+    got = sorted((r.req, r.ordinal, r.file, r.path, r.problem) for r in pair_request_lists(df).collect())
+    assert got == [(1, 1, "a", "x/a", None), (1, 2, "b", "x/b", None), (2, None, None, None, "length_mismatch"),
+                   (3, None, None, None, "count_out_of_range")]

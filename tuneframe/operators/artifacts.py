@@ -105,6 +105,29 @@ def pair_files(files: DataFrame, paths: DataFrame, upload: str = "upload_id", or
     return out.withColumn("ok", F.col("lengths_match") & F.col("_in_bounds")).drop("_s_u", "_in_bounds")
 
 
+def pair_request_lists(requests: DataFrame, files: str = "files", paths: str = "paths",
+                       max_files: int = K.MAX_MODEL_FILES) -> DataFrame:
+    """D7 for request rows holding both lists: ``problem`` is
+    ``length_mismatch`` or ``count_out_of_range`` (checked first, per row),
+    else the pairs are exploded with their ordinal (1-based). The cap keeps
+    each row's explosion bounded."""
+    n_f, n_p = F.size(F.col(files)), F.size(F.col(paths))
+    problem = (F.when(F.col(files).isNull() | F.col(paths).isNull() | (n_f != n_p), "length_mismatch")
+               .when(~n_f.between(1, max_files), "count_out_of_range"))
+    checked = requests.withColumn("problem", problem)
+    ok = checked.where(F.col("problem").isNull()).select(
+        *[c for c in requests.columns if c not in (files, paths)],
+        F.posexplode(F.arrays_zip(F.col(files).alias("file"), F.col(paths).alias("path"))).alias("_pos", "_pair"))
+    pairs = ok.select(*[c for c in requests.columns if c not in (files, paths)],
+                      (F.col("_pos") + 1).cast("bigint").alias("ordinal"),
+                      F.col("_pair.file").alias("file"), F.col("_pair.path").alias("path"), F.lit(None).cast("string")
+                      .alias("problem"))
+    bad = checked.where(F.col("problem").isNotNull()).select(
+        *[c for c in requests.columns if c not in (files, paths)], F.lit(None).cast("bigint").alias("ordinal"),
+        F.lit(None).cast("string").alias("file"), F.lit(None).cast("string").alias("path"), "problem")
+    return pairs.unionByName(bad)
+
+
 def archive_members(files: DataFrame, upload: str = "upload_id", path: str = "path",
                     prefix: str = K.ADAPTER_ARCHIVE_PREFIX) -> DataFrame:
     """Archive member names relative to the adapter folder's parent, with

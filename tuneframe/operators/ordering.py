@@ -136,7 +136,9 @@ def _with_ranges(df: DataFrame, order_cols: list[str], n_ranges: int | None) ->
         width = len(splits[1]) + 1
         sub = F.when(F.coalesce(tied, F.lit(False)), parts[1]).otherwise(F.lit(width - 1))
         rid = parts[0] * width + sub
-    return bucketed.withColumn(_BKT, rid).drop(*keys, *outs)
+    # never null; saying so keeps the planner from adding an inferred
+    # ``isnotnull`` filter that would compute the range id a second time
+    return bucketed.withColumn(_BKT, F.coalesce(rid, F.lit(0).cast("bigint"))).drop(*keys, *outs)
 
 
 def _ordered(df: DataFrame, group_cols: list[str], order_cols: list[str], out_col: str,

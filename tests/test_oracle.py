@@ -24,6 +24,10 @@ def duck():
     return con
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
+                 "boolean": "BOOLEAN", "float": "FLOAT"}
+
+
 def _norm(v):
     if isinstance(v, float):
         return "nan" if math.isnan(v) else round(v, 9)
@@ -49,6 +53,9 @@ def test_query_matches_oracle(spark, duck, name):
     rel = duck.sql(ORACLE[name])
     drows = rel.fetchall()
     assert sorted(df.columns) == sorted(rel.columns)
+    duck_types = dict(zip(rel.columns, map(str, rel.types)))
+    for f in df.schema:
+        assert SPARK_TO_DUCK.get(f.dataType.simpleString()) == duck_types[f.name], (name, f.name)
     assert len(srows) == len(drows)
     assert _digest(df.columns, srows) == _digest(rel.columns, drows)
 

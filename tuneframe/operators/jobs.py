@@ -40,6 +40,25 @@ def fold_state(events: DataFrame, key: str = "job_id", seq="seq",
     return events.groupBy(key).agg(*aggs)
 
 
+def fold_json_updates(updates: DataFrame, fields: dict[str, str], key: str = "job_id", seq="seq",
+                      doc: str = "doc") -> DataFrame:
+    """Fold update documents like ``dict.update``: each JSON object in
+    ``doc`` overwrites exactly the keys it contains, a key given as JSON null
+    included. ``fields`` maps field name to its Spark type; values are
+    cast from their JSON text. One grouped ``max_by`` per field."""
+    from tuneframe.functions.jsonl import JSON_OPTS
+    rank = F.col(seq) if isinstance(seq, str) else F.struct(*seq)
+    m = F.from_json(F.col(doc), "map<string,string>", JSON_OPTS)
+    parsed = updates.select(key, rank.alias("_tf_rank"), m.alias("_tf_m"))
+    aggs = []
+    for name, dtype in fields.items():
+        named = F.array_contains(F.map_keys(F.col("_tf_m")), F.lit(name))
+        value = F.element_at(F.col("_tf_m"), F.lit(name))
+        aggs.append(F.max_by(value, F.when(named, F.col("_tf_rank"))).alias(f"_tf_{name}"))
+    folded = parsed.groupBy(key).agg(*aggs)
+    return folded.select(key, *[F.col(f"_tf_{n}").cast(t).alias(n) for n, t in fields.items()])
+
+
 def job_progress(events: DataFrame) -> DataFrame:
     return events.withColumn("progress", progress_pct("step", "total_steps", "status"))
 

@@ -147,14 +147,17 @@ JOB_SCHEMA = ("struct<job_id:string,status:string,progress:bigint,step:bigint,to
 
 
 def read_job_states(spark: SparkSession, runs_dir: str, doc_name: str = "job.json") -> DataFrame:
-    """Persisted job states (A5): one document per run folder. Dropped: folders
+    """Persisted job states (A5): one document per run folder, epoch seconds
+    also given as timestamps (``created_ts``, ``updated_ts``). Dropped: folders
     not named by a 32-hex id, unreadable or non-object documents, and
     documents whose ``job_id`` differs from the folder name."""
     docs = read_documents(spark, runs_dir, doc_name)
     folder = F.element_at(F.split(F.col("path"), "/"), -2)
     parsed = docs.where(F.col("is_object")).select(
         folder.alias("folder"), F.from_json(F.col("text"), JOB_SCHEMA, JSON_OPTS).alias("j"))
-    return parsed.where(is_upload_id("folder") & (F.col("j.job_id") == F.col("folder"))).select("j.*")
+    return parsed.where(is_upload_id("folder") & (F.col("j.job_id") == F.col("folder"))).select(
+        "j.*", F.timestamp_seconds("j.created_at").alias("created_ts"),
+        F.timestamp_seconds("j.updated_at").alias("updated_ts"))
 
 
 def read_json_assets(spark: SparkSession, models_dir: str, upload_of=None) -> DataFrame:

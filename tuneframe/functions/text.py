@@ -85,4 +85,4 @@ def non_space_tokens(c) -> Column:
     needs no regular-expression engine: same tokens as matching
     ``TOKEN_PATTERN``, about 3.5x faster on long documents."""
     spaced = F.translate(col_of(c), K.PY_WHITESPACE, " " * len(K.PY_WHITESPACE))
-    return F.filter(F.split(spaced, " "), lambda t: t != "")
+    return F.array_remove(F.split(spaced, " "), "")

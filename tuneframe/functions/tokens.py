@@ -29,4 +29,4 @@ def pad_tokens(ids, width: int, pad_id, left) -> Column:
 
 
 def join_ints(c, sep: str = ",") -> Column:
-    return F.array_join(F.transform(col_of(c), lambda x: x.cast("string")), sep)
+    return F.array_join(col_of(c).cast("array<string>"), sep)

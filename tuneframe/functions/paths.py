@@ -15,7 +15,7 @@ def path_parts(c, backslash_is_separator: bool = True) -> Column:
     s = col_of(c)
     if backslash_is_separator:
         s = F.regexp_replace(s, r"\\", "/")
-    return F.filter(F.split(s, "/"), lambda p: (p != "") & (p != "."))
+    return F.array_remove(F.array_remove(F.split(s, "/"), ""), ".")
 
 
 def is_absolute_path(c, backslash_is_separator: bool = True) -> Column:
@@ -35,4 +35,4 @@ def is_safe_path(c, backslash_is_separator: bool = True) -> Column:
     """Not blank, not absolute, at least one part and no ``..`` part."""
     parts = path_parts(c, backslash_is_separator)
     return (~is_blank(c)) & (~is_absolute_path(c, backslash_is_separator)) \
-        & (F.size(parts) > 0) & (~F.exists(parts, lambda p: p == ".."))
+        & (F.size(parts) > 0) & ~F.array_contains(parts, "..")

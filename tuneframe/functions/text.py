@@ -48,7 +48,7 @@ def split_stored_name(c) -> tuple[Column, Column]:
 def safe_name(c) -> Column:
     """Last path part, unsafe runs to ``_``, ``._`` trimmed, 160 chars, default name."""
     s = F.regexp_replace(col_of(c), r"\\", "/")
-    parts = F.filter(F.split(s, "/"), lambda p: (p != "") & (p != "."))
+    parts = F.array_remove(F.array_remove(F.split(s, "/"), ""), ".")
     last = F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
     cleaned = F.trim(F.regexp_replace(last, K.SAFE_NAME_BAD_RUN, "_"), F.lit(K.SAFE_NAME_STRIP))
     cut = F.substring(cleaned, 1, K.SAFE_NAME_MAX)

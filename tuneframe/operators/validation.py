@@ -38,8 +38,8 @@ def classify_lines(lines: DataFrame, line: str = "line", required=K.REQUIRED_FIE
         F.coalesce((F.col("kind") == KIND_OK) & ~F.coalesce(F.array_contains(keys, F.lit(r)), F.lit(False)),
                    F.lit(False)).alias(_field_flag(r))
         for r in required])
-    missing = F.filter(F.array(*[F.when(F.col(_field_flag(r)), F.lit(r)) for r in required]),
-                       lambda x: x.isNotNull()) if required else F.array().cast("array<string>")
+    missing = F.array_compact(F.array(*[F.when(F.col(_field_flag(r)), F.lit(r)) for r in required])) \
+        if required else F.array().cast("array<string>")
     return kinded.withColumn("missing", missing)
 
 

@@ -21,8 +21,9 @@ def stream_validate(spark: SparkSession, in_dir: str, out_dir: str, checkpoint:
                     required=K.REQUIRED_FIELDS, expected: int = K.EXPECTED_RECORDS,
                     max_files_per_trigger: int = 1000, available_now: bool = True):
     """Start the validating stream; returns the ``StreamingQuery``.
-    Verdicts go to ``out_dir/verdicts`` (append), lines to
-    ``out_dir/lines/batch=<id>/state=...``."""
+    Verdicts go to ``out_dir/verdicts/batch_id=<id>``, lines to
+    ``out_dir/lines/batch=<id>/state=...``; both are overwritten when a batch
+    is replayed, so the output is exactly-once per batch."""
     raw = (spark.readStream.format("text").option("maxFilesPerTrigger", max_files_per_trigger).load(in_dir)
            .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
                    F.col("value").alias("line")))
@@ -33,9 +34,10 @@ def stream_validate(spark: SparkSession, in_dir: str, out_dir: str, checkpoint:
         verdicts = V.file_verdicts(V.classify_lines(lines, "line", required, keep_blank=True), "file_id", "line_no",
                                    required, expected, extra_aggs=[F.bool_and("utf8_ok").alias("utf8_ok")])
         verdicts = verdicts \
-            .withColumn("error", F.when(~F.col("utf8_ok"), "utf8").when(F.col("n_bad") > 0, F.col("first_bad_kind"))) \
-            .withColumn("batch_id", F.lit(batch_id))
-        verdicts.write.mode("append").parquet(f"{out_dir}/verdicts")
+            .withColumn("error", F.when(~F.col("utf8_ok"), "utf8").when(F.col("n_bad") > 0, F.col("first_bad_kind")))
+        # One folder per batch, overwritten: a batch replayed after a failure
+        # (foreachBatch is at-least-once) replaces its own output.
+        verdicts.write.mode("overwrite").parquet(f"{out_dir}/verdicts/batch_id={batch_id}")
         states = verdicts.select("file_id", F.when(F.col("error").isNull(), "published").otherwise("quarantined")
                                  .alias("state"))
         publish_if_wellformed(lines.select("file_id", "line_no", "line"), states,

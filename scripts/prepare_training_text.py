@@ -24,12 +24,17 @@ from tuneframe import sinks  # noqa: E402
 from tuneframe.operators import batches as B  # noqa: E402
 from tuneframe.operators import render as RO  # noqa: E402
 from tuneframe.operators import validation as V  # noqa: E402
+from tuneframe.session import ensure_checkpoint_dir  # noqa: E402
 from tuneframe.sources.files import read_lines  # noqa: E402
 
 
 def prepare(spark: SparkSession, datasets_dir: str, out_dir: str, expected: int = K.EXPECTED_RECORDS,
             token_limit: int = K.TRAIN_MAX_TOKENS, epochs: int = 3, batch_size: int = 1, shards: int = 8) -> dict:
-    verdicts = V.validate_files(spark, datasets_dir, K.REQUIRED_FIELDS, expected).persist()
+    # Used three times below: cut the lineage with a reliable checkpoint in the
+    # shared folder the session names (spark.checkpoint.dir), so a lost
+    # executor does not mean re-reading every dataset.
+    ensure_checkpoint_dir(spark)
+    verdicts = V.validate_files(spark, datasets_dir, K.REQUIRED_FIELDS, expected).checkpoint()
     verdicts.write.mode("overwrite").parquet(f"{out_dir}/verdicts")
     valid = verdicts.where(F.col("valid")).select(F.col("file").alias("file_id"))
     lines = read_lines(spark, datasets_dir).withColumnRenamed("file", "file_id").join(valid, "file_id", "left_semi")
@@ -40,7 +45,6 @@ def prepare(spark: SparkSession, datasets_dir: str, out_dir: str, expected: int
     sinks.write_training_text(text.select("record_id", F.col("kept_text").alias("text")), f"{out_dir}/text", shards)
     B.batch_plan(records, "record_id", epochs, batch_size).write.mode("overwrite").parquet(f"{out_dir}/batches")
     summary = verdicts.agg(F.count(F.lit(1)).alias("files"), F.count_if("valid").alias("valid_files")).first()
-    verdicts.unpersist()
     return {"files": summary["files"], "valid_files": summary["valid_files"]}
 
 

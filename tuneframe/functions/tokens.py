@@ -18,12 +18,17 @@ def answer_tokens(output_ids, prompt_len) -> Column:
     return F.when(n >= F.size(ids), F.slice(ids, 1, 0)).otherwise(F.slice(ids, n + 1, F.size(ids) - n))
 
 
-def pad_tokens(ids, width: int, pad_id, left) -> Column:
-    """Pad to ``width`` with ``pad_id`` on the left where ``left`` is true,
-    else on the right. Longer sequences are left unchanged."""
+def pad_tokens(ids, width: int, pad_id, left, eos_id=None) -> Column:
+    """Pad to ``width`` with ``pad_id`` on the left where ``left`` is true
+    (inference), else on the right (training). Longer sequences are left
+    unchanged. A tokenizer without a pad id pads with its end id: give
+    ``pad_id=None`` (or a null column) and ``eos_id``."""
     a = col_of(ids)
-    pad = F.array_repeat(col_of(pad_id) if not isinstance(pad_id, int) else F.lit(pad_id),
-                         F.greatest(F.lit(width) - F.size(a), F.lit(0)))
+
+    def as_col(v):
+        return F.lit(v) if v is None or isinstance(v, int) else col_of(v)
+    pad_value = F.coalesce(as_col(pad_id), as_col(eos_id)) if eos_id is not None else as_col(pad_id)
+    pad = F.array_repeat(pad_value, F.greatest(F.lit(width) - F.size(a), F.lit(0)))
     left_c = col_of(left) if not isinstance(left, bool) else F.lit(left)
     return F.when(left_c, F.concat(pad, a)).otherwise(F.concat(a, pad))
 

@@ -8,8 +8,11 @@ are never walked file by file on the driver.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tuneframe import constants as K
 from tuneframe.functions.paths import is_safe_path, normalise_path
@@ -24,7 +27,6 @@ ERRORS = ("no_config", "config_invalid", "no_model_type", "bad_architectures", "
 
 def _upload_of(path_col, models_dir: str):
     base = models_dir.rstrip("/").split(":", 1)[-1].lstrip("/")
-    import re
     rel = F.regexp_replace(path_col, r"^.*?" + re.escape(base) + "/", "")
     return F.substring_index(rel, "/", 1)
 
@@ -80,7 +82,6 @@ def validate_model_dirs(spark: SparkSession, models_dir: str) -> DataFrame:
         F.col("shard")).distinct()
     have = files.select(F.col("path").alias("want"))
     missing = wanted.join(have, "want", "left_anti")
-    from pyspark.sql.window import Window
     first = missing.withColumn("_r", F.row_number().over(Window.partitionBy("upload_id").orderBy("shard"))) \
         .where(F.col("_r") <= K.MISSING_SHARDS_SHOWN).groupBy("upload_id") \
         .agg(F.array_join(F.array_sort(F.collect_list("shard")), ", ").alias("missing_first"))

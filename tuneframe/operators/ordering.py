@@ -173,7 +173,10 @@ def number_rows(df: DataFrame, group_cols, order_cols, out_col: str = "rn",
 def running_sum(df: DataFrame, group_cols, order_cols, value_col: str, out_col: str = "running",
                 n_ranges: int | None = None) -> DataFrame:
     """``sum(value) over (partition by group order by order rows between
-    unbounded preceding and current row)`` without a per-group task."""
+    unbounded preceding and current row)`` without a per-group task. Null
+    values count as 0 (SQL would give null while every value so far is null).
+    If the first order column cannot be bucketed (a struct, say), each group
+    is one range: still correct, not split."""
     group_cols, order_cols = list(group_cols), list(order_cols)
     v = F.coalesce(F.col(value_col), F.lit(0)).cast("bigint")
     return _ordered(df, group_cols, order_cols, out_col, F.sum(v), F.sum(v), n_ranges)

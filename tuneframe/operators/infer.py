@@ -21,9 +21,16 @@ Generator = Callable[[list[str], int], list[str]]
 
 def batch_infer(df: DataFrame, make_model: Callable[[], Generator], prompt: str = "prompt",
                 keep: tuple[str, ...] = (), max_new_tokens: int = K.MAX_NEW_TOKENS,
-                out: str = "response") -> DataFrame:
+                out: str = "response", mode: str = "map", batch_size: int = 64) -> DataFrame:
     """``make_model()`` returns ``generate(prompts, max_new_tokens) -> answers``
-    (new text only, prompt tokens already dropped)."""
+    (new text only, prompt tokens already dropped).
+
+    ``mode="map"``: ``mapInPandas``, the model is built once per task.
+    ``mode="predict"``: ``pyspark.ml.functions.predict_batch_udf``, the model
+    is cached per Python worker and fed ``batch_size`` prompts at a time (the
+    usual choice for GPU executors)."""
+    if mode == "predict":
+        return _predict_udf(df, make_model, prompt, keep, max_new_tokens, out, batch_size)
     cols = list(keep) + [prompt]
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("_raw", T.StringType())])
 
@@ -38,6 +45,22 @@ def batch_infer(df: DataFrame, make_model: Callable[[], Generator], prompt: str
     return df.select(*cols).mapInPandas(run, schema).withColumn(out, clean_response(F.col("_raw"))).drop("_raw")
 
 
+def _predict_udf(df, make_model, prompt, keep, max_new_tokens, out, batch_size) -> DataFrame:
+    import numpy as np
+    from pyspark.ml.functions import predict_batch_udf
+
+    def make_predict():
+        generate = make_model()
+
+        def predict(prompts: np.ndarray) -> np.ndarray:
+            return np.array(generate([p if p is not None else "" for p in prompts.tolist()], max_new_tokens),
+                            dtype=object)
+        return predict
+
+    infer = predict_batch_udf(make_predict, return_type=T.StringType(), batch_size=batch_size)
+    return df.select(*keep, clean_response(infer(F.col(prompt))).alias(out))
+
+
 def echo_model() -> Generator:
     """Deterministic stand-in used by tests: answers with the words of the
     prompt's input section, last first, up to the token budget."""

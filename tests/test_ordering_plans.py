@@ -151,3 +151,19 @@ def test_neighbor_values_equal_lag_and_lead(spark):
         exists = {(r.id, r[f"{p}exists"]) for r in got_df.collect()}
         want_exists = {(r.id, r.e) for r in df.select("id", fn(F.lit(1)).over(w).isNotNull().alias("e")).collect()}
         assert exists == want_exists
+
+
+def test_results_do_not_depend_on_partitioning_or_aqe(spark):
+    from tuneframe.operators.ordering import neighbor_values
+    df = _skewed(spark)
+    base_n = {(r.id, r.rn) for r in number_rows(df, ["g"], ["o", "id"], "rn").collect()}
+    base_l = {(r.id, r.prev_v) for r in neighbor_values(df, ["g"], ["o", "id"], ["v"]).collect()}
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "37")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        assert {(r.id, r.rn) for r in number_rows(df, ["g"], ["o", "id"], "rn").collect()} == base_n
+        assert {(r.id, r.prev_v) for r in neighbor_values(df, ["g"], ["o", "id"], ["v"]).collect()} == base_l
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)

@@ -92,8 +92,8 @@ def test_hot_group_with_tied_first_key_is_split_by_second(spark):
     numbered = number_rows(df, ["g"], ["t", "id"], "rn", n_ranges=16)
     assert {(r.id, r.rn) for r in numbered.collect()} == {(i, i + 1) for i in range(4000)}
     from tuneframe.operators import ordering as O
-    ranged = O._with_ranges(df, ["t", "id"], 16)
-    assert ranged.select("_tf_obkt").distinct().count() >= 8
+    ranged, split = O._with_ranges(df, ["g"], ["t", "id"], 16)
+    assert split and ranged.select("_tf_obkt").distinct().count() >= 8
 
 
 def test_line_offsets_are_broadcast_not_shuffled(spark, tmp_path):
@@ -123,7 +123,8 @@ def test_hot_group_of_strings_with_a_shared_prefix_is_split(spark):
     got = {(r.id, r.rn) for r in number_rows(df, ["g"], ["p", "id"], "rn", n_ranges=16).collect()}
     assert got == want
     from tuneframe.operators import ordering as O
-    assert O._with_ranges(df, ["p", "id"], 16).select("_tf_obkt").distinct().count() >= 8
+    ranged, split = O._with_ranges(df, ["g"], ["p", "id"], 16)
+    assert split and ranged.select("_tf_obkt").distinct().count() >= 8
 
 
 def test_hot_group_work_is_spread(spark):
@@ -132,8 +133,9 @@ def test_hot_group_work_is_spread(spark):
     df = spark.range(0, n).select(
         F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 1000).alias("g"),
         ((F.col("id") * 2654435761) % 1000003).alias("o"), F.col("id"))
-    ranged = O._with_ranges(df, ["o", "id"], 64).withColumn("_gk", F.struct("g"))
-    biggest = ranged.groupBy("_gk", "_tf_obkt").count().agg(F.max("count")).first()[0]
+    ranged, split = O._with_ranges(df, ["g"], ["o", "id"], 64)
+    assert split
+    biggest = ranged.groupBy("_tf_gkey", "_tf_obkt").count().agg(F.max("count")).first()[0]
     # a plain per-group window would give one task n/3 rows; here the largest
     # unit of work is about (n/3)/64
     assert biggest < n / 3 / 16
@@ -167,3 +169,16 @@ def test_results_do_not_depend_on_partitioning_or_aqe(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_without_hot_groups_the_plain_window_is_used(spark):
+    from tuneframe.operators.ordering import neighbor_values
+    df = spark.range(0, 5000).select((F.col("id") % 500).alias("g"), ((F.col("id") * 31) % 977).alias("o"), "id")
+    w = Window.partitionBy("g").orderBy("o", "id")
+    got = number_rows(df, ["g"], ["o", "id"], "rn", n_ranges=16)
+    assert {(r.id, r.rn) for r in got.collect()} == \
+        {(r.id, r.rn) for r in df.select("id", F.row_number().over(w).alias("rn")).collect()}
+    assert "_tf_obkt" not in _plan(got)
+    lagged = neighbor_values(df, ["g"], ["o", "id"], ["id"], -1, n_ranges=16)
+    assert {(r.id, r.prev_id) for r in lagged.collect()} == \
+        {(r.id, r.p) for r in df.select("id", F.lag("id").over(w).alias("p")).collect()}

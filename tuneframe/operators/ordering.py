@@ -75,43 +75,18 @@ _EXACT = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.Dou
           T.TimestampType, T.TimestampNTZType)
 
 
-SAMPLE_FRACTION = 0.01
+SAMPLE_ROWS_PER_RANGE = 1000
+PROBE_FRACTION = 1e-4
 SAMPLE_SEED = 20241202
+_HEAVY = "_tf_heavy"
 
 
-def _cut_points(keyed: DataFrame, keys: list[str], n_ranges: int) -> list[list[float]]:
-    """Quantile cut points of each key. They only balance the work (any cut
-    points give the same numbers), so a seeded 1% sample is enough; tiny
-    inputs whose sample is empty use all rows."""
-    probs = [i / n_ranges for i in range(1, n_ranges)]
-    if not probs:
-        return [[] for _ in keys]
-    err = 1.0 / (4 * n_ranges)
-    cuts = keyed.sample(False, SAMPLE_FRACTION, SAMPLE_SEED).approxQuantile(keys, probs, err)
-    if not any(cuts):
-        cuts = keyed.approxQuantile(keys, probs, err)
-    return cuts
-
-
-def _with_ranges(df: DataFrame, order_cols: list[str], n_ranges: int | None) -> DataFrame:
-    """Add a range id that never decreases along ``order_cols``.
-
-    Ranges come from quantiles of the first order column. A value of that
-    column can be so frequent that it fills whole ranges (say one timestamp
-    for a bulk import); rows holding exactly the lower cut point of their range
-    are then split further by quantile ranges of the second order column, and
-    the other rows of that range are placed after them. The split is used only
-    where the first column's surrogate is exact (integers and times below
-    2**53, floats), so equal surrogates mean equal values. String and binary
-    keys are cut on their first 6 bytes and, for ties, on the next 6."""
-    spark = df.sparkSession
-    if n_ranges is None:
-        n_ranges = max(8, min(4096, 4 * shuffle_partitions(spark)))
+def _levels(df: DataFrame, order_cols: list[str]) -> list[Column] | None:
+    """Surrogates to cut on: the first order column and, for rows tied on it,
+    the next 6 bytes of a string key or else the second order column."""
     first_type = df.schema[order_cols[0]].dataType
     if not _bucketable(df, order_cols[0]):
-        return df.withColumn(_BKT, F.lit(0).cast("bigint"))
-    # Level 1: the first order column. Level 2 (used only for rows tied on
-    # level 1): the next 6 bytes of a string key, else the second column.
+        return None
     levels = [order_surrogate(df, order_cols[0])]
     if isinstance(first_type, T.StringType):
         levels.append(_string_surrogate(F.col(order_cols[0]), 7))
@@ -119,14 +94,77 @@ def _with_ranges(df: DataFrame, order_cols: list[str], n_ranges: int | None) ->
         levels.append(_bytes_surrogate(F.col(order_cols[0]), 7))
     elif len(order_cols) > 1 and isinstance(first_type, _EXACT) and _bucketable(df, order_cols[1]):
         levels.append(order_surrogate(df, order_cols[1]))
+    return levels
+
+
+def _plan_split(keyed: DataFrame, keys: list[str], n_ranges: int):
+    """Hot groups and their cut points, from one persisted sample of about
+    ``SAMPLE_ROWS_PER_RANGE * n_ranges`` rows, whatever the input size: a
+    0.01% probe estimates the row count, then the sampling fraction is set
+    to reach that size (small inputs are read whole).
+
+    A group is hot when it holds at least 1/n_ranges of the sampled rows, so
+    there are at most n_ranges of them: the list brought to the driver is
+    bounded by construction. Cut points come from the hot groups' sampled rows
+    only. Both only steer the balance of work; any answer gives the same
+    numbers."""
+    from pyspark import StorageLevel
+
+    spark = keyed.sparkSession
+    target = SAMPLE_ROWS_PER_RANGE * n_ranges
+    probe = keyed.select(_GK).sample(False, PROBE_FRACTION, SAMPLE_SEED).count()
+    estimate = probe / PROBE_FRACTION if probe else 0
+    fraction = target / estimate if estimate > target else 1.0
+    source = keyed if fraction >= 1.0 else keyed.sample(False, fraction, SAMPLE_SEED + 1)
+    sample = source.select(_GK, *keys).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n = sample.count()
+        if n == 0:
+            return [], []
+        threshold = max(2, -(-n // n_ranges))
+        hot = [r[_GK] for r in sample.groupBy(_GK).count().where(F.col("count") >= threshold).select(_GK).collect()]
+        if not hot:
+            return [], []
+        hot_df = spark.createDataFrame([(k,) for k in hot], T.StructType([
+            T.StructField(_GK, keyed.schema[_GK].dataType, False)]))
+        probs = [i / n_ranges for i in range(1, n_ranges)]
+        hot_sample = sample.join(F.broadcast(hot_df), _GK, "left_semi")
+        cuts = hot_sample.approxQuantile(keys, probs, 1.0 / (4 * n_ranges)) if probs else [[] for _ in keys]
+        return hot, cuts
+    finally:
+        sample.unpersist()
+
+
+def _with_ranges(df: DataFrame, group_cols: list[str], order_cols: list[str], n_ranges: int | None):
+    """Add the group struct ``_tf_gkey``, a hot-group flag and a range id that
+    never decreases along ``order_cols``; returns ``(frame, any_hot)``.
+
+    Only hot groups are cut into ranges: quantile ranges of the first order
+    column and, for rows holding exactly the lower cut point of their range
+    (a value so frequent it fills whole ranges, say one timestamp for a bulk
+    import), quantile ranges of the second level, with the other rows of
+    that range placed after them. The tie split is used only where the first
+    surrogate is exact (integers and times below 2**53, floats; 6 bytes of a
+    string), so equal surrogates mean equal values. Light groups keep range 0:
+    each is at most about 1/n_ranges of the rows, the size of one range."""
+    spark = df.sparkSession
+    if n_ranges is None:
+        n_ranges = max(8, min(4096, 4 * shuffle_partitions(spark)))
+    keyed = df.withColumn(_GK, F.struct(*group_cols))
+    light = keyed.withColumn(_BKT, F.lit(0).cast("bigint")).withColumn(_HEAVY, F.lit(False))
+    levels = _levels(df, order_cols)
+    if levels is None:
+        return light, False
     keys = [f"{_KEY}{i}" for i in range(len(levels))]
-    keyed = df
     for k, lv in zip(keys, levels):
         keyed = keyed.withColumn(k, lv)
-    cuts = _cut_points(keyed, keys, n_ranges)
+    hot, cuts = _plan_split(keyed, keys, n_ranges)
+    if not hot:
+        return light, False
+    marked = keyed.withColumn(_HEAVY, _is_hot(group_cols, hot))
     splits = [[float("-inf")] + sorted({c for c in cs if c == c}) + [float("inf")] for cs in cuts]
     outs = [f"{_BKT}{i}" for i in range(len(keys))]
-    bucketed = Bucketizer(splitsArray=splits, inputCols=keys, outputCols=outs, handleInvalid="keep").transform(keyed)
+    bucketed = Bucketizer(splitsArray=splits, inputCols=keys, outputCols=outs, handleInvalid="keep").transform(marked)
     # Spark sorts nulls first: a null key gets range 0, values 1..n.
     parts = [F.when(F.col(k).isNull(), F.lit(0)).otherwise(F.col(o).cast("bigint") + 1) for k, o in zip(keys, outs)]
     rid = parts[0]
@@ -136,29 +174,62 @@ def _with_ranges(df: DataFrame, order_cols: list[str], n_ranges: int | None) ->
         width = len(splits[1]) + 1
         sub = F.when(F.coalesce(tied, F.lit(False)), parts[1]).otherwise(F.lit(width - 1))
         rid = parts[0] * width + sub
-    # never null; saying so keeps the planner from adding an inferred
-    # ``isnotnull`` filter that would compute the range id a second time
-    return bucketed.withColumn(_BKT, F.coalesce(rid, F.lit(0).cast("bigint"))).drop(*keys, *outs)
+    # Never null; saying so keeps the planner from adding an inferred
+    # ``isnotnull`` filter that would compute the range id a second time.
+    rid = F.coalesce(F.when(F.col(_HEAVY), rid).otherwise(F.lit(0)), F.lit(0)).cast("bigint")
+    return bucketed.withColumn(_BKT, rid).drop(*keys, *outs), True
+
+
+def _is_hot(group_cols: list[str], hot: list) -> Column:
+    """Membership in the (at most n_ranges) hot groups as a literal set test:
+    no join, evaluated in generated code."""
+    def one(col: Column, values: list) -> Column:
+        present = [v for v in values if v is not None]
+        test = col.isin(*present) if present else F.lit(False)
+        if len(present) < len(values):
+            test = test | col.isNull()
+        return F.coalesce(test, F.lit(False))
+
+    if len(group_cols) == 1:
+        return one(F.col(group_cols[0]), [k[0] for k in hot])
+    # several group columns: all must match one hot key (null-safe)
+    tests = [F.lit(True)]
+    tests = [_and([F.col(c).eqNullSafe(F.lit(k[i])) for i, c in enumerate(group_cols)]) for k in hot]
+    out = tests[0]
+    for t in tests[1:]:
+        out = out | t
+    return F.coalesce(out, F.lit(False))
+
+
+def _and(cols: list[Column]) -> Column:
+    out = cols[0]
+    for c in cols[1:]:
+        out = out & c
+    return out
 
 
 def _ordered(df: DataFrame, group_cols: list[str], order_cols: list[str], out_col: str,
              local: Column, total: Column, n_ranges: int | None) -> DataFrame:
+    ranged, split = _with_ranges(df, group_cols, order_cols, n_ranges)
+    frame = Window.unboundedPreceding, Window.currentRow
+    if not split:
+        # no hot group: every group is small, the plain window is right
+        w = Window.partitionBy(*group_cols).orderBy(*order_cols).rowsBetween(*frame)
+        return df.withColumn(out_col, local.over(w).cast("bigint"))
     # The group travels as one struct column: struct equality treats null
     # fields as equal (null groups stay groups), and the join below is on the
-    # very columns the window is partitioned by, so the big side is shuffled
+    # very columns the window is partitioned by, so the rows are shuffled
     # once, for the window, and never again for the join.
-    ranged = _with_ranges(df, order_cols, n_ranges).withColumn(_GK, F.struct(*group_cols))
-    w = Window.partitionBy(_GK, _BKT).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy(_GK, _BKT).orderBy(*order_cols).rowsBetween(*frame)
     within = ranged.withColumn("_tf_local", local.over(w))
-
-    totals = ranged.groupBy(_GK, _BKT).agg(total.alias("_tf_n"))
+    # range totals of hot groups only: at most (hot groups) x (ranges) rows
+    totals = ranged.where(F.col(_HEAVY)).groupBy(_GK, _BKT).agg(total.alias("_tf_n"))
     before = Window.partitionBy(_GK).orderBy(_BKT).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(F.col(_GK).alias("_tf_gk2"), F.col(_BKT).alias("_tf_b"),
                             F.coalesce(F.sum("_tf_n").over(before), F.lit(0)).alias("_tf_off"))
-
-    joined = within.join(offsets, (F.col(_GK) == F.col("_tf_gk2")) & (F.col(_BKT) == F.col("_tf_b")), "inner")
-    result = joined.withColumn(out_col, F.col("_tf_off") + F.col("_tf_local"))
-    return result.drop("_tf_local", "_tf_off", "_tf_b", "_tf_gk2", _BKT, _GK)
+    joined = within.join(offsets, (F.col(_GK) == F.col("_tf_gk2")) & (F.col(_BKT) == F.col("_tf_b")), "left")
+    result = joined.withColumn(out_col, (F.coalesce(F.col("_tf_off"), F.lit(0)) + F.col("_tf_local")).cast("bigint"))
+    return result.drop("_tf_local", "_tf_off", "_tf_b", "_tf_gk2", _BKT, _GK, _HEAVY)
 
 
 def number_rows(df: DataFrame, group_cols, order_cols, out_col: str = "rn",
@@ -189,19 +260,26 @@ def neighbor_values(df: DataFrame, group_cols, order_cols, cols, step: int = -1,
     without a per-group task.
 
     Inside each (group, range) window the neighbour comes from ``lag``/``lead``.
-    Only the edge row of a range (its first row for ``lag``, last for
-    ``lead``) needs the neighbouring range: a small table holds each range's
-    last (or first) row, shifted by one range inside the group, and is joined
-    on the window's own keys. ``<prefix>exists`` tells a real neighbour with
-    null values from no neighbour."""
+    Only the edge row of a hot group's range (its first row for ``lag``, last
+    for ``lead``) needs the neighbouring range: a small table holds each such
+    range's last (or first) row, shifted by one range inside the group, and is
+    joined on the window's own keys. ``<prefix>exists`` tells a real
+    neighbour with null values from no neighbour."""
     group_cols, order_cols, cols = list(group_cols), list(order_cols), list(cols)
     if step not in (-1, 1):
         raise ValueError("step must be -1 or 1")
     prefix = prefix or ("prev_" if step < 0 else "next_")
     shift = F.lag if step < 0 else F.lead
-    ranged = _with_ranges(df, order_cols, n_ranges).withColumn(_GK, F.struct(*group_cols)) \
-        .withColumn("_tf_one", F.lit(True))
+    ranged, split = _with_ranges(df, group_cols, order_cols, n_ranges)
     carried = cols + ["_tf_one"]
+    if not split:
+        w = Window.partitionBy(*group_cols).orderBy(*order_cols)
+        out = df.withColumn("_tf_one", F.lit(True))
+        for c in carried:
+            name = f"{prefix}exists" if c == "_tf_one" else f"{prefix}{c}"
+            out = out.withColumn(name, shift(c).over(w))
+        return out.withColumn(f"{prefix}exists", F.coalesce(F.col(f"{prefix}exists"), F.lit(False))).drop("_tf_one")
+    ranged = ranged.withColumn("_tf_one", F.lit(True))
     w = Window.partitionBy(_GK, _BKT).orderBy(*order_cols)
     within = ranged
     for c in carried:
@@ -210,16 +288,18 @@ def neighbor_values(df: DataFrame, group_cols, order_cols, cols, step: int = -1,
     row = F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(carried)])
     key = F.struct(*order_cols)
     edge_row = F.max_by(row, key) if step < 0 else F.min_by(row, key)
-    edges = ranged.groupBy(_GK, _BKT).agg(edge_row.alias("_tf_edge"))
+    # edge rows of hot groups only: at most (hot groups) x (ranges) rows
+    edges = ranged.where(F.col(_HEAVY)).groupBy(_GK, _BKT).agg(edge_row.alias("_tf_edge"))
     across = Window.partitionBy(_GK).orderBy(_BKT)
     bounds = edges.select(F.col(_GK).alias("_tf_gk2"), F.col(_BKT).alias("_tf_b"),
                           shift("_tf_edge").over(across).alias("_tf_other"))
 
-    joined = within.join(bounds, (F.col(_GK) == F.col("_tf_gk2")) & (F.col(_BKT) == F.col("_tf_b")), "inner")
+    joined = within.join(bounds, (F.col(_GK) == F.col("_tf_gk2")) & (F.col(_BKT) == F.col("_tf_b")), "left")
     at_edge = F.col("_tf_nb__tf_one").isNull()
     out = joined
     for i, c in enumerate(carried):
         name = f"{prefix}exists" if c == "_tf_one" else f"{prefix}{c}"
         out = out.withColumn(name, F.when(at_edge, F.col("_tf_other")[f"v{i}"]).otherwise(F.col(f"_tf_nb_{c}")))
     out = out.withColumn(f"{prefix}exists", F.coalesce(F.col(f"{prefix}exists"), F.lit(False)))
-    return out.drop("_tf_gk2", "_tf_b", "_tf_other", "_tf_one", _BKT, _GK, *[f"_tf_nb_{c}" for c in carried])
+    return out.drop("_tf_gk2", "_tf_b", "_tf_other", "_tf_one", _BKT, _GK, _HEAVY,
+                    *[f"_tf_nb_{c}" for c in carried])

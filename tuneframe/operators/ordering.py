@@ -118,11 +118,14 @@ def _plan_split(keyed: DataFrame, keys: list[str], n_ranges: int):
     source = keyed if fraction >= 1.0 else keyed.sample(False, fraction, SAMPLE_SEED + 1)
     sample = source.select(_GK, *keys).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        n = sample.count()
-        if n == 0:
-            return [], []
-        threshold = max(2, -(-n // n_ranges))
-        hot = [r[_GK] for r in sample.groupBy(_GK).count().where(F.col("count") >= threshold).select(_GK).collect()]
+        # One job: per-group counts of the sample and their total (the count
+        # table has at most ``target`` rows, so one partition for the total
+        # is bounded), then the groups holding at least 1/n_ranges of it.
+        counts = sample.groupBy(_GK).count()
+        total = F.sum("count").over(Window.partitionBy(F.lit(0)))
+        hot_rows = counts.withColumn("_tf_total", total) \
+            .where((F.col("count") >= 2) & (F.col("count") * n_ranges >= F.col("_tf_total"))).select(_GK).collect()
+        hot = [r[_GK] for r in hot_rows]
         if not hot:
             return [], []
         hot_df = spark.createDataFrame([(k,) for k in hot], T.StructType([

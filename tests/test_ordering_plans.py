@@ -182,3 +182,15 @@ def test_without_hot_groups_the_plain_window_is_used(spark):
     lagged = neighbor_values(df, ["g"], ["o", "id"], ["id"], -1, n_ranges=16)
     assert {(r.id, r.prev_id) for r in lagged.collect()} == \
         {(r.id, r.p) for r in df.select("id", F.lag("id").over(w).alias("p")).collect()}
+
+
+def test_probe_used_as_sample_when_big_enough(spark, monkeypatch):
+    from tuneframe.operators import ordering as O
+    monkeypatch.setattr(O, "PROBE_FRACTION", 0.5)
+    monkeypatch.setattr(O, "SAMPLE_ROWS_PER_RANGE", 10)
+    df = _skewed(spark)
+    w = Window.partitionBy("g").orderBy("o", "id")
+    want = {(r.id, r.rn) for r in df.select("id", F.row_number().over(w).alias("rn")).collect()}
+    ranged, split = O._with_ranges(df, ["g"], ["o", "id"], 16)
+    assert split
+    assert {(r.id, r.rn) for r in number_rows(df, ["g"], ["o", "id"], "rn", n_ranges=16).collect()} == want

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tuneframe import constants as K
 from tuneframe.functions.text import TOKEN_PATTERN
 from tuneframe.functions.tokens import answer_tokens, join_ints, pad_tokens
 from tuneframe.operators import batches as B
@@ -12,6 +13,7 @@ from tuneframe.operators import render as RO
 from tuneframe.plans import fixtures as FX
 from tuneframe.plans.catalog import query
 from tuneframe.plans.oracle_views import with_views
+from tuneframe.plans.sqltext import strip
 
 EPOCHS, BATCH, SEED = 2, 2, 3407
 ACCUM = max(1, 4 // BATCH)
@@ -60,7 +62,14 @@ def q_padded_tokens(spark, d):
     return docs.select("doc_id", join_ints(padded).alias("padded"))
 
 
-@query("batch_infer")
+_ECHO = (f"array_to_string(list_slice(list_reverse(regexp_extract_all({strip('input')}, '{TOKEN_PATTERN}')), 1, "
+         f"{K.MAX_NEW_TOKENS}), ' ')")
+
+
+@query("batch_infer", with_views(
+    f"SELECT record_id, coalesce(nullif({strip(_ECHO)}, ''), '{K.EMPTY_RESPONSE_NOTICE}') AS response "
+    f"FROM records WHERE length(input) BETWEEN 1 AND {K.COMMAND_MAX_CHARS} AND length({strip('input')}) > 0",
+    "records"))
 def q_batch_infer(spark, d):
     cmds = FX.records(spark, d).select("record_id", F.col("input").alias("command"))
     prompts = RO.inference_prompts(cmds)

@@ -173,3 +173,9 @@ def test_refresh_verdicts_reads_only_new_or_changed_files(spark, tmp_path):
     from tuneframe.sinks import read_versioned
     rows = read_versioned(spark, table).collect()
     assert [(r.filename, r.record_count, r.valid) for r in rows] == [("one.jsonl", 2, True)]
+
+
+def test_empty_dataset_folder(spark, tmp_path):
+    (tmp_path / "empty").mkdir()
+    assert S.list_datasets(spark, str(tmp_path / "empty")).count() == 0
+    assert V.validate_files(spark, str(tmp_path / "empty"), REQ, 3).count() == 0

@@ -184,7 +184,7 @@ def test_without_hot_groups_the_plain_window_is_used(spark):
         {(r.id, r.p) for r in df.select("id", F.lag("id").over(w).alias("p")).collect()}
 
 
-def test_probe_used_as_sample_when_big_enough(spark, monkeypatch):
+def test_subsampled_planning_gives_the_same_numbers(spark, monkeypatch):
     from tuneframe.operators import ordering as O
     monkeypatch.setattr(O, "PROBE_FRACTION", 0.5)
     monkeypatch.setattr(O, "SAMPLE_ROWS_PER_RANGE", 10)

@@ -98,9 +98,9 @@ def _levels(df: DataFrame, order_cols: list[str]) -> list[Column] | None:
 
 
 def _plan_split(keyed: DataFrame, keys: list[str], n_ranges: int):
-    """Hot groups and their cut points, from one persisted sample of at least
-    ``SAMPLE_ROWS_PER_RANGE * n_ranges`` rows (or all rows of a small input)
-    and at most 0.01% of a big one.
+    """Hot groups and their cut points, from one persisted sample of about
+    ``SAMPLE_ROWS_PER_RANGE * n_ranges`` rows whatever the input size (all
+    rows of a small input).
 
     A group is hot when it holds at least 1/n_ranges of the sampled rows, so
     there are at most n_ranges of them: the list brought to the driver is
@@ -111,18 +111,14 @@ def _plan_split(keyed: DataFrame, keys: list[str], n_ranges: int):
 
     spark = keyed.sparkSession
     target = SAMPLE_ROWS_PER_RANGE * n_ranges
-    # Big inputs: the 0.01% probe already holds ``target`` rows and is the
-    # sample (one scan). Smaller inputs: a second pass takes the fraction
-    # that reaches ``target`` (all rows when the input is small).
-    sample = keyed.sample(False, PROBE_FRACTION, SAMPLE_SEED).select(_GK, *keys) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    probe = sample.count()
-    if probe < target:
-        sample.unpersist()
-        estimate = probe / PROBE_FRACTION
-        fraction = target / estimate if estimate > target else 1.0
-        source = keyed if fraction >= 1.0 else keyed.sample(False, fraction, SAMPLE_SEED + 1)
-        sample = source.select(_GK, *keys).persist(StorageLevel.MEMORY_AND_DISK)
+    # A 0.01% probe (group key only, nothing kept) estimates the row count;
+    # the sample then takes the fraction that reaches ``target`` rows (all
+    # rows when the input is small).
+    probe = keyed.select(_GK).sample(False, PROBE_FRACTION, SAMPLE_SEED).count()
+    estimate = probe / PROBE_FRACTION
+    fraction = target / estimate if estimate > target else 1.0
+    source = keyed if fraction >= 1.0 else keyed.sample(False, fraction, SAMPLE_SEED + 1)
+    sample = source.select(_GK, *keys).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         # One job: per-group counts of the sample and their total (the count
         # table has at most ``target`` rows, so one partition for the total

@@ -14,6 +14,8 @@ breaker such as an id as the last order column).
 
 from __future__ import annotations
 
+import os
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,6 +79,9 @@ _EXACT = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.Dou
 
 SAMPLE_ROWS_PER_RANGE = 1000
 PROBE_FRACTION = 1e-4
+# Below this many input rows no group can be too big for one task, so no
+# group is split and no sample is taken (override: TUNEFRAME_MIN_SPLIT_ROWS).
+MIN_SPLIT_ROWS = int(os.environ.get("TUNEFRAME_MIN_SPLIT_ROWS", 1_000_000))
 SAMPLE_SEED = 20241202
 _HEAVY = "_tf_heavy"
 
@@ -116,6 +121,8 @@ def _plan_split(keyed: DataFrame, keys: list[str], n_ranges: int):
     # rows when the input is small).
     probe = keyed.select(_GK).sample(False, PROBE_FRACTION, SAMPLE_SEED).count()
     estimate = probe / PROBE_FRACTION
+    if estimate < MIN_SPLIT_ROWS:
+        return [], []
     fraction = target / estimate if estimate > target else 1.0
     source = keyed if fraction >= 1.0 else keyed.sample(False, fraction, SAMPLE_SEED + 1)
     sample = source.select(_GK, *keys).persist(StorageLevel.MEMORY_AND_DISK)

@@ -202,3 +202,16 @@ def test_subsampled_planning_gives_the_same_numbers(spark, monkeypatch):
     ranged, split = O._with_ranges(df, ["g"], ["o", "id"], 16)
     assert split
     assert {(r.id, r.rn) for r in number_rows(df, ["g"], ["o", "id"], "rn", n_ranges=16).collect()} == want
+
+
+def test_dataset_validation_reads_the_text_twice_at_most(spark, tmp_path):
+    import re
+    from tuneframe.operators import validation as V
+    (tmp_path / ("a" * 32 + "_d.jsonl")).write_text('{"k": 1}\n' * 100)
+    (tmp_path / ("b" * 32 + "_e.jsonl")).write_text("")
+    df = V.validate_files(spark, str(tmp_path), ("k",), 100)
+    assert sorted((r.filename, r.record_count) for r in df.collect()) == [("d.jsonl", 100), ("e.jsonl", 0)]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    # the lines once, the split offsets once (metadata columns only)
+    assert len(re.findall(r"FileScan text", plan)) == 2
+    assert len(re.findall(r"FileScan text \\[value", plan)) == 1

@@ -211,15 +211,19 @@ def validate_listed(spark, listing: DataFrame, paths, required=K.REQUIRED_FIELDS
     # the same per-file aggregation: the text is scanned once for verdicts.
     verdicts = file_verdicts(classify_lines(lines, "line", required, keep_blank=True), "file_id", "line_no",
                              required, expected, extra_aggs=[F.bool_and("utf8_ok").alias("utf8_ok")])
-    all_files = with_empty_files(verdicts.drop("utf8_ok"), listing.select(F.col("file").alias("file_id")), "file_id")
-    j = listing.join(all_files, listing["file"] == all_files["file_id"], "left") \
-        .join(verdicts.select(F.col("file_id").alias("_u_file"), "utf8_ok"), F.col("file") == F.col("_u_file"), "left")
+    # One left join from the listing: the verdicts are computed once, and a
+    # file without any line (empty) finds no row and gets the defaults.
+    j = listing.join(verdicts, listing["file"] == verdicts["file_id"], "left")
+    n_bad = F.coalesce(F.col("n_bad"), F.lit(0).cast("bigint"))
     bad_utf8 = ~F.coalesce(F.col("utf8_ok"), F.lit(True))
-    error = F.when(bad_utf8, "utf8").when(F.col("n_bad") > 0, F.col("first_bad_kind"))
+    error = F.when(bad_utf8, "utf8").when(n_bad > 0, F.col("first_bad_kind"))
     keep = [c for c in ("modified",) if c in listing.columns]
     return j.select("file", "upload_id", "filename", "size_bytes", *keep, error.alias("error"),
-                    F.when(~bad_utf8 & (F.col("n_bad") > 0), F.col("first_bad_line")).alias("error_line"),
-                    "record_count", "missing_fields", "schema_valid", "valid")
+                    F.when(~bad_utf8 & (n_bad > 0), F.col("first_bad_line")).alias("error_line"),
+                    F.coalesce(F.col("record_count"), F.lit(0).cast("bigint")).alias("record_count"),
+                    F.coalesce(F.col("missing_fields"), F.lit("")).alias("missing_fields"),
+                    F.coalesce(F.col("schema_valid"), F.lit(False)).alias("schema_valid"),
+                    F.coalesce(F.col("valid"), F.lit(False)).alias("valid"))
 
 
 def refresh_verdicts(spark, dataset_dir: str, table_dir: str, required=K.REQUIRED_FIELDS,

@@ -18,6 +18,7 @@ from tuneframe import constants as K
 from tuneframe.functions.paths import is_safe_path, normalise_path
 from tuneframe.operators.artifacts import has_suffix
 from tuneframe.operators.validation import check_architecture, check_tensors
+from tuneframe.session import ensure_checkpoint_dir
 from tuneframe.sources.files import list_artifacts, model_roots, read_json_assets
 from tuneframe.sources.weights import header_problems, read_weight_heads, tensor_rows
 
@@ -34,9 +35,12 @@ def _upload_of(path_col, models_dir: str):
 def validate_model_dirs(spark: SparkSession, models_dir: str) -> DataFrame:
     """One row per upload folder under ``models_dir``: ``upload_id, error,
     detail, model_type, weight_file_count, tokenizer_files, sharded``."""
+    # The JSON assets and the weight headers feed several checks: each is read
+    # once and kept as a reliable checkpoint in the shared checkpoint folder.
+    ensure_checkpoint_dir(spark)
     files = list_artifacts(spark, models_dir).withColumn("upload_id", _upload_of(F.col("path"), models_dir))
     uploads = files.select("upload_id").distinct()
-    assets = read_json_assets(spark, models_dir)
+    assets = read_json_assets(spark, models_dir).checkpoint()
     roots = model_roots(assets)
 
     # config.json: readable object with a string model_type, then architectures
@@ -87,7 +91,7 @@ def validate_model_dirs(spark: SparkSession, models_dir: str) -> DataFrame:
         .agg(F.array_join(F.array_sort(F.collect_list("shard")), ", ").alias("missing_first"))
 
     # weight contents: headers and magic bytes, read by offset
-    heads = header_problems(read_weight_heads(spark, models_dir))
+    heads = header_problems(read_weight_heads(spark, models_dir)).drop("header").checkpoint()
     tens = check_tensors(tensor_rows(heads))
     bad_tensor = tens.where(F.col("problem") != "ok").select("path").distinct().withColumn("_t_bad", F.lit(True))
     weights = heads.join(bad_tensor, "path", "left").withColumn("upload_id", _upload_of(F.col("path"), models_dir)) \

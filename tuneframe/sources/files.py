@@ -169,9 +169,11 @@ def read_json_assets(spark: SparkSession, models_dir: str, upload_of=None) -> Da
     rel = F.regexp_replace(F.col("path"), r"^.*?" + _re_escape(base.lstrip("/")) + "/", "")
     asset = (F.when(F.col("name") == "config.json", "config").when(F.col("name") == "tokenizer.json", "tokenizer")
              .when(F.col("name").isin(*K.SHARD_INDEX_FILES), "shard_index"))
+    # tokenizer.json can be large and only its shape matters: no parsed copy
     return docs.withColumn("_rel", rel).where(asset.isNotNull()).select(
         F.substring_index(F.col("_rel"), "/", 1).alias("upload_id"), "path", "dir", "name", asset.alias("asset"),
-        (F.size(F.split(F.col("_rel"), "/")) - 1).alias("depth"), "utf8_ok", "is_object", "doc")
+        (F.size(F.split(F.col("_rel"), "/")) - 1).alias("depth"), "utf8_ok", "is_object",
+        F.when(asset != "tokenizer", F.col("doc")).alias("doc"))
 
 
 def model_roots(assets: DataFrame) -> DataFrame:

@@ -105,6 +105,25 @@ def test_stream_validate_equals_batch(spark, tmp_path):
             for k, v in got.items()} == {k: (v[0], v[1], v[2] if v[0] is None else None) for k, v in batch.items()}
     lines = spark.read.parquet(f"{out}/lines")
     assert {r.state for r in lines.collect()} == {"published", "quarantined"}
+    assert spark.read.parquet(f"{out}/empty").count() == 0
+
+
+def test_stream_validate_reports_empty_files_once(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    hexid = "0123456789abcdef" * 2
+    (src / f"{hexid}_a.jsonl").write_text(json.dumps({"k": 1}) + "\n")
+    (src / f"{hexid}_empty.jsonl").write_text("")
+    out = str(tmp_path / "out")
+    for run in range(2):  # a second run (new batches) must not report it again
+        if run:
+            (src / f"{hexid}_b.jsonl").write_text(json.dumps({"k": 2}) + "\n")
+        q = stream_validate(spark, str(src), out, str(tmp_path / "ckpt"), required=("k",), expected=1,
+                            max_files_per_trigger=1)
+        q.awaitTermination(300)
+    empty = spark.read.parquet(f"{out}/empty").collect()
+    assert [(os.path.basename(r.file_id), r.record_count, r.valid) for r in empty] == \
+        [(f"{hexid}_empty.jsonl", 0, False)]
 
 
 def test_upsert_latest_is_versioned_and_idempotent(spark, tmp_path):

@@ -17,13 +17,39 @@ from tuneframe.sinks import publish_if_wellformed
 from tuneframe.sources.files import number_scanned_lines
 
 
+def _report_empty_files(spark: SparkSession, in_dir: str, out_dir: str, batch_id: int) -> None:
+    """Zero-byte files never reach a file stream (they have no rows). Each
+    batch lists the folder (as the stream source itself does) and reports the
+    empty files that no earlier batch reported, as verdicts with count 0.
+    Output goes to ``empty/batch_id=<n>`` (overwritten), and "earlier" means
+    batch ids below ``n``, so a replayed batch writes the same rows."""
+    from pyspark.errors import AnalysisException
+
+    from tuneframe.sources.files import file_listing
+
+    empties = file_listing(spark, in_dir, recursive=False).where(F.col("length") == 0) \
+        .select(F.col("path").alias("file_id"))
+    try:
+        seen = spark.read.parquet(f"{out_dir}/empty").where(F.col("batch_id") < batch_id).select("file_id")
+        empties = empties.join(seen, "file_id", "left_anti")
+    except AnalysisException:
+        pass
+    empties.select(
+        "file_id", F.lit(0).cast("bigint").alias("record_count"), F.lit(0).cast("bigint").alias("n_bad"),
+        F.lit(None).cast("bigint").alias("first_bad_line"), F.lit(None).cast("string").alias("first_bad_kind"),
+        F.lit("").alias("missing_fields"), F.lit(False).alias("schema_valid"), F.lit(False).alias("valid"),
+        F.lit(True).alias("utf8_ok"), F.lit(None).cast("string").alias("error")) \
+        .write.mode("overwrite").parquet(f"{out_dir}/empty/batch_id={batch_id}")
+
+
 def stream_validate(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
                     required=K.REQUIRED_FIELDS, expected: int = K.EXPECTED_RECORDS,
-                    max_files_per_trigger: int = 1000, available_now: bool = True):
+                    max_files_per_trigger: int = 1000, available_now: bool = True, report_empty: bool = True):
     """Start the validating stream; returns the ``StreamingQuery``.
     Verdicts go to ``out_dir/verdicts/batch_id=<id>``, lines to
-    ``out_dir/lines/batch=<id>/state=...``; both are overwritten when a batch
-    is replayed, so the output is exactly-once per batch."""
+    ``out_dir/lines/batch=<id>/state=...`` and, with ``report_empty``,
+    zero-byte files to ``out_dir/empty/batch_id=<id>``; all are overwritten
+    when a batch is replayed, so the output is exactly-once per batch."""
     raw = (spark.readStream.format("text").option("maxFilesPerTrigger", max_files_per_trigger).load(in_dir)
            .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
                    F.col("value").alias("line")))
@@ -43,6 +69,8 @@ def stream_validate(spark: SparkSession, in_dir: str, out_dir: str, checkpoint:
         publish_if_wellformed(lines.select("file_id", "line_no", "line"), states,
                               f"{out_dir}/lines/batch={batch_id}")
         lines.unpersist()
+        if report_empty:
+            _report_empty_files(spark, in_dir, out_dir, batch_id)
 
     writer = raw.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")

@@ -15,13 +15,13 @@ for hash collisions) and runs in these steps:
 3. Classes are listed under their prefix shingles. Lists are cut into blocks
    of BLOCK rows ordered by size; block pairs are compared in one task each,
    with filters that lose nothing: size, position, and a parity bitmap of the
-   set, whose bits give a lower bound of the symmetric difference. Of the
-   pairs that pass, a block pair emits a spanning forest over the components
-   known so far, never all pairs of a cluster.
-4. Emitted pairs are verified on the whole sets, and confirmed links merge
-   components. Steps 3 and 4 repeat, with refuted pairs left out, until no
-   block pair has a passing pair across two components. So every link lies
-   inside one component, while copies are never expanded into all pairs.
+   set, whose bits give a lower bound of the symmetric difference. Classes
+   without any passing partner are done.
+4. The sets of the others are read again. Within each block, pairs that pass
+   are verified on the whole sets, unless known links join the two already: a
+   block emits a spanning forest of its links, never all pairs of a cluster.
+   The same then happens across the blocks of long lists, between different
+   components. So every link lies inside one component.
 
 Null and empty texts and texts of blanks have empty sets and link with
 nothing. Fewer than 3 words make one shingle. Repeated rows are equal sets.
@@ -50,12 +50,11 @@ PERCENT = 90
 MAX_FREQUENT = 1 << 20
 #: Shingles with fewer documents than this are never counted as frequent.
 MIN_FREQUENT = 4
-BLOCK = 1024
+BLOCK = 512
 #: Hashes that a task gathers before it deals them out.
 GATHER = 1 << 20
 #: Bits of the document filter when sets are read again.
 FILTER_BITS = 25
-MAX_ROUNDS = 50
 
 
 def shingle_set(text: str | None, k: int = SHINGLE) -> np.ndarray:
@@ -139,8 +138,9 @@ def frequent_shingles(docs: DataFrame, text_col: str, k: int = SHINGLE) -> tuple
 
 def parity_bits(s: np.ndarray) -> bytes:
     """Bit i: whether an odd number of elements falls into bucket i. The
-    number of buckets is the first power of two from max(64, size)."""
-    bits = max(6, (len(s) - 1).bit_length())
+    number of buckets is the first power of two from max(64, 4 * size): few
+    differing elements cancel out, so few pairs pass that do not link."""
+    bits = max(6, (4 * len(s) - 1).bit_length())
     odd = np.bincount((mixed(s) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -182,45 +182,49 @@ def fingerprint(s: np.ndarray) -> bytes:
 # ------------------------------------------------------------- block pairs
 
 
-def forest(n: np.ndarray, pos: np.ndarray, parity: list[bytes], comp: np.ndarray, refuted: list, cls: np.ndarray,
-           percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Rows (in order of size) of one block pair -> pairs of row numbers that
-    join all rows with a passing pair, one pair a merge."""
-    out: list[tuple[int, int]] = []
-    labels = comp.copy()
-    if len(n) < 2 or (labels == labels[0]).all():
-        return out
+def passing(n: np.ndarray, pos: np.ndarray, parity: list[bytes], percent: int = PERCENT):
+    """Rows (in order of size) of one block pair -> for each row with later
+    partners that may link, its number and theirs."""
+    if len(n) < 2:
+        return
     width = np.array([len(x) for x in parity])
     for w in np.unique(width):
         rows = np.flatnonzero((width == w) | (width == 2 * w))
-        sizes = n[rows]
+        sizes, places = n[rows], pos[rows]
         bits = np.array([np.frombuffer(parity[i] if width[i] == w else folded(parity[i]), dtype=np.uint8) for i in rows])
         for at, i in enumerate(rows):
-            if width[i] != w or at + 1 == len(rows):
-                continue
             end = int(np.searchsorted(sizes, 100 * n[i] // percent, side="right"))
-            js = rows[at + 1 : end]
-            other = labels[js] != labels[i]
-            if not other.any():
+            if width[i] != w or at + 1 >= end:
                 continue
-            js = js[other]
-            need = min_overlap(n[i], n[js], percent)
-            room = np.minimum(pos[i], pos[js]) + np.minimum(n[i] - pos[i], n[js] - pos[js])
-            ok = room >= need
-            js, need = js[ok], need[ok]
-            if not js.size:
-                continue
-            apart = np.bitwise_count(bits[at + 1 : end][other][ok] ^ bits[at]).sum(axis=1, dtype=np.int64)
-            js = js[apart <= n[i] + n[js] - 2 * need]
-            for j in js:
-                if labels[j] != labels[i] and not (_in(refuted[i], cls[j]) or _in(refuted[j], cls[i])):
-                    out.append((int(i), int(j)))
-                    labels[labels == labels[j]] = labels[i]
+            m, p = sizes[at + 1 : end], places[at + 1 : end]
+            need = min_overlap(n[i], m, percent)
+            ok = np.flatnonzero(np.minimum(pos[i], p) + np.minimum(n[i] - pos[i], m - p) >= need)
+            if ok.size:
+                apart = np.bitwise_count(bits[at + 1 + ok] ^ bits[at]).sum(axis=1, dtype=np.int64)
+                js = rows[at + 1 + ok[apart <= n[i] + m[ok] - 2 * need[ok]]]
+                if js.size:
+                    yield int(i), js
+
+
+def forest(n: np.ndarray, pos: np.ndarray, parity: list[bytes], comp: np.ndarray, sets: list[np.ndarray],
+           percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links (as row numbers) that join all rows of one block pair that are
+    linked, beyond what the components ``comp`` join already."""
+    out: list[tuple[int, int]] = []
+    labels = comp.copy()
+    for i, js in passing(n, pos, parity, percent):
+        for j in js[labels[js] != labels[i]].tolist():
+            if labels[j] != labels[i] and links(sets[i], sets[j], percent):
+                out.append((i, j))
+                labels[labels == labels[j]] = labels[i]
     return out
 
 
-def _in(seen, x) -> bool:
-    return seen is not None and len(seen) > 0 and bool((np.asarray(seen) == x).any())
+def links(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
+    """Whether two sorted sets link."""
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    both = int((y[at] == x).sum())
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def folded(parity: bytes) -> bytes:
@@ -229,41 +233,42 @@ def folded(parity: bytes) -> bytes:
     return np.packbits(odd[:, 0] ^ odd[:, 1]).tobytes()
 
 
-def _pairs_of_blocks(percent: int):
+TASK = ["token", "c1", "c2"]
+
+
+def _by_task(compare):
+    """mapInPandas function that calls ``compare`` on the rows of every task
+    (shingle and block pair). Rows come sorted by task, size and class; a task
+    of at most 2 * BLOCK rows may begin in one batch and end in the next."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by task (shingle and block pair), size and class.
-        A task of at most 2 * BLOCK rows may begin in one batch and end in the
-        next, so the last task of a batch waits."""
         rest = None
         for b in batches:
             if not len(b):
                 continue
             rows = b if rest is None else pd.concat([rest, b], ignore_index=True)
-            key = rows[["token", "c1", "c2"]].to_numpy()
+            key = rows[TASK].to_numpy()
             last = int(np.flatnonzero((key == key[-1]).all(axis=1))[0])
             rest = rows.iloc[last:]
-            yield from _forests(rows.iloc[:last], percent)
+            yield _tasks(rows.iloc[:last], compare)
         if rest is not None:
-            yield from _forests(rest, percent)
+            yield _tasks(rest, compare)
 
     return run
 
 
-def _forests(rows: pd.DataFrame, percent: int) -> Iterator[pd.DataFrame]:
-    if not len(rows):
-        return
-    key = rows[["token", "c1", "c2"]].to_numpy()
-    starts = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(rows)]))
-    n, pos = rows["n"].to_numpy(np.int64), rows["pos"].to_numpy(np.int64)
-    cls, comp = rows["cls"].to_numpy(np.int64), rows["comp"].to_numpy(np.int64)
-    parity, refuted = rows["parity"].tolist(), rows["refuted"].tolist()
+def _tasks(rows: pd.DataFrame, compare) -> pd.DataFrame:
+    key = rows[TASK].to_numpy()
+    change = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1 if len(rows) else []
+    cols = {c: rows[c].to_numpy() for c in rows.columns}
+    cuts = [0, *change, len(rows)]
     a, b = [], []
-    for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+    for s, e in zip(cuts[:-1], cuts[1:], strict=True):
         if e - s > 1:
-            for i, j in forest(n[s:e], pos[s:e], parity[s:e], comp[s:e], refuted[s:e], cls[s:e], percent):
-                a.append(cls[s + i])
-                b.append(cls[s + j])
-    yield pd.DataFrame({"a": np.minimum(a, b) if a else [], "b": np.maximum(a, b) if a else []}).astype("int64")
+            for x, y in compare({c: v[s:e] for c, v in cols.items()}):
+                a.append(x)
+                b.append(y)
+    return pd.DataFrame({"a": a, "b": b}, dtype="int64")
 
 
 # -------------------------------------------------------------------- join
@@ -284,31 +289,45 @@ def linked(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: i
     classes = saved(full.groupBy("grp", "n", "fp").agg(
         F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("least"),
         F.first("parity").alias("parity")).withColumn("cls", F.xxhash64("fp")))
-    # Groups under their prefix shingles; a group that is alone in all lists
-    # stays in one of them if its classes differ.
+    # Groups under their prefix shingles, by size. A row whose neighbours in
+    # its list are too far in size links with none there; a group that is
+    # alone in all lists stays in one of them if its classes differ.
     by_token = Window.partitionBy("token")
+    by_size = by_token.orderBy("n", "grp")
     lists = groups.select("grp", "n", "mixed", F.posexplode("prefix").alias("pos", "token"))
-    lists = lists.withColumn("m", F.count("*").over(by_token)).where((F.col("m") > 1) | (F.col("mixed") & (F.col("pos") == 0)))
+    lists = lists.select("*", F.lag("n").over(by_size).alias("less"), F.lead("n").over(by_size).alias("more"))
+    near = (100 * F.col("less") >= percent * F.col("n")) | (percent * F.col("more") <= 100 * F.col("n"))
+    lists = lists.where(F.coalesce(near, F.lit(False)) | (F.col("mixed") & (F.col("pos") == 0)))
+    lists = _one_of_equal(lists.select("token", "grp", "pos"), "grp")
     # Groups are expanded to their classes, and lists cut into blocks.
-    lists = lists.select("token", "grp", "pos").join(classes.select("grp", "n", "cls"), "grp").drop("grp")
-    lists = saved(lists.withColumn("chunk", F.floor((F.row_number().over(by_token.orderBy("n", "cls")) - 1) / BLOCK).cast("int")))
+    lists = _blocks(lists.join(classes.select("grp", "n", "cls"), "grp").drop("grp"))
     shapes = classes.select("cls", "parity")
-    homes = classes.select("cls", F.col("least.id").alias("id"))
-
-    spark = docs.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
-    refuted = spark.createDataFrame([], "a long, b long")
-    comps = None
-    for step in range(MAX_ROUNDS):
-        pairs = saved(_candidates(lists, shapes, comps, refuted, step == 0, percent))
-        if pairs.isEmpty() and step:
-            break
-        checked = saved(_verified(rows, pairs, homes, k, percent))
-        links = saved(links.union(checked.where("linked").select("a", "b")))
-        refuted = saved(refuted.union(checked.where("not linked").select("a", "b")))
-        comps = components(links)
-    else:
-        raise RuntimeError("the join did not settle")
+
+    def hopeful(t: dict) -> list[tuple[int, int]]:
+        found = set()
+        for i, js in passing(t["n"].astype(np.int64), t["pos"].astype(np.int64), list(t["parity"]), percent):
+            found.add(int(t["cls"][i]))
+            found.update(t["cls"][js].tolist())
+        return [(c, c) for c in found]
+
+    def joins(t: dict) -> list[tuple[int, int]]:
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in t["items"]]
+        got = forest(t["n"].astype(np.int64), t["pos"].astype(np.int64), list(t["parity"]), t["comp"].astype(np.int64), sets, percent)
+        return [(int(t["cls"][i]), int(t["cls"][j])) for i, j in got]
+
+    pair = "a long, b long"
+    every = _dealt(lists.withColumn("comp", F.col("cls")), percent, across=None).join(shapes, "cls")
+    hope = saved(_sorted(every).mapInPandas(_by_task(hopeful), pair).select(F.col("a").alias("cls")).distinct())
+    wanted = hope.join(classes, "cls").select("cls", F.col("least.id").alias("id"), "parity")
+    sets_of = saved(_sets_again(rows, saved(wanted), k))
+    lists = _blocks(_one_of_equal(lists.drop("chunk").join(hope, "cls"), "cls"))
+    within = _dealt(lists.withColumn("comp", F.col("cls")), percent, across=False).join(sets_of, "cls")
+    found = saved(_sorted(within).mapInPandas(_by_task(joins), pair).distinct())
+    comps = saved(components(found))
+    known = lists.join(comps.withColumnsRenamed({"node": "cls", "root": "r"}), "cls", "left")
+    known = known.withColumn("comp", F.coalesce("r", "cls")).drop("r")
+    more = saved(_sorted(_dealt(known, percent, across=True).join(sets_of, "cls")).mapInPandas(_by_task(joins), pair).distinct())
+    comps = components(saved(comps.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)))
     roots = classes.select("cls", "fp", "least").join(comps.withColumnsRenamed({"node": "cls", "root": "r"}), "cls", "left")
     roots = roots.withColumn("root", F.coalesce("r", "cls"))
     least = roots.groupBy("root").agg(F.min("least").alias("first"))
@@ -321,39 +340,48 @@ def linked(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: i
         F.coalesce(F.col("first") == mine, F.lit(True)).alias("kept"))
 
 
-def _candidates(lists: DataFrame, shapes: DataFrame, comps: DataFrame | None, refuted: DataFrame, first: bool,
-                percent: int) -> DataFrame:
-    """Passing pairs of classes, a spanning forest of each block pair."""
-    if comps is None:
-        rows = lists.withColumn("comp", F.col("cls"))
-    else:
-        rows = lists.join(comps.withColumnsRenamed({"node": "cls", "root": "r"}), "cls", "left")
-        rows = rows.withColumn("comp", F.coalesce("r", "cls")).drop("r")
+def _one_of_equal(lists: DataFrame, member: str) -> DataFrame:
+    """Near copies share many shingles: of lists with equal members, one."""
+    by = Window.partitionBy("token")
+    same = [F.count("*"), F.sum(F.pmod(F.xxhash64(member), F.lit(1 << 40))), F.bit_xor(F.xxhash64(member, F.lit(1)))]
+    lists = saved(lists.select("*", *[c.over(by).alias(f"m{i}") for i, c in enumerate(same)]))
+    one = lists.groupBy("m0", "m1", "m2").agg(F.min("token").alias("token")).select("token")
+    return lists.drop("m0", "m1", "m2").join(one, "token", "left_semi")
+
+
+def _blocks(lists: DataFrame) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("token").orderBy("n", "cls")) - 1
+    return saved(lists.withColumn("chunk", F.floor(place / BLOCK).cast("int")))
+
+
+def _dealt(rows: DataFrame, percent: int, across: bool | None) -> DataFrame:
+    """``rows`` with the block pairs (c1, c2) they take part in: within blocks,
+    across blocks, or both (None). Pairs of blocks whose rows are all in one
+    component, or too far in size, are left out."""
     blocks = rows.groupBy("token", "chunk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                                F.min("n").alias("n0"), F.max("n").alias("n1"))
-    x, y = blocks.alias("x"), blocks.alias("y")
-    mixed_up = ~((F.col("x.lo") == F.col("x.hi")) & (F.col("y.lo") == F.col("y.hi")) & (F.col("x.lo") == F.col("y.lo")))
-    if first:  # blocks by themselves: most clusters join here
-        tasks = blocks.where(F.col("lo") != F.col("hi")).select("token", F.col("chunk").alias("c1"), F.col("chunk").alias("c2"))
-    else:
-        tasks = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.chunk") <= F.col("y.chunk"))).where(
-            mixed_up & (100 * F.col("x.n1") >= percent * F.col("y.n0"))).select(
-            "x.token", F.col("x.chunk").alias("c1"), F.col("y.chunk").alias("c2"))
+                                                F.min("n").alias("n0"), F.max("n").alias("n1"), F.count("*").alias("k"))
+    alone = blocks.where((F.col("lo") != F.col("hi")) & (F.col("k") > 1)).select(
+        "token", F.col("chunk").alias("c1"), F.col("chunk").alias("c2"))
+    x, y = blocks.alias("x"), blocks.where(F.col("chunk") > 0).alias("y")
+    cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.chunk") < F.col("y.chunk"))).where(
+        (100 * F.col("x.n1") >= percent * F.col("y.n0"))
+        & ((F.least("x.lo", "y.lo") != F.greatest("x.hi", "y.hi")))).select(
+        "x.token", F.col("x.chunk").alias("c1"), F.col("y.chunk").alias("c2"))
+    tasks = alone if across is False else cross if across else alone.union(cross)
     tasks = tasks.select("token", "c1", "c2", F.explode(F.array_distinct(F.array("c1", "c2"))).alias("chunk"))
-    work = rows.join(tasks, ["token", "chunk"]).join(shapes, "cls")
-    seen = refuted.groupBy(F.col("a").alias("cls")).agg(F.collect_set("b").alias("refuted"))
-    work = work.join(seen, "cls", "left").select("token", "c1", "c2", "n", "cls", "pos", "comp", "parity", "refuted")
-    work = work.repartition("token", "c1", "c2").sortWithinPartitions("token", "c1", "c2", "n", "cls")
-    return work.mapInPandas(_pairs_of_blocks(percent), "a long, b long").distinct()
-
-
-def _verified(rows: DataFrame, pairs: DataFrame, homes: DataFrame, k: int, percent: int) -> DataFrame:
-    """``pairs`` with ``linked``, decided on the whole sets."""
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    ids = wanted.join(homes, "cls").select(F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)).alias("h"))
-    # A filter of fixed size (2 ** FILTER_BITS bits): which documents to read. It may let others in.
-    page = 1 << 15
-    got = ids.groupBy(F.floor(F.col("h") / page).alias("k")).agg(
+    return rows.join(tasks, ["token", "chunk"]).drop("chunk")
+
+
+def _sorted(work: DataFrame) -> DataFrame:
+    return work.repartition(*TASK).sortWithinPartitions(*TASK, "n", "cls")
+
+
+def _sets_again(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """``wanted`` classes (cls, id, parity) with the hashes of their sets,
+    from the texts. Which rows to read, a filter of 2 ** FILTER_BITS bits
+    tells; it may let others in, which the join then drops."""
+    h, page = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)), 1 << 15
+    got = wanted.select(h.alias("h")).groupBy(F.floor(F.col("h") / page).alias("k")).agg(
         F.bitmap_construct_agg(F.pmod("h", F.lit(page))).alias("m")).collect()
     bitmap = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
     for r in got:
@@ -362,8 +390,8 @@ def _verified(rows: DataFrame, pairs: DataFrame, homes: DataFrame, k: int, perce
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h = b.column(0).to_numpy()
-            keep = (shared.value[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1
+            at = b.column(0).to_numpy()
+            keep = (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
             fps, blobs = [], []
             for t in b.column(1).filter(pa.array(keep)):
                 s = shingle_set(t.as_py(), k)
@@ -372,23 +400,9 @@ def _verified(rows: DataFrame, pairs: DataFrame, homes: DataFrame, k: int, perce
                     blobs.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(fps, pa.binary()), pa.array(blobs, pa.binary())], ["fp", "items"])
 
-    placed = rows.select(F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)).alias("h"), "text")
-    sets = placed.mapInArrow(read, "fp binary, items binary").withColumn("cls", F.xxhash64("fp")).drop("fp")
-    sets = sets.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("items").alias("items"))
-
-    @F.pandas_udf("boolean")
-    def check(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([links(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), percent)
-                          for x, y in zip(a, b, strict=True)], dtype=bool)
-
-    one = sets.withColumnsRenamed({"cls": "a", "items": "x"})
-    two = sets.withColumnsRenamed({"cls": "b", "items": "y"})
-    return pairs.join(one, "a").join(two, "b").select("a", "b", check("x", "y").alias("linked"))
-
-
-def links(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+    sets = rows.select(h.alias("h"), "text").mapInArrow(read, "fp binary, items binary")
+    sets = sets.withColumn("cls", F.xxhash64("fp")).drop("fp").join(wanted.select("cls", "parity"), "cls")
+    return sets.groupBy("cls").agg(F.first("parity").alias("parity"), F.first("items").alias("items"))
 
 
 def keep_representatives(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:

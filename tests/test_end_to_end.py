@@ -24,7 +24,7 @@ def test_prepare_training_text(spark, tmp_path):
     assert prepare(spark, str(src), out, expected=4, token_limit=6, epochs=2, batch_size=2, shards=2) == \
         {"files": 3, "valid_files": 1}
     text = spark.read.parquet(f"{out}/text").collect()
-    assert len(text) == 4 and all(len(r.text.split(" ")) == 6 for r in text)
+    assert sorted(r.text for r in text) == [f"### Instruction\ninstruction {i}\n\n### Input" for i in range(4)]
     assert text[0].text.startswith("### Instruction")
     plan = spark.read.parquet(f"{out}/batches")
     assert plan.count() == 8 and plan.agg(F.max("batch_no")).first()[0] == 1

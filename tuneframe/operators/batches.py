@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tuneframe import constants as K
 from tuneframe.functions.numeric import int_div
-from tuneframe.functions.text import non_space_tokens
+from tuneframe.functions.text import non_space_tokens, spaced_tokens
 from tuneframe.operators.ordering import number_rows
 
 
@@ -20,17 +20,17 @@ def token_budget(df: DataFrame, text: str = "text", limit: int = K.TRAIN_MAX_TOK
     """Cut each text to ``limit`` tokens, keeping the first ones.
 
     Default tokenizer (native, whole text): runs of non-whitespace; adds
-    ``n_tokens``, ``kept_text`` (kept tokens joined by a space) and ``cut``.
+    ``n_tokens``, ``kept_text`` (the text unchanged, or its exact prefix up to
+    the end of the last kept token) and ``cut``.
     With ``tokenizer_factory`` (called once per task, e.g. to load a
     tokenizer) ids come from an iterator Pandas UDF: adds ``token_ids``
     (kept ids), ``n_tokens`` and ``cut``."""
     if tokenizer_factory is None:
-        toks = non_space_tokens(text)
-        out = df.withColumn("_tf_toks", toks)
+        out = df.withColumn("_tf_toks", spaced_tokens(text))
         return out.withColumn("n_tokens", F.size("_tf_toks").cast("bigint")) \
-            .withColumn("kept_text", F.array_join(F.slice("_tf_toks", 1, limit), " ")) \
-            .withColumn("cut", F.col("n_tokens") > limit).drop("_tf_toks")
-
+            .withColumn("cut", F.col("n_tokens") > limit) \
+            .withColumn("kept_text", F.when(F.col("cut"), F.array_join(F.slice("_tf_toks", 1, limit), ""))
+                        .otherwise(F.col(text))).drop("_tf_toks")
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -140,11 +140,13 @@ def default_model(state: DataFrame, models: DataFrame, key: str = "job_id") -> D
     """The job a chat page opens with: the latest job if it completed, else
     the newest completed one. One global aggregation, then a join of one row."""
     done = F.col("status") == "completed"
+    # Newest first, no time last; among equal times the smallest id, of any type.
+    age = F.coalesce(-F.unix_micros(F.col("created_at").cast("timestamp")), F.lit((1 << 63) - 1))
     pick = state.agg(
         F.max_by(F.struct(F.col(key).alias("j"), F.col("status").alias("s"), F.col("model_id").alias("m")),
                  F.struct("created_at", key)).alias("latest"),
-        F.max_by(F.struct(F.col(key).alias("j"), F.col("model_id").alias("m")),
-                 F.when(done, F.struct(F.col("created_at"), (-F.col(key)).alias("neg")))).alias("newest_done"))
+        F.min_by(F.struct(F.col(key).alias("j"), F.col("model_id").alias("m")),
+                 F.when(done, F.struct(age, F.col(key)))).alias("newest_done"))
     chosen = pick.select(
         F.when(F.col("latest.s") == "completed", F.col("latest.j")).otherwise(F.col("newest_done.j")).alias(key),
         F.when(F.col("latest.s") == "completed", F.col("latest.m")).otherwise(F.col("newest_done.m")).alias("model_id")

@@ -52,17 +52,22 @@ def chat_texts(df: DataFrame, cols: dict | None = None, out: str = "text", templ
 
 def clean_commands(df: DataFrame, command: str = "command", out: str = "command_clean",
                    max_chars: int = K.COMMAND_MAX_CHARS) -> DataFrame:
-    """Keep commands of 1..max characters (tested before stripping, as the
-    server does) that are not blank after stripping (as the page does)."""
+    """Every row, with the stripped command in ``out`` and in ``problem`` why
+    a command is refused, else null: ``empty`` (null or no character) and
+    ``too_long`` are tested before stripping, as the server does, ``blank``
+    after it, as the page does. ``out`` is null where there is a problem."""
     raw = F.col(command)
     stripped = py_strip(raw)
-    keep = F.length(raw).between(1, max_chars) & (F.length(stripped) > 0)
-    return df.where(F.coalesce(keep, F.lit(False))).withColumn(out, stripped)
+    size = F.coalesce(F.length(raw), F.lit(0))
+    problem = (F.when(size == 0, "empty").when(size > max_chars, "too_long")
+               .when(F.length(stripped) == 0, "blank"))
+    return df.withColumn("problem", problem).withColumn(out, F.when(F.col("problem").isNull(), stripped))
 
 
 def inference_prompts(df: DataFrame, command: str = "command", out: str = "prompt", **texts) -> DataFrame:
-    return clean_commands(df, command).withColumn(out, R.inference_prompt(F.col(command), **texts)) \
-        .drop("command_clean")
+    """Every row, with its prompt, or null and the ``problem`` of its command."""
+    prompt = F.when(F.col("problem").isNull(), R.inference_prompt(F.col(command), **texts))
+    return clean_commands(df, command).withColumn(out, prompt).drop("command_clean")
 
 
 def clean_responses(df: DataFrame, response: str = "response", out: str = "response") -> DataFrame:

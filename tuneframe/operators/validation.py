@@ -110,7 +110,7 @@ def check_requests(df: DataFrame, cols: dict | None = None, rules=K.REQUEST_RULE
     present = set(df.columns)
     checks: list[Column] = []
     mcol = cols.get("method", "method")
-    m = F.col(mcol) if mcol in present else F.lit("lora")
+    m = F.coalesce(F.col(mcol), F.lit("lora")) if mcol in present else F.lit("lora")
     checks.append(F.when(~F.coalesce(m.isin(*methods), F.lit(False)), F.lit("method")))
     for name, default, lo, lo_incl, hi in rules:
         c = cols.get(name, name)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tuneframe import constants as K
-from tuneframe.functions.text import TOKEN_PATTERN
+from tuneframe.functions.text import PIECE_PATTERN, TOKEN_PATTERN
 from tuneframe.functions.tokens import answer_tokens, join_ints, pad_tokens
 from tuneframe.operators import batches as B
 from tuneframe.operators import infer as I
@@ -13,6 +13,7 @@ from tuneframe.operators import render as RO
 from tuneframe.plans import fixtures as FX
 from tuneframe.plans.catalog import query
 from tuneframe.plans.oracle_views import with_views
+from tuneframe.plans.q_render import _PROBLEM
 from tuneframe.plans.sqltext import strip
 
 EPOCHS, BATCH, SEED = 2, 2, 3407
@@ -35,8 +36,9 @@ def q_batch_plan(spark, d):
 
 
 @query("token_budget",
-       f"SELECT doc_id, cast(len(toks) AS BIGINT) AS n_tokens, array_to_string(list_slice(toks, 1, {BUDGET}), ' ') "
-       f"AS kept_text, len(toks) > {BUDGET} AS cut FROM (SELECT doc_id, {_TOKS} AS toks FROM documents) t")
+       f"SELECT doc_id, cast(len(toks) AS BIGINT) AS n_tokens, CASE WHEN len(toks) > {BUDGET} THEN "
+       f"array_to_string(list_slice(pieces, 1, {BUDGET}), '') ELSE text END AS kept_text, len(toks) > {BUDGET} AS cut "
+       f"FROM (SELECT doc_id, text, {_TOKS} AS toks, regexp_extract_all(text, '{PIECE_PATTERN}') AS pieces FROM documents) t")
 def q_token_budget(spark, d):
     docs = FX.table(spark, d, "documents").select("doc_id", "text")
     return B.token_budget(docs, "text", BUDGET).select("doc_id", "n_tokens", "kept_text", "cut")
@@ -67,10 +69,13 @@ _ECHO = (f"array_to_string(list_slice(list_reverse(regexp_extract_all({strip('in
 
 
 @query("batch_infer", with_views(
-    f"SELECT record_id, coalesce(nullif({strip(_ECHO)}, ''), '{K.EMPTY_RESPONSE_NOTICE}') AS response "
-    f"FROM records WHERE length(input) BETWEEN 1 AND {K.COMMAND_MAX_CHARS} AND length({strip('input')}) > 0",
+    f"SELECT record_id, problem, CASE WHEN problem IS NULL THEN "
+    f"coalesce(nullif({strip(_ECHO)}, ''), '{K.EMPTY_RESPONSE_NOTICE}') END AS response "
+    f"FROM (SELECT record_id, input, {_PROBLEM} AS problem FROM records) t",
     "records"))
 def q_batch_infer(spark, d):
     cmds = FX.records(spark, d).select("record_id", F.col("input").alias("command"))
     prompts = RO.inference_prompts(cmds)
-    return I.batch_infer(prompts, I.echo_model, "prompt", keep=("record_id",))
+    answered = I.batch_infer(prompts.where("problem IS NULL"), I.echo_model, "prompt", keep=("record_id", "problem"))
+    refused = prompts.where("problem IS NOT NULL").select("record_id", "problem", F.lit(None).cast("string").alias("response"))
+    return answered.unionByName(refused)

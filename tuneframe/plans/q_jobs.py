@@ -128,8 +128,8 @@ def q_default_model(spark, d):
     ("req", "SELECT unnest(generate_series(0, (SELECT max(job_id) + 5 FROM state))) AS job_id")))
 def q_exportable_jobs(spark, d):
     state = _state(spark, d)
-    top = state.agg(F.max("job_id").alias("m")).first()["m"]
-    requested = spark.range(0, (top if top is not None else -1) + 6).select(F.col("id").alias("job_id"))
+    top = state.agg(F.coalesce(F.max("job_id"), F.lit(-1)).alias("m"))
+    requested = top.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") + 5)).alias("job_id"))
     folders = state.where(F.col("job_id") % 3 == 0).select("job_id")
     return J.exportable_jobs(requested, state, folders)
 

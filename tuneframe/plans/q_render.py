@@ -41,12 +41,16 @@ _PROMPT = sections(list(zip(_H, (f"'{K.INFERENCE_INSTRUCTION}'", strip("input"),
     f" || {NL} || {NL} || '### {K.RESPONSE_HEADING}' || {NL}"
 
 
+_PROBLEM = (f"CASE WHEN coalesce(length(input), 0) = 0 THEN 'empty' WHEN length(input) > {K.COMMAND_MAX_CHARS} "
+            f"THEN 'too_long' WHEN length({strip('input')}) = 0 THEN 'blank' END")
+
+
 @query("inference_prompt", with_views(
-    f"SELECT record_id, {_PROMPT} AS prompt FROM records "
-    f"WHERE length(input) BETWEEN 1 AND {K.COMMAND_MAX_CHARS} AND length({strip('input')}) > 0", "records"))
+    f"SELECT record_id, {_PROBLEM} AS problem, CASE WHEN {_PROBLEM} IS NULL THEN {_PROMPT} END AS prompt "
+    f"FROM records", "records"))
 def q_inference_prompt(spark, d):
     cmds = FX.records(spark, d).select("record_id", F.col("input").alias("command"))
-    return RO.inference_prompts(cmds).select("record_id", "prompt")
+    return RO.inference_prompts(cmds).select("record_id", "problem", "prompt")
 
 
 _BLANKS = " \n\t\u3000 "

@@ -119,9 +119,12 @@ MANIFEST_SCHEMA = T.StructType([
 
 
 def read_manifests(spark: SparkSession, models_dir: str, manifest_name: str = "upload-manifest.json") -> DataFrame:
-    """One JSON manifest per model folder; folders without one are absent (A4)."""
-    return (spark.read.schema(MANIFEST_SCHEMA).option("multiLine", "true").option("recursiveFileLookup", "true")
-            .option("pathGlobFilter", manifest_name).option("mode", "DROPMALFORMED").json(models_dir)
+    """One JSON manifest per model folder; folders without one are absent (A4).
+    A manifest that cannot be read keeps its row, with its text in ``error``."""
+    schema = T.StructType([*MANIFEST_SCHEMA.fields, T.StructField("error", T.StringType())])
+    return (spark.read.schema(schema).option("multiLine", "true").option("recursiveFileLookup", "true")
+            .option("pathGlobFilter", manifest_name).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", "error").json(models_dir)
             .withColumn("manifest_path", F.col("_metadata.file_path")))
 
 

@@ -1,6 +1,5 @@
 """Skew-safe ordering equals a plain window; plans have the intended shape."""
 
-import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -11,13 +10,6 @@ from tuneframe.operators import artifacts as A
 from tuneframe.sources.files import file_listing
 
 
-@pytest.fixture(autouse=True)
-def split_small_inputs(monkeypatch):
-    """These inputs are small; lower the size floor so the split path runs."""
-    from tuneframe.operators import ordering
-    monkeypatch.setattr(ordering, "MIN_SPLIT_ROWS", 0)
-
-
 def _skewed(spark):
     # one key holds a third of the rows, ties broken by id, some null keys
     base = spark.range(0, 3000).select(
@@ -73,11 +65,10 @@ def test_missing_shards_limits_before_shuffle(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-def test_listing_never_reads_content(spark, tmp_path):
+def test_listing_is_made_in_tasks(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(b"x" * 10)
     plan = file_listing(spark, str(tmp_path), recursive=True)._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<path:string,modificationTime:timestamp,length:bigint>" in plan
-    assert "content" not in plan.split("ReadSchema")[1].split("\n")[0]
+    assert "MapInPandas" in plan and "FileScan" not in plan
 
 
 def test_parquet_scans_are_pruned(spark):
@@ -87,8 +78,9 @@ def test_parquet_scans_are_pruned(spark):
 
 
 def test_no_cross_joins_in_any_query(spark):
-    import __spark_entry__ as E
-    for name, fn in E.queries().items():
+    from tuneframe.plans import catalog
+    catalog.load_all()
+    for name, fn in catalog.QUERIES.items():
         plan = _plan(fn(spark, SF_SMALL))
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
 
@@ -100,17 +92,8 @@ def test_hot_group_with_tied_first_key_is_split_by_second(spark):
     numbered = number_rows(df, ["g"], ["t", "id"], "rn", n_ranges=16)
     assert {(r.id, r.rn) for r in numbered.collect()} == {(i, i + 1) for i in range(4000)}
     from tuneframe.operators import ordering as O
-    ranged, split = O._with_ranges(df, ["g"], ["t", "id"], 16)
-    assert split and ranged.select("_tf_obkt").distinct().count() >= 8
-
-
-def test_line_offsets_are_broadcast_not_shuffled(spark, tmp_path):
-    from tuneframe.sources.files import read_lines
-    (tmp_path / "a.jsonl").write_text("{}\n" * 50)
-    plan = _plan(read_lines(spark, str(tmp_path)))
-    assert "BroadcastHashJoin" in plan
-    lines_side = plan.split("BroadcastHashJoin", 1)[1].split("BroadcastExchange", 1)[0]
-    assert "Exchange" not in lines_side  # lines are never shuffled
+    ranged = O._with_ranges(df, ["g"], ["t", "id"], 16)
+    assert ranged.select("_tf_obkt").distinct().count() >= 8
 
 
 def test_each_line_is_parsed_once_per_wrapper(spark):
@@ -131,8 +114,8 @@ def test_hot_group_of_strings_with_a_shared_prefix_is_split(spark):
     got = {(r.id, r.rn) for r in number_rows(df, ["g"], ["p", "id"], "rn", n_ranges=16).collect()}
     assert got == want
     from tuneframe.operators import ordering as O
-    ranged, split = O._with_ranges(df, ["g"], ["p", "id"], 16)
-    assert split and ranged.select("_tf_obkt").distinct().count() >= 8
+    ranged = O._with_ranges(df, ["g"], ["p", "id"], 16)
+    assert ranged.select("_tf_obkt").distinct().count() >= 8
 
 
 def test_hot_group_work_is_spread(spark):
@@ -141,8 +124,7 @@ def test_hot_group_work_is_spread(spark):
     df = spark.range(0, n).select(
         F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 1000).alias("g"),
         ((F.col("id") * 2654435761) % 1000003).alias("o"), F.col("id"))
-    ranged, split = O._with_ranges(df, ["g"], ["o", "id"], 64)
-    assert split
+    ranged = O._with_ranges(df, ["g"], ["o", "id"], 64)
     biggest = ranged.groupBy("_tf_gkey", "_tf_obkt").count().agg(F.max("count")).first()[0]
     # a plain per-group window would give one task n/3 rows; here the largest
     # unit of work is about (n/3)/64
@@ -179,17 +161,27 @@ def test_results_do_not_depend_on_partitioning_or_aqe(spark):
             spark.conf.set(k, v)
 
 
-def test_without_hot_groups_the_plain_window_is_used(spark):
+def test_one_plan_whatever_the_size_or_skew(spark):
     from tuneframe.operators.ordering import neighbor_values
-    df = spark.range(0, 5000).select((F.col("id") % 500).alias("g"), ((F.col("id") * 31) % 977).alias("o"), "id")
-    w = Window.partitionBy("g").orderBy("o", "id")
-    got = number_rows(df, ["g"], ["o", "id"], "rn", n_ranges=16)
-    assert {(r.id, r.rn) for r in got.collect()} == \
-        {(r.id, r.rn) for r in df.select("id", F.row_number().over(w).alias("rn")).collect()}
-    assert "_tf_obkt" not in _plan(got)
-    lagged = neighbor_values(df, ["g"], ["o", "id"], ["id"], -1, n_ranges=16)
-    assert {(r.id, r.prev_id) for r in lagged.collect()} == \
-        {(r.id, r.p) for r in df.select("id", F.lag("id").over(w).alias("p")).collect()}
+    for n in (0, 10, 5000):
+        df = spark.range(0, n).select((F.col("id") % 500).alias("g"), ((F.col("id") * 31) % 977).alias("o"), "id")
+        w = Window.partitionBy("g").orderBy("o", "id")
+        got = number_rows(df, ["g"], ["o", "id"], "rn", n_ranges=16)
+        assert {(r.id, r.rn) for r in got.collect()} == \
+            {(r.id, r.rn) for r in df.select("id", F.row_number().over(w).alias("rn")).collect()}
+        assert "hashpartitioning(_tf_gkey" in _plan(got)
+        lagged = neighbor_values(df, ["g"], ["o", "id"], ["id"], -1, n_ranges=16)
+        assert {(r.id, r.prev_id) for r in lagged.collect()} == \
+            {(r.id, r.p) for r in df.select("id", F.lag("id").over(w).alias("p")).collect()}
+
+
+def test_five_thousand_two_column_hot_keys(spark):
+    from tuneframe.operators import ordering as O
+    df = spark.range(0, 20000).select((F.col("id") % 5000).alias("a"), F.when(F.col("id") % 5000 > 9, F.lit("x")).alias("b"))
+    keyed = df.withColumn("_tf_gkey", F.struct("a", "b"))
+    hot = keyed.select("_tf_gkey").distinct()
+    assert hot.count() == 5000
+    assert O._marked(keyed, hot).where(O._HEAVY).count() == 20000
 
 
 def test_subsampled_planning_gives_the_same_numbers(spark, monkeypatch):
@@ -199,8 +191,7 @@ def test_subsampled_planning_gives_the_same_numbers(spark, monkeypatch):
     df = _skewed(spark)
     w = Window.partitionBy("g").orderBy("o", "id")
     want = {(r.id, r.rn) for r in df.select("id", F.row_number().over(w).alias("rn")).collect()}
-    ranged, split = O._with_ranges(df, ["g"], ["o", "id"], 16)
-    assert split
+    ranged = O._with_ranges(df, ["g"], ["o", "id"], 16)
     assert {(r.id, r.rn) for r in number_rows(df, ["g"], ["o", "id"], "rn", n_ranges=16).collect()} == want
 
 

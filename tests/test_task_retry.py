@@ -36,7 +36,6 @@ def lines():
 
 clean = sorted(map(tuple, lines().collect()))
 retried = sorted(map(tuple, lines().where(fail_first_attempt("line")).collect()))
-O.MIN_SPLIT_ROWS = 0
 df = spark.range(0, 20000, numPartitions=8).select((F.col("id") % 3 == 0).alias("g"), "id")
 n_clean = sorted(map(tuple, O.number_rows(df, ["g"], ["id"], "rn").collect()))
 n_retried = sorted(map(tuple, O.number_rows(df, ["g"], ["id"], "rn").where(fail_first_attempt("rn")).collect()))

@@ -2,11 +2,12 @@
 
 ``Window.partitionBy(g).orderBy(o)`` sends every row of a group to one task,
 so a group holding a third of the data becomes a third of the job on one
-core. Here the ordering key is first cut into quantile ranges (cut points come
-from ``approxQuantile`` over a 1% sample: a bounded list on the driver, never rows). The window
+core. Here the ordering key of hot groups is first cut into quantile ranges
+(cut points come from ``approxQuantile`` over a bounded sample). The window
 then runs over ``(group, range)``, which splits a hot group across many tasks,
 and a small table of per-range totals, prefix-summed inside each group, is
-joined back to shift every range by what came before it.
+joined back to shift every range by what came before it. The plan is the same
+for every input size.
 
 Order keys must be unique inside a group for a deterministic result (add a tie
 breaker such as an id as the last order column).
@@ -14,8 +15,6 @@ breaker such as an id as the last order column).
 
 from __future__ import annotations
 
-import os
-
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,9 +78,6 @@ _EXACT = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.Dou
 
 SAMPLE_ROWS_PER_RANGE = 1000
 PROBE_FRACTION = 1e-4
-# Below this many input rows no group can be too big for one task, so no
-# group is split and no sample is taken (override: TUNEFRAME_MIN_SPLIT_ROWS).
-MIN_SPLIT_ROWS = int(os.environ.get("TUNEFRAME_MIN_SPLIT_ROWS", 1_000_000))
 SAMPLE_SEED = 20241202
 _HEAVY = "_tf_heavy"
 
@@ -103,53 +99,41 @@ def _levels(df: DataFrame, order_cols: list[str]) -> list[Column] | None:
 
 
 def _plan_split(keyed: DataFrame, keys: list[str], n_ranges: int):
-    """Hot groups and their cut points, from one persisted sample of about
-    ``SAMPLE_ROWS_PER_RANGE * n_ranges`` rows whatever the input size (all
-    rows of a small input).
+    """Hot groups (a frame of their keys) and cut points, from one sample of
+    about ``SAMPLE_ROWS_PER_RANGE * n_ranges`` rows whatever the input size
+    (all rows of a small input).
 
     A group is hot when it holds at least 1/n_ranges of the sampled rows, so
-    there are at most n_ranges of them: the list brought to the driver is
-    bounded by construction. Cut points come from the hot groups' sampled rows
-    only. Both only steer the balance of work; any answer gives the same
-    numbers."""
+    there are at most n_ranges of them, by construction. Cut points come from
+    the hot groups' sampled rows only. Both only steer the balance of work;
+    any answer gives the same numbers."""
     from pyspark import StorageLevel
 
-    spark = keyed.sparkSession
     target = SAMPLE_ROWS_PER_RANGE * n_ranges
     # A 0.01% probe (group key only, nothing kept) estimates the row count;
     # the sample then takes the fraction that reaches ``target`` rows (all
     # rows when the input is small).
-    probe = keyed.select(_GK).sample(False, PROBE_FRACTION, SAMPLE_SEED).count()
-    estimate = probe / PROBE_FRACTION
-    if estimate < MIN_SPLIT_ROWS:
-        return [], []
+    estimate = keyed.select(_GK).sample(False, PROBE_FRACTION, SAMPLE_SEED).count() / PROBE_FRACTION
     fraction = target / estimate if estimate > target else 1.0
     source = keyed if fraction >= 1.0 else keyed.sample(False, fraction, SAMPLE_SEED + 1)
     sample = source.select(_GK, *keys).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        # One job: per-group counts of the sample and their total (the count
-        # table has at most ``target`` rows, so one partition for the total
-        # is bounded), then the groups holding at least 1/n_ranges of it.
-        counts = sample.groupBy(_GK).count()
-        total = F.sum("count").over(Window.partitionBy(F.lit(0)))
-        hot_rows = counts.withColumn("_tf_total", total) \
-            .where((F.col("count") >= 2) & (F.col("count") * n_ranges >= F.col("_tf_total"))).select(_GK).collect()
-        hot = [r[_GK] for r in hot_rows]
-        if not hot:
-            return [], []
-        hot_df = spark.createDataFrame([(k,) for k in hot], T.StructType([
+        total = sample.count()
+        hot = sample.groupBy(_GK).count().where((F.col("count") >= 2) & (F.col("count") * n_ranges >= total)) \
+            .select(_GK).collect()
+        hot_df = keyed.sparkSession.createDataFrame([(r[_GK],) for r in hot], T.StructType([
             T.StructField(_GK, keyed.schema[_GK].dataType, False)]))
         probs = [i / n_ranges for i in range(1, n_ranges)]
         hot_sample = sample.join(F.broadcast(hot_df), _GK, "left_semi")
-        cuts = hot_sample.approxQuantile(keys, probs, 1.0 / (4 * n_ranges)) if probs else [[] for _ in keys]
-        return hot, cuts
+        cuts = hot_sample.approxQuantile(keys, probs, 1.0 / (4 * n_ranges)) if hot and probs else [[] for _ in keys]
+        return hot_df, cuts
     finally:
         sample.unpersist()
 
 
 def _with_ranges(df: DataFrame, group_cols: list[str], order_cols: list[str], n_ranges: int | None):
     """Add the group struct ``_tf_gkey``, a hot-group flag and a range id that
-    never decreases along ``order_cols``; returns ``(frame, any_hot)``.
+    never decreases along ``order_cols``.
 
     Only hot groups are cut into ranges: quantile ranges of the first order
     column and, for rows holding exactly the lower cut point of their range
@@ -166,15 +150,13 @@ def _with_ranges(df: DataFrame, group_cols: list[str], order_cols: list[str], n_
     light = keyed.withColumn(_BKT, F.lit(0).cast("bigint")).withColumn(_HEAVY, F.lit(False))
     levels = _levels(df, order_cols)
     if levels is None:
-        return light, False
+        return light
     keys = [f"{_KEY}{i}" for i in range(len(levels))]
     for k, lv in zip(keys, levels):
         keyed = keyed.withColumn(k, lv)
     hot, cuts = _plan_split(keyed, keys, n_ranges)
-    if not hot:
-        return light, False
-    marked = keyed.withColumn(_HEAVY, _is_hot(group_cols, hot))
-    splits = [[float("-inf")] + sorted({c for c in cs if c == c}) + [float("inf")] for cs in cuts]
+    marked = _marked(keyed, hot)
+    splits = [[float("-inf")] + (sorted({c for c in cs if c == c}) or [0.0]) + [float("inf")] for cs in cuts]
     outs = [f"{_BKT}{i}" for i in range(len(keys))]
     bucketed = Bucketizer(splitsArray=splits, inputCols=keys, outputCols=outs, handleInvalid="keep").transform(marked)
     # Spark sorts nulls first: a null key gets range 0, values 1..n.
@@ -189,50 +171,25 @@ def _with_ranges(df: DataFrame, group_cols: list[str], order_cols: list[str], n_
     # Never null; saying so keeps the planner from adding an inferred
     # ``isnotnull`` filter that would compute the range id a second time.
     rid = F.coalesce(F.when(F.col(_HEAVY), rid).otherwise(F.lit(0)), F.lit(0)).cast("bigint")
-    return bucketed.withColumn(_BKT, rid).drop(*keys, *outs), True
-
-
-def _is_hot(group_cols: list[str], hot: list) -> Column:
-    """Membership in the (at most n_ranges) hot groups as a literal set test:
-    no join, evaluated in generated code."""
-    def one(col: Column, values: list) -> Column:
-        present = [v for v in values if v is not None]
-        test = col.isin(*present) if present else F.lit(False)
-        if len(present) < len(values):
-            test = test | col.isNull()
-        return F.coalesce(test, F.lit(False))
-
-    if len(group_cols) == 1:
-        return one(F.col(group_cols[0]), [k[0] for k in hot])
-    # several group columns: all must match one hot key (null-safe)
-    tests = [F.lit(True)]
-    tests = [_and([F.col(c).eqNullSafe(F.lit(k[i])) for i, c in enumerate(group_cols)]) for k in hot]
-    out = tests[0]
-    for t in tests[1:]:
-        out = out | t
-    return F.coalesce(out, F.lit(False))
+    return bucketed.withColumn(_BKT, rid).drop(*keys, *outs)
 
 
-def _and(cols: list[Column]) -> Column:
-    out = cols[0]
-    for c in cols[1:]:
-        out = out & c
-    return out
+def _marked(keyed: DataFrame, hot: DataFrame) -> DataFrame:
+    """``keyed`` with the hot-group flag. At most n_ranges keys are hot, so
+    they are broadcast; struct equality treats null fields as equal."""
+    flags = hot.select(F.col(_GK).alias("_tf_hk"), F.lit(True).alias("_tf_hot"))
+    return keyed.join(F.broadcast(flags), F.col(_GK) == F.col("_tf_hk"), "left") \
+        .withColumn(_HEAVY, F.coalesce(F.col("_tf_hot"), F.lit(False))).drop("_tf_hk", "_tf_hot")
 
 
 def _ordered(df: DataFrame, group_cols: list[str], order_cols: list[str], out_col: str,
              local: Column, total: Column, n_ranges: int | None) -> DataFrame:
-    ranged, split = _with_ranges(df, group_cols, order_cols, n_ranges)
-    frame = Window.unboundedPreceding, Window.currentRow
-    if not split:
-        # no hot group: every group is small, the plain window is right
-        w = Window.partitionBy(*group_cols).orderBy(*order_cols).rowsBetween(*frame)
-        return df.withColumn(out_col, local.over(w).cast("bigint"))
+    ranged = _with_ranges(df, group_cols, order_cols, n_ranges)
     # The group travels as one struct column: struct equality treats null
     # fields as equal (null groups stay groups), and the join below is on the
     # very columns the window is partitioned by, so the rows are shuffled
     # once, for the window, and never again for the join.
-    w = Window.partitionBy(_GK, _BKT).orderBy(*order_cols).rowsBetween(*frame)
+    w = Window.partitionBy(_GK, _BKT).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     within = ranged.withColumn("_tf_local", local.over(w))
     # range totals of hot groups only: at most (hot groups) x (ranges) rows
     totals = ranged.where(F.col(_HEAVY)).groupBy(_GK, _BKT).agg(total.alias("_tf_n"))
@@ -282,15 +239,8 @@ def neighbor_values(df: DataFrame, group_cols, order_cols, cols, step: int = -1,
         raise ValueError("step must be -1 or 1")
     prefix = prefix or ("prev_" if step < 0 else "next_")
     shift = F.lag if step < 0 else F.lead
-    ranged, split = _with_ranges(df, group_cols, order_cols, n_ranges)
+    ranged = _with_ranges(df, group_cols, order_cols, n_ranges)
     carried = cols + ["_tf_one"]
-    if not split:
-        w = Window.partitionBy(*group_cols).orderBy(*order_cols)
-        out = df.withColumn("_tf_one", F.lit(True))
-        for c in carried:
-            name = f"{prefix}exists" if c == "_tf_one" else f"{prefix}{c}"
-            out = out.withColumn(name, shift(c).over(w))
-        return out.withColumn(f"{prefix}exists", F.coalesce(F.col(f"{prefix}exists"), F.lit(False))).drop("_tf_one")
     ranged = ranged.withColumn("_tf_one", F.lit(True))
     w = Window.partitionBy(_GK, _BKT).orderBy(*order_cols)
     within = ranged

@@ -39,7 +39,8 @@ def test_stream_job_state_equals_batch(spark, tmp_path):
 
 
 def test_stream_transitions_equal_batch(spark, tmp_path):
-    # A job's events arrive in seq order: one file per seq range, written in order.
+    # One file per seq range, read in order; the delay covers the whole range of
+    # times, and one far later event of another job lets the watermark pass all.
     ev = FX.job_events(spark, SF_SMALL).withColumn("ts", F.col("ts").cast("timestamp"))
     d = tmp_path / "ordered"
     d.mkdir()
@@ -48,9 +49,11 @@ def test_stream_transitions_equal_batch(spark, tmp_path):
         part = pdf[(pdf["seq"] > lo) & (pdf["seq"] <= lo + 5)]
         part.to_json(d / f"part-{i:04d}.json", orient="records", lines=True)
         os.utime(d / f"part-{i:04d}.json", (1_700_000_000 + i, 1_700_000_000 + i))
+    (d / "part-9999.json").write_text(json.dumps({"job_id": -1, "seq": 1, "ts": "2099-01-01 00:00:00", "status": "queued"}))
+    os.utime(d / "part-9999.json", (1_700_009_999, 1_700_009_999))
     d = str(d)
     stream = spark.readStream.schema(SJ.EVENT_SCHEMA).option("maxFilesPerTrigger", 1).json(d)
-    got = _run_memory(SJ.stream_transitions(stream), "transitions_stream", "append")
+    got = _run_memory(SJ.stream_transitions(stream, watermark="400 days"), "transitions_stream", "append")
     got_counts = got.groupBy("from_status", "to_status", "allowed").count()
     want = J.status_transitions(ev).select("from_status", "to_status", "allowed", "count")
     assert sorted(map(tuple, got_counts.collect())) == sorted(map(tuple, want.collect()))
@@ -88,7 +91,9 @@ def test_stream_interrupted_by_event_time(spark, tmp_path):
 def test_stream_validate_equals_batch(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
+    (src / "not_an_id.jsonl").write_text("{}\n")
     hexid = "0123456789abcdef" * 2
+    (src / f"{hexid}_x.jsonl.part").write_text("{}\n")
     good = "\n".join(json.dumps({"k": i}) for i in range(3)) + "\n"
     (src / f"{hexid}_a.jsonl").write_text(good)
     (src / f"{hexid}_b.jsonl").write_text(good + "[1]\n{bad\n")
@@ -99,6 +104,7 @@ def test_stream_validate_equals_batch(spark, tmp_path):
     q.awaitTermination(300)
     got = {os.path.basename(r.file_id): (r.error, r.record_count, r.valid)
            for r in spark.read.parquet(f"{out}/verdicts").collect()}
+    assert {r.upload_id for r in spark.read.parquet(f"{out}/verdicts").collect()} == {hexid}
     batch = {r.filename: (r.error, r.record_count if r.error is None else None, r.valid)
              for r in V.validate_files(spark, str(src), ("k",), 3).collect()}
     assert {k.split("_", 1)[1]: (v[0], v[1] if v[0] is None else None, v[2] if v[0] is None else None)
@@ -132,10 +138,64 @@ def test_upsert_latest_is_versioned_and_idempotent(spark, tmp_path):
     assert sinks.upsert_latest(first, table) == 1
     second = spark.createDataFrame([(1, "completed", 0.5), (3, "queued", 2.0)], "job_id long, status string, updated_at double")
     assert sinks.upsert_latest(second, table) == 2
-    assert sinks.upsert_latest(second, table, version=2) == 2  # retried batch: no new version
-    cur = {r.job_id: r.status for r in sinks.read_versioned(spark, table).collect()}
-    assert cur == {1: "completed", 2: "queued", 3: "queued"}
-    assert sinks.committed_versions(spark, table) == [1, 2]
+    third = spark.createDataFrame([(3, "running", 0.1)], second.schema)
+    assert sinks.upsert_latest(third, table, token="q-7") == 3
+    assert sinks.upsert_latest(third, table, token="q-7") == 3  # retried batch: no new version
+    cur = {r.job_id: r.status for r in sinks.read_upserted(spark, table).collect()}
+    assert cur == {1: "completed", 2: "queued", 3: "running"}
+    assert sinks.committed_versions(spark, table) == [1, 2, 3]
+
+
+def test_upsert_compaction_keeps_every_key(spark, tmp_path):
+    table = str(tmp_path / "jobs")
+    for i in range(9):
+        df = spark.createDataFrame([(f"{i % 4:032x}", f"s{i}", float(i))], "job_id string, status string, updated_at double")
+        sinks.upsert_latest(df, table, token=f"q-{i}", compact_after=3)
+    cur = {r.job_id[-1]: r.status for r in sinks.read_upserted(spark, table).collect()}
+    assert cur == {"0": "s8", "1": "s5", "2": "s6", "3": "s7"}
+    assert len(sinks._commits(spark, table)) < 9  # superseded folders are gone
+
+
+def test_two_writers_under_one_version_lose_nothing(spark, tmp_path):
+    import shutil
+    table, other = str(tmp_path / "a"), str(tmp_path / "b")
+    schema = "job_id long, status string, updated_at double"
+    sinks.upsert_latest(spark.createDataFrame([(1, "x", 1.0)], schema), table, token="one")
+    sinks.upsert_latest(spark.createDataFrame([(2, "y", 1.0)], schema), other, token="two")
+    shutil.copytree(f"{other}/v=0000000001.two", f"{table}/v=0000000001.two")
+    assert {r.job_id for r in sinks.read_upserted(spark, table).collect()} == {1, 2}
+
+
+def test_new_checkpoint_over_an_old_job_table_loses_nothing(spark, tmp_path):
+    table = str(tmp_path / "jobs")
+    for n, (job, status) in enumerate([("a" * 32, "running"), ("b" * 32, "queued")]):
+        d = tmp_path / f"ev{n}"
+        d.mkdir()
+        (d / "part.json").write_text(json.dumps({"job_id": job, "seq": 1, "ts": "2024-01-01T00:00:00Z", "status": status}))
+        stream = spark.readStream.schema(SJ.event_schema()).json(str(d))
+        SJ.sink_job_state(stream, table, str(tmp_path / f"ckpt{n}")).awaitTermination(300)
+    got = {r.job_id: r.status for r in sinks.read_upserted(spark, table).collect()}
+    assert got == {"a" * 32: "running", "b" * 32: "queued"}
+
+
+def _transitions_of(spark, d, name):
+    stream = spark.readStream.schema(SJ.event_schema()).option("maxFilesPerTrigger", 1).json(str(d))
+    out = _run_memory(SJ.stream_transitions(stream), name, "append")
+    return sorted((r.job_id[0], r.from_status, r.to_status) for r in out.collect())
+
+
+def test_stream_transitions_take_late_events_in_order(spark, tmp_path):
+    d = tmp_path / "late"
+    d.mkdir()
+    job, tick = "a" * 32, "f" * 32
+    files = [[(job, 1, "00:00", "queued"), (job, 3, "00:04", "running")], [(job, 2, "00:02", "loading")],
+             [(tick, 1, "05:00", "queued")], [(tick, 2, "06:00", "loading")]]
+    for i, rows in enumerate(files):
+        (d / f"p{i}.json").write_text("\n".join(json.dumps(
+            {"job_id": j, "seq": s, "ts": f"2024-01-01T{t}:00Z", "status": st}) for j, s, t, st in rows))
+        os.utime(d / f"p{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))
+    assert [x for x in _transitions_of(spark, d, "late_transitions") if x[0] == "a"] == \
+        [("a", "loading", "running"), ("a", "queued", "loading")]
 
 
 def test_publish_split_and_training_text(spark, tmp_path):
@@ -147,7 +207,8 @@ def test_publish_split_and_training_text(spark, tmp_path):
     assert got == {(1, "published"), (2, "quarantined")}
     tt = FX.records(spark, SF_SMALL).select("record_id", F.lit("x").alias("text"))
     sinks.write_training_text(tt, str(tmp_path / "tt"), 3)
-    assert spark.read.parquet(str(tmp_path / "tt")).count() == 34
+    table = spark.read.parquet(str(tmp_path / "tt"))
+    assert table.columns == ["text"] and table.count() == 34
 
 
 def test_stream_job_state_into_versioned_table(spark, tmp_path):
@@ -158,6 +219,6 @@ def test_stream_job_state_into_versioned_table(spark, tmp_path):
     q.awaitTermination(300)
     assert len(sinks.committed_versions(spark, table)) >= 2
     cols = ["job_id", "status", "step", "loss", "error"]
-    got = sinks.read_versioned(spark, table).select(*cols)
+    got = sinks.read_upserted(spark, table).select(*cols)
     want = J.fold_state(ev).select(*cols)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

@@ -4,11 +4,12 @@ output appears as a whole or not at all, marked by ``_SUCCESS``."""
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_VERSION = re.compile(r"^v=(\d+)$")
+_VERSION = re.compile(r"^v=(\d+)(?:\.(.+))?$")
 
 
 def write_manifests(df: DataFrame, path: str, partition_by: str | None = "source", mode: str = "append") -> None:
@@ -21,10 +22,10 @@ def write_manifests(df: DataFrame, path: str, partition_by: str | None = "source
 
 def write_training_text(df: DataFrame, path: str, shards: int, key: str = "record_id", text: str = "text",
                         mode: str = "overwrite") -> None:
-    """The one-column training table, in ``shards`` files split by key range
-    (so each file covers a contiguous, sorted key range) (B3)."""
-    df.select(key, text).repartitionByRange(shards, key).sortWithinPartitions(key) \
-        .write.mode(mode).parquet(path)
+    """The training table, one ``text`` column, in ``shards`` files split by
+    key range (each file holds a contiguous, sorted key range) (B3)."""
+    df.select(key, F.col(text).alias("text")).repartitionByRange(shards, key).sortWithinPartitions(key) \
+        .select("text").write.mode(mode).parquet(path)
 
 
 def publish_if_wellformed(lines: DataFrame, states: DataFrame, out_dir: str, file_col: str = "file_id",
@@ -38,7 +39,7 @@ def publish_if_wellformed(lines: DataFrame, states: DataFrame, out_dir: str, fil
         .write.mode(mode).partitionBy("state").parquet(out_dir)
 
 
-# --- versioned last-write-wins table (B2) -------------------------------------------
+# --- versioned tables (B2) -----------------------------------------------------------
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -46,8 +47,9 @@ def _fs(spark: SparkSession, path: str):
     return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath, jvm
 
 
-def committed_versions(spark: SparkSession, table_dir: str) -> list[int]:
-    """Versions whose write finished (``_SUCCESS`` present), ascending."""
+def _commits(spark: SparkSession, table_dir: str) -> list[tuple[int, str, str]]:
+    """``(version, token, folder name)`` of every finished write (``_SUCCESS``
+    present), ascending. The list is bounded: old folders are pruned."""
     fs, root, jvm = _fs(spark, table_dir)
     if not fs.exists(root):
         return []
@@ -55,56 +57,91 @@ def committed_versions(spark: SparkSession, table_dir: str) -> list[int]:
     for st in fs.listStatus(root):
         m = _VERSION.match(st.getPath().getName())
         if st.isDirectory() and m and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append(int(m.group(1)))
+            out.append((int(m.group(1)), m.group(2) or "", m.group(0)))
     return sorted(out)
 
 
-def read_versioned(spark: SparkSession, table_dir: str) -> DataFrame | None:
-    versions = committed_versions(spark, table_dir)
-    if not versions:
-        return None
-    return spark.read.parquet(f"{table_dir.rstrip('/')}/v={versions[-1]:010d}")
+def committed_versions(spark: SparkSession, table_dir: str) -> list[int]:
+    return sorted({v for v, _, _ in _commits(spark, table_dir)})
 
 
-def upsert_latest(batch: DataFrame, table_dir: str, key: str = "job_id", order: str = "updated_at",
-                  version: int | None = None, keep_versions: int = 3) -> int:
-    """Merge ``batch`` into the table: per ``key`` the row with the highest
-    (write version, ``order``) wins, so a later write beats an earlier one.
-    The result is written as a new version directory; readers only see
-    versions with ``_SUCCESS``, so the switch is atomic. Passing a fixed
-    ``version`` (e.g. a streaming batch id + 1) makes a retried write a
-    no-op once that version is committed. Returns the version written."""
-    spark = batch.sparkSession
-    versions = committed_versions(spark, table_dir)
-    current_v = versions[-1] if versions else 0
-    new_v = version if version is not None else current_v + 1
-    if new_v in versions:
-        return new_v
-    cols = batch.columns
-    incoming = batch.withColumn("_w", F.lit(new_v))
-    if versions:
-        current = spark.read.parquet(f"{table_dir.rstrip('/')}/v={current_v:010d}").select(*cols) \
-            .withColumn("_w", F.lit(current_v))
-        incoming = current.unionByName(incoming)
-    winner = incoming.groupBy(key).agg(
-        F.max_by(F.struct(*[c for c in cols if c != key]), F.struct("_w", order)).alias("_r"))
-    winner.select(key, "_r.*").write.mode("overwrite").parquet(f"{table_dir.rstrip('/')}/v={new_v:010d}")
-    _prune(spark, table_dir, keep_versions)
-    return new_v
+def read_versioned(spark: SparkSession, table_dir: str) -> DataFrame | None:
+    """The newest whole version (``write_versioned``)."""
+    commits = _commits(spark, table_dir)
+    return spark.read.parquet(f"{table_dir.rstrip('/')}/{commits[-1][2]}") if commits else None
 
 
 def write_versioned(df: DataFrame, table_dir: str, keep_versions: int = 3) -> int:
     """Write ``df`` as the next version of ``table_dir`` (whole replacement)."""
     spark = df.sparkSession
-    versions = committed_versions(spark, table_dir)
-    new_v = (versions[-1] if versions else 0) + 1
+    commits = _commits(spark, table_dir)
+    new_v = (commits[-1][0] if commits else 0) + 1
     df.write.mode("overwrite").parquet(f"{table_dir.rstrip('/')}/v={new_v:010d}")
-    _prune(spark, table_dir, keep_versions)
+    _delete(spark, table_dir, [name for _, _, name in _commits(spark, table_dir)[:-keep_versions]])
     return new_v
 
 
-def _prune(spark: SparkSession, table_dir: str, keep: int) -> None:
-    versions = committed_versions(spark, table_dir)
+def _delete(spark: SparkSession, table_dir: str, names: list[str]) -> None:
     fs, root, jvm = _fs(spark, table_dir)
-    for v in versions[:-keep] if keep > 0 else []:
-        fs.delete(jvm.org.apache.hadoop.fs.Path(root, f"v={v:010d}"), True)
+    for name in names:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(root, name), True)
+
+
+# --- last-write-wins table (B2) -------------------------------------------------------
+#
+# Every write adds a folder ``v=<version>.<token>`` with its own rows only; the
+# newest (version, token) of a key wins when the table is read. Writers
+# therefore lose nothing of each other, even under the same version number,
+# and merging a folder twice changes nothing.
+
+_W = "_tf_write"
+
+
+def _merged(spark: SparkSession, table_dir: str, names: list[str], key: str) -> DataFrame:
+    rows = spark.read.option("mergeSchema", "true").parquet(*[f"{table_dir.rstrip('/')}/{n}" for n in names])
+    rest = [c for c in rows.columns if c not in (key, _W)]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), _W).alias("_r"), F.max(_W).alias(_W)) \
+        .select(key, "_r.*", _W)
+
+
+def read_upserted(spark: SparkSession, table_dir: str, key: str = "job_id") -> DataFrame | None:
+    """The current row of every key, or None if nothing was written yet."""
+    names = [name for _, _, name in _commits(spark, table_dir)]
+    return _merged(spark, table_dir, names, key).drop(_W) if names else None
+
+
+def upsert_latest(batch: DataFrame, table_dir: str, key: str = "job_id", order: str = "updated_at",
+                  token: str | None = None, compact_after: int = 20) -> int:
+    """Add ``batch`` to the table: per ``key`` a later write beats an earlier
+    one, and inside a write the row with the highest ``order`` wins. Each write
+    takes a version above the newest; only its own rows are written.
+
+    ``token`` names the write (a stream: query id and batch id): a write whose
+    token is committed already is a no-op. Every ``compact_after`` folders they
+    are merged into one; folders older than the compaction before that one are
+    then removed, so readers have that long to finish. Returns the version."""
+    spark = batch.sparkSession
+    commits = _commits(spark, table_dir)
+    for v, known, _ in commits:
+        if token is not None and known == token:
+            return v
+    new_v = (commits[-1][0] if commits else 0) + 1
+    name = token if token is not None else uuid.uuid4().hex
+    rest = [c for c in batch.columns if c != key]
+    won = batch.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(key, "_r.*")
+    won.withColumn(_W, F.struct(F.lit(new_v).cast("bigint").alias("version"), F.lit(name).alias("token"))) \
+        .write.mode("overwrite").parquet(f"{table_dir.rstrip('/')}/v={new_v:010d}.{name}")
+    _compact(spark, table_dir, key, compact_after)
+    return new_v
+
+
+def _compact(spark: SparkSession, table_dir: str, key: str, after: int) -> None:
+    commits = _commits(spark, table_dir)
+    bases = [v for v, token, _ in commits if token.startswith("base-")]
+    if len([1 for v, _, _ in commits if not bases or v > bases[-1]]) < after:
+        return
+    base = f"v={commits[-1][0]:010d}.base-{uuid.uuid4().hex}"
+    _merged(spark, table_dir, [n for _, _, n in commits], key) \
+        .write.mode("overwrite").parquet(f"{table_dir.rstrip('/')}/{base}")
+    if bases:
+        _delete(spark, table_dir, [n for v, _, n in commits if v < bases[-1]])

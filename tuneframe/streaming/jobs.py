@@ -3,6 +3,7 @@ interrupted-job detection by event-time timeout (T4)."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -12,13 +13,19 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from tuneframe import constants as K
 from tuneframe.operators.jobs import fold_state
 
-EVENT_SCHEMA = T.StructType([
-    T.StructField("job_id", T.LongType()), T.StructField("seq", T.LongType()),
-    T.StructField("ts", T.TimestampType()), T.StructField("status", T.StringType()),
-    T.StructField("step", T.IntegerType()), T.StructField("total_steps", T.IntegerType()),
-    T.StructField("loss", T.DoubleType()), T.StructField("loss_named", T.BooleanType()),
-    T.StructField("error", T.StringType()), T.StructField("model_id", T.LongType()),
-])
+def event_schema(id_type: T.DataType | None = None) -> T.StructType:
+    """Progress events; job and model ids are strings unless told otherwise."""
+    id_type = id_type or T.StringType()
+    return T.StructType([
+        T.StructField("job_id", id_type), T.StructField("seq", T.LongType()),
+        T.StructField("ts", T.TimestampType()), T.StructField("status", T.StringType()),
+        T.StructField("step", T.IntegerType()), T.StructField("total_steps", T.IntegerType()),
+        T.StructField("loss", T.DoubleType()), T.StructField("loss_named", T.BooleanType()),
+        T.StructField("error", T.StringType()), T.StructField("model_id", id_type),
+    ])
+
+
+EVENT_SCHEMA = event_schema(T.LongType())
 
 
 def stream_job_state(events: DataFrame) -> DataFrame:
@@ -28,73 +35,84 @@ def stream_job_state(events: DataFrame) -> DataFrame:
     return fold_state(events)
 
 
-TRANSITION_SCHEMA = "job_id long, from_status string, to_status string, allowed boolean"
+def _id_type(events: DataFrame) -> str:
+    return events.schema["job_id"].dataType.simpleString()
 
 
-def stream_transitions(events: DataFrame, allowed=K.ALLOWED_TRANSITIONS) -> DataFrame:
-    """Each consecutive status pair of a job as it arrives, flagged against
-    the allowed pairs. Per job the state is just the last ``(seq, status)``.
-    Contract: a job's events arrive in ``seq`` order (a progress log is
-    written that way); an event older than the last one seen is skipped."""
+def stream_transitions(events: DataFrame, allowed=K.ALLOWED_TRANSITIONS, watermark: str = "10 minutes") -> DataFrame:
+    """Each consecutive status pair of a job in ``seq`` order, flagged against
+    the allowed pairs. Events wait in the job's state until the watermark has
+    passed their time and are then taken in ``seq`` order, so events may arrive
+    in any order within ``watermark``; Spark drops those that come later. The
+    state is the last ``(seq, status)`` and the waiting events, at most those
+    of one watermark delay."""
     allowed_set = {f"{a}>{b}" for a, b in allowed}
+    columns = ["job_id", "from_status", "to_status", "allowed"]
 
     def step(key, batches: Iterator, state):
         import pandas as pd
-        last_seq, last_status = (state.get if state.exists else (None, None))
-        rows = []
+        last_seq, last_status, waiting = state.get if state.exists else (None, None, "[]")
+        waiting = json.loads(waiting)
         for pdf in batches:
-            for seq, status in sorted(zip(pdf["seq"], pdf["status"]), key=lambda x: x[0]):
-                if last_seq is not None and seq <= last_seq:
-                    continue
-                if last_status is not None:
-                    rows.append((key[0], last_status, status, f"{last_status}>{status}" in allowed_set))
-                last_seq, last_status = int(seq), status
-        state.update((last_seq, last_status))
-        yield pd.DataFrame(rows, columns=["job_id", "from_status", "to_status", "allowed"])
-
-    return events.select("job_id", "seq", "status").groupBy("job_id").applyInPandasWithState(
-        step, TRANSITION_SCHEMA, "last_seq long, last_status string", "append", GroupStateTimeout.NoTimeout)
-
+            waiting += zip(pdf["seq"].tolist(), pdf["status"].tolist(), (pdf["ts"].astype("int64") // 1_000_000).tolist()
+                           if str(pdf["ts"].dtype).startswith("datetime64[ns") else
+                           [pd.Timestamp(t).value // 1_000_000 for t in pdf["ts"]])
+        passed = state.getCurrentWatermarkMs()
+        ready = sorted({(s, st) for s, st, ms in waiting if ms <= passed}, key=lambda x: (x[0], str(x[1])))
+        waiting = [w for w in waiting if w[2] > passed]
+        rows = []
+        for seq, status in ready:
+            if last_seq is not None and seq <= last_seq:
+                continue
+            if last_seq is not None:
+                rows.append((key[0], last_status, status, f"{last_status}>{status}" in allowed_set))
+            last_seq, last_status = seq, status
+        state.update((last_seq, last_status, json.dumps(waiting)))
+        if waiting:
+            state.setTimeoutTimestamp(max(min(w[2] for w in waiting), passed + 1))
+        yield pd.DataFrame(rows, columns=columns)
 
-INTERRUPTED_SCHEMA = "job_id long, status string, error string, message string, last_event string"
+    return events.withWatermark("ts", watermark).select("job_id", "seq", "status", "ts").groupBy("job_id") \
+        .applyInPandasWithState(
+            step, f"job_id {_id_type(events)}, from_status string, to_status string, allowed boolean",
+            "last_seq long, last_status string, waiting string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_interrupted(events: DataFrame, timeout: str = "1 hour", watermark: str = "10 minutes") -> DataFrame:
     """Active jobs that stay silent for ``timeout`` of event time are reported
-    failed with the fixed interruption error. Per job the state is its last
-    status and event time; an event-time timeout fires once the watermark
-    passes ``last event + timeout``. Jobs that finish drop their state."""
+    failed with the fixed interruption error. Per job the state is the event of
+    the highest ``seq``, so an older event that arrives late changes nothing; a
+    finished job keeps its state as long, so that no late event revives it. An
+    event-time timeout fires once the watermark passes ``last event +
+    timeout`` and removes the state."""
     timeout_ms = int(_pd_timedelta(timeout).total_seconds() * 1000)
+    columns = ["job_id", "status", "error", "message", "last_event"]
 
     def step(key, batches: Iterator, state):
         import pandas as pd
+        rows = []
         if state.hasTimedOut:
-            status, last_ts = state.get
+            _, status, last_ts = state.get
             state.remove()
             if status in K.ACTIVE_STATUSES:
-                yield pd.DataFrame([(key[0], "failed", K.INTERRUPTED_ERROR, K.INTERRUPTED_MESSAGE, last_ts)],
-                                   columns=["job_id", "status", "error", "message", "last_event"])
-            return
-        best = state.get if state.exists else (None, None)
-        best_seq = None
-        for pdf in batches:
-            for seq, status, ts in zip(pdf["seq"], pdf["status"], pdf["ts"]):
-                if best_seq is None or seq > best_seq:
-                    best_seq, best = seq, (status, str(ts))
-        status, last_ts = best
-        if status in K.ACTIVE_STATUSES:
-            state.update((status, last_ts))
-            due = int(pd.Timestamp(last_ts).value // 1_000_000) + timeout_ms
+                rows.append((key[0], "failed", K.INTERRUPTED_ERROR, K.INTERRUPTED_MESSAGE, last_ts))
+        else:
+            seen = [state.get] if state.exists else []
+            for pdf in batches:
+                top = pdf.loc[pdf["seq"].idxmax()]
+                seen.append((int(top["seq"]), top["status"], str(top["ts"])))
+            best = max(seen, key=lambda x: x[0])
+            state.update(tuple(best))
+            due = int(pd.Timestamp(best[2]).value // 1_000_000) + timeout_ms
             # Events that arrive after the watermark already passed their
             # deadline fire on the next batch.
             state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        else:
-            state.remove()
-        yield pd.DataFrame([], columns=["job_id", "status", "error", "message", "last_event"])
+        yield pd.DataFrame(rows, columns=columns)
 
     return events.withWatermark("ts", watermark).select("job_id", "seq", "status", "ts").groupBy("job_id") \
-        .applyInPandasWithState(step, INTERRUPTED_SCHEMA, "status string, last_ts string", "append",
-                                GroupStateTimeout.EventTimeTimeout)
+        .applyInPandasWithState(
+            step, f"job_id {_id_type(events)}, status string, error string, message string, last_event string",
+            "seq long, status string, last_ts string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _pd_timedelta(interval: str):
@@ -103,16 +121,18 @@ def _pd_timedelta(interval: str):
 
 
 def sink_job_state(events: DataFrame, table_dir: str, checkpoint: str, available_now: bool = True):
-    """Run ``stream_job_state`` into the versioned job table (T1 + B2).
+    """Run ``stream_job_state`` into the last-write-wins job table (T1 + B2).
 
     In ``update`` mode every micro-batch emits the complete current state of
     each job it touched (the state store keeps the rest), so writing those
-    rows last-write-wins per job is exact. Batch ``n`` writes version ``n+1``;
-    a batch replayed after a failure finds its version committed and skips."""
+    rows last-write-wins per job is exact. A write is named by the query's id
+    and the batch id: a batch replayed after a failure is skipped, while a new
+    checkpoint over an old table writes on above it."""
     from tuneframe.sinks import upsert_latest
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        upsert_latest(batch, table_dir, key="job_id", order="last_seq", version=batch_id + 1)
+        query = batch.sparkSession.read.schema("id string").json(f"{checkpoint.rstrip('/')}/metadata").first()["id"]
+        upsert_latest(batch, table_dir, key="job_id", order="last_seq", token=f"{query}-{batch_id}")
 
     w = stream_job_state(events).writeStream.outputMode("update").foreachBatch(write) \
         .option("checkpointLocation", checkpoint)

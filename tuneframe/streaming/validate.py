@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from tuneframe import constants as K
 from tuneframe.operators import validation as V
 from tuneframe.sinks import publish_if_wellformed
-from tuneframe.sources.files import number_scanned_lines
+from tuneframe.functions.text import split_stored_name
+from tuneframe.sources.files import file_path, is_dataset, list_datasets, number_scanned_lines
 
 
 def _report_empty_files(spark: SparkSession, in_dir: str, out_dir: str, batch_id: int) -> None:
@@ -25,17 +26,15 @@ def _report_empty_files(spark: SparkSession, in_dir: str, out_dir: str, batch_id
     batch ids below ``n``, so a replayed batch writes the same rows."""
     from pyspark.errors import AnalysisException
 
-    from tuneframe.sources.files import file_listing
-
-    empties = file_listing(spark, in_dir, recursive=False).where(F.col("length") == 0) \
-        .select(F.col("path").alias("file_id"))
+    empties = list_datasets(spark, in_dir).where(F.col("size_bytes") == 0) \
+        .select(F.col("file").alias("file_id"), "upload_id")
     try:
         seen = spark.read.parquet(f"{out_dir}/empty").where(F.col("batch_id") < batch_id).select("file_id")
         empties = empties.join(seen, "file_id", "left_anti")
     except AnalysisException:
         pass
     empties.select(
-        "file_id", F.lit(0).cast("bigint").alias("record_count"), F.lit(0).cast("bigint").alias("n_bad"),
+        "file_id", "upload_id", F.lit(0).cast("bigint").alias("record_count"), F.lit(0).cast("bigint").alias("n_bad"),
         F.lit(None).cast("bigint").alias("first_bad_line"), F.lit(None).cast("string").alias("first_bad_kind"),
         F.lit("").alias("missing_fields"), F.lit(False).alias("schema_valid"), F.lit(False).alias("valid"),
         F.lit(True).alias("utf8_ok"), F.lit(None).cast("string").alias("error")) \
@@ -50,9 +49,11 @@ def stream_validate(spark: SparkSession, in_dir: str, out_dir: str, checkpoint:
     ``out_dir/lines/batch=<id>/state=...`` and, with ``report_empty``,
     zero-byte files to ``out_dir/empty/batch_id=<id>``; all are overwritten
     when a batch is replayed, so the output is exactly-once per batch."""
-    raw = (spark.readStream.format("text").option("maxFilesPerTrigger", max_files_per_trigger).load(in_dir)
-           .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-                   F.col("value").alias("line")))
+    raw = (spark.readStream.format("text").option("maxFilesPerTrigger", max_files_per_trigger)
+           .option("pathGlobFilter", V.STORED_GLOB).load(in_dir)
+           .select(file_path().alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                   F.col("value").alias("line"))
+           .where(is_dataset(F.col("file"))))
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         lines = number_scanned_lines(batch.withColumn("_pos", F.monotonically_increasing_id()))
@@ -60,7 +61,8 @@ def stream_validate(spark: SparkSession, in_dir: str, out_dir: str, checkpoint:
         verdicts = V.file_verdicts(V.classify_lines(lines, "line", required, keep_blank=True), "file_id", "line_no",
                                    required, expected, extra_aggs=[F.bool_and("utf8_ok").alias("utf8_ok")])
         verdicts = verdicts \
-            .withColumn("error", F.when(~F.col("utf8_ok"), "utf8").when(F.col("n_bad") > 0, F.col("first_bad_kind")))
+            .withColumn("error", F.when(~F.col("utf8_ok"), "utf8").when(F.col("n_bad") > 0, F.col("first_bad_kind"))) \
+            .withColumn("upload_id", split_stored_name(F.substring_index("file_id", "/", -1))[0])
         # One folder per batch, overwritten: a batch replayed after a failure
         # (foreachBatch is at-least-once) replaces its own output.
         verdicts.write.mode("overwrite").parquet(f"{out_dir}/verdicts/batch_id={batch_id}")

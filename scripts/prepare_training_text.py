@@ -40,7 +40,7 @@ def prepare(spark: SparkSession, datasets_dir: str, out_dir: str, expected: int
     lines = read_lines(spark, datasets_dir).withColumnRenamed("file", "file_id").join(valid, "file_id", "left_semi")
     ok = V.classify_lines(lines, "line", K.REQUIRED_FIELDS).where(F.col("kind") == "ok")
     records = RO.records_from_lines(ok).withColumn(
-        "record_id", F.xxhash64("file_id", "line_no"))
+        "record_id", F.concat_ws(":", "file_id", F.lpad(F.col("line_no").cast("string"), 15, "0")))
     text = B.token_budget(RO.training_texts(records), "text", token_limit)
     sinks.write_training_text(text.select("record_id", F.col("kept_text").alias("text")), f"{out_dir}/text", shards)
     B.batch_plan(records, "record_id", epochs, batch_size).write.mode("overwrite").parquet(f"{out_dir}/batches")

@@ -46,6 +46,11 @@ def test_validate_model_dirs_error_priority(spark, tmp_path):
         "m13_badheader": (dict(base, **{"model.safetensors": st({"w": dict(T, data_offsets=[0, 99])})}),
                           "weight_invalid"),
         "m14_badmagic": ({"config.json": GOOD_CFG, "tokenizer.json": {}, "w.bin": b"nope"}, "weight_invalid"),
+        "m16_nan": (dict(base, **{"config.json": '{"model_type": "llama", "x": NaN, "y": 1, "y": 2}'}), None),
+        "m17_upper": (dict({k: v for k, v in base.items() if k != "tokenizer.json"}, **{"Tokenizer.JSON": [1]}),
+                      "tokenizer_invalid"),
+        "m18_confcase": ({("Config.json" if k == "config.json" else k): v for k, v in base.items()}, "no_config"),
+        "m19 space%20x": (base, None),
         "m15_nested": ({"sub/config.json": GOOD_CFG, "sub/tokenizer.json": {}, "sub/model.safetensors": st({"w": T}),
                         "outside.bin": b"bad!"}, None),
     }

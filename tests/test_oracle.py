@@ -9,11 +9,13 @@ import pytest
 
 import __spark_entry__ as E
 from tests.conftest import SF_SMALL
+from tuneframe.plans import catalog
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+E.queries()
+QUERIES = {k: v for k, v in catalog.QUERIES.items()}
+ORACLE = {k: v for k, v in catalog.ORACLE.items()}
 
 
 @pytest.fixture(scope="module")

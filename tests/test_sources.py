@@ -173,3 +173,34 @@ def test_empty_dataset_folder(spark, tmp_path):
     (tmp_path / "empty").mkdir()
     assert S.list_datasets(spark, str(tmp_path / "empty")).count() == 0
     assert V.validate_files(spark, str(tmp_path / "empty"), REQ, 3).count() == 0
+
+
+NAMES = ("with space", "per%20cent", "h#sh", "pl+us", "caf\u00e9 \u540d", "que?ry", "brack[et]")
+
+
+def test_names_with_special_characters(spark, tmp_path):
+    d = tmp_path / "a b%c"
+    d.mkdir()
+    for i, n in enumerate(NAMES):
+        (d / f"{i:032x}_{n}.jsonl").write_text((rec() + "\n") * (i + 1))
+    (d / f"{99:032x}_none here.jsonl").write_text("")
+    listed = {r.filename: r for r in S.list_datasets(spark, str(d)).collect()}
+    assert set(listed) == {f"{n}.jsonl" for n in NAMES} | {"none here.jsonl"}
+    assert all((r.size_bytes > 0) == (r.filename != "none here.jsonl") and r.modified for r in listed.values())
+    got = {r.filename: (r.error, r.record_count) for r in V.validate_files(spark, str(d), REQ, 1).collect()}
+    assert got == {f"{n}.jsonl": (None, i + 1) for i, n in enumerate(NAMES)} | {"none here.jsonl": (None, 0)}
+    table = str(tmp_path / "verdicts")
+    assert V.refresh_verdicts(spark, str(d), table, REQ, 1) == (1, len(NAMES) + 1)
+    assert V.refresh_verdicts(spark, str(d), table, REQ, 1) == (2, 0)
+
+
+def test_weights_in_folders_with_special_names(spark, tmp_path):
+    t = {"dtype": "F32", "shape": [4, 4], "data_offsets": [0, 64]}
+    odd = {"w\"quoted\\name": t, "n": float("nan")}
+    for n in NAMES:
+        (tmp_path / n).mkdir()
+        (tmp_path / n / f"{n} model.safetensors").write_bytes(_safetensors(odd))
+    heads = W.header_problems(W.read_weight_heads(spark, str(tmp_path)))
+    assert {(r.path.split("/")[-2], r.problem) for r in heads.collect()} == {(n, None) for n in NAMES}
+    files = S.list_artifacts(spark, str(tmp_path)).collect()
+    assert {r.rel_path for r in files} == {f"{n}/{n} model.safetensors" for n in NAMES}

@@ -9,14 +9,19 @@ well-formed non-object from broken JSON.
 
 from __future__ import annotations
 
+import json
+import math
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tuneframe.functions.text import col_of
 
 __all__ = ["JSON_OPTS", "parsed_map", "is_json_object", "is_json_value", "line_kind", "missing_keys",
            "KIND_OK", "KIND_INVALID", "KIND_NOT_OBJECT", "object_wrappers", "object_from_wrappers",
-           "kind_from_wrappers"]
+           "kind_from_wrappers", "json_document"]
 
 JSON_OPTS = {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}
 KIND_OK = "ok"
@@ -82,3 +87,30 @@ def missing_keys(fields_map, required) -> Column:
     """Required keys absent from the parsed object, in the given order."""
     req = F.array(*[F.lit(r) for r in required])
     return F.array_except(req, F.coalesce(F.map_keys(col_of(fields_map)), F.array().cast("array<string>")))
+
+
+def _finite(text: str) -> float:
+    x = float(text)
+    return x if math.isfinite(x) else 1.5
+
+
+@F.pandas_udf(T.StringType())
+def _plain_json(texts: pd.Series) -> pd.Series:
+    """The same document with the last of repeated keys, and 1.5 in place of
+    numbers that a variant cannot hold (none of the checks tells them apart)."""
+    def one(t):
+        try:
+            return None if t is None else json.dumps(json.loads(t, parse_float=_finite, parse_constant=lambda _: 1.5))
+        except (ValueError, RecursionError):
+            return None
+    return texts.map(one)
+
+
+def json_document(c) -> Column:
+    """The text as a variant, null unless it is one JSON object. Documents with
+    NaN, infinities or repeated keys are accepted, as Python accepts them; only
+    those are handed to Python."""
+    text = col_of(c)
+    ok = F.is_valid_utf8(text) & is_json_object(text)
+    native = F.when(ok, F.try_parse_json(text))
+    return F.coalesce(native, F.try_parse_json(_plain_json(F.when(ok & native.isNull(), text))))

@@ -9,13 +9,13 @@ from tuneframe import constants as K
 from tuneframe.functions.text import col_of, py_strip
 
 __all__ = ["as_text", "user_message", "training_text", "chat_messages", "role_tag_template",
-           "inference_prompt", "clean_response"]
+           "inference_message", "inference_prompt", "clean_response"]
 
 
 def as_text(c) -> Column:
     """String form of a field value as Python ``str`` prints the common cases:
     strings unchanged, null as ``None``. Non-string JSON values are handled by
-    ``tuneframe.operators.render.render_values``."""
+    ``tuneframe.operators.render.records_from_lines``."""
     return F.coalesce(col_of(c).cast("string"), F.lit("None"))
 
 
@@ -57,6 +57,12 @@ def role_tag_template(messages, add_generation_prompt: bool = False) -> Column:
     return body
 
 
+def inference_message(command, instruction: str = K.INFERENCE_INSTRUCTION, workflow: str = K.INFERENCE_WORKFLOW,
+                      success: str = K.INFERENCE_SUCCESS) -> Column:
+    """The user message around a stripped command, for chat templates."""
+    return user_message(F.lit(instruction), py_strip(command), F.lit(workflow), F.lit(success))
+
+
 def inference_prompt(command, instruction: str = K.INFERENCE_INSTRUCTION, workflow: str = K.INFERENCE_WORKFLOW,
                      success: str = K.INFERENCE_SUCCESS) -> Column:
     """Training-format prompt around a stripped command with an open response."""

@@ -25,7 +25,8 @@ def batch_infer(df: DataFrame, make_model: Callable[[], Generator], prompt: str
     """``make_model()`` returns ``generate(prompts, max_new_tokens) -> answers``
     (new text only, prompt tokens already dropped).
 
-    ``mode="map"``: ``mapInPandas``, the model is built once per task.
+    ``mode="map"``: ``mapInPandas``, the model is built once per task and fed
+    at most ``batch_size`` prompts at a time.
     ``mode="predict"``: ``pyspark.ml.functions.predict_batch_udf``, the model
     is cached per Python worker and fed ``batch_size`` prompts at a time (the
     usual choice for GPU executors)."""
@@ -37,7 +38,9 @@ def batch_infer(df: DataFrame, make_model: Callable[[], Generator], prompt: str
     def run(batches: Iterator) -> Iterator:
         generate = make_model()
         for pdf in batches:
-            answers = generate([p if p is not None else "" for p in pdf[prompt].tolist()], max_new_tokens)
+            texts = [p if p is not None else "" for p in pdf[prompt].tolist()]
+            answers = [a for i in range(0, len(texts), batch_size)
+                       for a in generate(texts[i:i + batch_size], max_new_tokens)]
             res = pdf[list(keep)].copy()
             res["_raw"] = answers
             yield res

@@ -8,8 +8,6 @@ are never walked file by file on the driver.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,17 +17,15 @@ from tuneframe.functions.paths import is_safe_path, normalise_path
 from tuneframe.operators.artifacts import has_suffix
 from tuneframe.operators.validation import check_architecture, check_tensors
 from tuneframe.session import ensure_checkpoint_dir
-from tuneframe.sources.files import list_artifacts, model_roots, read_json_assets
+from tuneframe.sources.files import list_artifacts, model_roots, read_json_assets, relative
 from tuneframe.sources.weights import header_problems, read_weight_heads, tensor_rows
 
 ERRORS = ("no_config", "config_invalid", "no_model_type", "bad_architectures", "not_causal_lm", "no_weights",
           "no_tokenizer", "tokenizer_invalid", "index_invalid", "missing_shards", "weight_invalid")
 
 
-def _upload_of(path_col, models_dir: str):
-    base = models_dir.rstrip("/").split(":", 1)[-1].lstrip("/")
-    rel = F.regexp_replace(path_col, r"^.*?" + re.escape(base) + "/", "")
-    return F.substring_index(rel, "/", 1)
+def _upload_of(spark: SparkSession, path_col, models_dir: str):
+    return F.substring_index(relative(spark, path_col, models_dir), "/", 1)
 
 
 def validate_model_dirs(spark: SparkSession, models_dir: str) -> DataFrame:
@@ -38,7 +34,7 @@ def validate_model_dirs(spark: SparkSession, models_dir: str) -> DataFrame:
     # The JSON assets and the weight headers feed several checks: each is read
     # once and kept as a reliable checkpoint in the shared checkpoint folder.
     ensure_checkpoint_dir(spark)
-    files = list_artifacts(spark, models_dir).withColumn("upload_id", _upload_of(F.col("path"), models_dir))
+    files = list_artifacts(spark, models_dir).withColumn("upload_id", _upload_of(spark, F.col("path"), models_dir))
     uploads = files.select("upload_id").distinct()
     assets = read_json_assets(spark, models_dir).checkpoint()
     roots = model_roots(assets)
@@ -94,7 +90,7 @@ def validate_model_dirs(spark: SparkSession, models_dir: str) -> DataFrame:
     heads = header_problems(read_weight_heads(spark, models_dir)).drop("header").checkpoint()
     tens = check_tensors(tensor_rows(heads))
     bad_tensor = tens.where(F.col("problem") != "ok").select("path").distinct().withColumn("_t_bad", F.lit(True))
-    weights = heads.join(bad_tensor, "path", "left").withColumn("upload_id", _upload_of(F.col("path"), models_dir)) \
+    weights = heads.join(bad_tensor, "path", "left").withColumn("upload_id", _upload_of(spark, F.col("path"), models_dir)) \
         .join(roots.select("upload_id", "model_dir"), "upload_id") \
         .where(F.col("path").startswith(F.concat(F.col("model_dir"), F.lit("/"))))
     w_bad = weights.where(F.col("problem").isNotNull() | F.coalesce(F.col("_t_bad"), F.lit(False))) \

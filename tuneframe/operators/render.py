@@ -40,14 +40,15 @@ def chat_texts(df: DataFrame, cols: dict | None = None, out: str = "text", templ
                            _f(df, "success_condition", cols), _f(df, "output", cols))
     if template is None:
         return df.withColumn(out, R.role_tag_template(msgs, add_generation_prompt))
+    return df.withColumn(out, _templated(template, add_generation_prompt)(msgs))
 
 
+def _templated(template, add_generation_prompt: bool):
     @F.pandas_udf(T.StringType())
     def apply_template(batch: pd.Series) -> pd.Series:
         convs = [[{"role": m["role"], "content": m["content"]} for m in row] for row in batch]
-        return pd.Series(template(convs, add_generation_prompt))
-
-    return df.withColumn(out, apply_template(msgs))
+        return pd.Series(template(convs, add_generation_prompt), index=batch.index)
+    return apply_template
 
 
 def clean_commands(df: DataFrame, command: str = "command", out: str = "command_clean",
@@ -70,44 +71,61 @@ def inference_prompts(df: DataFrame, command: str = "command", out: str = "promp
     return clean_commands(df, command).withColumn(out, prompt).drop("command_clean")
 
 
-def clean_responses(df: DataFrame, response: str = "response", out: str = "response") -> DataFrame:
-    return df.withColumn(out, R.clean_response(F.col(response)))
-
-
-def render_values(df: DataFrame, variant_col: str, out: str) -> DataFrame:
-    """Field values as Python ``str`` prints them (C25). Strings, booleans
-    and null are rendered natively; only other values (numbers, lists,
-    objects) are handed to a vectorised helper, which receives null for all
-    native rows."""
-    v = F.col(variant_col)
-    kind = F.schema_of_variant(v)
-    native = (F.when(v.isNull() | (kind == "VOID"), F.lit("None"))
-              .when(kind == "STRING", F.variant_get(v, "$", "string"))
-              .when(kind == "BOOLEAN", F.when(F.variant_get(v, "$", "boolean"), "True").otherwise("False")))
-    return df.withColumn(out, F.coalesce(native, _py_str(F.when(native.isNull(), F.to_json(v)))))
+def chat_inference_prompts(df: DataFrame, command: str = "command", out: str = "prompt", template=None,
+                           **texts) -> DataFrame:
+    """``inference_prompts`` for models with a chat template: one user message
+    (the four sections around the command) and an open assistant turn.
+    ``template`` is as in ``chat_texts``."""
+    msg = F.array(F.struct(F.lit("user").alias("role"),
+                           R.inference_message(F.col("command_clean"), **texts).alias("content")))
+    checked = clean_commands(df, command)
+    if template is None:
+        text = R.role_tag_template(msg, True)
+    else:
+        text = _templated(template, True)(msg)
+    return checked.withColumn(out, F.when(F.col("problem").isNull(), text)).drop("command_clean")
 
 
-@F.pandas_udf(T.StringType())
-def _py_str(js: pd.Series) -> pd.Series:
-    return js.map(lambda s: None if s is None else str(json.loads(s)))
+def clean_responses(df: DataFrame, response: str = "response", out: str = "response") -> DataFrame:
+    return df.withColumn(out, R.clean_response(F.col(response)))
 
 
 def records_from_lines(lines: DataFrame, line: str = "line", fields=FIELDS, keep=("file_id", "line_no")) -> DataFrame:
-    """Records of well-formed object lines with each field rendered as the
-    reference prints it: a duplicated key takes its last value, non-string
-    values print as Python ``str``, a missing field is null."""
+    """Records of well-formed object lines with each field rendered as Python
+    ``str`` prints it (C25): a duplicated key takes its last value, null prints
+    as ``None``, a missing field is null. Strings, booleans, null and 64-bit
+    integers are rendered natively; a line with any other value goes to Python
+    once, as a whole, since only its own text keeps key order, number forms,
+    NaN and long integers."""
     from tuneframe.functions.jsonl import JSON_OPTS
-    m = F.from_json(F.col(line), "map<string,variant>", JSON_OPTS)
-    cols = [F.col(k) for k in keep if k in lines.columns]
-    parsed = lines.select(*cols, F.map_entries(m).alias("_tf_e"))
+    entries = F.map_entries(F.from_json(F.col(line), "map<string,variant>", JSON_OPTS))
+    kept = [k for k in keep if k in lines.columns]
+    out = lines.select(*kept, F.col(line).alias("_tf_line"), entries.alias("_tf_e"))
+    simple, known = [], F.col("_tf_e").isNotNull()
     for f in fields:
         hits = F.filter(F.col("_tf_e"), _key_is(f))
-        parsed = parsed.withColumn(f"_tf_v_{f}", F.when(F.size(hits) > 0, F.element_at(hits, -1)["value"]))
-    out = parsed
-    for f in fields:
-        out = render_values(out, f"_tf_v_{f}", f).withColumn(
-            f, F.when(F.exists(F.col("_tf_e"), _key_is(f)), F.col(f)))
-    return out.drop("_tf_e", *[f"_tf_v_{f}" for f in fields])
+        out = out.withColumn(f"_tf_v_{f}", F.when(F.size(hits) > 0, F.element_at(hits, -1)["value"])) \
+            .withColumn(f"_tf_has_{f}", F.size(hits) > 0)
+        v, has = F.col(f"_tf_v_{f}"), F.col(f"_tf_has_{f}")
+        kind = F.schema_of_variant(v)
+        native = (F.when(v.isNull() | (kind == "VOID"), "None").when(kind == "STRING", F.variant_get(v, "$", "string"))
+                  .when(kind == "BOOLEAN", F.when(F.variant_get(v, "$", "boolean"), "True").otherwise("False"))
+                  .when(kind == "BIGINT", F.variant_get(v, "$", "bigint").cast("string")))
+        simple.append(F.when(has, native).alias(f))
+        known = known & (~has | native.isNotNull())
+    names = list(fields)
+
+    @F.pandas_udf(T.StructType([T.StructField(f, T.StringType()) for f in names]))
+    def by_python(texts: pd.Series) -> pd.DataFrame:
+        docs = [{} if t is None else json.loads(t) for t in texts]
+        return pd.DataFrame({f: [str(d[f]) if f in d else None for d in docs] for f in names}, columns=names,
+                            index=texts.index, dtype=object)
+
+    out = out.select(*kept, "_tf_line", F.coalesce(known, F.lit(False)).alias("_tf_known"),
+                     F.struct(*simple).alias("_tf_simple"))
+    out = out.withColumn("_tf_py", by_python(F.when(~F.col("_tf_known"), F.col("_tf_line"))))
+    return out.select(*kept, *[F.when(F.col("_tf_known"), F.col("_tf_simple")[f]).otherwise(F.col("_tf_py")[f]).alias(f)
+                               for f in names])
 
 
 def _key_is(name: str):

@@ -7,6 +7,8 @@ huge file is spread over all tasks (map-side combine) instead of one.
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -194,19 +196,22 @@ def validate_files(spark, dataset_dir: str, required=K.REQUIRED_FIELDS, expected
     Empty files are rows: count 0, not schema-valid."""
     from tuneframe.sources.files import list_datasets
 
-    return validate_listed(spark, list_datasets(spark, dataset_dir), dataset_dir, required, expected)
+    return validate_listed(spark, list_datasets(spark, dataset_dir), dataset_dir, required, expected,
+                           pathGlobFilter=STORED_GLOB)
+
+
+#: Names of stored datasets: 32 characters of id, ``_``, the file name.
+STORED_GLOB = "?" * 32 + "_*"
 
 
-def validate_listed(spark, listing: DataFrame, paths, required=K.REQUIRED_FIELDS,
-                    expected: int = K.EXPECTED_RECORDS, est_splits: int | None = None) -> DataFrame:
-    """``validate_files`` for the files of ``listing`` read from ``paths``
-    (a folder or a list of files)."""
-    from tuneframe.operators.joins import estimated_splits_of
+def validate_listed(spark, listing: DataFrame, folder: str, required=K.REQUIRED_FIELDS,
+                    expected: int = K.EXPECTED_RECORDS, **options) -> DataFrame:
+    """``validate_files`` for the files of ``listing``, all in ``folder``;
+    ``options`` (a name pattern, a time) tell the text source which of its
+    files it need not read."""
     from tuneframe.sources.files import read_lines
 
-    if est_splits is None and not isinstance(paths, str):
-        est_splits = estimated_splits_of(listing, "size_bytes")
-    lines = read_lines(spark, paths, est_splits).withColumnRenamed("file", "file_id")
+    lines = read_lines(spark, folder, recursive=False, **options).withColumnRenamed("file", "file_id")
     # Blank lines stay (kind null) so UTF-8 validity of every line rides in
     # the same per-file aggregation: the text is scanned once for verdicts.
     verdicts = file_verdicts(classify_lines(lines, "line", required, keep_blank=True), "file_id", "line_no",
@@ -238,24 +243,18 @@ def refresh_verdicts(spark, dataset_dir: str, table_dir: str, required=K.REQUIRE
 
     listing = list_datasets(spark, dataset_dir).persist()
     cached = read_versioned(spark, table_dir)
-    todo = listing if cached is None else listing.join(
-        cached.select("file", "size_bytes", "modified"), ["file", "size_bytes", "modified"], "left_anti")
-    todo = todo.persist()
-    # Only the names of files to read reach the driver (they are a read list).
-    paths = [r.file for r in todo.select("file").collect()]
-    if paths:
-        fresh = validate_listed(spark, todo, paths, required, expected)
-    else:
-        fresh = None
-    if cached is not None:
-        kept = cached.join(listing.select("file", "size_bytes", "modified"), ["file", "size_bytes", "modified"],
-                           "left_semi")
-        merged = kept if fresh is None else kept.unionByName(fresh.select(*kept.columns))
-    else:
-        merged = fresh if fresh is not None else None
-    if merged is None:
-        return 0, 0
-    version = write_versioned(merged, table_dir)
-    listing.unpersist()
-    todo.unpersist()
-    return version, len(paths)
+    key = ["file", "size_bytes", "modified"]
+    todo = (listing if cached is None else listing.join(cached.select(*key), key, "left_anti")).persist()
+    try:
+        n, oldest = todo.agg(F.count(F.lit(1)), F.unix_seconds(F.min("modified"))).first()
+        merged = None if cached is None else cached.join(listing.select(*key), key, "left_semi")
+        if n:
+            # Files older than every new or changed one are not opened.
+            since = datetime.fromtimestamp(oldest - 1, timezone.utc).strftime("%Y-%m-%dT%H:%M:%S")
+            fresh = validate_listed(spark, todo, dataset_dir, required, expected, pathGlobFilter=STORED_GLOB,
+                                    modifiedAfter=since, timeZone="UTC")
+            merged = fresh if merged is None else merged.unionByName(fresh.select(*merged.columns))
+        return (0, 0) if merged is None else (write_versioned(merged, table_dir), n)
+    finally:
+        listing.unpersist()
+        todo.unpersist()

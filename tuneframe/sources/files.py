@@ -1,75 +1,136 @@
 """File readers.
 
-All listings use the ``binaryFile`` source pruned to ``path, length,
-modificationTime``, so file contents are never read for a listing. Text is
-read with the line-oriented ``text`` source (``\\n``, ``\\r\\n`` and ``\\r``
-all end a line, as in Python's universal newlines); whole JSON documents with
-``wholetext``.
+Folders are listed in tasks (name, size and time of each file, empty ones
+included; contents are never read). Paths have one form everywhere, the plain
+one: Spark's ``_metadata.file_path`` is unescaped (``file_path``). Text is read with the
+line-oriented ``text`` source (``\\n``, ``\\r\\n`` and ``\\r`` all end a line,
+as in Python's universal newlines); whole JSON documents with ``wholetext``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import os
+from collections.abc import Iterator
+from urllib.parse import quote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tuneframe import constants as K
-from tuneframe.functions.jsonl import JSON_OPTS, is_json_object
+from tuneframe.functions.jsonl import JSON_OPTS, is_json_object, json_document
 from tuneframe.functions.text import is_upload_id, split_stored_name
-from tuneframe.operators.joins import broadcast_if_small, estimated_splits
+from tuneframe.session import shuffle_partitions
 
 BOM = "\ufeff"
-SPLIT_ROW_BYTES = 320  # path string + block, first position, count
-
-
-def file_listing(spark: SparkSession, path: str, recursive: bool, glob: str | None = None) -> DataFrame:
+#: Rows that a listing task hands over at a time.
+LIST_ROWS = 10_000
+_ENTRY = "path string, is_dir boolean, length bigint, millis bigint"
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its scheme, as file paths in Spark's frames begin."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
+def file_path() -> Column:
+    """The plain path of the file a row was read from."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
+def relative(spark: SparkSession, path_col, root: str) -> Column:
+    """The part of a file path below ``root``."""
+    return F.substr(path_col, F.lit(len(qualified(spark, root).rstrip("/")) + 2))
+
+
+def _children(folder: str) -> Iterator[tuple]:
+    """``(path, is_dir, length, millis)`` of every entry of one folder. Entries
+    that vanish meanwhile and links to folders are left out."""
+    if folder.startswith("file:"):
+        with os.scandir("/" + folder[5:].lstrip("/")) as entries:
+            for e in entries:
+                try:
+                    st = e.stat()
+                except FileNotFoundError:
+                    continue
+                is_dir = e.is_dir(follow_symlinks=False)
+                if is_dir or not e.is_dir():
+                    name = os.fsencode(e.name).decode("utf-8", "replace")
+                    yield f"{folder}/{name}", is_dir, st.st_size, st.st_mtime_ns // 1_000_000
+        return
+    from pyarrow import fs as pafs
+    fs, inner = pafs.FileSystem.from_uri(quote(folder, safe="/:@"))
+    for info in fs.get_file_info(pafs.FileSelector(inner)):
+        yield (f"{folder}/{info.base_name}", info.type == pafs.FileType.Directory, info.size or 0,
+               (info.mtime_ns or 0) // 1_000_000)
+
+
+def _list_folders(deep: bool):
+    """Entries of the given folders; with ``deep`` the files of all folders
+    below them, and files among the input as they are."""
+    def walk(folder: str) -> Iterator[tuple]:
+        open_folders = [folder]
+        while open_folders:
+            for entry in _children(open_folders.pop()):
+                if deep and entry[1]:
+                    open_folders.append(entry[0])
+                else:
+                    yield entry
+
+    def run(batches):
+        import pandas as pd
+        columns = ["path", "is_dir", "length", "millis"]
+        rows: list[tuple] = []
+        for pdf in batches:
+            for given in pdf[columns].itertuples(index=False, name=None):
+                for entry in walk(given[0]) if given[1] else [given]:
+                    rows.append(entry)
+                    if len(rows) >= LIST_ROWS:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows = []
+        yield pd.DataFrame(rows, columns=columns)
+    return run
+
+
+def file_listing(spark: SparkSession, path: str, recursive: bool) -> DataFrame:
     """``path, length, modificationTime`` of every file, empty ones included.
 
-    File scans drop zero-length files, so the file index Spark already built
-    on the driver (``inputFiles``) is joined back to add them with length 0."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    scan = reader.load(path)
-    listed = scan.select("path", "length", "modificationTime")
-    names = spark.createDataFrame([(p,) for p in scan.inputFiles()], "path string") \
-        .select(F.regexp_replace("path", "^file:///", "file:/").alias("path"))
-    return names.join(listed, "path", "left").select(
-        "path", F.coalesce(F.col("length"), F.lit(0).cast("bigint")).alias("length"), "modificationTime")
+    One task lists ``path`` itself, as a stream of rows; with ``recursive``
+    the folders in it are dealt out over tasks, each of which walks its own."""
+    root = spark.createDataFrame([(qualified(spark, path).rstrip("/"), True, 0, 0)], _ENTRY)
+    entries = root.coalesce(1).mapInPandas(_list_folders(False), _ENTRY)
+    if recursive:
+        entries = entries.repartition(shuffle_partitions(spark), "path").mapInPandas(_list_folders(True), _ENTRY)
+    return entries.where(~F.col("is_dir")).select("path", "length",
+                                                  F.timestamp_millis("millis").alias("modificationTime"))
 
 
-def read_lines(spark: SparkSession, path, est_splits: int | None = None) -> DataFrame:
+def read_lines(spark: SparkSession, path, recursive: bool = True, **options) -> DataFrame:
     """Every physical line of every file under ``path`` with its 1-based line
     number inside its file (A1, A2): ``file, line_no, line, utf8_ok``.
 
     Lines are numbered inside each input split from the scan position, and
     splits are shifted by the line counts of earlier splits of the same file.
-    The split table has one row per input split, never one per line, and no
-    line is shuffled. A byte-order mark is removed from the first line of a
-    file only."""
-    raw = spark.read.format("text").option("recursiveFileLookup", "true").load(path)
-    if est_splits is None:
-        est_splits = sum(estimated_splits(spark, p)[0] for p in ([path] if isinstance(path, str) else path))
-    scanned = raw.select(F.col("_metadata.file_path").alias("file"),
-                         F.col("_metadata.file_block_start").alias("block"),
-                         F.col("value").alias("line"),
-                         F.monotonically_increasing_id().alias("_pos"))
-    return number_scanned_lines(scanned, est_splits)
-
-
-def number_scanned_lines(scanned: DataFrame, est_splits: int | None = None) -> DataFrame:
+    The split table has one row per input split, never one per line. A
+    byte-order mark is removed from the first line of a file only. ``options``
+    go to the text source."""
+    raw = spark.read.format("text").options(recursiveFileLookup=str(recursive).lower(), **options).load(path)
+    return number_scanned_lines(raw.select(
+        file_path().alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.col("value").alias("line"), F.monotonically_increasing_id().alias("_pos")))
+
+
+def number_scanned_lines(scanned: DataFrame) -> DataFrame:
     """``file, block, line, _pos`` (scan order) -> ``file, line_no, line, utf8_ok``.
 
-    The split table (one row per input split) is broadcast when the estimated
-    number of splits keeps it within the broadcast budget, so the lines are
-    never shuffled; beyond that the planner joins it normally."""
+    The split table has one row per input split; the planner picks the join."""
     splits = scanned.groupBy("file", "block").agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select(F.col("file").alias("_o_file"), F.col("block").alias("_o_block"), "_first",
                             F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    if est_splits is not None:
-        offsets = broadcast_if_small(offsets, est_splits, SPLIT_ROW_BYTES)
     numbered = scanned.join(offsets, (F.col("file") == F.col("_o_file")) & (F.col("block") == F.col("_o_block")))
     line_no = (F.col("_before") + F.col("_pos") - F.col("_first") + 1).cast("bigint")
     first = (line_no == 1) & (F.col("block") == 0)
@@ -78,35 +139,30 @@ def number_scanned_lines(scanned: DataFrame, est_splits: int | None = None) -> D
                            F.is_valid_utf8(F.col("line")).alias("utf8_ok"))
 
 
+def is_dataset(path_col) -> Column:
+    """Whether a file is a stored dataset: ``<32 hex>_<name>``, not ``.part``."""
+    name = F.substring_index(path_col, "/", -1)
+    return is_upload_id(split_stored_name(name)[0]) & ~name.endswith(".part")
+
+
 def list_datasets(spark: SparkSession, path: str) -> DataFrame:
     """Stored datasets: ``<32 hex>_<name>`` files, ``.part`` files skipped (A3):
     ``file, upload_id, filename, size_bytes, modified``."""
-    files = file_listing(spark, path, recursive=False)
-    name = F.substring_index(F.col("path"), "/", -1)
-    uid, fname = split_stored_name(name)
-    out = files.select(F.col("path").alias("file"), uid.alias("upload_id"), fname.alias("filename"),
-                       F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"),
-                       name.alias("_name"))
-    return out.where(~F.col("_name").endswith(".part") & is_upload_id("upload_id")).drop("_name")
+    files = file_listing(spark, path, recursive=False).where(is_dataset(F.col("path")))
+    uid, fname = split_stored_name(F.substring_index(F.col("path"), "/", -1))
+    return files.select(F.col("path").alias("file"), uid.alias("upload_id"), fname.alias("filename"),
+                        F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
 
 
 def list_artifacts(spark: SparkSession, root: str) -> DataFrame:
     """Every file under a model folder (A6): ``path, rel_path, size, modified,
-    name`` (lower case). Names starting with ``_`` or ``.`` are not listed by
-    Spark's file sources."""
+    name`` (lower case)."""
     files = file_listing(spark, root, recursive=True)
-    base = root.rstrip("/")
-    rel = F.regexp_replace(F.col("path"), r"^.*?" + _re_escape(base.split(":", 1)[-1].lstrip("/")) + "/", "")
-    return files.select("path", rel.alias("rel_path"), F.col("length").alias("size"),
+    return files.select("path", relative(spark, F.col("path"), root).alias("rel_path"), F.col("length").alias("size"),
                         F.col("modificationTime").alias("modified"),
                         F.lower(F.substring_index(F.col("path"), "/", -1)).alias("name"))
 
 
-def _re_escape(s: str) -> str:
-    import re
-    return re.escape(s)
-
-
 MANIFEST_SCHEMA = T.StructType([
     T.StructField("upload_id", T.StringType()), T.StructField("source", T.StringType()),
     T.StructField("repo_id", T.StringType()), T.StructField("revision", T.StringType()),
@@ -125,7 +181,7 @@ def read_manifests(spark: SparkSession, models_dir: str, manifest_name: str = "u
     return (spark.read.schema(schema).option("multiLine", "true").option("recursiveFileLookup", "true")
             .option("pathGlobFilter", manifest_name).option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", "error").json(models_dir)
-            .withColumn("manifest_path", F.col("_metadata.file_path")))
+            .withColumn("manifest_path", file_path()))
 
 
 def read_documents(spark: SparkSession, root: str, glob: str) -> DataFrame:
@@ -134,14 +190,14 @@ def read_documents(spark: SparkSession, root: str, glob: str) -> DataFrame:
     the text is one JSON object)."""
     raw = (spark.read.format("text").option("wholetext", "true").option("recursiveFileLookup", "true")
            .option("pathGlobFilter", glob).load(root))
-    path = F.col("_metadata.file_path")
+    path = file_path()
     text = F.col("value")
     ok_obj = F.is_valid_utf8(text) & is_json_object(text)
     return raw.select(path.alias("path"),
                       F.regexp_replace(path, "/[^/]*$", "").alias("dir"),
                       F.lower(F.substring_index(path, "/", -1)).alias("name"),
                       text.alias("text"), F.is_valid_utf8(text).alias("utf8_ok"), ok_obj.alias("is_object"),
-                      F.when(ok_obj, F.try_parse_json(text)).alias("doc"))
+                      json_document(text).alias("doc"))
 
 
 JOB_SCHEMA = ("struct<job_id:string,status:string,progress:bigint,step:bigint,total_steps:bigint,loss:double,"
@@ -167,10 +223,10 @@ def read_json_assets(spark: SparkSession, models_dir: str, upload_of=None) -> Da
     """config.json, tokenizer.json and shard-index documents of model
     folders (A7): ``upload_id, path, dir, name, asset, depth, utf8_ok,
     is_object, doc``. ``upload_id`` is the first folder below ``models_dir``."""
-    base = models_dir.rstrip("/").split(":", 1)[-1]
-    docs = read_documents(spark, models_dir, "*.json")
-    rel = F.regexp_replace(F.col("path"), r"^.*?" + _re_escape(base.lstrip("/")) + "/", "")
-    asset = (F.when(F.col("name") == "config.json", "config").when(F.col("name") == "tokenizer.json", "tokenizer")
+    docs = read_documents(spark, models_dir, "*.[jJ][sS][oO][nN]")
+    rel = relative(spark, F.col("path"), models_dir)
+    # config.json is wanted by its exact name, the others in any case
+    asset = (F.when(F.col("path").endswith("/config.json"), "config").when(F.col("name") == "tokenizer.json", "tokenizer")
              .when(F.col("name").isin(*K.SHARD_INDEX_FILES), "shard_index"))
     # tokenizer.json can be large and only its shape matters: no parsed copy
     return docs.withColumn("_rel", rel).where(asset.isNotNull()).select(

@@ -10,12 +10,14 @@ of a ``.bin`` file. Local paths are opened directly; other schemes go through
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tuneframe import constants as K
+from tuneframe.functions.jsonl import json_document
 from tuneframe.sources.files import file_listing
 
 HEADER_SCHEMA = T.StructType([
@@ -24,21 +26,25 @@ HEADER_SCHEMA = T.StructType([
     T.StructField("magic", T.BinaryType()), T.StructField("read_error", T.StringType()),
 ])
 
+TENSOR_ENTRY = "map<string,variant>"
+
+#: Header bytes that a task gathers before it hands them over.
+HELD_BYTES = 8 << 20
+
 
 def _open(uri: str):
     if uri.startswith("file:"):
-        return open(uri[5:] if not uri.startswith("file://") else uri[7:], "rb")
-    if "://" not in uri and not uri.startswith("file:"):
-        return open(uri, "rb")
+        return open("/" + uri[5:].lstrip("/"), "rb")
     import pyarrow.fs as pafs
-    fs, p = pafs.FileSystem.from_uri(uri)
+    fs, p = pafs.FileSystem.from_uri(quote(uri, safe="/:@"))
     return fs.open_input_file(p)
 
 
 def _read_heads(batches: Iterator, max_header: int) -> Iterator:
     import pandas as pd
+    columns = [f.name for f in HEADER_SCHEMA.fields]
+    out, held = [], 0
     for pdf in batches:
-        out = []
         for path, size in zip(pdf["path"], pdf["length"]):
             row = {"path": path, "size": int(size), "header_len": None, "header": None, "magic": None,
                    "read_error": None}
@@ -56,7 +62,11 @@ def _read_heads(batches: Iterator, max_header: int) -> Iterator:
             except OSError as e:
                 row["read_error"] = type(e).__name__
             out.append(row)
-        yield pd.DataFrame(out, columns=[f.name for f in HEADER_SCHEMA.fields])
+            held += len(row["header"] or b"") + 256
+            if held >= HELD_BYTES:
+                yield pd.DataFrame(out, columns=columns)
+                out, held = [], 0
+    yield pd.DataFrame(out, columns=columns)
 
 
 def read_weight_heads(spark: SparkSession, root: str, max_header: int = K.SAFETENSORS_MAX_HEADER) -> DataFrame:
@@ -74,11 +84,9 @@ def header_problems(heads: DataFrame) -> DataFrame:
     ``bad_magic``, else null. Adds ``doc`` (header as a variant map)."""
     is_st = F.lower(F.col("path")).endswith(".safetensors")
     text = F.col("header").cast("string")
-    parsed = F.when(F.is_valid_utf8(text), F.try_parse_json(text))
-    doc = F.when(F.schema_of_variant(parsed).startswith("OBJECT"), parsed)
-    heads = heads.withColumn("doc", doc)
-    keys = F.json_object_keys(F.to_json(F.col("doc")))
-    n_tensors = F.size(F.filter(F.coalesce(keys, F.array().cast("array<string>")), lambda k: k != "__metadata__"))
+    heads = heads.withColumn("doc", json_document(text))
+    keys = F.map_keys(F.try_variant_get(F.col("doc"), "$", TENSOR_ENTRY))
+    n_tensors = F.size(F.array_remove(F.coalesce(keys, F.array().cast("array<string>")), "__metadata__"))
     magic_ok = F.coalesce(F.col("magic").startswith(F.lit(b"PK\x03\x04")) | F.col("magic").startswith(F.lit(b"\x80")),
                           F.lit(False))
     problem = (F.when(F.col("size") == 0, "empty")
@@ -91,9 +99,6 @@ def header_problems(heads: DataFrame) -> DataFrame:
     return heads.withColumn("problem", problem)
 
 
-TENSOR_ENTRY = "map<string,variant>"
-
-
 def tensor_rows(heads: DataFrame) -> DataFrame:
     """One row per declared tensor of each readable header: ``path,
     data_size, name, off_begin, off_end, shape`` (nulls where a field is not

@@ -17,7 +17,21 @@ WORD = r"[^\x20\x09-\x0D]+"
 STEP_CHARS = 2_000_000
 
 
+#: Rows that Spark hands to a Python worker at a time, unless the session says otherwise.
+BATCH_ROWS = 1_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for this session, so that a batch of long texts or
+    of whole shingle sets takes little memory in the executor and its Python
+    workers. A session that changed Spark's default of 10,000 keeps its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

@@ -14,28 +14,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tuneframe.llm import decontaminate, langid, mixing, pii, similarity_join
-from tuneframe.llm.common import table
+from tuneframe.llm.common import bounded_batches, table
 from tuneframe.session import ensure_checkpoint_dir
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID; documents that it rejects go."""
+    bounded_batches(spark)
     return langid.keep_known(docs, langid.train(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join; one document of each group stays, the one with the
     smallest id. Rows that repeat an id are told apart by their text."""
+    bounded_batches(spark)
     return similarity_join.keep_representatives(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark window go."""
+    bounded_batches(spark)
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind; n_chars follows the text."""
+    bounded_batches(spark)
     out = pii.redact(docs)
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
@@ -44,6 +48,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How often each document is in the mix; documents left out go."""
+    bounded_batches(spark)
     return mixing.mix(docs).where(F.col("copies") > 0)
 
 

@@ -13,7 +13,7 @@ for hash collisions) and runs in these steps:
    Documents with equal prefix and size make a group, and within it those
    with equal sets a class; only classes are joined, through their groups.
 3. Classes are listed under their prefix shingles. Lists are cut into blocks
-   of BLOCK rows ordered by size; block pairs are compared in one task each,
+   of about BLOCK rows ordered by size; block pairs are compared in one task each,
    with filters that lose nothing: size, position, and a parity bitmap of the
    set, whose bits give a lower bound of the symmetric difference. Classes
    without any passing partner are done.
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from tuneframe.session import shuffle_partitions
 
-from .common import fresh, mixed, saved, word_hashes
+from .common import fresh, mixed, saved, unit_hash, word_hashes
 from .components import components
 
 SHINGLE = 3
@@ -51,6 +51,8 @@ MAX_FREQUENT = 1 << 20
 #: Shingles with fewer documents than this are never counted as frequent.
 MIN_FREQUENT = 4
 BLOCK = 512
+#: Shingles of 2 ** HOT_LEVEL documents or more skip the neighbour test, whose window holds a whole list.
+HOT_LEVEL = 10
 #: Hashes that a task gathers before it deals them out.
 GATHER = 1 << 20
 #: Bits of the document filter when sets are read again.
@@ -145,18 +147,20 @@ def parity_bits(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def prefix_of(s: np.ndarray, bits: int, keys: np.ndarray, levels: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The set's first elements in the order of shingles."""
+def prefix_of(s: np.ndarray, bits: int, keys: np.ndarray, levels: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
+    """The set's first elements in the order of shingles; how many come before
+    those of HOT_LEVEL."""
     p = prefix_size(len(s), percent)
     if not len(keys):
-        return s[:p]
+        return s[:p], p
     x = s >> np.uint64(32 - bits)
     at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
     level = np.where(keys[at] == x, levels[at], 0)
-    return s[np.argsort(level, kind="stable")[:p]]
+    first = np.argsort(level, kind="stable")[:p]
+    return s[first], int((level[first] < HOT_LEVEL).sum())
 
 
-SET = "fp binary, n int, parity binary, prefix array<long>"
+SET = "fp binary, n int, parity binary, prefix array<long>, cool int"
 
 
 def with_sets(docs: DataFrame, text_col: str, order: tuple[int, np.ndarray, np.ndarray], name: str, k: int, percent: int) -> DataFrame:
@@ -168,9 +172,12 @@ def with_sets(docs: DataFrame, text_col: str, order: tuple[int, np.ndarray, np.n
             out = []
             for t in texts:
                 s = shingle_set(t, k)
-                out.append((fingerprint(s), len(s), parity_bits(s), prefix_of(s, *shared.value, percent).view(np.int64))
-                           if len(s) else (None, 0, None, None))
-            yield pd.DataFrame(out, columns=["fp", "n", "parity", "prefix"])
+                if not len(s):
+                    out.append((None, 0, None, None, 0))
+                    continue
+                prefix, cool = prefix_of(s, *shared.value, percent)
+                out.append((fingerprint(s), len(s), parity_bits(s), prefix.view(np.int64), cool))
+            yield pd.DataFrame(out, columns=["fp", "n", "parity", "prefix", "cool"])
 
     return docs.withColumn(name, run(F.col(text_col)))
 
@@ -239,7 +246,7 @@ TASK = ["token", "c1", "c2"]
 def _by_task(compare):
     """mapInPandas function that calls ``compare`` on the rows of every task
     (shingle and block pair). Rows come sorted by task, size and class; a task
-    of at most 2 * BLOCK rows may begin in one batch and end in the next."""
+    of about 2 * BLOCK rows may begin in one batch and end in the next."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -285,20 +292,22 @@ def linked(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: i
         "grp", F.xxhash64("prefix", "n")))
     full = sets.where(F.col("n") > 0)
     # Documents of equal prefix and size: one group. Within it, equal sets: one class.
-    groups = full.groupBy("grp", "n").agg(F.first("prefix").alias("prefix"), (F.min("fp") != F.max("fp")).alias("mixed"))
+    groups = full.groupBy("grp", "n").agg(F.first("prefix").alias("prefix"), F.first("cool").alias("cool"),
+                                          (F.min("fp") != F.max("fp")).alias("mixed"))
     classes = saved(full.groupBy("grp", "n", "fp").agg(
         F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("least"),
         F.first("parity").alias("parity")).withColumn("cls", F.xxhash64("fp")))
     # Groups under their prefix shingles, by size. A row whose neighbours in
     # its list are too far in size links with none there; a group that is
-    # alone in all lists stays in one of them if its classes differ.
-    by_token = Window.partitionBy("token")
-    by_size = by_token.orderBy("n", "grp")
-    lists = groups.select("grp", "n", "mixed", F.posexplode("prefix").alias("pos", "token"))
-    lists = lists.select("*", F.lag("n").over(by_size).alias("less"), F.lead("n").over(by_size).alias("more"))
+    # alone in all lists stays in one of them if its classes differ. The long
+    # lists of hot shingles, which no task may hold, keep all their rows.
+    by_size = Window.partitionBy("token").orderBy("n", "grp")
+    every = groups.select("grp", "n", "mixed", "cool", F.posexplode("prefix").alias("pos", "token"))
+    cool, slim = F.col("pos") < F.col("cool"), ["token", "grp", "pos"]
+    lists = every.where(cool).select("*", F.lag("n").over(by_size).alias("less"), F.lead("n").over(by_size).alias("more"))
     near = (100 * F.col("less") >= percent * F.col("n")) | (percent * F.col("more") <= 100 * F.col("n"))
-    lists = lists.where(F.coalesce(near, F.lit(False)) | (F.col("mixed") & (F.col("pos") == 0)))
-    lists = _one_of_equal(lists.select("token", "grp", "pos"), "grp")
+    lists = lists.where(F.coalesce(near, F.lit(False)) | (F.col("mixed") & (F.col("pos") == 0))).select(*slim)
+    lists = _one_of_equal(lists.union(every.where(~cool).select(*slim)), "grp")
     # Groups are expanded to their classes, and lists cut into blocks.
     lists = _blocks(lists.join(classes.select("grp", "n", "cls"), "grp").drop("grp"))
     shapes = classes.select("cls", "parity")
@@ -341,17 +350,25 @@ def linked(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: i
 
 
 def _one_of_equal(lists: DataFrame, member: str) -> DataFrame:
-    """Near copies share many shingles: of lists with equal members, one."""
-    by = Window.partitionBy("token")
-    same = [F.count("*"), F.sum(F.pmod(F.xxhash64(member), F.lit(1 << 40))), F.bit_xor(F.xxhash64(member, F.lit(1)))]
-    lists = saved(lists.select("*", *[c.over(by).alias(f"m{i}") for i, c in enumerate(same)]))
-    one = lists.groupBy("m0", "m1", "m2").agg(F.min("token").alias("token")).select("token")
-    return lists.drop("m0", "m1", "m2").join(one, "token", "left_semi")
+    """Near copies share many shingles: of lists with equal members, one.
+    Lists are compared by sums made before the shuffle, so none is gathered."""
+    lists = saved(lists)
+    sums = lists.groupBy("token").agg(F.count("*").alias("m0"), F.sum(F.pmod(F.xxhash64(member), F.lit(1 << 40))).alias("m1"),
+                                      F.bit_xor(F.xxhash64(member, F.lit(1))).alias("m2"))
+    one = sums.groupBy("m0", "m1", "m2").agg(F.min("token").alias("token")).select("token")
+    return lists.join(one, "token", "left_semi")
 
 
 def _blocks(lists: DataFrame) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("token").orderBy("n", "cls")) - 1
-    return saved(lists.withColumn("chunk", F.floor(place / BLOCK).cast("int")))
+    """``lists`` with ``chunk``: blocks of about BLOCK rows in order of size.
+    Rows of one list and size are spread by hash over the places that their
+    number takes, so only counts by size are ordered, never the rows."""
+    lists = saved(lists)
+    sizes = lists.groupBy("token", "n").agg(F.count("*").alias("rows"))
+    before = F.sum("rows").over(Window.partitionBy("token").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.withColumn("start", F.coalesce(before, F.lit(0)))
+    place = F.col("start") + F.floor(unit_hash("cls", "token") * F.col("rows"))
+    return saved(lists.join(sizes, ["token", "n"]).withColumn("chunk", F.floor(place / BLOCK).cast("int")).drop("rows", "start"))
 
 
 def _dealt(rows: DataFrame, percent: int, across: bool | None) -> DataFrame:

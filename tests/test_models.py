@@ -4,7 +4,7 @@ import json
 import struct
 
 from tuneframe import sinks
-from tuneframe.operators.models import validate_model_dirs
+from tuneframe.operators.models import build_manifests, validate_model_dirs
 from tuneframe.sources import files as S
 
 GOOD_CFG = {"model_type": "llama", "architectures": ["LlamaForCausalLM"]}
@@ -115,3 +115,22 @@ def test_pair_request_lists(spark):
     got = sorted((r.req, r.ordinal, r.file, r.path, r.problem) for r in pair_request_lists(df).collect())
     assert got == [(1, 1, "a", "x/a", None), (1, 2, "b", "x/b", None), (2, None, None, None, "length_mismatch"),
                    (3, None, None, None, "count_out_of_range")]
+
+
+def test_manifests_of_uploaded_folders(spark, tmp_path):
+    models = tmp_path / "models"
+    good = {"config.json": {"model_type": "gpt2", "architectures": "GPT2LMHeadModel"}, "sub/tokenizer.json": {},
+            "model.safetensors": st({"w": T})}
+    build(models, "u1", good)
+    build(models, "u2", {"config.json": {"model_type": "x"}, "sub/tokenizer.json": {}})
+    rows = build_manifests(spark, str(models))
+    got = {r.upload_id: r for r in rows.collect()}
+    one = got["u1"]
+    size = sum(f.stat().st_size for f in (models / "u1").rglob("*") if f.is_file())
+    assert (one.error, one.file_count, one.size_bytes, one.files) == (
+        None, 3, size, ["config.json", "model.safetensors", "sub/tokenizer.json"])
+    assert (one.model_path, one.model_type, one.architectures) == (f"{models}/u1", "gpt2", ["GPT2LMHeadModel"])
+    assert (one.weight_file_count, one.tokenizer_files, one.sharded) == (1, ["tokenizer.json"], False)
+    assert (got["u2"].error, got["u2"].file_count, got["u2"].architectures) == ("no_weights", 2, [])
+    sinks.write_manifests(rows.where("error IS NULL").drop("error"), str(tmp_path / "out"))
+    assert [r.upload_id for r in spark.read.json(str(tmp_path / "out")).collect()] == ["u1"]

@@ -71,3 +71,30 @@ def test_rows_only_batch_infer(spark):
     rows = df.collect()
     assert len(rows) == 34
     assert all(r.response for r in rows)
+
+
+BRANCHES = {
+    "upload_gate": ("outcome", {"bad_suffix", "too_large", "stored", "invalid_json"}),
+    "architecture_check": ("problem", {None, "no_model_type", "bad_architectures", "not_causal_lm"}),
+    "tensor_checks": ("problem", {"ok", "bad_offsets", "negative_begin", "end_before_begin", "end_past_data", "bad_shape"}),
+    "utf8_check": ("utf8_ok", {True, False}),
+}
+
+
+@pytest.mark.parametrize("name", BRANCHES)
+def test_fixtures_reach_every_branch(spark, name):
+    col, want = BRANCHES[name]
+    got = {r[0] for r in QUERIES[name](spark, "/root/testdata/sf0.01").select(col).distinct().collect()}
+    assert want <= got
+
+
+def test_every_request_rule_is_broken_and_kept(spark):
+    from tuneframe.constants import REQUEST_RULES
+    rows = QUERIES["request_check"](spark, "/root/testdata/sf0.01").select("violations").distinct().collect()
+    seen = {v for r in rows for v in r[0].split(",")}
+    assert seen >= {"", "method", *(r[0] for r in REQUEST_RULES if r[0] != "learning_rate")}
+
+
+def test_missing_fields_parses_each_line_once(spark):
+    plan = QUERIES["missing_fields"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 4

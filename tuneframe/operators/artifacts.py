@@ -51,6 +51,20 @@ def upload_totals(files: DataFrame, upload: str = "upload_id", size: str = "size
         .withColumn("too_many_files", F.col("files") > file_cap)
 
 
+def upload_manifests(files: DataFrame, upload: str = "upload_id", path: str = "path", size: str = "size",
+                     order: str | None = None, byte_cap: int = K.MAX_MODEL_BYTES,
+                     file_cap: int = K.MAX_MODEL_FILES) -> DataFrame:
+    """Per upload: ``file_count, size_bytes, over_cap, too_many_files, files``
+    (paths in the given order, or sorted). Uploads of more than ``file_cap``
+    files are refused as a whole and have no list, so no list is unbounded."""
+    totals = upload_totals(files, upload, size, byte_cap, file_cap).withColumnsRenamed(
+        {"files": "file_count", "bytes": "size_bytes"}).drop("gib")
+    small = totals.where(~F.col("too_many_files")).select(upload)
+    item = F.struct(F.col(order or path).alias("o"), F.col(path).alias("p"))
+    lists = files.join(small, upload, "left_semi").groupBy(upload).agg(F.sort_array(F.collect_list(item))["p"].alias("files"))
+    return totals.join(lists, upload, "left")
+
+
 def byte_budget(files: DataFrame, upload: str = "upload_id", pos: str = "pos", size: str = "size",
                 cap: int = K.MAX_MODEL_BYTES) -> DataFrame:
     """Files in upload order share a byte cap: the first position whose

@@ -15,21 +15,29 @@ from pyspark.sql import types as T
 
 from tuneframe import constants as K
 from tuneframe.functions.render import clean_response
+from tuneframe.operators.batches import token_budget
 
 Generator = Callable[[list[str], int], list[str]]
 
 
 def batch_infer(df: DataFrame, make_model: Callable[[], Generator], prompt: str = "prompt",
                 keep: tuple[str, ...] = (), max_new_tokens: int = K.MAX_NEW_TOKENS,
-                out: str = "response", mode: str = "map", batch_size: int = 64) -> DataFrame:
+                out: str = "response", mode: str = "map", batch_size: int = 64,
+                max_prompt_tokens: int | None = K.INFER_MAX_TOKENS) -> DataFrame:
     """``make_model()`` returns ``generate(prompts, max_new_tokens) -> answers``
     (new text only, prompt tokens already dropped).
 
+    Prompts are cut to their first ``max_prompt_tokens`` tokens (runs of
+    non-whitespace); give ``None`` if the model cuts by its own tokenizer.
+
     ``mode="map"``: ``mapInPandas``, the model is built once per task and fed
     at most ``batch_size`` prompts at a time.
     ``mode="predict"``: ``pyspark.ml.functions.predict_batch_udf``, the model
     is cached per Python worker and fed ``batch_size`` prompts at a time (the
     usual choice for GPU executors)."""
+    if max_prompt_tokens is not None:
+        df = token_budget(df.select(*keep, prompt), prompt, max_prompt_tokens) \
+            .select(*keep, F.col("kept_text").alias(prompt))
     if mode == "predict":
         return _predict_udf(df, make_model, prompt, keep, max_new_tokens, out, batch_size)
     cols = list(keep) + [prompt]

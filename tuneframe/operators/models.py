@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from tuneframe import constants as K
 from tuneframe.functions.paths import is_safe_path, normalise_path
-from tuneframe.operators.artifacts import has_suffix
+from tuneframe.operators.artifacts import has_suffix, upload_manifests
 from tuneframe.operators.validation import check_architecture, check_tensors
 from tuneframe.session import ensure_checkpoint_dir
 from tuneframe.sources.files import list_artifacts, model_roots, read_json_assets, relative
@@ -30,7 +30,8 @@ def _upload_of(spark: SparkSession, path_col, models_dir: str):
 
 def validate_model_dirs(spark: SparkSession, models_dir: str) -> DataFrame:
     """One row per upload folder under ``models_dir``: ``upload_id, error,
-    detail, model_type, weight_file_count, tokenizer_files, sharded``."""
+    detail, model_type, architectures, weight_file_count, tokenizer_files,
+    sharded``."""
     # The JSON assets and the weight headers feed several checks: each is read
     # once and kept as a reliable checkpoint in the shared checkpoint folder.
     ensure_checkpoint_dir(spark)
@@ -44,8 +45,8 @@ def validate_model_dirs(spark: SparkSession, models_dir: str) -> DataFrame:
                                                             F.col("doc").alias("config"))
     cfg = roots.join(cfg, "config_path", "left")
     cfg = check_architecture(cfg.withColumn("config", F.coalesce("config", F.parse_json(F.lit("null")))),
-                             "config", "arch_problem")
-    cfg = cfg.select("upload_id", "model_dir",
+                             "config", "arch_problem", "architectures")
+    cfg = cfg.select("upload_id", "model_dir", "architectures",
                      F.when(~F.col("is_object"), "config_invalid").otherwise(F.col("arch_problem")).alias("cfg_error"),
                      F.variant_get("config", "$.model_type", "string").alias("model_type"))
 
@@ -108,6 +109,24 @@ def validate_model_dirs(spark: SparkSession, models_dir: str) -> DataFrame:
              .when(F.col("weight_bad").isNotNull(), "weight_invalid"))
     detail = F.when(error == "missing_shards", F.col("missing_first")) \
         .when(error == "weight_invalid", F.col("weight_bad"))
-    return out.select("upload_id", error.alias("error"), detail.alias("detail"), "model_type",
+    return out.select("upload_id", error.alias("error"), detail.alias("detail"), "model_type", "architectures",
                       "weight_file_count", F.array_join(F.coalesce("tokenizer_files", F.array()), ",")
                       .alias("tokenizer_files"), F.coalesce("sharded", F.lit(False)).alias("sharded"))
+
+
+def build_manifests(spark: SparkSession, models_dir: str) -> DataFrame:
+    """The manifest of every upload folder (input of ``write_manifests``):
+    totals and file list of ``upload_manifests`` with what validation found.
+    Refused folders keep their row, with the ``error``."""
+    files = list_artifacts(spark, models_dir)
+    upload = F.substring_index("rel_path", "/", 1)
+    files = files.where(F.col("rel_path").contains("/")).select(
+        upload.alias("upload_id"), F.substr("rel_path", F.length(upload) + 2).alias("path"), "size")
+    info = validate_model_dirs(spark, models_dir).withColumn(
+        "tokenizer_files", F.filter(F.split("tokenizer_files", ","), lambda x: x != ""))
+    totals = upload_manifests(files)
+    caps = F.when(F.col("too_many_files"), "too_many_files").when(F.col("over_cap"), "too_large")
+    return totals.join(info, "upload_id", "left").select(
+        "upload_id", F.coalesce(caps, "error").alias("error"), "file_count", "size_bytes",
+        F.concat(F.lit(models_dir.rstrip("/") + "/"), "upload_id").alias("model_path"), "files", "model_type",
+        "architectures", "weight_file_count", "tokenizer_files", "sharded")

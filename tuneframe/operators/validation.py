@@ -102,6 +102,28 @@ def publish_state(verdicts: DataFrame, file_col: str = "file_id") -> DataFrame:
         "record_count")
 
 
+def missing_fields(classified: DataFrame, file_col: str = "file_id", line_no: str = "line_no") -> DataFrame:
+    """Missing required fields (comma-joined) of every object line. ``inline``
+    stands between the parse and the filter, so the filter is not pushed below
+    the parse, where it would parse each line again."""
+    fields = F.struct("kind", F.array_join("missing", ",").alias("missing"))
+    return classified.select(file_col, line_no, F.inline(F.array(fields))).where(F.col("kind") == KIND_OK).drop("kind")
+
+
+# --- dataset uploads --------------------------------------------------------------
+
+def upload_gate(uploads: DataFrame, name: str = "filename", size: str = "size_bytes", error: str = "error",
+                suffixes=K.DATASET_SUFFIXES, max_bytes: int = K.MAX_DATASET_BYTES, out: str = "outcome") -> DataFrame:
+    """Every upload with what becomes of it, checked in this order:
+    ``bad_suffix`` (of the name's last part, in any case), ``too_large``, the
+    error of its validation (see ``validate_files``), else ``stored``."""
+    dotted = "|".join(s.lstrip(".") for s in suffixes)
+    # A suffix needs a name before it: ".jsonl" is a name without a suffix.
+    fits = F.coalesce(F.col(name).rlike(rf"(?i)(?:^|/)[^/]*[^./][^/]*\.(?:{dotted})(?:/+\.?)*\z"), F.lit(False))
+    return uploads.withColumn(out, F.when(~fits, "bad_suffix").when(F.col(size) > max_bytes, "too_large")
+                              .otherwise(F.coalesce(F.col(error), F.lit("stored"))))
+
+
 # --- training requests (C12) ------------------------------------------------------
 
 def check_requests(df: DataFrame, cols: dict | None = None, rules=K.REQUEST_RULES,
@@ -124,10 +146,12 @@ def check_requests(df: DataFrame, cols: dict | None = None, rules=K.REQUEST_RULE
 
 # --- model architecture (C13) -----------------------------------------------------
 
-def check_architecture(df: DataFrame, config: str = "config", out: str = "problem") -> DataFrame:
+def check_architecture(df: DataFrame, config: str = "config", out: str = "problem",
+                       names_out: str | None = None) -> DataFrame:
     """``config`` is a variant holding the parsed config.json. Problems, in
     order: not an object / no string model_type; architectures not a name or
-    list of names; a non-empty list with no causal-LM name. Empty passes."""
+    list of names; a non-empty list with no causal-LM name. Empty passes.
+    ``names_out`` also adds the list of names."""
     v = F.col(config)
     kind = F.coalesce(F.schema_of_variant(v), F.lit("NULL"))
     mt_kind = F.coalesce(F.schema_of_variant(F.variant_get(v, "$.model_type", "variant")), F.lit("NULL"))
@@ -147,6 +171,8 @@ def check_architecture(df: DataFrame, config: str = "config", out: str = "proble
     names = F.when(falsy, F.array().cast("array<string>")).when(arch_kind == "STRING", F.array(as_one)) \
         .otherwise(F.transform(F.coalesce(elems, F.array()), lambda x: F.try_variant_get(x, "$", "string")))
     causal = F.exists(names, lambda x: _any_contains(x, K.CAUSAL_MARKERS))
+    if names_out:
+        df = df.withColumn(names_out, names)
     return df.withColumn(out, F.when(~kind.startswith("OBJECT") | (mt_kind != "STRING"), F.lit("no_model_type"))
                          .when(~list_of_names, F.lit("bad_architectures"))
                          .when((F.size(names) > 0) & ~causal, F.lit("not_causal_lm")))

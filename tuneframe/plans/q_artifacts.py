@@ -68,9 +68,32 @@ _TOK = "(" + ", ".join(f"'{t}'" for t in K.TOKENIZER_FILES) + ")"
     f"bool_or(pos % 17 = 0) AS sharded, bool_or(name IN {_TOK}) OR (bool_or(name = '{K.TOKENIZER_PAIR[0]}') AND "
     f"bool_or(name = '{K.TOKENIZER_PAIR[1]}')) AS tokenizer_ok, "
     f"coalesce(array_to_string(list_sort(list(DISTINCT name) FILTER (WHERE name IN {_TOK})), ','), '') AS tokenizer_files "
-    f"FROM (SELECT upload_id, pos, {_NAME} AS name FROM artifacts) t GROUP BY upload_id", "artifacts"))
+    f"FROM (SELECT upload_id, pos, {_NAME} AS name FROM named) t GROUP BY upload_id", "artifacts",
+    extra=(("named", "SELECT upload_id || '-' || cast(pos % 40 AS VARCHAR) AS upload_id, pos, path || CASE "
+                     "WHEN pos % 19 = 0 THEN '/Tokenizer.json' WHEN pos % 23 = 1 THEN '/spiece.model' "
+                     "WHEN pos % 3 = 0 THEN '/vocab.json' WHEN pos % 4 = 1 THEN '/merges.txt' ELSE '' END AS path "
+                     "FROM artifacts"),)))
 def q_model_manifest(spark, d):
-    return A.model_manifest(FX.artifacts(spark, d), is_index=(F.col("pos") % 17 == 0))
+    pos = F.col("pos")
+    extra = (F.when(pos % 19 == 0, "/Tokenizer.json").when(pos % 23 == 1, "/spiece.model")
+             .when(pos % 3 == 0, "/vocab.json").when(pos % 4 == 1, "/merges.txt").otherwise(""))
+    files = FX.artifacts(spark, d).select(
+        F.concat("upload_id", F.lit("-"), (pos % 40).cast("string")).alias("upload_id"), "pos",
+        F.concat("path", extra).alias("path"))
+    return A.model_manifest(files, is_index=(F.col("pos") % 17 == 0))
+
+
+MANIFEST_FILES = 60  # between the sizes of the test uploads
+
+
+@query("upload_manifests", with_views(
+    "SELECT upload_id, count(*) AS file_count, cast(sum(size) AS BIGINT) AS size_bytes, "
+    f"CASE WHEN count(*) <= {MANIFEST_FILES} THEN array_to_string(list(path ORDER BY pos), ',') END AS files, "
+    f"sum(size) > {UPLOAD_CAP} AS over_cap, count(*) > {MANIFEST_FILES} AS too_many_files FROM artifacts GROUP BY upload_id",
+    "artifacts"))
+def q_upload_manifests(spark, d):
+    out = A.upload_manifests(FX.artifacts(spark, d), order="pos", byte_cap=UPLOAD_CAP, file_cap=MANIFEST_FILES)
+    return out.withColumn("files", F.array_join("files", ","))
 
 
 _PAIRED = with_views(
@@ -111,16 +134,24 @@ def q_missing_shards(spark, d):
     return A.missing_shards(FX.shard_index(spark, d), FX.shard_files(spark, d))
 
 
-_PROBLEM = ("CASE WHEN off_begin < 0 THEN 'negative_begin' WHEN off_end < off_begin THEN 'end_before_begin' "
+_PROBLEM = ("CASE WHEN off_begin IS NULL OR off_end IS NULL THEN 'bad_offsets' WHEN off_begin < 0 THEN 'negative_begin' WHEN off_end < off_begin THEN 'end_before_begin' "
             "WHEN off_end > data_size THEN 'end_past_data' WHEN dims < 0 THEN 'bad_shape' ELSE 'ok' END")
 
 
 def _checked(spark, d):
-    t = FX.tensors(spark, d).withColumn("shape", F.array(F.col("dims")))
+    v = F.col("vec_id")
+    t = FX.tensors(spark, d).withColumns({
+        "off_begin": F.when(v % 43 == 1, F.lit(-5)).when(v % 47 != 2, F.col("off_begin")),
+        "data_size": F.col("data_size") - 20_000,
+        "shape": F.array(F.when(v % 37 == 3, F.lit(-1)).otherwise(F.col("dims")))})
     return V.check_tensors(t)
 
 
-@query("tensor_checks", with_views(f"SELECT vec_id, {_PROBLEM} AS problem FROM tensors", "tensors"))
+_FLAWED = (("flawed", "SELECT file_id, vec_id, name, CASE WHEN vec_id % 43 = 1 THEN -5 WHEN vec_id % 47 <> 2 THEN off_begin END "
+                      "AS off_begin, off_end, data_size - 20000 AS data_size, CASE WHEN vec_id % 37 = 3 THEN -1 ELSE dims END AS dims FROM tensors"),)
+
+
+@query("tensor_checks", with_views(f"SELECT vec_id, {_PROBLEM} AS problem FROM flawed", "tensors", extra=_FLAWED))
 def q_tensor_checks(spark, d):
     return _checked(spark, d).select("vec_id", "problem")
 
@@ -128,7 +159,8 @@ def q_tensor_checks(spark, d):
 @query("tensor_rollup", with_views(
     "SELECT file_id, count(*) AS tensors, count(*) FILTER (WHERE problem <> 'ok') AS invalid, "
     "arg_min(name, vec_id) FILTER (WHERE problem <> 'ok') AS first_invalid "
-    f"FROM (SELECT file_id, vec_id, name, {_PROBLEM} AS problem FROM tensors) t GROUP BY file_id", "tensors"))
+    f"FROM (SELECT file_id, vec_id, name, {_PROBLEM} AS problem FROM flawed) t GROUP BY file_id", "tensors",
+    extra=_FLAWED))
 def q_tensor_rollup(spark, d):
     return A.tensor_rollup(_checked(spark, d))
 

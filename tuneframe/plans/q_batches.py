@@ -64,8 +64,11 @@ def q_padded_tokens(spark, d):
     return docs.select("doc_id", join_ints(padded).alias("padded"))
 
 
-_ECHO = (f"array_to_string(list_slice(list_reverse(regexp_extract_all({strip('input')}, '{TOKEN_PATTERN}')), 1, "
-         f"{K.MAX_NEW_TOKENS}), ' ')")
+#: Tokens of the prompt before the command; a cut prompt leaves the command this many fewer.
+_BEFORE = len(f"### Instruction {K.INFERENCE_INSTRUCTION} ### Input".split())
+INFER_CUT = 128  # of 1,024 by default; no test text is that long
+_ECHO = (f"array_to_string(list_slice(list_reverse(list_slice(regexp_extract_all({strip('input')}, '{TOKEN_PATTERN}'), 1, "
+         f"{INFER_CUT - _BEFORE})), 1, {K.MAX_NEW_TOKENS}), ' ')")
 
 
 @query("batch_infer", with_views(
@@ -76,6 +79,7 @@ _ECHO = (f"array_to_string(list_slice(list_reverse(regexp_extract_all({strip('in
 def q_batch_infer(spark, d):
     cmds = FX.records(spark, d).select("record_id", F.col("input").alias("command"))
     prompts = RO.inference_prompts(cmds)
-    answered = I.batch_infer(prompts.where("problem IS NULL"), I.echo_model, "prompt", keep=("record_id", "problem"))
+    answered = I.batch_infer(prompts.where("problem IS NULL"), I.echo_model, "prompt", keep=("record_id", "problem"),
+                             max_prompt_tokens=INFER_CUT)
     refused = prompts.where("problem IS NOT NULL").select("record_id", "problem", F.lit(None).cast("string").alias("response"))
     return answered.unionByName(refused)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tuneframe import constants as K
 from tuneframe.functions import paths as P
 from tuneframe.functions import text as TX
+from tuneframe.operators import render as RO
 from tuneframe.operators import validation as V
 from tuneframe.plans import fixtures as FX
 from tuneframe.plans.catalog import query
@@ -45,8 +46,7 @@ def q_record_check(spark, d):
 @query("missing_fields", _lines_sql(f"SELECT file_id, line_no, CASE WHEN {_MISS_K} THEN 'k' ELSE '' END AS missing "
                                     "FROM cls WHERE kind = 'ok'"))
 def q_missing_fields(spark, d):
-    c = V.classify_lines(FX.raw_lines(spark, d), "line", REQUIRED)
-    return c.where(F.col("kind") == "ok").select("file_id", "line_no", F.array_join("missing", ",").alias("missing"))
+    return V.missing_fields(V.classify_lines(FX.raw_lines(spark, d), "line", REQUIRED))
 
 
 @query("dataset_verdict", _lines_sql(
@@ -69,11 +69,98 @@ def q_quarantine_split(spark, d):
     return V.publish_state(_verdicts(spark, d, numbered=False))
 
 
+# --- dataset upload gate -------------------------------------------------------------
+
+GATE_BYTES = 700  # between the sizes of the test files
+_GATE = ("SELECT file_id, filename, size_bytes, CASE WHEN file_id % 5 IN (0, 1) THEN 'bad_suffix' "
+         f"WHEN size_bytes > {GATE_BYTES} THEN 'too_large' ELSE coalesce(kind, 'stored') END AS outcome FROM ("
+         "SELECT file_id, CASE file_id % 5 WHEN 0 THEN 'dir/.jsonl' WHEN 1 THEN 'a.jsonl.txt' WHEN 2 THEN 'a.JSON' "
+         "ELSE 'a b.jsonl' END AS filename, cast(sum(strlen(raw_lines.line) + 1) AS BIGINT) AS size_bytes, "
+         "arg_min(kind, raw_lines.line_no) FILTER (WHERE kind <> 'ok') AS kind "
+         "FROM raw_lines LEFT JOIN cls USING (file_id, line_no) GROUP BY file_id) t")
+
+
+@query("upload_gate", _lines_sql(_GATE))
+def q_upload_gate(spark, d):
+    c = V.classify_lines(FX.raw_lines(spark, d), "line", REQUIRED, keep_blank=True)
+    size = F.sum(F.octet_length("line") + 1).cast("bigint").alias("size_bytes")
+    files = V.file_verdicts(c, "file_id", "line_no", REQUIRED, EXPECTED, extra_aggs=[size])
+    k = F.col("file_id") % 5
+    name = F.when(k == 0, "dir/.jsonl").when(k == 1, "a.jsonl.txt").when(k == 2, "a.JSON").otherwise("a b.jsonl")
+    return V.upload_gate(files.withColumn("filename", name), error="first_bad_kind", max_bytes=GATE_BYTES) \
+        .select("file_id", "filename", "size_bytes", "outcome")
+
+
+# --- UTF-8, architectures, field values (C5, C13, C25) ---------------------------------
+
+@query("utf8_check", "SELECT doc_id, doc_id % 7 NOT IN (1, 2, 3) AS utf8_ok FROM documents")
+def q_utf8_check(spark, d):
+    docs = FX.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("b"))
+    k = F.col("doc_id") % 7
+    # A byte that never occurs, a cut-off sequence, a surrogate's half; and a sound letter.
+    bad = F.when(k == 1, F.unhex(F.lit("FF"))).when(k == 2, F.unhex(F.lit("E282"))).when(k == 3, F.unhex(F.lit("EDA080"))) \
+        .when(k == 4, F.unhex(F.lit("E282AC"))).otherwise(F.unhex(F.lit("")))
+    return docs.select("doc_id", F.is_valid_utf8(F.concat("b", bad).cast("string")).alias("utf8_ok"))
+
+
+_CONFIGS = ('{"model_type": "llama", "architectures": ["LlamaForCausalLM"]}', '{"model_type": "x", "architectures": "GPT2LMHeadModel"}',
+            '{"model_type": "x", "architectures": ["BertModel", "Other"]}', '{"model_type": "x", "architectures": []}',
+            '{"model_type": "x"}', '{"model_type": 3, "architectures": ["AForCausalLM"]}', '["model_type"]',
+            '{"model_type": "x", "architectures": ["AForCausalLM", 1]}', '{"model_type": "x", "architectures": {"a": 1}}',
+            '{"model_type": "x", "architectures": ""}', '{"architectures": ["AForCausalLM"]}')
+_CONFIG_SQL = "CASE n_nationkey % 11 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_CONFIGS)) + " END"
+_ARCH = "json_extract(config, '$.architectures')"
+_NAMES = f"CASE WHEN json_type({_ARCH}) = 'VARCHAR' THEN [json_extract_string(config, '$.architectures')] ELSE " \
+         f"coalesce(json_extract_string({_ARCH}, '$[*]'), []) END"
+
+
+@query("architecture_check",
+       "SELECT n_nationkey, CASE WHEN json_type(config) <> 'OBJECT' OR coalesce(json_type(config, '$.model_type'), '') <> 'VARCHAR' "
+       f"THEN 'no_model_type' WHEN {_ARCH} IS NULL OR cast({_ARCH} AS VARCHAR) IN ('[]', '\"\"') THEN NULL "
+       f"WHEN json_type({_ARCH}) NOT IN ('ARRAY', 'VARCHAR') OR (json_type({_ARCH}) = 'ARRAY' AND "
+       f"len(list_filter(json_extract({_ARCH}, '$[*]'), lambda x: json_type(x) <> 'VARCHAR')) > 0) THEN 'bad_architectures' "
+       f"WHEN len(list_filter({_NAMES}, lambda x: contains(x, 'ForCausalLM') OR contains(x, 'LMHeadModel'))) = 0 "
+       f"THEN 'not_causal_lm' END AS problem FROM (SELECT n_nationkey, {_CONFIG_SQL} AS config FROM nation) t")
+def q_architecture_check(spark, d):
+    k = F.col("n_nationkey") % 11
+    text = F.coalesce(*[F.when(k == i, F.lit(c)) for i, c in enumerate(_CONFIGS)])
+    configs = FX.table(spark, d, "nation").select("n_nationkey", F.parse_json(text).alias("config"))
+    return V.check_architecture(configs).select("n_nationkey", "problem")
+
+
+# Values by kind, as JSON and as Python's str prints them; {} is the number in props.
+_VALUES = (("{}", "{}"), ("{}.0", "{}.0"), ("-0.0", "-0.0"), ("NaN", "nan"), ("true", "True"), ("null", "None"),
+           ('"text {}"', "text {}"), ('{{"b": {}, "a": [null, "x"]}}', "{{''b'': {}, ''a'': [None, ''x'']}}"),
+           ("1{}00000000000000000000000000000", "1{}00000000000000000000000000000"))
+_K_SQL = "json_extract_string(props, '$.k')"
+
+
+def _value_sql(shown: str) -> str:
+    left, mid, right = shown.replace("{{", "\x01").replace("}}", "\x02").partition("{}")
+    text = f"'{left}'" + (f" || {_K_SQL} || '{right}'" if mid else "")
+    return text.replace("\x01", "{").replace("\x02", "}")
+
+
+@query("rendered_values", "SELECT event_id, CASE event_id % 10 " + " ".join(
+    f"WHEN {i} THEN {_value_sql(shown)}" for i, (_, shown) in enumerate(_VALUES)) + " END AS input FROM events")
+def q_rendered_values(spark, d):
+    ev = FX.table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    parts = [js.replace("{{", "\x01").replace("}}", "\x02").partition("{}") for js, _ in _VALUES]
+    value = F.coalesce(*[
+        F.when(F.col("event_id") % 10 == i, F.concat(
+            F.lit(a.replace("\x01", "{").replace("\x02", "}")), F.col("k") if m else F.lit(""),
+            F.lit(b.replace("\x01", "{").replace("\x02", "}")))) for i, (a, m, b) in enumerate(parts)])
+    line = F.when(value.isNull(), F.lit('{"other": 1}')).otherwise(F.concat(F.lit('{"input": "old", "input": '), value, F.lit("}")))
+    return RO.records_from_lines(ev.select("event_id", line.alias("line")), fields=("input",), keep=("event_id",))
+
+
 # --- training requests ------------------------------------------------------------
 
 def _request_sql() -> str:
-    cols = {"rank": "adapter_rank", "epochs": "epochs", "learning_rate": "learning_rate", "batch_size": "batch_size"}
-    parts = ["CASE WHEN NOT coalesce(method IN ('lora', 'qlora'), false) THEN 'method' END"]
+    cols = {"rank": "adapter_rank", "epochs": "epochs", "learning_rate": "learning_rate", "batch_size": "batch_size",
+            "alpha": "CASE WHEN request_id % 6 > 0 THEN request_id % 140 END", "dropout": "(request_id % 60) / 100.0",
+            "sequence_length": "(100 + request_id % 2100)"}
+    parts = ["CASE WHEN coalesce(CASE WHEN request_id % 13 > 0 THEN method END, 'lora') NOT IN ('lora', 'qlora') THEN 'method' END"]
     for name, default, lo, lo_incl, hi in K.REQUEST_RULES:
         v = f"coalesce({cols[name]}, {default})" if name in cols else f"{default}"
         op = ">=" if lo_incl else ">"
@@ -84,7 +171,11 @@ def _request_sql() -> str:
 
 @query("request_check", _request_sql())
 def q_request_check(spark, d):
-    return V.check_requests(FX.requests(spark, d), cols={"rank": "adapter_rank"}).select("request_id", "violations")
+    k = F.col("request_id")
+    requests = FX.requests(spark, d).withColumns({
+        "method": F.when(k % 13 > 0, F.col("method")), "alpha": F.when(k % 6 > 0, k % 140),
+        "dropout": (k % 60) / F.lit(100.0), "sequence_length": 100 + k % 2100})
+    return V.check_requests(requests, cols={"rank": "adapter_rank"}).select("request_id", "violations")
 
 
 # --- ids, stored names, safe names, paths, repo refs -------------------------------

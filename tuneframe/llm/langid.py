@@ -27,9 +27,10 @@ DIM = 512
 #: 0: no letter; 1-26: a-z; the rest: other letters by code point.
 SYMBOLS = 32
 UND = "und"
-#: Bounds of the training sample: languages, and documents expected of each.
-MAX_LANGS = 256
+#: Bound of the training sample: documents expected of each language.
 DOCS_PER_LANG = 1500
+#: Prototype sums that a training task returns at a time.
+SUMS = 256
 #: A text of this many trigrams or more that is this far from every prototype
 #: is in none of the learned languages.
 REJECT_NGRAMS = 50
@@ -80,18 +81,16 @@ def document_vector(text: str | None) -> tuple[np.ndarray, float]:
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
           held_out_fold: int | None = 0, folds: int = 5, docs_per_lang: int = DOCS_PER_LANG) -> dict[str, np.ndarray]:
-    """Language prototypes from a bounded sample: of each of the MAX_LANGS most
-    frequent languages about ``docs_per_lang`` documents, chosen by hash.
-    Rows of the held-out fold, and rows without a language, are never used."""
+    """Language prototypes from a bounded sample: of every language about
+    ``docs_per_lang`` documents, chosen by hash. Rows of the held-out fold, and
+    rows without a language, are never used."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull())
     if held_out_fold is not None:
         rows = rows.where(F.coalesce(fold("id", folds), F.lit(-1)) != held_out_fold)
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    if not sizes:
-        return {}
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, docs_per_lang / r["count"]))])
-    sample = rows.where(unit_hash("id", "text") < share[F.col("lang")]).select("lang", "text")
+    # One row a language, as many as there are prototypes: texts are not dealt by language.
+    share = rows.groupBy("lang").agg((F.lit(float(docs_per_lang)) / F.count("*")).alias("share"))
+    sample = rows.join(F.broadcast(share), "lang").where(unit_hash("id", "text") < F.col("share")).select("lang", "text")
 
     def bundles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -99,8 +98,10 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
             for lang, text in zip(b["lang"], b["text"], strict=True):
                 v, _ = document_vector(text)
                 sums[lang] = sums.get(lang, 0) + v.astype(np.float64)
-        if sums:
-            yield pd.DataFrame({"lang": list(sums), "v": [v.tolist() for v in sums.values()]})
+        names = list(sums)
+        for i in range(0, len(names), SUMS):
+            part = names[i : i + SUMS]
+            yield pd.DataFrame({"lang": part, "v": [sums[k].tolist() for k in part]})
 
     total: dict[str, np.ndarray] = {}
     for r in sample.mapInPandas(bundles, "lang string, v array<double>").toLocalIterator():

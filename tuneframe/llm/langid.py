@@ -1,6 +1,7 @@
 """Language identification with hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1. A letter trigram is bound into
+Every letter of any script has a random vector of +1 and -1 of its own, upper
+and lower case the same. A letter trigram is bound into
 one vector: the product of its letters' vectors, each permuted (rolled) by its
 place. A document is the bundle (sum) of its trigram vectors, a language the
 bundle of the unit vectors of its labelled documents. The prediction is the
@@ -14,7 +15,7 @@ labelled row at all every text is ``und``.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,8 +25,11 @@ from pyspark.sql import functions as F
 from .common import code_points, fold, fresh, unit_hash
 
 DIM = 512
-#: 0: no letter; 1-26: a-z; the rest: other letters by code point.
-SYMBOLS = 32
+#: 0: no letter; 1-26: a-z; from PLAIN on: every other letter by code point.
+PLAIN = 27
+SYMBOLS = PLAIN + 0x110000
+#: Vectors of letters other than a-z that a task keeps.
+LETTERS = 1 << 14
 UND = "und"
 #: Bound of the training sample: documents expected of each language.
 DOCS_PER_LANG = 1500
@@ -43,15 +47,41 @@ def _symbol_of() -> np.ndarray:
     for c in range(0x110000):
         if chr(c).isalpha():
             low = chr(c).lower()
-            c0 = ord(low[0])
-            out[c] = c0 - 96 if 97 <= c0 <= 122 and len(low) == 1 else 27 + c0 % (SYMBOLS - 27)
+            c0 = ord(low) if len(low) == 1 else c
+            out[c] = c0 - 96 if 97 <= c0 <= 122 else PLAIN + c0
     return out
 
 
+@cache
+def _plain_letters() -> np.ndarray:
+    return np.random.default_rng(7).choice(np.array([-1, 1], dtype=np.int8), size=(PLAIN, DIM))
+
+
+@lru_cache(maxsize=LETTERS)
+def _letter(symbol: int) -> np.ndarray:
+    """The vector of a symbol; of letters other than a-z, drawn by code point."""
+    if symbol < PLAIN:
+        return _plain_letters()[symbol]
+    return np.random.default_rng((7, symbol)).choice(np.array([-1, 1], dtype=np.int8), size=DIM)
+
+
+def _bind(ids: np.ndarray) -> np.ndarray:
+    """Trigrams with letters other than a-z, from their letters' vectors."""
+    symbols, at = np.unique(np.concatenate(_split(ids)), return_inverse=True)
+    letters = np.stack([_letter(int(x)) for x in symbols])
+    a, b, c = at.reshape(3, -1)
+    bound = np.roll(letters, 2, axis=1)[a] * np.roll(letters, 1, axis=1)[b] * letters[c]
+    return bound.astype(np.float32)
+
+
+def _split(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return ids // SYMBOLS**2, ids // SYMBOLS % SYMBOLS, ids % SYMBOLS
+
+
 @cache
 def _bound_trigrams() -> np.ndarray:
-    """One row for every trigram of symbols."""
-    letters = np.random.default_rng(7).choice(np.array([-1, 1], dtype=np.int8), size=(SYMBOLS, DIM))
+    """One row for every trigram of a-z and gaps."""
+    letters = _plain_letters()
     a, b = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1)
     bound = a[:, None, None, :] * b[None, :, None, :] * letters[None, None, :, :]
     return bound.reshape(-1, DIM).astype(np.float32)
@@ -62,7 +92,7 @@ def trigram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     gap, and no trigram has a gap in its middle."""
     if not text:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32)
-    s = np.concatenate(([0], _symbol_of()[code_points(text)], [0]))
+    s = np.concatenate(([0], _symbol_of()[code_points(text)], [0])).astype(np.int64)
     s = s[np.concatenate(([True], (s[1:] != 0) | (s[:-1] != 0)))]
     grams = ((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:])[s[1:-1] != 0]
     ids, counts = np.unique(grams, return_counts=True)
@@ -73,8 +103,14 @@ def document_vector(text: str | None) -> tuple[np.ndarray, float]:
     """Unit bundle of the text (zeros if it has no letter), number of trigrams."""
     ids, counts = trigram_counts(text)
     table, v = _bound_trigrams(), np.zeros(DIM, dtype=np.float32)
-    for i in range(0, len(ids), 4096):
-        v += counts[i : i + 4096] @ table[ids[i : i + 4096]]
+    a, b, c = _split(ids)
+    plain = (a < PLAIN) & (b < PLAIN) & (c < PLAIN)
+    rows, n = ((a * PLAIN + b) * PLAIN + c)[plain], counts[plain]
+    for i in range(0, len(rows), 4096):
+        v += n[i : i + 4096] @ table[rows[i : i + 4096]]
+    rows, n = ids[~plain], counts[~plain]
+    for i in range(0, len(rows), 4096):
+        v += n[i : i + 4096] @ _bind(rows[i : i + 4096])
     norm = float(np.sqrt(v @ v))
     return (v / norm if norm else v), float(counts.sum())
 

@@ -13,8 +13,9 @@ On each level the running token sums of at most FANOUT blocks a source find
 the block in which the budget ends; only that block goes to the next level.
 So no source, however large, passes through one task.
 
-Weights need one row a source on the driver; more than MAX_SOURCES sources
-are refused with an error, to be mapped to coarser ones first.
+The sums of the bisection are aggregates over a table of one row a source, in
+decimals, so their order does not matter; only they reach the driver. Up to
+SMALL sources that table is broadcast to the rows, beyond it the planner joins.
 A null source is a source of its own. Documents without tokens are taken in
 every pass and cost nothing. Equal rows have equal places and are taken or
 left together, as are documents that collide on all levels. An empty table
@@ -24,7 +25,7 @@ gives an empty result.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,19 +38,15 @@ TARGET_ENTROPY = 0.95
 MAX_PASSES = 4.0
 #: Tokens of the mix as a multiple of the corpus.
 BUDGET = 1.0
-MAX_SOURCES = 100_000
+#: Sources up to which their table is broadcast.
+SMALL = 100_000
+#: Halvings of the exponent's range that one job decides, and jobs of a bisection.
+HALVINGS, ROUNDS = 4, 15
 FANOUT = 1024
 LEVELS = 3
 SEED = 17
 
 
-@dataclass
-class Weights:
-    exponent: float
-    weight: dict[str | None, float]  # by source; null has the key None
-    budget: float
-
-
 def tempered(tokens: list[float], exponent: float) -> list[float]:
     top = max(tokens)
     powers = [(t / top) ** exponent if t > 0 else 0.0 for t in tokens]
@@ -70,35 +67,68 @@ def solve(tokens: list[float], budget: float, target_entropy: float = TARGET_ENT
           max_passes: float = MAX_PASSES) -> float:
     """The exponent in [0, 1]. Entropy falls and passes fall as it grows."""
     real = [t for t in tokens if t > 0]
-    if len(real) < 2:
+    return exponent_of(len(real), lambda some: [(entropy(tempered(real, a)), passes(real, a, budget)) for a in some],
+                       target_entropy, max_passes)
+
+
+def exponent_of(n: int, measure: Callable[[list[float]], list[tuple[float, float]]], target_entropy: float,
+                max_passes: float) -> float:
+    """The exponent for ``n`` sources with tokens. ``measure`` gives the
+    entropy and the most passes at each of some exponents."""
+    if n < 2:
         return 1.0
 
     def bisect(good_low: bool, holds) -> float:
-        low, high = 0.0, 1.0
-        for _ in range(60):
-            mid = (low + high) / 2
-            if holds(mid) == good_low:
-                low = mid
-            else:
-                high = mid
+        low, high, parts = 0.0, 1.0, 1 << HALVINGS
+        for _ in range(ROUNDS):
+            step = (high - low) / parts
+            got = measure([low + step * i for i in range(1, parts)])
+            i, j = 0, parts
+            while j - i > 1:
+                mid = (i + j) // 2
+                if holds(*got[mid - 1]) == good_low:
+                    i = mid
+                else:
+                    j = mid
+            low, high = low + step * i, low + step * j
         return low if good_low else high
 
-    goal = target_entropy * math.log(len(real))
-    flat = 1.0 if entropy(tempered(real, 1.0)) >= goal else bisect(True, lambda a: entropy(tempered(real, a)) >= goal)
-    if passes(real, flat, budget) <= max_passes:
+    goal = target_entropy * math.log(n)
+    flat = 1.0 if measure([1.0])[0][0] >= goal else bisect(True, lambda h, _: h >= goal)
+    if measure([flat])[0][1] <= max_passes:
         return flat
     # At exponent 1 every source needs budget / corpus passes, the least there is.
-    return bisect(False, lambda a: passes(real, a, budget) <= max_passes)
-
-
-def weigh(sizes: list[tuple[str | None, float]], budget: float = BUDGET, target_entropy: float = TARGET_ENTROPY,
-          max_passes: float = MAX_PASSES) -> Weights:
-    names, tokens = [s for s, _ in sizes], [float(t or 0) for _, t in sizes]
-    total = budget * sum(tokens)
-    if not total:
-        return Weights(1.0, dict.fromkeys(names, 0.0), 0.0)
-    exponent = solve(tokens, total, target_entropy, max_passes)
-    return Weights(exponent, dict(zip(names, tempered(tokens, exponent), strict=True)), total)
+    return bisect(False, lambda _, most: most <= max_passes)
+
+
+def planned(sizes: DataFrame, budget: float, target_entropy: float, max_passes: float) -> tuple[DataFrame, bool]:
+    """Sources (source, tokens) with weight, whole passes and the rest of their
+    budget; whether they are SMALL."""
+    t = F.col("tokens").cast("double")
+    k = F.col("k")  # sources of equal size are summed as one row
+    real = saved(sizes.where(F.col("tokens") > 0).groupBy("tokens").agg(F.count("*").alias("k")))
+    have = real.agg(F.sum(k).alias("n"), F.max("tokens").alias("top"), F.sum(k * F.col("tokens")).alias("total")).first()
+    small = sizes.count() <= SMALL
+    if not have["n"]:
+        return sizes.select("source", F.lit(0.0).alias("weight"), F.lit(1).alias("whole"), F.lit(0.0).alias("rest")), small
+    total, share = budget * have["total"], t / F.lit(float(have["top"]))
+    power = lambda a: F.pow(share, F.lit(a))
+
+    def sums(some: list[float]) -> list[tuple[float, float, float]]:
+        exact = lambda x: F.sum(x.cast("decimal(38,20)")).cast("double")
+        row = real.agg(*[c for a in some for c in (
+            exact(k * power(a)), exact(k * power(a) * F.log(power(a))), F.max(power(a) / t))]).first()
+        return [tuple(row[3 * i : 3 * i + 3]) for i in range(len(some))]
+
+    def measure(some: list[float]) -> list[tuple[float, float]]:
+        return [(math.log(p) - q / p, m * total / p) for p, q, m in sums(some)]
+
+    a = exponent_of(have["n"], measure, target_entropy, max_passes)
+    weight = F.when(t > 0, power(a) / F.lit(sums([a])[0][0])).otherwise(0.0)
+    part = F.col("weight") * F.lit(total)
+    plan = sizes.withColumn("weight", weight).withColumn("rest", F.when(t > 0, part % t).otherwise(0.0))
+    whole = F.when(t > 0, F.round((part - F.col("rest")) / t)).otherwise(1).cast("int")
+    return plan.select("source", "weight", whole.alias("whole"), "rest"), small
 
 
 def token_count(text: str | Column) -> Column:
@@ -121,21 +151,16 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
         F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
         token_count(F.col(text_col)).alias("n_tokens"),
         F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(1 << 40)).alias("place")))
-    sizes = slim.groupBy("source").agg(F.sum("n_tokens").alias("tokens")).orderBy(
-        F.desc("tokens"), "source").limit(MAX_SOURCES + 1).collect()
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: map them to coarser ones first")
-    w = weigh([(r["source"], r["tokens"]) for r in sizes], budget, target_entropy, max_passes)
-    rows = [(r["source"], w.weight[r["source"]], int(w.weight[r["source"]] * w.budget // r["tokens"]) if r["tokens"] else 1,
-             w.weight[r["source"]] * w.budget % r["tokens"] if r["tokens"] else 0.0) for r in sizes]
-    plan = docs.sparkSession.createDataFrame(rows, "source string, weight double, whole int, rest double")
-    return _realise(slim, plan).select(
+    sizes = saved(slim.groupBy("source").agg(F.sum("n_tokens").alias("tokens")))
+    plan, small = planned(sizes, budget, target_entropy, max_passes)
+    return _realise(slim, saved(plan), small).select(
         F.col("id").alias(id_col), F.col("source").alias(source_col), "n_tokens", "weight", "copies", "place")
 
 
-def _realise(slim: DataFrame, plan: DataFrame) -> DataFrame:
+def _realise(slim: DataFrame, plan: DataFrame, small: bool) -> DataFrame:
     """Whole passes, plus one for the rows before the place where a source's
-    remaining budget ends. ``plan`` has one bounded row a source."""
+    remaining budget ends. ``plan`` has one row a source."""
+    sent = F.broadcast if small else lambda df: df
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     plan = plan.withColumnRenamed("source", "s")
     # Ends: of each source the digits of the place where its rest of the budget runs out.
@@ -144,7 +169,7 @@ def _realise(slim: DataFrame, plan: DataFrame) -> DataFrame:
         digit = f"d{level}"
         inside = slim.select("source", "n_tokens", *[_place(F.col("place"), LEVELS - 1 - i).alias(f"p{i}") for i in range(level + 1)])
         on = [same("source", "s")] + [F.col(f"p{i}") == F.col(f"d{i}") for i in range(level)]
-        sums = (inside.join(F.broadcast(ends), on).groupBy("s", "left", *[f"d{i}" for i in range(level)], f"p{level}")
+        sums = (inside.join(sent(ends), on).groupBy("s", "left", *[f"d{i}" for i in range(level)], f"p{level}")
                 .agg(F.sum("n_tokens").alias("t")))
         by = Window.partitionBy("s").orderBy(f"p{level}")
         run = F.sum("t").over(by.rowsBetween(Window.unboundedPreceding, 0))
@@ -156,8 +181,8 @@ def _realise(slim: DataFrame, plan: DataFrame) -> DataFrame:
     for level in range(LEVELS):
         cut = cut * FANOUT + F.col(f"d{level}")
     ends = ends.select(F.col("s").alias("s2"), cut.alias("cut"))
-    out = slim.join(F.broadcast(plan), same("source", "s"), "left")
-    plans = out.join(F.broadcast(ends), same("source", "s2"), "left")
+    out = slim.join(sent(plan), same("source", "s"), "left")
+    plans = out.join(sent(ends), same("source", "s2"), "left")
     low = F.pmod(F.col("place"), F.lit(FANOUT**LEVELS))
     extra = F.when(F.col("rest") <= 0, 0).when(F.col("cut").isNull() | (low < F.col("cut")), 1).otherwise(0)
     return plans.withColumn("copies", F.coalesce(F.col("whole") + extra, F.lit(0))).withColumn("place", low)

@@ -276,7 +276,7 @@ def test_pipeline_stages(spark, sf, given, rows, piped):
     lang, near, bench, clean, mixed = piped
     und = {r["doc_id"] for r in rows("op7_language_id") if r["lang_pred"] == "und"}
     assert {r["doc_id"] for r in lang} <= docs.keys() - und and len(lang) >= len(docs) - len(und) - 2
-    components = brute_components([(r["doc_id"], r["text"]) for r in lang])
+    components = brute_components([(r["doc_id"], r["text"]) for r in lang], 5, 80)
     assert sorted(r["doc_id"] for r in near) == sorted(d for d, (_, c) in components.items() if c == d)
     leaks = dict(brute_windows([(r["doc_id"], r["text"]) for r in near], [(b["item_id"], b["text"]) for b in given("benchmark")]))
     assert sorted(r["doc_id"] for r in bench) == sorted(d for d, x in leaks.items() if not x[-1])

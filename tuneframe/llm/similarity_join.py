@@ -425,8 +425,8 @@ def _sets_again(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 def keep_representatives(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """Of every component of ``docs`` the first row by id, then text; rows
     without words stay. Rows that repeat both id and text count as one."""
-    kept = linked(docs, text_col, id_col, **options).where("kept").select(F.col(id_col).alias("i"), "text_hash").distinct()
-    h = fresh(docs, "text_hash_of_row")
+    i, h = fresh(docs, "id_kept"), fresh(docs, "text_hash_of_row")
+    kept = linked(docs, text_col, id_col, **options).where("kept").select(F.col(id_col).alias(i), F.col("text_hash").alias(h + "_"))
     rows = docs.withColumn(h, F.xxhash64(text_col))
-    rows = rows.join(kept.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("i")) & (F.col(h) == F.col("text_hash")), "left_semi")
-    return rows.dropDuplicates([id_col, h]).drop(h)
+    mine = F.col(id_col).eqNullSafe(F.col(i)) & (F.col(h) == F.col(h + "_"))
+    return rows.join(kept.distinct().hint("shuffle_hash"), mine, "left_semi").dropDuplicates([id_col, h]).drop(h)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import sys
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,6 +49,31 @@ def fold(id_col: str | Column, parts: int) -> Column:
                   F.lit(parts))
 
 
+class Kept:
+    """``build`` with its results kept for the life of the process, by
+    arguments; beyond ``limit`` of them it starts anew. Functions go to Python
+    workers by value, so that these need no install of the package, and a
+    worker unpickles them anew for every task: results stay with the
+    interpreter, and never travel."""
+
+    def __init__(self, build: Callable, limit: int = 1 << 14):
+        self.build, self.limit = build, limit
+
+    def __call__(self, *args):
+        known = self.__dict__.get("known")
+        if known is None:
+            every = sys.__dict__.setdefault("_tuneframe_kept", {})
+            known = self.known = every.setdefault((self.build.__module__, self.build.__qualname__), {})
+        if args not in known:
+            if len(known) >= self.limit:
+                known.clear()
+            known[args] = self.build(*args)
+        return known[args]
+
+    def __getstate__(self) -> dict:
+        return {"build": self.build, "limit": self.limit}
+
+
 def unit_hash(*cols: str) -> Column:
     """A hash of the columns, spread evenly over [0, 1)."""
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / F.lit(float(1 << 30))

@@ -15,14 +15,13 @@ labelled row at all every text is ``und``.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import code_points, fold, fresh, unit_hash
+from .common import Kept, code_points, fold, fresh, unit_hash
 
 DIM = 512
 #: 0: no letter; 1-26: a-z; from PLAIN on: every other letter by code point.
@@ -41,8 +40,7 @@ REJECT_NGRAMS = 50
 REJECT_SCORE = 0.1
 
 
-@cache
-def _symbol_of() -> np.ndarray:
+def _symbol_table() -> np.ndarray:
     out = np.zeros(0x110000, dtype=np.int32)
     for c in range(0x110000):
         if chr(c).isalpha():
@@ -52,19 +50,26 @@ def _symbol_of() -> np.ndarray:
     return out
 
 
-@cache
-def _plain_letters() -> np.ndarray:
+_symbol_of = Kept(_symbol_table)
+
+
+def _plain_table() -> np.ndarray:
     return np.random.default_rng(7).choice(np.array([-1, 1], dtype=np.int8), size=(PLAIN, DIM))
 
 
-@lru_cache(maxsize=LETTERS)
-def _letter(symbol: int) -> np.ndarray:
+_plain_letters = Kept(_plain_table)
+
+
+def _letter_vector(symbol: int) -> np.ndarray:
     """The vector of a symbol; of letters other than a-z, drawn by code point."""
     if symbol < PLAIN:
         return _plain_letters()[symbol]
     return np.random.default_rng((7, symbol)).choice(np.array([-1, 1], dtype=np.int8), size=DIM)
 
 
+_letter = Kept(_letter_vector, LETTERS)
+
+
 def _bind(ids: np.ndarray) -> np.ndarray:
     """Trigrams with letters other than a-z, from their letters' vectors."""
     symbols, at = np.unique(np.concatenate(_split(ids)), return_inverse=True)
@@ -78,8 +83,7 @@ def _split(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids // SYMBOLS**2, ids // SYMBOLS % SYMBOLS, ids % SYMBOLS
 
 
-@cache
-def _bound_trigrams() -> np.ndarray:
+def _bound_table() -> np.ndarray:
     """One row for every trigram of a-z and gaps."""
     letters = _plain_letters()
     a, b = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1)
@@ -87,6 +91,9 @@ def _bound_trigrams() -> np.ndarray:
     return bound.reshape(-1, DIM).astype(np.float32)
 
 
+_bound_trigrams = Kept(_bound_table)
+
+
 def trigram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Ids and counts of the text's trigrams; a run of other characters is one
     gap, and no trigram has a gap in its middle."""
@@ -139,9 +146,12 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
             part = names[i : i + SUMS]
             yield pd.DataFrame({"lang": part, "v": [sums[k].tolist() for k in part]})
 
-    total: dict[str, np.ndarray] = {}
-    for r in sample.mapInPandas(bundles, "lang string, v array<double>").toLocalIterator():
-        total[r["lang"]] = total.get(r["lang"], 0) + np.array(r["v"])
+    def summed(b: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"lang": b["lang"][:1], "v": [np.sum(np.stack(b["v"].to_list()), axis=0).tolist()]})
+
+    # A task's sum holds a document at least: of each language no more sums than sampled documents.
+    sums = sample.mapInPandas(bundles, "lang string, v array<double>")
+    total = {r["lang"]: np.array(r["v"]) for r in sums.groupBy("lang").applyInPandas(summed, "lang string, v array<double>").collect()}
     norms = {k: float(np.linalg.norm(v)) for k, v in total.items()}
     return {k: (total[k] / norms[k]).astype(np.float32) for k in sorted(total) if norms[k]}
 

@@ -17,14 +17,13 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, code_points, fresh, text_steps
+from .common import WORD, Kept, code_points, fresh, text_steps
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS, "secret")
@@ -48,6 +47,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _byte(digits: str) -> bool:
+    """At most 255, however many digits there are."""
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     """Base matches by kind, then start."""
     out: list[tuple[str, int, int]] = []
@@ -66,7 +71,7 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     if not _DIGIT.search(text):
         return out
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m.group().split(".")):
+        if all(map(_byte, m.group().split("."))):
             out.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 13:
@@ -88,7 +93,6 @@ _EDGE = "\"'`.,;:!?#*$%&|<>()[]{}"
 _SECRET_NAMES = frozenset(("token", "secret", "password", "passwd", "key", "api_key", "apikey", "access_token", "pwd"))
 
 
-@cache
 def _feature_names() -> list[str]:
     return ["bias", "letters", "digits", "mixed", "upper", "title", "punct_only", "has_at", "has_dots3", "has_plus",
             "paren_digits", "dash_digits", "quote", "equals", "secret_name", "hex", "len1", "len2_4", "len5_8",
@@ -96,8 +100,7 @@ def _feature_names() -> list[str]:
             "other_script"]
 
 
-@lru_cache(maxsize=100_000)
-def token_features(token: str) -> list[float]:
+def _token_shape(token: str) -> list[float]:
     """Word-shape features of one token."""
     core = token.strip(_EDGE)
     digits = sum(c.isdigit() for c in core)
@@ -114,6 +117,9 @@ def token_features(token: str) -> list[float]:
         not core.isascii())]
 
 
+token_features = Kept(_token_shape, 100_000)
+
+
 _HEX_RUN = re.compile(rb"[0-9a-f]{16}")
 
 
@@ -126,8 +132,7 @@ def special(text: str) -> bool:
     return _DIGIT.search(text) is not None and _HEX_RUN.search(low) is not None
 
 
-@cache
-def _shape_of() -> np.ndarray:
+def _shape_table() -> np.ndarray:
     """Of every code point a Latin-1 one with the same features: letters by
     case and script, digits, ASCII marks and white space as they are."""
     out = np.full(0x110000, ord("\u00b7"), dtype=np.uint8)
@@ -140,6 +145,9 @@ def _shape_of() -> np.ndarray:
     return out
 
 
+_shape_of = Kept(_shape_table)
+
+
 def shape_lines(text: str, exact: bool) -> list[list[bytes]]:
     """The tokens' shapes line by line, or the tokens if shapes don't do."""
     if exact:
@@ -245,8 +253,7 @@ def viterbi(emit: np.ndarray, sizes: np.ndarray, moves: np.ndarray) -> np.ndarra
     return out
 
 
-@cache
-def trained() -> Crf:
+def _fitted() -> Crf:
     """Maximum likelihood with L2, by gradient ascent (Adam) over the whole
     small table; forward and backward sums are exact."""
     lines = [x for x in labelled_lines() if x]
@@ -293,6 +300,9 @@ def trained() -> Crf:
     return Crf(w[:n_f].astype(f32), w[n_f : 2 * n_f].astype(f32), w[2 * n_f :].astype(f32), m.astype(f32))
 
 
+trained = Kept(_fitted)
+
+
 def crf_spans(texts: list[str], model: Crf) -> list[list[tuple[str, int, int]]]:
     """Spans of the labelled tokens of each text; equal neighbours in a line join."""
     lines, owner = [], []
@@ -367,7 +377,7 @@ def plausible(kind: str, value: str) -> bool:
     if kind == "phone":
         return value[:1] in "+(" and 9 <= len(digits) <= 15
     if kind == "ip":
-        return _IP.fullmatch(value) is not None and max(map(int, value.split("."))) <= 255
+        return _IP.fullmatch(value) is not None and all(map(_byte, value.split(".")))
     return kind != "email" or "@" in value[1:-1]
 
 
@@ -405,11 +415,11 @@ RESULT = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string
 
 
 def _finder(spark, with_text: bool):
-    shared = spark.sparkContext.broadcast(trained())
+    shared = spark.sparkContext.broadcast(vars(trained()))  # plain arrays: workers need no install
 
     @F.pandas_udf(RESULT)
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = shared.value
+        model = Crf(**shared.value)
         for texts in batches:
             out = []
             for step in text_steps(texts):

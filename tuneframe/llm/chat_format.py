@@ -19,13 +19,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Kept
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 LOSS_ROLE = "assistant"
@@ -82,8 +83,7 @@ def loss_text(formatted: str, starts: np.ndarray, ends: np.ndarray, mask: np.nda
     return "".join(unescape("".join(r)) for r in runs)
 
 
-@cache
-def load_tokenizer(path: str):
+def _tokenizer_file(path: str):
     from tokenizers import AddedToken, Tokenizer, processors
 
     t = Tokenizer.from_file(path)
@@ -92,6 +92,9 @@ def load_tokenizer(path: str):
     return t
 
 
+load_tokenizer = Kept(_tokenizer_file)
+
+
 def loss_mask(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
     """Which tokens meet a span. Token starts and ends are sorted."""
     mask = np.zeros(len(starts), dtype=bool)

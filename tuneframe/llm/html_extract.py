@@ -19,14 +19,13 @@ import html as entities
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import Kept, fresh
 
 _PIECE = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -240,8 +239,7 @@ def judge(tree: tuple, x: np.ndarray) -> np.ndarray:
     return out
 
 
-@cache
-def trained() -> tuple:
+def _fitted() -> tuple:
     xs, ys = [], []
     for page, good in labelled_pages():
         blocks = blocks_of(page)
@@ -250,6 +248,9 @@ def trained() -> tuple:
     return grow(np.concatenate(xs), np.concatenate(ys))
 
 
+trained = Kept(_fitted)
+
+
 def main_text(page: str | None, tree: tuple) -> str:
     blocks = blocks_of(page)
     if not blocks:

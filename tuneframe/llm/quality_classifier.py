@@ -16,14 +16,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import code_points, fresh, saved
+from .common import Kept, code_points, fresh, saved
 
 N_FOURIER = 256
 BANDWIDTH = 3.0
@@ -35,8 +34,7 @@ MARKS = "#*$%&|<>!?.,;:-_=\"'()/\\@"
 N_STATS = 18
 
 
-@cache
-def _classes() -> np.ndarray:
+def _class_table() -> np.ndarray:
     """Of every code point: 1 ASCII white space, 2 upper, 4 other letter or
     digit, 8 mark."""
     out = np.zeros(0x110000, dtype=np.uint8)
@@ -47,6 +45,9 @@ def _classes() -> np.ndarray:
     return out
 
 
+_classes = Kept(_class_table)
+
+
 def statistics(text: str | None) -> list[float]:
     """N_STATS figures of the whole text."""
     if not text:
@@ -170,11 +171,11 @@ def isotonic(x: np.ndarray, good: np.ndarray, n: np.ndarray) -> tuple[np.ndarray
 
 
 def with_score(stats: DataFrame, model: Model, stats_col: str = "stats", name: str = "score") -> DataFrame:
-    shared = stats.sparkSession.sparkContext.broadcast(model)
+    shared = stats.sparkSession.sparkContext.broadcast(vars(model))  # plain values: workers need no install
 
     @F.pandas_udf("double")
     def score(s: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.score(_stack(s)) if len(s) else [], dtype="float64")
+        return pd.Series(Model(**shared.value).score(_stack(s)) if len(s) else [], dtype="float64")
 
     return stats.withColumn(name, score(F.col(stats_col)))
 

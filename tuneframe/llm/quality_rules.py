@@ -119,7 +119,8 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     marks = labels.where(F.col(label_col).isNotNull()).select(id_col, label_col)
     some = marks.withColumn("h_", unit_hash(id_col)).orderBy("h_", id_col, label_col).limit(max_rows).drop("h_")
     rows = labelled(docs, some, text_col, id_col, label_col).select(
-        "text", "label", F.coalesce(fold("id", CALIBRATION_FOLDS), F.lit(0)).alias("part")).limit(max_rows)
+        "text", "label", F.coalesce(fold("id", CALIBRATION_FOLDS), F.lit(0)).alias("part"),
+        F.struct(unit_hash("id"), F.xxhash64("text")).alias("at")).orderBy("at", "label").limit(max_rows)
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -180,11 +181,11 @@ def platt(margin: np.ndarray, good: np.ndarray) -> tuple[float, float]:
 
 
 def scorer(spark, model: Model):
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(vars(model))  # plain values: workers need no install
 
     @F.pandas_udf(RESULT)
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m = shared.value
+        m = Model(**shared.value)
         for texts in batches:
             out = []
             for t in texts:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat_format, decontaminate, html_extract, langid, mixing, pii, quality_classifier, quality_rules,
+from . import (chat_format, decontaminate, html_extract, langid, mixing, pii, quality_classifier, quality_rules, setsketch,
                similarity_join, url_filter)
 from .common import fold, table
 
@@ -93,3 +93,9 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     p = F.col("pii")
     return found.select("doc_id", *[p[c].alias(c) for c in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")])
+
+
+@query
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return setsketch.linked(docs).select("doc_id", "n_shingles", "component_id", "kept")

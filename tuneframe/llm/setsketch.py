@@ -126,19 +126,24 @@ def estimate(u: np.ndarray, larger: np.ndarray, smaller: np.ndarray) -> np.ndarr
     return (low + high) / 2
 
 
-def may_link(n: int, sketch: np.ndarray, sizes: np.ndarray, others: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Which of the sets with ``sizes`` and sketches ``others`` may link with one."""
-    need = min_overlap(n, sizes, percent)
-    rows = np.flatnonzero(need <= np.minimum(n, sizes))
-    larger, smaller = (sketch > others[rows]).sum(axis=1), (sketch < others[rows]).sum(axis=1)
-    # Where far fewer registers agree than at any similarity that passes, nothing is estimated.
-    close = larger + smaller <= REGISTERS * 0.6
-    rows, larger, smaller = rows[close], larger[close], smaller[close]
-    u = n / (n + sizes[rows])
-    least = need[rows] / (n + sizes[rows] - need[rows])
-    found = estimate(u, larger, smaller)
-    apart = log_likelihood(found, u, larger, smaller) - log_likelihood(least, u, larger, smaller)
-    return rows[(found >= least) | (apart <= SURE)]
+def may_link(n: np.ndarray, m: np.ndarray, larger: np.ndarray, smaller: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Of pairs of sets (sizes, registers above and below the partner's):
+    whether they may link."""
+    need = min_overlap(n, m, percent)
+    out = np.zeros(len(n), dtype=bool)
+    # Where far fewer registers agree than at any similarity that passes, nothing is computed.
+    rows = np.flatnonzero((need <= np.minimum(n, m)) & (larger + smaller <= REGISTERS * 0.6))
+    u, least = n[rows] / (n + m)[rows], need[rows] / (n + m - need)[rows]
+    larger, smaller = larger[rows], smaller[rows]
+    at = log_likelihood(least, u, larger, smaller)
+    step = np.minimum(least + 1e-4, np.minimum(u / (1 - u), (1 - u) / u))
+    likely = log_likelihood(step, u, larger, smaller) >= at  # the likeliest value links
+    out[rows[likely]] = True
+    rest = np.flatnonzero(~likely)
+    u, larger, smaller = u[rest], larger[rest], smaller[rest]
+    top = log_likelihood(estimate(u, larger, smaller), u, larger, smaller)
+    out[rows[rest[top - at[rest] <= SURE]]] = True
+    return out
 
 
 # ------------------------------------------------------------- block pairs
@@ -176,26 +181,39 @@ def _each_task(compare, columns: list[str]):
     return run
 
 
-def _pairs(t: dict, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Rows of a task, each with its later partners of other components that may link."""
+#: Pairs of rows that one numpy step tries.
+TRIED = 1 << 16
+
+
+def _pairs(t: dict, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a task, of different components, that may link; some at a time."""
     n, comp = t["n"].astype(np.int64), t["comp"]
     regs = np.array([np.frombuffer(x, dtype=np.uint16) for x in t["sketch"]])
-    for i in range(len(n) - 1):
-        end = int(np.searchsorted(n, 100 * n[i] // percent, side="right"))
-        js = i + 1 + np.flatnonzero(comp[i + 1 : end] != comp[i])
-        if js.size:
-            js = js[may_link(int(n[i]), regs[i], n[js], regs[js], percent)]
-            if js.size:
-                yield i, js
+    ends = np.searchsorted(n, 100 * n // percent, side="right")
+    i = 0
+    while i < len(n) - 1:
+        last, size = i + 1, int(ends[i]) - i - 1
+        while last < len(n) - 1 and size + ends[last] - last - 1 <= TRIED:
+            size += int(ends[last]) - last - 1
+            last += 1
+        firsts = np.repeat(np.arange(i, last), ends[i:last] - np.arange(i, last) - 1)
+        seconds = np.concatenate([np.arange(k + 1, ends[k]) for k in range(i, last)])
+        apart = comp[firsts] != comp[seconds]
+        firsts, seconds = firsts[apart], seconds[apart]
+        larger = (regs[firsts] > regs[seconds]).sum(axis=1)
+        smaller = (regs[firsts] < regs[seconds]).sum(axis=1)
+        ok = may_link(n[firsts], n[seconds], larger, smaller, percent)
+        if ok.any():
+            yield firsts[ok], seconds[ok]
+        i = last
 
 
 def _hopeful(percent: int):
     def compare(t: dict) -> list[tuple]:
-        found: set[int] = set()
-        for i, js in _pairs(t, percent):
-            found.add(i)
-            found.update(js.tolist())
-        return [(t["token"][i], t["c1"][i], t["c2"][i], t["cls"][i], t["n"][i], t["comp"][i]) for i in sorted(found)]
+        found = np.zeros(len(t["n"]), dtype=bool)
+        for firsts, seconds in _pairs(t, percent):
+            found[firsts] = found[seconds] = True
+        return [(t["token"][i], t["c1"][i], t["c2"][i], t["cls"][i], t["n"][i], t["comp"][i]) for i in np.flatnonzero(found)]
 
     return _each_task(compare, [*TASK, "cls", "n", "comp"])
 
@@ -204,11 +222,16 @@ def _verified(percent: int):
     def compare(t: dict) -> list[tuple]:
         sets = [np.frombuffer(x, dtype=np.uint64) for x in t["items"]]
         out, label = [], t["comp"].copy()
-        for i, js in _pairs(t, percent):
-            for j in js.tolist():
-                if label[i] != label[j] and links(sets[i], sets[j], percent):
-                    out.append((t["comp"][i], t["comp"][j]))
-                    label[label == label[j]] = label[i]
+        for firsts, seconds in _pairs(t, percent):
+            while (left := np.flatnonzero(label[firsts] != label[seconds])).size:
+                # Up to the first link: then rows that it joined need no more tries.
+                for k in left:
+                    i, j = firsts[k], seconds[k]
+                    if links(sets[i], sets[j], percent):
+                        out.append((t["comp"][i], t["comp"][j]))
+                        label[label == label[j]] = label[i]
+                        break
+                firsts, seconds = firsts[k + 1 :], seconds[k + 1 :]
         return out
 
     return _each_task(compare, ["a", "b"])

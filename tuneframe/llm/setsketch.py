@@ -38,9 +38,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tuneframe.session import shuffle_partitions
+
 from .common import bounded_batches, fresh, saved
 from .components import components
-from .similarity_join import _blocks, _dealt, _one_of_equal, _sets_again, _sorted, fingerprint, links, min_overlap, shingle_set
+from .similarity_join import _blocks, _dealt, _one_of_equal, _sets_again, fingerprint, links, min_overlap, shingle_set
 
 SHINGLE = 3
 #: Bands whose lists are verified first.
@@ -149,19 +151,23 @@ def may_link(n: np.ndarray, m: np.ndarray, larger: np.ndarray, smaller: np.ndarr
 # ------------------------------------------------------------- block pairs
 
 TASK = ["token", "c1", "c2"]
+#: Pairs of rows that one numpy step tries.
+TRIED = 1 << 16
 
 
-def _each_task(compare, columns: list[str]):
-    """mapInPandas function that calls ``compare`` on the columns of every task
-    (list and block pair). Rows come sorted by task and size; a task begins in
-    one batch and may end in a later one."""
+def _each_task(compare, columns: list[str], percent: int):
+    """mapInPandas function that tries the pairs inside every task (list and
+    block pair) and calls ``compare`` on the rows at hand, the pairs that may
+    link, by row number, and the tasks' first rows. Rows come sorted by task
+    and size; a task begins in one batch and may end in a later one."""
 
-    def tasks(rows: pd.DataFrame) -> pd.DataFrame:
+    def tried(rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame([], columns=columns)
         key = rows[TASK].to_numpy()
-        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(rows)]
-        cols = {c: rows[c].to_numpy() for c in rows.columns}
-        out = [compare({c: v[a:b] for c, v in cols.items()}) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a > 1]
-        return pd.DataFrame([x for part in out for x in part], columns=columns)
+        cuts = np.array([0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1), len(rows)])
+        t = {c: rows[c].to_numpy() for c in rows.columns}
+        return pd.DataFrame(compare(t, *_pairs(t, cuts, percent), cuts), columns=columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -173,68 +179,75 @@ def _each_task(compare, columns: list[str]):
                 held.append(b)
                 continue
             first = int(np.flatnonzero((key == key[-1]).all(axis=1))[0])
-            yield tasks(pd.concat([*held, b.iloc[:first]], ignore_index=True))
+            yield tried(pd.concat([*held, b.iloc[:first]], ignore_index=True))
             held = [b.iloc[first:]]
         if held:
-            yield tasks(pd.concat(held, ignore_index=True))
+            yield tried(pd.concat(held, ignore_index=True))
 
     return run
 
 
-#: Pairs of rows that one numpy step tries.
-TRIED = 1 << 16
-
-
-def _pairs(t: dict, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of a task, of different components, that may link; some at a time."""
+def _pairs(t: dict, cuts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one task and of different components that may link."""
     n, comp = t["n"].astype(np.int64), t["comp"]
-    regs = np.array([np.frombuffer(x, dtype=np.uint16) for x in t["sketch"]])
-    ends = np.searchsorted(n, 100 * n // percent, side="right")
-    i = 0
-    while i < len(n) - 1:
-        last, size = i + 1, int(ends[i]) - i - 1
-        while last < len(n) - 1 and size + ends[last] - last - 1 <= TRIED:
-            size += int(ends[last]) - last - 1
-            last += 1
-        firsts = np.repeat(np.arange(i, last), ends[i:last] - np.arange(i, last) - 1)
-        seconds = np.concatenate([np.arange(k + 1, ends[k]) for k in range(i, last)])
+    regs = np.frombuffer(b"".join(t["sketch"]), dtype=np.uint16).reshape(len(n), REGISTERS)
+    ends = np.concatenate([a + np.searchsorted(n[a:b], 100 * n[a:b] // percent, side="right")
+                           for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+    partners = ends - np.arange(len(n)) - 1
+    step = np.cumsum(partners) // TRIED
+    bounds = [0, *(np.flatnonzero(step[1:] != step[:-1]) + 1).tolist(), len(n)]
+    out = [np.zeros((2, 0), dtype=np.int64)]
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        firsts = np.repeat(np.arange(a, b), partners[a:b])
+        before = np.cumsum(partners[a:b]) - partners[a:b]
+        seconds = np.arange(len(firsts)) - np.repeat(before, partners[a:b]) + firsts + 1
         apart = comp[firsts] != comp[seconds]
         firsts, seconds = firsts[apart], seconds[apart]
-        larger = (regs[firsts] > regs[seconds]).sum(axis=1)
-        smaller = (regs[firsts] < regs[seconds]).sum(axis=1)
-        ok = may_link(n[firsts], n[seconds], larger, smaller, percent)
-        if ok.any():
-            yield firsts[ok], seconds[ok]
-        i = last
-
+        x, y = regs[firsts], regs[seconds]
+        ok = may_link(n[firsts], n[seconds], (x > y).sum(axis=1), (x < y).sum(axis=1), percent)
+        out.append(np.stack([firsts[ok], seconds[ok]]))
+    firsts, seconds = np.concatenate(out, axis=1)
+    return firsts, seconds
 
-def _hopeful(percent: int):
-    def compare(t: dict) -> list[tuple]:
-        found = np.zeros(len(t["n"]), dtype=bool)
-        for firsts, seconds in _pairs(t, percent):
-            found[firsts] = found[seconds] = True
-        return [(t["token"][i], t["c1"][i], t["c2"][i], t["cls"][i], t["n"][i], t["comp"][i]) for i in np.flatnonzero(found)]
 
-    return _each_task(compare, [*TASK, "cls", "n", "comp"])
+def _hopeful(t: dict, firsts: np.ndarray, seconds: np.ndarray, cuts: np.ndarray) -> dict:
+    """The rows that may link with another of their task."""
+    found = np.unique(np.concatenate([firsts, seconds]))
+    return {c: t[c][found] for c in (*TASK, "cls", "n", "comp")}
 
 
 def _verified(percent: int):
-    def compare(t: dict) -> list[tuple]:
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in t["items"]]
-        out, label = [], t["comp"].copy()
-        for firsts, seconds in _pairs(t, percent):
-            while (left := np.flatnonzero(label[firsts] != label[seconds])).size:
-                # Up to the first link: then rows that it joined need no more tries.
+    def compare(t: dict, firsts: np.ndarray, seconds: np.ndarray, cuts: np.ndarray) -> list[tuple]:
+        """Links (of components) that join all that is linked inside each task."""
+        sets: dict[int, np.ndarray] = {}
+
+        def set_of(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = np.frombuffer(t["items"][i], dtype=np.uint64)
+            return sets[i]
+
+        out, at = [], np.searchsorted(firsts, cuts)
+        for a, b, p, q in zip(cuts[:-1], cuts[1:], at[:-1], at[1:], strict=True):
+            x, y, label = firsts[p:q] - a, seconds[p:q] - a, t["comp"][a:b].copy()
+            while (left := np.flatnonzero(label[x] != label[y])).size:
+                # Up to the next link: rows that it joins need no more tries.
                 for k in left:
-                    i, j = firsts[k], seconds[k]
-                    if links(sets[i], sets[j], percent):
-                        out.append((t["comp"][i], t["comp"][j]))
+                    i, j = x[k], y[k]
+                    if links(set_of(a + i), set_of(a + j), percent):
+                        out.append((t["comp"][a + i], t["comp"][a + j]))
                         label[label == label[j]] = label[i]
                         break
-                firsts, seconds = firsts[k + 1 :], seconds[k + 1 :]
+                x, y = x[k + 1 :], y[k + 1 :]
+            sets.clear()
         return out
 
-    return _each_task(compare, ["a", "b"])
+    return compare
+
+
+def _dealt_rows(work: DataFrame) -> DataFrame:
+    """Every task whole in one partition, sorted; as many partitions as the
+    session's shuffles have, since the work is far more than its bytes."""
+    return work.repartition(shuffle_partitions(work.sparkSession), *TASK).sortWithinPartitions(*TASK, "n", "cls")
 
 
 # -------------------------------------------------------------------- join
@@ -292,11 +305,12 @@ def _round(lists: DataFrame, roots: DataFrame, rows: DataFrame, classes: DataFra
     open_lists = lists.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token")
     lists = _one_of_equal(lists.join(open_lists, "token", "left_semi"), "cls")
     dealt = _dealt(_blocks(lists), percent, across=across).join(shapes, "cls")
-    hope = saved(_sorted(dealt).mapInPandas(_hopeful(percent), "token long, c1 int, c2 int, cls long, n int, comp long"))
+    found = "token long, c1 int, c2 int, cls long, n int, comp long"
+    hope = saved(_dealt_rows(dealt).mapInPandas(_each_task(_hopeful, [*TASK, "cls", "n", "comp"], percent), found))
     wanted = saved(classes.join(hope.select("cls").distinct(), "cls", "left_semi").select(
         "cls", F.col("least.id").alias("id"), F.col("sketch").alias("parity")))
     sets = _sets_again(rows, wanted, k).withColumnRenamed("parity", "sketch")
-    found = _sorted(hope.join(sets, "cls")).mapInPandas(_verified(percent), "a long, b long")
+    found = _dealt_rows(hope.join(sets, "cls")).mapInPandas(_each_task(_verified(percent), ["a", "b"], percent), "a long, b long")
     moved = components(found).withColumnsRenamed({"node": "comp", "root": "to"})
     roots = roots.withColumnRenamed("root", "comp").join(moved, "comp", "left")
     return saved(roots.select("cls", F.coalesce("to", "comp").alias("root")))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat_format, decontaminate, html_extract, langid, mixing, pii, quality_classifier, quality_rules, setsketch,
-               similarity_join, url_filter)
+from . import (chat_format, decontaminate, html_extract, langid, mixing, permuterm, pii, quality_classifier, quality_rules,
+               setsketch, similarity_join, url_filter, whitening)
 from .common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,7 +59,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
     chats = chat_format.format_conversations(rows.unionByName(extra))
-    return chats.select("conv_id", chat_format.read_back("chat").alias("d")).select("conv_id", "d.*")
+    return chats.select("conv_id", chat_format.read_back("chat").alias("d")).select("conv_id", "d.*").drop("n_tokens")
 
 
 @query
@@ -95,6 +95,23 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[p[c].alias(c) for c in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")])
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permuterm.group_spellings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(rows)
+    white = whitening.whiten(rows, model)
+    explained = F.array(*map(F.lit, model.explained.tolist())) if model else F.lit(None).cast("array<double>")
+    out = white.select("vec_id", "white.deviation", F.posexplode("white.whitened").alias("at", "whitened"))
+    return out.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n if model else 0).cast("long").alias("n"),
+                      "deviation", "whitened", F.get(explained, F.col("at")).alias("explained"),
+                      F.lit(model.identity_error if model else None).cast("double").alias("identity_error"))
+
+
 @query
 def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

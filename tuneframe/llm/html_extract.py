@@ -1,16 +1,21 @@
 """Main text of web pages from flat text blocks.
 
 A page becomes a list of text blocks: the text between block-level tags, with
-scripts, styles, comments and the head left out. A block has its word count,
-its link density, the same of the blocks before and after it, and where it
-stands: inside an article, inside a menu, header, footer, sidebar or form, or
-inside an element whose class or id names such a thing. A decision tree,
-trained here on a small labelled table of pages, decides which blocks are main
+scripts, styles, comments and the head left out. A block has its word count and
+link density, those of the blocks before and after it, whether it is a
+paragraph (or list item, cell, quotation) or a heading, and whether it stands in
+an article or main element, if the page has one. A decision tree, trained here
+on a small labelled table of pages, decides from these which blocks are main
 text.
 
+What a page marks as something else is no candidate, wherever it stands: text in
+menus, page headers, footers, sidebars, forms, buttons and dialogs, in hidden
+elements, and in elements whose class, id or role names an advert, a notice, a
+comment section and the like. To its neighbours it counts as a block of links.
+
 Null and empty pages give an empty text. Unclosed, stray and cut-off tags are
-tolerated; time is linear in the page's length. Repeated rows get equal
-results.
+tolerated; time is linear in the page's length, whatever the length of a block.
+Repeated rows get equal results. Other columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,6 +43,7 @@ _INLINE = frozenset(
     "sub sup time tt u var wbr".split())
 _BOILER = frozenset("nav header footer aside form menu button select option dialog fieldset label input".split())
 _MAIN = frozenset(("article", "main"))
+_PROSE = frozenset("p li dd dt td th blockquote pre figcaption caption summary q".split())
 _NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 _HIDDEN = re.compile(r"""\shidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
 _HAS = re.compile(r"(?:^|(?<=\s))(?:with|has|no|without)-\S+", re.IGNORECASE)
@@ -54,9 +60,9 @@ class Block:
     text: str
     words: int
     linked: int
-    boiler: bool
-    hint: bool
+    aside: bool  # marked as something beside the main text
     main: bool
+    prose: bool
     heading: bool
 
     @property
@@ -79,8 +85,8 @@ def blocks_of(page: str | None) -> list[Block]:
         nonlocal parts, linked, heading
         words = entities.unescape("".join(parts)).split()
         if words:
-            _, boiler, hint, main = stack[-1] if stack else ("", False, False, False)
-            out.append(Block(" ".join(words), len(words), min(linked, len(words)), boiler, hint, main, heading))
+            tag, boiler, hint, main = stack[-1] if stack else ("", False, False, False)
+            out.append(Block(" ".join(words), len(words), min(linked, len(words)), boiler or hint, main, tag in _PROSE, heading))
         parts, linked, heading = [], 0, False
 
     for m in _PIECE.finditer(page or ""):
@@ -131,74 +137,104 @@ def blocks_of(page: str | None) -> list[Block]:
     return out
 
 
-FEATURES = ("words", "link_density", "words_before", "density_before", "words_after", "density_after", "boiler", "hint",
-            "main", "heading", "page_has_main")
+FEATURES = ("words", "link_density", "words_before", "density_before", "words_after", "density_after", "prose", "heading",
+            "main", "page_has_main")
 
 
 def block_features(blocks: list[Block]) -> np.ndarray:
-    none = Block("", 0, 0, False, False, False, False)
-    around = [none, *blocks, none]
-    has_main = any(b.main for b in blocks)
-    return np.array([[b.words, b.link_density, p.words, p.link_density, n.words, n.link_density, b.boiler, b.hint, b.main,
-                      b.heading, has_main] for p, b, n in zip(around, around[1:], around[2:], strict=False)],
+    """One row of FEATURES a block. A neighbour that is marked as something
+    else counts as no words, all linked; the page's ends as no words."""
+    around = [(0, 0.0), *((0, 1.0) if b.aside else (b.words, b.link_density) for b in blocks), (0, 0.0)]
+    has_main = any(b.main and not b.aside for b in blocks)
+    return np.array([[b.words, b.link_density, *before, *after, b.prose, b.heading, b.main, has_main]
+                     for b, before, after in zip(blocks, around, around[2:], strict=False)],
                     dtype=np.float64).reshape(len(blocks), len(FEATURES))
 
 
 # ---------------------------------------------------------- labelled pages
 
 
-PAGES = 120
+PAGES = 600
 
 
-def labelled_pages() -> list[tuple[str, list[str]]]:
+def labelled_pages() -> list[tuple[str, set[str]]]:
     """The small labelled table: pages made from layouts by a fixed rule, with
-    the blocks that are main text."""
+    the blocks that are main text. Articles stand in an article element, in
+    main, in plain divisions or bare in the body; their paragraphs may be long
+    or short; links stand inside them, and lists of links beside and among them."""
     rng = np.random.default_rng(31)
     vocabulary = ("river stone market window letter garden winter common measure quiet north paper engine harbour simple "
                   "village record number weather story").split()
 
-    def say(n: int) -> str:
-        return " ".join(vocabulary[i] for i in rng.integers(0, len(vocabulary), n)) + "."
-
-    def links(n: int) -> str:
-        return "".join(f'<li><a href="/{w}">{w}</a></li>' for w in vocabulary[:n])
+    def say(low: int, high: int) -> str:
+        return " ".join(vocabulary[i] for i in rng.integers(0, len(vocabulary), int(rng.integers(low, high)))) + f"{rng.integers(1 << 30)}."
 
-    def some(low: int, high: int) -> str:
-        return say(int(rng.integers(low, high)))
+    def links(n: int, tag: str = "li") -> str:
+        return "".join(f'<{tag}><a href="/x">{say(1, 5)}</a></{tag}>' for _ in range(n))
 
     pages = []
     for k in range(PAGES):
-        title, paras = some(2, 9), [say(int(n)) for n in rng.integers(1, 70, int(rng.integers(2, 9)))]
-        body = "".join(f"<p>{p}</p>" if rng.random() < 0.8 else f"<p><b>{p}<br>" for p in paras)
-        noise_before = [f"<nav><ul>{links(6)}</ul></nav>", f'<div class="ad">{some(3, 60)}</div>',
-                        f"<header><h2>{some(2, 5)}</h2><p>{some(3, 60)}</p></header>",
-                        f'<div id="cookie-notice"><p>{some(3, 60)}</p></div>', f'<div class="banner">{some(3, 60)}</div>',
-                        f"<div>{some(1, 8)}</div>"]
-        noise_after = [f"<footer>{some(3, 60)}</footer>", f"<aside><h3>{some(2, 4)}</h3><p>{some(3, 60)}</p></aside>",
-                       f"<form><label>{some(1, 30)}</label><button>Send</button></form>",
-                       f'<section class="comments"><h3>{some(1, 3)}</h3><p>{some(3, 60)}</p><p>{some(1, 9)}</p></section>',
-                       f"<ul>{links(9)}</ul>", f'<div class="related"><a href="/x">{some(3, 12)}</a></div>',
-                       f"<div>{some(1, 8)}</div>"]
-        before = "".join(x for x in noise_before if rng.random() < 0.6)
-        after = "".join(x for x in noise_after if rng.random() < 0.6)
-        layout = k % 4
-        if layout < 2:
-            main = f"<article><h1>{title}</h1>{body}{noise_after[3] if layout else ''}</article>"
-            good = [title, *paras]
-        elif layout == 2:
-            main = f"<main><h2>{title}</h2>{body}</main>"
-            good = [title, *paras]
-        else:
-            paras = [some(18, 80) for _ in range(4)]
-            main = f"<div><h1>{title}</h1>" + "".join(f"<p>{p}</p>" for p in paras) + "</div>"
-            good = [title, *paras]
-        pages.append((f"<html><head><title>{title}</title></head><body>{before}{main}{after}</body></html>", good))
+        good: set[str] = set()
+
+        def main_text(low: int, high: int) -> str:
+            text = say(low, high)
+            good.add(text)
+            return text
+
+        longest, shortest = int(rng.choice([4, 12, 25, 45, 80])), 1
+        tag = "p" if rng.random() < 0.7 else "div"
+        if tag == "div" and k % 4 > 1:  # only its length sets it apart
+            longest, shortest = max(longest, 25), 9
+
+        def paragraph() -> str:
+            kind = rng.random()
+            if kind < 0.6:
+                return f"<{tag}>{main_text(shortest, longest)}</{tag}>"
+            if kind < 0.7:  # with a link inside
+                start, linked, end = say(6, 30), say(1, 3), say(6, 30)
+                good.add(f"{start} {linked} {end}")
+                return f'<{tag}>{start} <a href="/y">{linked}</a> {end}</{tag}>'
+            if kind < 0.78:
+                return "<ul>" + "".join(f"<li>{main_text(2, longest + 2)}</li>" for _ in range(3)) + "</ul>"
+            if kind < 0.84:
+                return f"<blockquote>{main_text(3, longest + 3)}</blockquote>"
+            if kind < 0.9:
+                return f"<h2>{main_text(1, 6)}</h2><p>{main_text(4, longest + 4)}</p>"
+            return f"<table><tr><td>{main_text(1, 8)}</td><td>{main_text(1, 8)}</td></tr></table>"
+
+        body = [paragraph() for _ in range(int(rng.integers(2, 9)))]
+        inner = [f"<aside>{say(3, 60)}</aside>", f"<form><label>{say(1, 9)}</label><button>{say(1, 3)}</button></form>",
+                 f"<nav>{links(2, 'span')}</nav>", f"<ul>{links(4)}</ul>", f'<p><a href="/z">{say(2, 12)}</a></p>',
+                 f'<section class="comments"><h3>{say(1, 3)}</h3><p>{say(3, 60)}</p></section>']
+        for x in inner:
+            if rng.random() < 0.2:
+                body.insert(int(rng.integers(1, len(body) + 1)), x)
+        title = f"<h1>{main_text(1, 9)}</h1>" if rng.random() < 0.7 else ""
+        before = [f"<nav><ul>{links(6)}</ul></nav>", f'<div class="ad">{say(3, 60)}</div>',
+                  f"<header><h2>{say(2, 5)}</h2><p>{say(3, 60)}</p></header>", f'<div id="cookie-notice"><p>{say(3, 80)}</p></div>',
+                  f"<div>{links(3, 'span')}</div>", f"<ul>{links(5)}</ul>", f"<div>{say(1, 5)}</div>"]
+        after = [f"<footer>{say(3, 90)}</footer>", f"<aside><h3>{say(2, 4)}</h3><p>{say(3, 60)}</p></aside>",
+                 f"<form><label>{say(1, 30)}</label><button>Send</button></form>", f"<ul>{links(9)}</ul>",
+                 f'<section class="comments"><h3>{say(1, 3)}</h3><p>{say(3, 60)}</p><p>{say(1, 9)}</p></section>',
+                 f'<div class="related"><a href="/x">{say(3, 12)}</a></div>', f"<h3>{say(1, 3)}</h3><ul>{links(4)}</ul>",
+                 f"<div>{say(1, 8)}</div>"]
+        text = "".join(body)
+        main = (f"<article>{title}{text}</article>", f"<main>{title}{text}</main>", f"<div><div>{title}{text}</div></div>", title + text)[k % 4]
+        if k % 4 < 2:  # a page with an article: paragraphs beside it
+            before.append(f"<div><p>{say(1, 60)}</p></div>")
+            after.append(f"<section><h4>{say(1, 4)}</h4><p>{say(1, 60)}</p></section>")
+        if k % 20 == 3:  # hardly any markup
+            good.clear()
+            main = main_text(3, 80)
+            before, after = [], []
+        some = "".join(x for x in before if rng.random() < 0.4), "".join(x for x in after if rng.random() < 0.4)
+        pages.append((f"<html><head><title>{say(2, 5)}</title></head><body>{some[0]}{main}{some[1]}</body></html>", good))
     return pages
 
 
 # ------------------------------------------------------------------- tree
 
-MAX_DEPTH = 8
+MAX_DEPTH = 12
 MIN_LEAF = 2
 
 
@@ -243,8 +279,9 @@ def _fitted() -> tuple:
     xs, ys = [], []
     for page, good in labelled_pages():
         blocks = blocks_of(page)
-        xs.append(block_features(blocks))
-        ys.append(np.array([b.text in good for b in blocks], dtype=bool))
+        open_ones = np.array([not b.aside for b in blocks], dtype=bool)
+        xs.append(block_features(blocks)[open_ones])
+        ys.append(np.array([b.text in good for b in blocks], dtype=bool)[open_ones])
     return grow(np.concatenate(xs), np.concatenate(ys))
 
 
@@ -256,7 +293,7 @@ def main_text(page: str | None, tree: tuple) -> str:
     if not blocks:
         return ""
     keep = judge(tree, block_features(blocks))
-    return " ".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
+    return " ".join(b.text for b, k in zip(blocks, keep, strict=True) if k and not b.aside)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

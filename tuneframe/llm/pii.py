@@ -5,7 +5,9 @@ patterns below, leftmost and non-overlapping per kind. The conditional random
 field labels white-space tokens from word-shape features of the token and its
 neighbours; it is trained here on a small labelled table and decoded by
 Viterbi over many lines at once in numpy. Its spans are added where they touch
-no base span; above all it finds secrets (``token = "..."``).
+no base span: secrets (``token = "..."``; a bare hexadecimal run such as a
+commit's name is none), phone numbers in forms that the base lacks
+(``(212) 555-1234``) and social security numbers.
 
 Null and empty texts have no spans. Offsets are code points, end exclusive.
 Repeated rows get equal results. Long tokens and lines are handled in linear
@@ -26,7 +28,9 @@ from pyspark.sql import functions as F
 from .common import WORD, Kept, code_points, fresh, text_steps
 
 KINDS = ("email", "ip", "card", "phone")
-LABELS = ("O", *KINDS, "secret")
+#: Kinds of the added spans beside these.
+MORE = ("secret", "ssn")
+LABELS = ("O", *KINDS, *MORE)
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -97,7 +101,13 @@ def _feature_names() -> list[str]:
     return ["bias", "letters", "digits", "mixed", "upper", "title", "punct_only", "has_at", "has_dots3", "has_plus",
             "paren_digits", "dash_digits", "quote", "equals", "secret_name", "hex", "len1", "len2_4", "len5_8",
             "len9_15", "len16_24", "len25+", "digits1_3", "digits4_8", "digits9_12", "digits13+", "colon", "slash",
-            "other_script"]
+            "other_script", "ssn", "area", "local"]
+
+
+_SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")
+_AREA = re.compile(r"\([0-9]{3}\)$")
+_NATIONAL = re.compile(r"\([0-9]{3}\)[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}")
+_LOCAL_PART = re.compile(r"[0-9]{3}[-.][0-9]{4}")
 
 
 def _token_shape(token: str) -> list[float]:
@@ -107,14 +117,14 @@ def _token_shape(token: str) -> list[float]:
     letters = sum(c.isalpha() for c in core)
     n = len(core)
     name = core.lower().rstrip("=:").strip()
-    return [float(x) for x in (
+    return [float(bool(x)) for x in (
         True, letters == n > 0, digits == n > 0, letters and digits, core.isupper(), core.istitle(), n == 0,
         "@" in core[1:-1], core.count(".") == 3 and digits >= 4, token.startswith("+"),
         token.startswith("(") and digits, "-" in core and digits, token[:1] in "\"'`" and n > 0, "=" in token,
         name in _SECRET_NAMES, n >= 16 and digits and all(c in "0123456789abcdefABCDEF" for c in core),
         n == 1, 2 <= n <= 4, 5 <= n <= 8, 9 <= n <= 15, 16 <= n <= 24, n >= 25,
         1 <= digits <= 3, 4 <= digits <= 8, 9 <= digits <= 12, digits >= 13, ":" in core, "/" in core,
-        not core.isascii())]
+        not core.isascii(), _SSN.fullmatch(core), _AREA.match(token), _LOCAL_PART.fullmatch(core))]
 
 
 token_features = Kept(_token_shape, 100_000)
@@ -161,22 +171,30 @@ def shape_lines(text: str, exact: bool) -> list[list[bytes]]:
 
 def labelled_lines() -> list[list[tuple[str, str]]]:
     """The small labelled table: (token, label) lines made from a few
-    carriers and personal-data forms by a fixed rule."""
+    carriers and personal-data forms by a fixed rule. Numbers and hexadecimal
+    runs that are no personal data stand beside them."""
     rng = np.random.default_rng(23)
     carriers = ["please send the notes to {} before noon.", "The server at {} did not answer", "call {} , or write again",
                 "Paid with card {} last week.", "token = {} was left in the file", "Set api_key = {} and run it",
                 "{} is what we have on record", "see line 42 of chapter 7 , then {}", "les données de {} sont là",
                 "password: {} must change", "Der Wert {} steht im Text", "secret = {}", "ONLY!! CAPS!! {} HERE!!",
-                "a | b | {} | c", "text### with*** marks%%% {} and$$$ more&&&"]
+                "a | b | {} | c", "text~~~ with... marks??? {} and;;; more:::", "His number is {} since May", "file under {} please"]
     plain = ["the report of 2019 covers 3.5 million people , in 12 towns.", "Licensed under the Apache License, Version 2.0.",
              "GNU General Public License, version 3.", "la maison est grande ; il y a 4 pièces", "Die Straße ist lang.",
              "He scored 1,204 points ( 98% ) in 2020-21", "key ideas and the token of thanks = kindness", "x = y + 10",
              "\"quoted words\" are fine", "THE WHOLE LINE SHOUTS!!", "what### is&&& this%%% noise***", "a | few | words",
-             "order 66 and room 101", "ISBN 978-3-16 is partial", "the secret garden has a door", "word " * 12]
+             "order 66 and room 101", "ISBN 978-3-16 is partial", "the secret garden has a door", "word " * 12,
+             "between 1914-18 and (1939) the river rose 2-3 metres", "part 12-345-67 of set (204) fits", "see 555-1234 in the index"]
+    # Hexadecimal runs that name a thing rather than open one.
+    names = ["commit {} mends the build", "merged as {} into main", "checksum {} matches the file", "{}  archive.tar", "sha256:{}",
+             "etag {} was sent", "the blob {} is gone", "build {} of branch main", "revert {}", "{}"]
 
     def digits(n: int) -> str:
         return "".join(str(x) for x in rng.integers(0, 10, n))
 
+    def hexadecimal(low: int, high: int) -> str:
+        return "".join("0123456789abcdef"[x] for x in rng.integers(0, 16, int(rng.integers(low, high))))
+
     def value(kind: str) -> str:
         if kind == "email":
             return f"user.{digits(2)}@mail{digits(1)}.example.com"
@@ -185,20 +203,26 @@ def labelled_lines() -> list[list[tuple[str, str]]]:
         if kind == "card":
             return digits(16) if rng.random() < 0.6 else " ".join(digits(4) for _ in range(4))
         if kind == "phone":
-            return f"+1 ({digits(3)}) 555-{digits(4)}"
-        return '"' + "".join("0123456789abcdef"[x] for x in rng.integers(0, 16, int(rng.integers(24, 48)))) + '"'
+            return (f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"({digits(3)}) {digits(3)} {digits(4)}",
+                    f"+{digits(2)} {digits(3)} {digits(3)} {digits(4)}", f"+{digits(2)}-{digits(3)}-{digits(7)}")[int(rng.integers(0, 5))]
+        if kind == "ssn":
+            return f"{digits(3)}-{digits(2)}-{digits(4)}"
+        return '"' + hexadecimal(24, 48) + '"'
 
     fits = {"secret": (4, 5, 9, 11), "email": (0, 2, 6, 7, 8, 12, 13, 14), "ip": (1, 6, 7, 8, 10, 12, 13, 14),
-            "card": (3, 6, 7, 8, 10, 12, 13, 14), "phone": (2, 6, 7, 8, 10, 12, 13, 14)}
+            "card": (3, 6, 7, 8, 10, 12, 13, 14), "phone": (2, 6, 7, 8, 10, 12, 13, 14, 15), "ssn": (6, 7, 8, 10, 13, 15, 16)}
     lines = []
     for kind, places in fits.items():
         for i in places:
-            for _ in range(3):
+            for _ in range(4 if kind == "phone" else 3):
                 left, _, right = carriers[i].partition("{}")
-                mark = ("", "", "###", "!!", "***", "%%%")[int(rng.integers(0, 6))]
+                mark = ("", "", ";;;", "!!", "...", "??")[int(rng.integers(0, 6))]
                 lines.append([(t, "O") for t in left.split()] + [(t, kind) for t in (value(kind) + mark).split()]
                              + [(t, "O") for t in right.split()])
-    return lines + [[(t, "O") for t in x.split()] for x in plain for _ in range(3)]
+    for x in names:
+        for low, high in ((16, 20), (32, 33), (40, 41), (64, 65)):
+            plain.append(x.replace("{}", hexadecimal(low, high)))
+    return lines + [[(t, "O") for t in x.split()] for x in plain for _ in range(3 if "{" not in x else 1)]
 
 
 # ------------------------------------------------------------------- model
@@ -375,9 +399,11 @@ def plausible(kind: str, value: str) -> bool:
     if kind == "card":
         return 13 <= len(digits) <= 19 and luhn(digits)
     if kind == "phone":
-        return value[:1] in "+(" and 9 <= len(digits) <= 15
+        return (value[:1] == "+" or _NATIONAL.fullmatch(value) is not None) and 9 <= len(digits) <= 15
     if kind == "ip":
         return _IP.fullmatch(value) is not None and all(map(_byte, value.split(".")))
+    if kind == "ssn":
+        return _SSN.fullmatch(value) is not None
     return kind != "email" or "@" in value[1:-1]
 
 
@@ -396,7 +422,7 @@ def added_spans(text: str, base: list[tuple[str, int, int]], found: list[tuple[s
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
-    order = {k: i for i, k in enumerate((*KINDS, "secret"))}
+    order = {k: i for i, k in enumerate((*KINDS, *MORE))}
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (order[s[0]], s[1], s[2])))
 
 

@@ -14,8 +14,10 @@ the block in which the budget ends; only that block goes to the next level.
 So no source, however large, passes through one task.
 
 The sums of the bisection are aggregates over a table of one row a source, in
-decimals, so their order does not matter; only they reach the driver. Up to
-SMALL sources that table is broadcast to the rows, beyond it the planner joins.
+decimals, so their order does not matter; only they reach the driver. What holds
+for a source is joined to its rows by source and salt, SALTS rows a source, so
+that the rows of a source that has a third of them all are spread; the tables
+are written first, so the planner knows their size and broadcasts small ones.
 A null source is a source of its own. Documents without tokens are taken in
 every pass and cost nothing. Equal rows have equal places and are taken or
 left together, as are documents that collide on all levels. An empty table
@@ -30,7 +32,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, saved
+from .common import WORD, fresh, saved, tabled
 
 #: Share of the greatest possible entropy that the weights must reach.
 TARGET_ENTROPY = 0.95
@@ -38,8 +40,8 @@ TARGET_ENTROPY = 0.95
 MAX_PASSES = 4.0
 #: Tokens of the mix as a multiple of the corpus.
 BUDGET = 1.0
-#: Sources up to which their table is broadcast.
-SMALL = 100_000
+#: Parts into which the rows of a source are dealt.
+SALTS = 32
 #: Halvings of the exponent's range that one job decides, and jobs of a bisection.
 HALVINGS, ROUNDS = 4, 15
 FANOUT = 1024
@@ -101,16 +103,15 @@ def exponent_of(n: int, measure: Callable[[list[float]], list[tuple[float, float
     return bisect(False, lambda _, most: most <= max_passes)
 
 
-def planned(sizes: DataFrame, budget: float, target_entropy: float, max_passes: float) -> tuple[DataFrame, bool]:
+def planned(sizes: DataFrame, budget: float, target_entropy: float, max_passes: float) -> DataFrame:
     """Sources (source, tokens) with weight, whole passes and the rest of their
-    budget; whether they are SMALL."""
+    budget."""
     t = F.col("tokens").cast("double")
     k = F.col("k")  # sources of equal size are summed as one row
     real = saved(sizes.where(F.col("tokens") > 0).groupBy("tokens").agg(F.count("*").alias("k")))
     have = real.agg(F.sum(k).alias("n"), F.max("tokens").alias("top"), F.sum(k * F.col("tokens")).alias("total")).first()
-    small = sizes.count() <= SMALL
     if not have["n"]:
-        return sizes.select("source", F.lit(0.0).alias("weight"), F.lit(1).alias("whole"), F.lit(0.0).alias("rest")), small
+        return sizes.select("source", F.lit(0.0).alias("weight"), F.lit(1).alias("whole"), F.lit(0.0).alias("rest"))
     total, share = budget * have["total"], t / F.lit(float(have["top"]))
     power = lambda a: F.pow(share, F.lit(a))
 
@@ -128,7 +129,7 @@ def planned(sizes: DataFrame, budget: float, target_entropy: float, max_passes:
     part = F.col("weight") * F.lit(total)
     plan = sizes.withColumn("weight", weight).withColumn("rest", F.when(t > 0, part % t).otherwise(0.0))
     whole = F.when(t > 0, F.round((part - F.col("rest")) / t)).otherwise(1).cast("int")
-    return plan.select("source", "weight", whole.alias("whole"), "rest"), small
+    return plan.select("source", "weight", whole.alias("whole"), "rest")
 
 
 def token_count(text: str | Column) -> Column:
@@ -147,42 +148,76 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
     source), copies (times the document is in the mix; 0: left out) and place
     (order of the source's pass). Sizes and choices are made on slim rows in
     the shared checkpoint folder; texts are read once."""
-    slim = saved(docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
-        token_count(F.col(text_col)).alias("n_tokens"),
-        F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(1 << 40)).alias("place")))
-    sizes = saved(slim.groupBy("source").agg(F.sum("n_tokens").alias("tokens")))
-    plan, small = planned(sizes, budget, target_entropy, max_passes)
-    return _realise(slim, saved(plan), small).select(
+    slim, chosen = _chosen(docs, source_col, id_col, text_col, budget, target_entropy, max_passes, seed)
+    return _with_choice(slim, chosen, "source", "place", ["weight", "copies", "place"]).select(
         F.col("id").alias(id_col), F.col("source").alias(source_col), "n_tokens", "weight", "copies", "place")
 
 
-def _realise(slim: DataFrame, plan: DataFrame, small: bool) -> DataFrame:
-    """Whole passes, plus one for the rows before the place where a source's
-    remaining budget ends. ``plan`` has one row a source."""
-    sent = F.broadcast if small else lambda df: df
-    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    plan = plan.withColumnRenamed("source", "s")
+def mixed_documents(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text",
+                    budget: float = BUDGET, target_entropy: float = TARGET_ENTROPY, max_passes: float = MAX_PASSES,
+                    seed: int = SEED) -> DataFrame:
+    """The rows of ``docs``, all columns, that are in the mix, with weight,
+    copies and place (or longer free names)."""
+    _, chosen = _chosen(docs, source_col, id_col, text_col, budget, target_entropy, max_passes, seed)
+    names = [fresh(docs, c) for c in ("weight", "copies", "place")]
+    key, source = fresh(docs, "place_of_row"), fresh(docs, "source_of_row")
+    rows = docs.withColumn(key, _row_place(seed, id_col, text_col)).withColumn(source, F.col(source_col).cast("string"))
+    return _with_choice(rows, chosen, source, key, names).where(F.col(names[1]) > 0).select(*docs.columns, *names)
+
+
+def _row_place(seed: int, id_col: str, text_col: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(1 << 40))
+
+
+def _salt(place: str) -> Column:
+    """Bits of the place that name no block."""
+    return F.pmod(F.shiftright(F.col(place), 10 * LEVELS), F.lit(SALTS))
+
+
+def _salted(table: DataFrame) -> DataFrame:
+    """``table`` once for every salt, written so that its size is known."""
+    return tabled(table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+
+
+def _chosen(docs: DataFrame, source_col: str, id_col: str, text_col: str, budget: float, target_entropy: float,
+            max_passes: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Slim rows of ``docs``; for every source and salt the weight, the whole
+    passes, the rest of the budget, and the place where it ends (cut)."""
+    slim = saved(docs.select(
+        F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
+        token_count(F.col(text_col)).alias("n_tokens"), _row_place(seed, id_col, text_col).alias("place")))
+    sizes = saved(slim.groupBy("source").agg(F.sum("n_tokens").alias("tokens")))
+    plan = saved(planned(sizes, budget, target_entropy, max_passes)).withColumnRenamed("source", "s")
     # Ends: of each source the digits of the place where its rest of the budget runs out.
     ends = plan.select("s", F.col("rest").alias("left"))
     for level in range(LEVELS):
-        digit = f"d{level}"
-        inside = slim.select("source", "n_tokens", *[_place(F.col("place"), LEVELS - 1 - i).alias(f"p{i}") for i in range(level + 1)])
-        on = [same("source", "s")] + [F.col(f"p{i}") == F.col(f"d{i}") for i in range(level)]
-        sums = (inside.join(sent(ends), on).groupBy("s", "left", *[f"d{i}" for i in range(level)], f"p{level}")
-                .agg(F.sum("n_tokens").alias("t")))
+        digit, known = f"d{level}", [f"d{i}" for i in range(level)]
+        inside = slim.select("source", "n_tokens", _salt("place").alias("salt_of_row"),
+                             *[_place(F.col("place"), LEVELS - 1 - i).alias(f"p{i}") for i in range(level + 1)])
+        on = [F.col("source").eqNullSafe(F.col("s")), F.col("salt_of_row") == F.col("salt")]
+        on += [F.col(f"p{i}") == F.col(d) for i, d in enumerate(known)]
+        sums = inside.join(_salted(ends), on).groupBy("s", "left", *known, f"p{level}").agg(F.sum("n_tokens").alias("t"))
         by = Window.partitionBy("s").orderBy(f"p{level}")
         run = F.sum("t").over(by.rowsBetween(Window.unboundedPreceding, 0))
         # The first block that the rest does not cover; none: all blocks are taken.
-        reached = sums.withColumn("run", run).where(F.col("run") > F.col("left")).groupBy(
-            "s", *[f"d{i}" for i in range(level)]).agg(F.min(F.struct(f"p{level}", (F.col("left") - F.col("run") + F.col("t")).alias("left"))).alias("m"))
-        ends = saved(reached.select("s", *[f"d{i}" for i in range(level)], F.col(f"m.p{level}").alias(digit), F.col("m.left").alias("left")))
+        reached = sums.withColumn("run", run).where(F.col("run") > F.col("left")).groupBy("s", *known).agg(
+            F.min(F.struct(f"p{level}", (F.col("left") - F.col("run") + F.col("t")).alias("left"))).alias("m"))
+        ends = saved(reached.select("s", *known, F.col(f"m.p{level}").alias(digit), F.col("m.left").alias("left")))
     cut = F.lit(0).cast("long")
     for level in range(LEVELS):
         cut = cut * FANOUT + F.col(f"d{level}")
     ends = ends.select(F.col("s").alias("s2"), cut.alias("cut"))
-    out = slim.join(sent(plan), same("source", "s"), "left")
-    plans = out.join(sent(ends), same("source", "s2"), "left")
-    low = F.pmod(F.col("place"), F.lit(FANOUT**LEVELS))
-    extra = F.when(F.col("rest") <= 0, 0).when(F.col("cut").isNull() | (low < F.col("cut")), 1).otherwise(0)
-    return plans.withColumn("copies", F.coalesce(F.col("whole") + extra, F.lit(0))).withColumn("place", low)
+    return slim, _salted(plan.join(ends, F.col("s").eqNullSafe(F.col("s2")), "left").drop("s2"))
+
+
+def _with_choice(rows: DataFrame, chosen: DataFrame, source: str, place: str, names: list[str]) -> DataFrame:
+    """``rows`` with weight, copies and place: whole passes, plus one for the
+    rows before the place where a source's remaining budget ends."""
+    table = chosen.select(*[F.col(c).alias(f"chosen_{c}") for c in chosen.columns])
+    clash = {c: fresh(rows, c) for c in table.columns}
+    table, c = table.withColumnsRenamed(clash), {k[len("chosen_"):]: F.col(v) for k, v in clash.items()}
+    out = rows.join(table, F.col(source).eqNullSafe(c["s"]) & (_salt(place) == c["salt"]), "left")
+    low = F.pmod(F.col(place), F.lit(FANOUT**LEVELS))
+    extra = F.when(c["rest"] <= 0, 0).when(c["cut"].isNull() | (low < c["cut"]), 1).otherwise(0)
+    values = (c["weight"], F.coalesce(c["whole"] + extra, F.lit(0)), low)
+    return out.withColumns(dict(zip(names, values, strict=True))).drop(*clash.values())

@@ -34,9 +34,9 @@ ALLOWED_URLS = (
     "http://news.local.org/science/new-comet-seen", "https://docs.tool.org/guide/install", "https://en.encyclo.org/wiki/Harbour",
     "https://forum.garden.net/topic/roses-in-winter", "https://library.uni.edu/papers/1234", "https://recipes.home.org/bread/rye",
     "https://m.paper.net/de/kultur/8812", "https://shop.books.org/review/long-walk", "https://travel.net/en/guides/lisbon",
-    "https://museum.city.org/exhibits/17", "https://health.gov.org/advice/sleep", "https://ththth.example.org/en/25",
-    "https://thther.example.org/fr/685", "https://blog.thand.example.net/de/71", "https://m.erin.example.net/en/102",
-    "https://www.onnd.example.org/es/340", "https://news.reth.example.net/en/9", "https://heed.example.org/de/512",
+    "https://museum.city.org/exhibits/17", "https://health.gov.org/advice/sleep", "https://observatory.org/en/events/25",
+    "https://www.orchestra.org/fr/concerts/685", "https://blog.baking.net/de/brot/71", "https://m.railway.net/en/timetable/102",
+    "https://www.botanical.org/es/plantas/340", "https://news.harbour.net/en/weather/9", "https://philosophy.org/de/essays/512",
     "https://school.org/lessons/math/fractions", "https://sport.daily.net/match-report/77", "https://music.org/interviews/quartet",
     "https://wiki.code.org/page/sorting")
 BLOCKED_URLS = (
@@ -109,11 +109,13 @@ def block_probability(host: Column, path: Column, weights: list[float], intercep
 def judge_urls(pages: DataFrame, url_col: str = "url", rules: tuple[tuple[str, str], ...] = RULES,
                model: tuple[list[float], float] | None = None) -> DataFrame:
     """``pages`` with a struct column ``url_verdict`` (or a longer free name):
-    host, path, rule, probability (of block) and verdict."""
+    host, path, rule, probability (of block; null where a rule decides) and
+    verdict."""
     weights, intercept = model or train(pages.sparkSession)
     url = F.col(url_col).cast("string")
     host, path = F.coalesce(host_of(url), F.lit("")), F.coalesce(path_of(url), F.lit(""))
-    rule, p = rule_of(host, path, rules), block_probability(host, path, weights, intercept)
+    rule = rule_of(host, path, rules)
+    p = F.when(rule.isNull(), block_probability(host, path, weights, intercept))
     by_rule = F.create_map(*[F.lit(x) for r in rules for x in r]) if rules else F.lit(None).cast("map<string,string>")
     verdict = F.coalesce(F.try_element_at(by_rule, rule), F.when(p >= BLOCK_PROBABILITY, BLOCK).otherwise(ALLOW))
     return pages.withColumn(fresh(pages, "url_verdict"), F.struct(

@@ -11,12 +11,14 @@ for hash collisions) and runs in these steps:
 2. Each set is sorted in that order; its prefix is its first
    n - ceil(0.9 n) + 1 shingles. Sets that link share a prefix shingle.
    Documents with equal prefix and size make a group, and within it those
-   with equal sets a class; only classes are joined, through their groups.
-3. Classes are listed under their prefix shingles. Lists are cut into blocks
-   of about BLOCK rows ordered by size; block pairs are compared in one task each,
-   with filters that lose nothing: size, position, and a parity bitmap of the
-   set, whose bits give a lower bound of the symmetric difference. Classes
-   without any passing partner are done.
+   with equal sets a class.
+3. Groups are listed under their prefix shingles. Lists are cut into blocks
+   of about BLOCK rows ordered by size; block pairs are compared in one task each.
+   Group pairs are filtered by what all members share, size and the place of the
+   common shingle; groups that pass nowhere are done with others, and only the
+   rest are expanded to their classes. Class pairs are filtered by a parity
+   bitmap of the set, whose bits give a lower bound of the symmetric
+   difference. None of these filters loses a link.
 4. The sets of the others are read again. Within each block, pairs that pass
    are verified on the whole sets, unless known links join the two already: a
    block emits a spanning forest of its links, never all pairs of a cluster.
@@ -53,6 +55,8 @@ MIN_FREQUENT = 4
 BLOCK = 512
 #: Shingles of 2 ** HOT_LEVEL documents or more skip the neighbour test, whose window holds a whole list.
 HOT_LEVEL = 10
+#: Hashes that one group of the count holds, about.
+BUCKET = 1 << 22
 #: Hashes that a task gathers before it deals them out.
 GATHER = 1 << 20
 #: Bits of the document filter when sets are read again.
@@ -85,7 +89,9 @@ def frequent_shingles(docs: DataFrame, text_col: str, k: int = SHINGLE) -> tuple
     """Bucket bits, sorted keys and levels (floor of log2 of the documents
     that have the shingle) of the most frequent shingles. A key is the top
     (bits + 32) bits of the hash."""
-    bits = max(6, (shuffle_partitions(docs.sparkSession) - 1).bit_length())
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    # Buckets by the corpus' size: a word takes some 5 bytes, so no bucket outgrows BUCKET hashes by much.
+    bits = max(6, (shuffle_partitions(docs.sparkSession) - 1).bit_length(), (size // (5 * BUCKET)).bit_length())
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -240,6 +246,22 @@ def folded(parity: bytes) -> bytes:
     return np.packbits(odd[:, 0] ^ odd[:, 1]).tobytes()
 
 
+def _fitting(percent: int):
+    """The list and group of every group of a task that some other one fits by
+    size and place of their common shingle."""
+    def compare(t: dict) -> list[tuple[int, int]]:
+        n, pos, found = t["n"].astype(np.int64), t["pos"].astype(np.int64), np.zeros(len(t["n"]), dtype=bool)
+        for i in range(len(n) - 1):
+            end = int(np.searchsorted(n, 100 * n[i] // percent, side="right"))
+            m, p = n[i + 1 : end], pos[i + 1 : end]
+            ok = np.minimum(pos[i], p) + np.minimum(n[i] - pos[i], m - p) >= min_overlap(n[i], m, percent)
+            found[i] |= ok.any()
+            found[i + 1 : end] |= ok
+        return [(int(t["token"][i]), int(t["cls"][i])) for i in np.flatnonzero(found)]
+
+    return compare
+
+
 TASK = ["token", "c1", "c2"]
 
 
@@ -308,7 +330,13 @@ def linked(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: i
     near = (100 * F.col("less") >= percent * F.col("n")) | (percent * F.col("more") <= 100 * F.col("n"))
     lists = lists.where(F.coalesce(near, F.lit(False)) | (F.col("mixed") & (F.col("pos") == 0))).select(*slim)
     lists = _one_of_equal(lists.union(every.where(~cool).select(*slim)), "grp")
-    # Groups are expanded to their classes, and lists cut into blocks.
+    # Group pairs, by size and place alone; a group of several classes has pairs of its own.
+    fit = _blocks(lists.join(groups.select("grp", "n"), "grp").withColumnRenamed("grp", "cls"))
+    fit = _sorted(_dealt(fit.withColumn("comp", F.col("cls")), percent, across=None)).mapInPandas(_by_task(_fitting(percent)), "a long, b long")
+    fit = fit.select(F.col("a").alias("token"), F.col("b").alias("grp")).union(
+        lists.join(groups.where("mixed").select("grp"), "grp", "left_semi").select("token", "grp")).distinct()
+    # The groups left are expanded to their classes, and lists cut into blocks.
+    lists = lists.join(fit, ["token", "grp"], "left_semi")
     lists = _blocks(lists.join(classes.select("grp", "n", "cls"), "grp").drop("grp"))
     shapes = classes.select("cls", "parity")
 

@@ -172,6 +172,22 @@ def test_pii(docs, none):
     assert pii.base_spans("a@b.c_d@e.f") == [("email", 0, 5), ("email", 5, 11)]
     assert pii.base_spans("1" * 50_000) == [] and pii.base_spans("1.2.3.4.5.6.7.8") == [("ip", 0, 7), ("ip", 8, 15)]
     assert pii.base_spans("256.1.1.1") == []
+    for text in ("9" * 5000 + ".1.1.1", "1.1.1." + "9" * 5000, "1." + "9" * 5000 + ".1.1", "+" + "1" * 9000, "1 " * 9000, "(212) " * 3000):
+        found = pii.crf_spans([text], pii.trained())[0]
+        assert all(k in pii.MORE or k in pii.KINDS for k, *_ in pii.added_spans(text, pii.base_spans(text), found))
+
+
+def test_pii_added_spans():
+    def added(text):
+        base = pii.base_spans(text)
+        return {(k, text[a:b]) for k, a, b in pii.added_spans(text, base, pii.crf_spans([text], pii.trained())[0])}
+
+    assert added("you can call (212) 555-1234 today") == {("phone", "(212) 555-1234")}
+    assert added("his number is 078-05-1120 on file") == {("ssn", "078-05-1120")}
+    key = "a94a8fe5ccb19ba61c4c0873d391e987982fbbd3"
+    assert added(f'secret = "{key}"') == {("secret", key)}
+    for text in (f"commit {key} broke it", key, f"checksum {key} is right", "in the years (1999) and 2001-2005"):
+        assert added(text) == set()
 
 
 def test_viterbi_against_all_paths():

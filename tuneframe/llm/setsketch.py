@@ -17,7 +17,8 @@ links one document stays. The steps:
    (smaller, equal, larger), given the known sizes: a pair goes on unless the
    registers are exp(SURE) times likelier at the best intersection than at any
    that links, which loses a link with a probability of about exp(-SURE).
-5. What goes on is verified on the full sets. Lists are cut into blocks of
+5. What goes on is verified on the full sets, each pair in the list of the first
+   band it shares. Lists are cut into blocks of
    about BLOCK rows by size, and a task holds one pair of blocks; it emits a
    spanning forest of the links that join different components, never all
    pairs. The lists of the first bands are verified first, then the rest, so
@@ -42,7 +43,7 @@ from tuneframe.session import shuffle_partitions
 
 from .common import bounded_batches, fresh, saved
 from .components import components
-from .similarity_join import _blocks, _dealt, _one_of_equal, _sets_again, fingerprint, links, min_overlap, shingle_set
+from .similarity_join import _blocks, _dealt, _sets_again, fingerprint, links, min_overlap, shingle_set
 
 SHINGLE = 3
 #: Bands whose lists are verified first.
@@ -188,9 +189,11 @@ def _each_task(compare, columns: list[str], percent: int):
 
 
 def _pairs(t: dict, cuts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one task and of different components that may link."""
-    n, comp = t["n"].astype(np.int64), t["comp"]
+    """Pairs of rows of one task and of different components that may link. Of
+    all lists that a pair shares, that of its first band in common has it."""
+    n, comp, band = t["n"].astype(np.int64), t["comp"], t["band"]
     regs = np.frombuffer(b"".join(t["sketch"]), dtype=np.uint16).reshape(len(n), REGISTERS)
+    bands = regs.view(np.uint64)
     ends = np.concatenate([a + np.searchsorted(n[a:b], 100 * n[a:b] // percent, side="right")
                            for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
     partners = ends - np.arange(len(n)) - 1
@@ -203,6 +206,8 @@ def _pairs(t: dict, cuts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndar
         seconds = np.arange(len(firsts)) - np.repeat(before, partners[a:b]) + firsts + 1
         apart = comp[firsts] != comp[seconds]
         firsts, seconds = firsts[apart], seconds[apart]
+        here = (bands[firsts] == bands[seconds]).argmax(axis=1) == band[firsts]
+        firsts, seconds = firsts[here], seconds[here]
         x, y = regs[firsts], regs[seconds]
         ok = may_link(n[firsts], n[seconds], (x > y).sum(axis=1), (x < y).sum(axis=1), percent)
         out.append(np.stack([firsts[ok], seconds[ok]]))
@@ -213,7 +218,7 @@ def _pairs(t: dict, cuts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndar
 def _hopeful(t: dict, firsts: np.ndarray, seconds: np.ndarray, cuts: np.ndarray) -> dict:
     """The rows that may link with another of their task."""
     found = np.unique(np.concatenate([firsts, seconds]))
-    return {c: t[c][found] for c in (*TASK, "cls", "n", "comp")}
+    return {c: t[c][found] for c in (*TASK, "cls", "n", "comp", "band")}
 
 
 def _verified(percent: int):
@@ -301,12 +306,16 @@ def _round(lists: DataFrame, roots: DataFrame, rows: DataFrame, classes: DataFra
            across: bool | None) -> DataFrame:
     """``roots`` (cls, root of its component) with the links of ``lists``
     added: those inside blocks (``across`` false) or all (None)."""
-    lists = lists.select("token", "cls", "n").join(roots.withColumnRenamed("root", "comp"), "cls")
-    open_lists = lists.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("token")
-    lists = _one_of_equal(lists.join(open_lists, "token", "left_semi"), "cls")
+    lists = lists.join(roots.withColumnRenamed("root", "comp"), "cls")
+    # Lists of several components; near copies share many bands, so of lists
+    # with equal members the lowest band's, told by sums made before the shuffle.
+    sums = lists.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("band").alias("band"), F.count("*").alias("m0"),
+                                      F.sum(F.pmod(F.xxhash64("cls"), F.lit(1 << 40))).alias("m1"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("m2"))
+    one = sums.where("lo != hi").groupBy("m0", "m1", "m2").agg(F.min(F.struct("band", "token")).alias("low")).select("low.token")
+    lists = lists.join(one, "token", "left_semi")
     dealt = _dealt(_blocks(lists), percent, across=across).join(shapes, "cls")
-    found = "token long, c1 int, c2 int, cls long, n int, comp long"
-    hope = saved(_dealt_rows(dealt).mapInPandas(_each_task(_hopeful, [*TASK, "cls", "n", "comp"], percent), found))
+    found = "token long, c1 int, c2 int, cls long, n int, comp long, band int"
+    hope = saved(_dealt_rows(dealt).mapInPandas(_each_task(_hopeful, [*TASK, "cls", "n", "comp", "band"], percent), found))
     wanted = saved(classes.join(hope.select("cls").distinct(), "cls", "left_semi").select(
         "cls", F.col("least.id").alias("id"), F.col("sketch").alias("parity")))
     sets = _sets_again(rows, wanted, k).withColumnRenamed("parity", "sketch")

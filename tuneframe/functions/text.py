@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tuneframe import constants as K
 
 __all__ = [
-    "col_of", "py_strip", "is_blank", "is_upload_id", "split_stored_name", "safe_name",
-    "is_repo_ref", "classify_failure", "display_name", "non_space_tokens", "spaced_tokens",
+    "col_of", "py_strip", "is_blank", "is_utf8", "is_upload_id", "split_stored_name", "safe_name",
+    "is_repo_ref", "classify_failure", "display_name", "non_space_tokens", "count_tokens", "token_prefix",
     "TOKEN_PATTERN", "PIECE_PATTERN",
 ]
 
@@ -19,6 +19,13 @@ TOKEN_PATTERN = f"[^{_WS_CLASS}]+"
 # A token with the whitespace before it: joined, they give the text's prefix.
 PIECE_PATTERN = f"[{_WS_CLASS}]*[^{_WS_CLASS}]+"
 
+# The same token for long scans. Character classes of many parts are slow, so a
+# run of the commonest letters and marks is taken by a class of two; only what
+# stands beside it, if no space does, is put to the whole class.
+_PLAIN = r"!-~\x{a1}-\x{167f}"
+_RUN = rf"[{_PLAIN}]++(?:(?=[ \n])|[^{_WS_CLASS}]*+)"
+_TOKEN = rf"(?:{_RUN}|(?![ \n])[^{_WS_CLASS}]++)"
+
 
 def col_of(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -34,6 +41,11 @@ def is_blank(c) -> Column:
     return F.coalesce(F.length(py_strip(c)) == 0, F.lit(True))
 
 
+def is_utf8(c) -> Column:
+    """Whether a string's (or binary's) bytes are well-formed UTF-8."""
+    return F.is_valid_utf8(col_of(c).cast("string"))
+
+
 def is_upload_id(c) -> Column:
     """Exactly 32 lower-case hex digits."""
     return F.coalesce(col_of(c).rlike(K.UPLOAD_ID_PATTERN), F.lit(False))
@@ -91,6 +103,19 @@ def non_space_tokens(c) -> Column:
     return F.array_remove(F.split(spaced, " "), "")
 
 
-def spaced_tokens(c) -> Column:
-    """The tokens of ``non_space_tokens``, each with the whitespace before it."""
-    return F.regexp_extract_all(col_of(c), F.lit(PIECE_PATTERN), F.lit(0))
+def count_tokens(c) -> Column:
+    """How many tokens ``non_space_tokens`` gives, without an array of them."""
+    return F.regexp_count(col_of(c), F.lit(_TOKEN))
+
+
+def token_prefix(c, limit: int) -> Column:
+    """The text up to the end of its ``limit``-th token; empty if it has fewer.
+    One anchored match that never steps back and ends at that token. Tokens are
+    counted in groups of 32, groups in groups, so that its depth stays small
+    whatever the limit is."""
+    one, pattern = rf"(?>[{_WS_CLASS}]*+{_TOKEN})", ""
+    while limit > 0:
+        limit, digit = divmod(limit, 32)
+        pattern = (f"(?:{one}){{{digit}}}" if digit else "") + pattern
+        one = f"(?>(?:{one}){{32}})"
+    return F.regexp_extract(col_of(c), "^" + pattern, 0)

@@ -184,15 +184,32 @@ def test_five_thousand_two_column_hot_keys(spark):
     assert O._marked(keyed, hot).where(O._HEAVY).count() == 20000
 
 
-def test_subsampled_planning_gives_the_same_numbers(spark, monkeypatch):
+def test_one_planning_job(spark):
+    """The split is planned by one job; its answer holds hot groups only."""
     from tuneframe.operators import ordering as O
-    monkeypatch.setattr(O, "PROBE_FRACTION", 0.5)
-    monkeypatch.setattr(O, "SAMPLE_ROWS_PER_RANGE", 10)
-    df = _skewed(spark)
+    df = _skewed(spark).withColumn("_tf_gkey", F.struct("g")).withColumn("k0", F.col("o").cast("double")) \
+        .withColumn("k1", F.when(F.col("id") % 5 > 0, F.col("id").cast("double")))
+    sc = spark.sparkContext
+    sc.setJobGroup("ordering-plan", "one plan")
+    try:
+        hot, cuts = O._plan_split(df, ["k0", "k1"], 16)
+        jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup("ordering-plan")]
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert [r["_tf_gkey"]["g"] for r in hot.collect()] == ["hot"]
+    assert all(5 <= len(c) <= 16 and c == sorted(set(c)) for c in cuts)
+    # Adaptive execution may give every stage of the one query a job of its own.
+    assert len({s for j in jobs for s in j.stageIds}) <= 4
+
+
+def test_many_hot_groups_and_small_sketches(spark, monkeypatch):
+    from tuneframe.operators import ordering as O
+    monkeypatch.setattr(O, "SKETCH", 8)
+    df = spark.range(0, 4000).select((F.sqrt(F.col("id")) / 8).cast("int").alias("g"), (F.col("id") * 7919 % 997).alias("o"), "id")
     w = Window.partitionBy("g").orderBy("o", "id")
     want = {(r.id, r.rn) for r in df.select("id", F.row_number().over(w).alias("rn")).collect()}
-    ranged = O._with_ranges(df, ["g"], ["o", "id"], 16)
-    assert {(r.id, r.rn) for r in number_rows(df, ["g"], ["o", "id"], "rn", n_ranges=16).collect()} == want
+    for n in (2, 16, 100):
+        assert {(r.id, r.rn) for r in number_rows(df, ["g"], ["o", "id"], "rn", n_ranges=n).collect()} == want
 
 
 def test_dataset_validation_reads_the_text_twice_at_most(spark, tmp_path):

@@ -2,9 +2,10 @@
 
 ``Window.partitionBy(g).orderBy(o)`` sends every row of a group to one task,
 so a group holding a third of the data becomes a third of the job on one
-core. Here the ordering key of hot groups is first cut into quantile ranges
-(cut points come from ``approxQuantile`` over a bounded sample). The window
-then runs over ``(group, range)``, which splits a hot group across many tasks,
+core. Here the ordering key of hot groups is first cut into quantile ranges:
+one planning job counts the rows of every group and sketches their order keys
+(mergeable quantile sketches, built map-side), and brings back the largest
+groups' cut points. The window then runs over ``(group, range)``, which splits a hot group across many tasks,
 and a small table of per-range totals, prefix-summed inside each group, is
 joined back to shift every range by what came before it. The plan is the same
 for every input size.
@@ -16,7 +17,7 @@ breaker such as an id as the last order column).
 from __future__ import annotations
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -76,9 +77,8 @@ _EXACT = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.Dou
           T.TimestampType, T.TimestampNTZType)
 
 
-SAMPLE_ROWS_PER_RANGE = 1000
-PROBE_FRACTION = 1e-4
-SAMPLE_SEED = 20241202
+#: Size of a group's quantile sketch: ranks are off by about 1 / SKETCH of its rows.
+SKETCH = 1024
 _HEAVY = "_tf_heavy"
 
 
@@ -99,36 +99,43 @@ def _levels(df: DataFrame, order_cols: list[str]) -> list[Column] | None:
 
 
 def _plan_split(keyed: DataFrame, keys: list[str], n_ranges: int):
-    """Hot groups (a frame of their keys) and cut points, from one sample of
-    about ``SAMPLE_ROWS_PER_RANGE * n_ranges`` rows whatever the input size
-    (all rows of a small input).
-
-    A group is hot when it holds at least 1/n_ranges of the sampled rows, so
-    there are at most n_ranges of them, by construction. Cut points come from
-    the hot groups' sampled rows only. Both only steer the balance of work;
+    """Hot groups (a frame of their keys) and, for each of ``keys``, cut points
+    of the hot groups' rows, from one job over all rows.
+
+    The job aggregates a count and a quantile sketch a group; the n_ranges
+    largest come back. A group is hot when it holds at least 1/n_ranges of the
+    rows, so all hot ones are among them. The i-th largest group holds at most
+    1/i of the rows and needs n_ranges/i cut points at most, which bounds what
+    the driver gets whatever the input. Both only steer the balance of work;
     any answer gives the same numbers."""
-    from pyspark import StorageLevel
-
-    target = SAMPLE_ROWS_PER_RANGE * n_ranges
-    # A 0.01% probe (group key only, nothing kept) estimates the row count;
-    # the sample then takes the fraction that reaches ``target`` rows (all
-    # rows when the input is small).
-    estimate = keyed.select(_GK).sample(False, PROBE_FRACTION, SAMPLE_SEED).count() / PROBE_FRACTION
-    fraction = target / estimate if estimate > target else 1.0
-    source = keyed if fraction >= 1.0 else keyed.sample(False, fraction, SAMPLE_SEED + 1)
-    sample = source.select(_GK, *keys).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        total = sample.count()
-        hot = sample.groupBy(_GK).count().where((F.col("count") >= 2) & (F.col("count") * n_ranges >= total)) \
-            .select(_GK).collect()
-        hot_df = keyed.sparkSession.createDataFrame([(r[_GK],) for r in hot], T.StructType([
-            T.StructField(_GK, keyed.schema[_GK].dataType, False)]))
-        probs = [i / n_ranges for i in range(1, n_ranges)]
-        hot_sample = sample.join(F.broadcast(hot_df), _GK, "left_semi")
-        cuts = hot_sample.approxQuantile(keys, probs, 1.0 / (4 * n_ranges)) if hot and probs else [[] for _ in keys]
-        return hot_df, cuts
-    finally:
-        sample.unpersist()
+    groups = keyed.groupBy(_GK).agg(F.count(F.lit(1)).alias("_tf_c"), *[
+        F.kll_sketch_agg_double(k, SKETCH).alias(f"_tf_s{i}") for i, k in enumerate(keys)])
+    seen = Observation()
+    largest = groups.observe(seen, F.sum("_tf_c").alias("total")).where(F.col("_tf_c") >= 2) \
+        .orderBy(F.desc("_tf_c")).limit(n_ranges)
+    placed = largest.withColumn("_tf_m", F.row_number().over(Window.orderBy(F.desc("_tf_c"))))
+    ranks = F.lit([i / n_ranges for i in range(1, max(n_ranges, 2))])
+    got = placed.select(_GK, "_tf_c", *[
+        F.filter(F.kll_sketch_get_quantile_double(f"_tf_s{i}", ranks), _every("_tf_m")).alias(f"_tf_q{i}") for i in range(len(keys))]).collect()
+    total = seen.get["total"] or 0
+    hot = [r for r in got if r["_tf_c"] * n_ranges >= total]
+    hot_df = keyed.sparkSession.createDataFrame([(r[_GK],) for r in hot], T.StructType([
+        T.StructField(_GK, keyed.schema[_GK].dataType, False)]))
+    cuts: list[list[float]] = []
+    for i in range(len(keys)):
+        found: set[float] = set()
+        for r in hot:
+            q = r[f"_tf_q{i}"] or []
+            # of the points that its place allows, as many as its share of the rows asks for
+            step = max(1, len(q) * total // max(1, n_ranges * r["_tf_c"]))
+            found.update(x for x in q[::step] if x is not None)
+        cuts.append(sorted(found))
+    return hot_df, cuts
+
+
+def _every(step: str):
+    """Keeps every ``step``-th element."""
+    return lambda x, i: (i + 1) % F.col(step) == 0
 
 
 def _with_ranges(df: DataFrame, group_cols: list[str], order_cols: list[str], n_ranges: int | None):

@@ -1,4 +1,4 @@
-"""Streams equal their batch twins; sinks commit whole versions."""
+"""Streams equal their batch twins; the job table holds every write."""
 
 import json
 import os
@@ -6,6 +6,7 @@ import os
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
+from tuneframe import constants as K
 from tuneframe import sinks
 from tuneframe.operators import jobs as J
 from tuneframe.operators import validation as V
@@ -132,38 +133,45 @@ def test_stream_validate_reports_empty_files_once(spark, tmp_path):
         [(f"{hexid}_empty.jsonl", 0, False)]
 
 
-def test_upsert_latest_is_versioned_and_idempotent(spark, tmp_path):
+JOB_ROW = "job_id long, status string, updated_at double"
+
+
+def _latest(spark, table):
+    return {r.job_id: r.status for r in sinks.read_latest(spark, table, order="updated_at").collect()}
+
+
+def test_appended_rows_latest_wins_and_replays_change_nothing(spark, tmp_path):
     table = str(tmp_path / "jobs")
-    first = spark.createDataFrame([(1, "running", 1.0), (2, "queued", 1.0)], "job_id long, status string, updated_at double")
-    assert sinks.upsert_latest(first, table) == 1
-    second = spark.createDataFrame([(1, "completed", 0.5), (3, "queued", 2.0)], "job_id long, status string, updated_at double")
-    assert sinks.upsert_latest(second, table) == 2
-    third = spark.createDataFrame([(3, "running", 0.1)], second.schema)
-    assert sinks.upsert_latest(third, table, token="q-7") == 3
-    assert sinks.upsert_latest(third, table, token="q-7") == 3  # retried batch: no new version
-    cur = {r.job_id: r.status for r in sinks.read_upserted(spark, table).collect()}
-    assert cur == {1: "completed", 2: "queued", 3: "running"}
-    assert sinks.committed_versions(spark, table) == [1, 2, 3]
-
-
-def test_upsert_compaction_keeps_every_key(spark, tmp_path):
+    sinks.append_rows(spark.createDataFrame([(1, "running", 1.0), (2, "queued", 1.0)], JOB_ROW), table, "q", 0)
+    second = spark.createDataFrame([(1, "completed", 2.0), (3, "queued", 2.0)], JOB_ROW)
+    sinks.append_rows(second, table, "q", 1)
+    before = _latest(spark, table)
+    sinks.append_rows(second, table, "q", 1)  # a replayed batch
+    sinks.append_rows(spark.createDataFrame([(3, "stale", 0.1)], JOB_ROW), table, "q", 2)
+    assert _latest(spark, table) == before == {1: "completed", 2: "queued", 3: "queued"}
+    sinks.append_rows(spark.createDataFrame([(3, "equal time, later batch", 2.0)], JOB_ROW), table, "q", 3)
+    assert _latest(spark, table)[3] == "equal time, later batch"
+
+
+def test_two_writers_and_later_columns(spark, tmp_path):
     table = str(tmp_path / "jobs")
-    for i in range(9):
-        df = spark.createDataFrame([(f"{i % 4:032x}", f"s{i}", float(i))], "job_id string, status string, updated_at double")
-        sinks.upsert_latest(df, table, token=f"q-{i}", compact_after=3)
-    cur = {r.job_id[-1]: r.status for r in sinks.read_upserted(spark, table).collect()}
-    assert cur == {"0": "s8", "1": "s5", "2": "s6", "3": "s7"}
-    assert len(sinks._commits(spark, table)) < 9  # superseded folders are gone
+    for i in range(8):
+        sinks.append_rows(spark.createDataFrame([(i % 4, f"s{i}", float(i))], JOB_ROW), table, f"writer-{i % 2}", 0)
+    more = spark.createDataFrame([(3, "s9", 9.0, "late column")], JOB_ROW + ", note string")
+    sinks.append_rows(more, table, "writer-0", 1)
+    assert _latest(spark, table) == {0: "s4", 1: "s5", 2: "s6", 3: "s9"}
+    notes = {r.job_id: r.note for r in sinks.read_latest(spark, table, order="updated_at").collect()}
+    assert notes == {0: None, 1: None, 2: None, 3: "late column"}
 
 
-def test_two_writers_under_one_version_lose_nothing(spark, tmp_path):
-    import shutil
-    table, other = str(tmp_path / "a"), str(tmp_path / "b")
-    schema = "job_id long, status string, updated_at double"
-    sinks.upsert_latest(spark.createDataFrame([(1, "x", 1.0)], schema), table, token="one")
-    sinks.upsert_latest(spark.createDataFrame([(2, "y", 1.0)], schema), other, token="two")
-    shutil.copytree(f"{other}/v=0000000001.two", f"{table}/v=0000000001.two")
-    assert {r.job_id for r in sinks.read_upserted(spark, table).collect()} == {1, 2}
+def test_compaction_writes_a_new_table(spark, tmp_path):
+    table, new = str(tmp_path / "jobs"), str(tmp_path / "compacted")
+    for i in range(6):
+        sinks.append_rows(spark.createDataFrame([(i % 2, f"s{i}", float(i))], JOB_ROW), table, "q", i)
+    sinks.compact(spark, table, new, order="updated_at")
+    assert spark.read.parquet(new).count() == 2 and spark.read.parquet(table).count() == 6
+    sinks.append_rows(spark.createDataFrame([(1, "s7", 7.0)], JOB_ROW), new, "q", 6)
+    assert _latest(spark, new) == {0: "s4", 1: "s7"}
 
 
 def test_new_checkpoint_over_an_old_job_table_loses_nothing(spark, tmp_path):
@@ -174,7 +182,7 @@ def test_new_checkpoint_over_an_old_job_table_loses_nothing(spark, tmp_path):
         (d / "part.json").write_text(json.dumps({"job_id": job, "seq": 1, "ts": "2024-01-01T00:00:00Z", "status": status}))
         stream = spark.readStream.schema(SJ.event_schema()).json(str(d))
         SJ.sink_job_state(stream, table, str(tmp_path / f"ckpt{n}")).awaitTermination(300)
-    got = {r.job_id: r.status for r in sinks.read_upserted(spark, table).collect()}
+    got = {r.job_id: r.status for r in sinks.read_latest(spark, table).collect()}
     assert got == {"a" * 32: "running", "b" * 32: "queued"}
 
 
@@ -198,6 +206,51 @@ def test_stream_transitions_take_late_events_in_order(spark, tmp_path):
         [("a", "loading", "running"), ("a", "queued", "loading")]
 
 
+def _event_file(d, i, rows):
+    (d / f"p{i}.json").write_text("\n".join(json.dumps(
+        {"job_id": j * 32, "seq": s, "ts": f"2024-01-0{day}T{t}:00Z", "status": st}) for j, s, day, t, st in rows))
+    os.utime(d / f"p{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))
+
+
+def _append_run(spark, d, make, out):
+    """One finite run of a stream over ``d``, from the checkpoint in ``out``."""
+    stream = spark.readStream.schema(SJ.event_schema()).option("maxFilesPerTrigger", 1).json(str(d))
+    make(stream).writeStream.format("parquet").option("checkpointLocation", f"{out}/ckpt").option("path", f"{out}/rows") \
+        .trigger(availableNow=True).start().awaitTermination(300)
+    return spark.read.parquet(f"{out}/rows").collect()
+
+
+def test_transition_state_survives_a_restart(spark, tmp_path):
+    d = tmp_path / "ev"
+    d.mkdir()
+    _event_file(d, 0, [("a", 1, 1, "00:00", "queued"), ("a", 3, 1, "00:04", "running")])
+    assert _append_run(spark, d, SJ.stream_transitions, tmp_path / "out") == []
+    _event_file(d, 1, [("a", 2, 1, "00:02", "loading"), ("b", 1, 1, "00:03", "queued")])
+    _append_run(spark, d, SJ.stream_transitions, tmp_path / "out")
+    _event_file(d, 2, [("f", 1, 2, "05:00", "queued")])
+    _append_run(spark, d, SJ.stream_transitions, tmp_path / "out")
+    _event_file(d, 3, [("a", 4, 2, "06:00", "completed"), ("f", 2, 3, "06:00", "loading")])
+    got = _append_run(spark, d, SJ.stream_transitions, tmp_path / "out")
+    assert sorted((r.job_id[0], r.from_status, r.to_status, r.allowed) for r in got) == [
+        ("a", "loading", "running", True), ("a", "queued", "loading", True), ("a", "running", "completed", True)]
+
+
+def test_silence_timer_fires_once_and_survives_a_restart(spark, tmp_path):
+    d = tmp_path / "ev"
+    d.mkdir()
+    _event_file(d, 0, [("a", 2, 1, "00:01", "running"), ("b", 1, 1, "00:00", "queued"), ("c", 9, 1, "00:05", "completed")])
+    assert _append_run(spark, d, SJ.stream_interrupted, tmp_path / "out") == []
+    # an older event of a changes nothing; b moves on; the tick passes a's deadline only
+    _event_file(d, 1, [("a", 1, 1, "00:02", "completed"), ("b", 2, 1, "01:00", "running"), ("f", 1, 1, "01:20", "completed")])
+    got = _append_run(spark, d, SJ.stream_interrupted, tmp_path / "out")
+    assert [(r.job_id[0], r.status, r.error) for r in got] == [("a", "failed", K.INTERRUPTED_ERROR)]
+    _event_file(d, 2, [("a", 3, 1, "00:03", "running"), ("f", 2, 1, "09:00", "completed")])  # too late for a: dropped
+    got = _append_run(spark, d, SJ.stream_interrupted, tmp_path / "out")
+    assert sorted(r.job_id[0] for r in got) == ["a", "b"]
+    _event_file(d, 3, [("f", 3, 2, "09:00", "completed")])
+    assert len(_append_run(spark, d, SJ.stream_interrupted, tmp_path / "out")) == 2
+
+
 def test_publish_split_and_training_text(spark, tmp_path):
     lines = spark.createDataFrame([(1, 1, "{}"), (2, 1, "[")], "file_id long, line_no long, line string")
     states = spark.createDataFrame([(1, "published"), (2, "quarantined")], "file_id long, state string")
@@ -211,14 +264,14 @@ def test_publish_split_and_training_text(spark, tmp_path):
     assert table.columns == ["text"] and table.count() == 34
 
 
-def test_stream_job_state_into_versioned_table(spark, tmp_path):
+def test_stream_job_state_into_the_job_table(spark, tmp_path):
     ev, d = _event_files(spark, tmp_path)
     stream = spark.readStream.schema(SJ.EVENT_SCHEMA).option("maxFilesPerTrigger", 1).json(d)
     table = str(tmp_path / "jobs")
     q = SJ.sink_job_state(stream, table, str(tmp_path / "ckpt"))
     q.awaitTermination(300)
-    assert len(sinks.committed_versions(spark, table)) >= 2
+    assert spark.read.parquet(table).select(sinks.BATCH).distinct().count() >= 2
     cols = ["job_id", "status", "step", "loss", "error"]
-    got = sinks.read_upserted(spark, table).select(*cols)
+    got = sinks.read_latest(spark, table).select(*cols)
     want = J.fold_state(ev).select(*cols)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

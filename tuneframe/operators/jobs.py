@@ -9,8 +9,11 @@ huge event history is combined map-side rather than in one task.
 
 from __future__ import annotations
 
+import decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tuneframe import constants as K
 from tuneframe.functions.numeric import progress_pct
@@ -20,24 +23,58 @@ from tuneframe.operators.ordering import neighbor_values
 TS_TEXT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
-def fold_state(events: DataFrame, key: str = "job_id", seq="seq",
-               fields: dict[str, Column | None] | None = None) -> DataFrame:
+_WORD = decimal.Decimal(1 << 65)
+
+
+def fold_rank(events: DataFrame, seq) -> Column:
+    """What orders the events: the column, or for several a value that orders
+    like the struct of them. A time or a 32-bit number followed by an integer
+    is packed into one fixed-width decimal (nulls first), which a hash
+    aggregation can keep in place; anything else stays a struct."""
+    if isinstance(seq, str):
+        return F.col(seq)
+    kinds = [events.schema[c].dataType for c in seq]
+    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    if len(seq) != 2 or not isinstance(kinds[0], (T.TimestampType, *whole[:3])) or not isinstance(kinds[1], whole):
+        return F.struct(*seq)
+    first = F.unix_micros(seq[0]) if isinstance(kinds[0], T.TimestampType) else F.col(seq[0])
+    high = F.coalesce(first.cast("bigint"), F.lit(-(10 ** 18))).cast("decimal(18,0)")
+    low = F.coalesce(F.col(seq[1]).cast("decimal(20,0)") + F.lit(decimal.Decimal((1 << 63) + 1)), F.lit(decimal.Decimal(0)))
+    return (high * F.lit(_WORD).cast("decimal(20,0)") + low).cast("decimal(38,0)")
+
+
+def fold_state(events: DataFrame, key: str = "job_id", seq="seq", fields: dict[str, Column | None] | None = None,
+               codes: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """Current value of each field: the value at the highest ``seq`` among
     events that name it (``None`` = named by every event). A named null
     overwrites, as an update with ``loss=None`` does. ``seq`` may be a column
-    name or a list of columns ordering the events (compared as a struct)."""
+    name or a list of columns ordering the events.
+
+    ``codes`` lists all values that a string field may have: the field is then
+    folded as its place in the list, a number of fixed width, so that the
+    aggregation hashes instead of sorting (a string in a buffer makes Spark
+    sort). A value outside its list stops the query rather than being lost."""
     if fields is None:
         fields = {"status": None, "step": None, "total_steps": None, "model_id": None,
                   "loss": F.col("loss_named"), "error": F.col("error").isNotNull()}
-    rank = F.col(seq) if isinstance(seq, str) else F.struct(*seq)
+    codes = codes or {}
+    rank = fold_rank(events, seq)
     aggs = []
     for name, named in fields.items():
         order = rank if named is None else F.when(named, rank)
-        aggs.append(F.max_by(F.col(name), order).alias(name))
+        aggs.append(F.max_by(_coded(name, codes[name]) if name in codes else F.col(name), order).alias(name))
     aggs += [F.min_by(F.col("ts"), rank).alias("created_at"), F.max_by(F.col("ts"), rank).alias("updated_at")]
     if isinstance(seq, str):
         aggs.append(F.max(F.col(seq)).alias("last_seq"))
-    return events.groupBy(key).agg(*aggs)
+    folded = events.groupBy(key).agg(*aggs)
+    return folded.withColumns({n: F.get(F.array(*map(F.lit, values)), F.col(n) - 1) for n, values in codes.items()
+                               if n in fields})
+
+
+def _coded(name: str, values: tuple[str, ...]) -> Column:
+    place = F.array_position(F.array(*map(F.lit, values)), F.col(name)).cast("int")
+    unknown = F.raise_error(F.concat(F.lit(f"{name} has a value outside its list: "), F.col(name))).cast("int")
+    return F.when(place == 0, unknown).otherwise(place)
 
 
 def fold_json_updates(updates: DataFrame, fields: dict[str, str], key: str = "job_id", seq="seq",

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -258,29 +259,45 @@ def validate_listed(spark, listing: DataFrame, folder: str, required=K.REQUIRED_
 
 
 def refresh_verdicts(spark, dataset_dir: str, table_dir: str, required=K.REQUIRED_FIELDS,
-                     expected: int = K.EXPECTED_RECORDS) -> tuple[int, int]:
+                     expected: int = K.EXPECTED_RECORDS) -> int:
     """Keep a verdict table for a dataset folder without re-reading unchanged
     files: files whose ``(path, size, mtime)`` already has a verdict are
-    skipped (anti join), only new or changed files are read, and verdicts of
-    files no longer listed are dropped. The result is a new committed version
-    of ``table_dir``. Returns ``(version, files revalidated)``."""
-    from tuneframe.sinks import read_versioned, write_versioned
+    skipped (anti join), only new or changed files are read, and their verdicts
+    are appended. Returns how many were read; ``current_verdicts`` reads the
+    table."""
     from tuneframe.sources.files import list_datasets
 
-    listing = list_datasets(spark, dataset_dir).persist()
-    cached = read_versioned(spark, table_dir)
-    key = ["file", "size_bytes", "modified"]
-    todo = (listing if cached is None else listing.join(cached.select(*key), key, "left_anti")).persist()
+    listing = list_datasets(spark, dataset_dir)
+    known = _verdict_table(spark, table_dir)
+    todo = (listing if known is None else listing.join(known.select(*_FILE_STATE), _FILE_STATE, "left_anti")).persist()
     try:
         n, oldest = todo.agg(F.count(F.lit(1)), F.unix_seconds(F.min("modified"))).first()
-        merged = None if cached is None else cached.join(listing.select(*key), key, "left_semi")
         if n:
             # Files older than every new or changed one are not opened.
             since = datetime.fromtimestamp(oldest - 1, timezone.utc).strftime("%Y-%m-%dT%H:%M:%S")
-            fresh = validate_listed(spark, todo, dataset_dir, required, expected, pathGlobFilter=STORED_GLOB,
-                                    modifiedAfter=since, timeZone="UTC")
-            merged = fresh if merged is None else merged.unionByName(fresh.select(*merged.columns))
-        return (0, 0) if merged is None else (write_versioned(merged, table_dir), n)
+            validate_listed(spark, todo, dataset_dir, required, expected, pathGlobFilter=STORED_GLOB, modifiedAfter=since,
+                            timeZone="UTC").write.mode("append").parquet(table_dir)
+        return n
     finally:
-        listing.unpersist()
         todo.unpersist()
+
+
+_FILE_STATE = ["file", "size_bytes", "modified"]
+
+
+def _verdict_table(spark, table_dir: str) -> DataFrame | None:
+    """The table's verdicts, one for each state of a file; None before the first."""
+    try:
+        return spark.read.parquet(table_dir).dropDuplicates(_FILE_STATE)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def current_verdicts(spark, dataset_dir: str, table_dir: str) -> DataFrame | None:
+    """The verdicts of the files that the folder holds now, as they are now."""
+    from tuneframe.sources.files import list_datasets
+
+    known = _verdict_table(spark, table_dir)
+    return None if known is None else known.join(list_datasets(spark, dataset_dir).select(*_FILE_STATE), _FILE_STATE, "left_semi")

@@ -3,14 +3,9 @@ output appears as a whole or not at all, marked by ``_SUCCESS``."""
 
 from __future__ import annotations
 
-import re
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_VERSION = re.compile(r"^v=(\d+)(?:\.(.+))?$")
-
 
 def write_manifests(df: DataFrame, path: str, partition_by: str | None = "source", mode: str = "append") -> None:
     """One JSON row per model upload, nested lists kept (B1)."""
@@ -39,109 +34,35 @@ def publish_if_wellformed(lines: DataFrame, states: DataFrame, out_dir: str, fil
         .write.mode(mode).partitionBy("state").parquet(out_dir)
 
 
-# --- versioned tables (B2) -----------------------------------------------------------
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath, jvm
-
-
-def _commits(spark: SparkSession, table_dir: str) -> list[tuple[int, str, str]]:
-    """``(version, token, folder name)`` of every finished write (``_SUCCESS``
-    present), ascending. The list is bounded: old folders are pruned."""
-    fs, root, jvm = _fs(spark, table_dir)
-    if not fs.exists(root):
-        return []
-    out = []
-    for st in fs.listStatus(root):
-        m = _VERSION.match(st.getPath().getName())
-        if st.isDirectory() and m and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append((int(m.group(1)), m.group(2) or "", m.group(0)))
-    return sorted(out)
-
-
-def committed_versions(spark: SparkSession, table_dir: str) -> list[int]:
-    return sorted({v for v, _, _ in _commits(spark, table_dir)})
-
+# --- last-write-wins table (B2) -------------------------------------------------------
+#
+# A plain Parquet folder that writers append to. Every row carries the writer
+# and the batch it came with; which row of a key is current is settled when the
+# table is read. So writers need no knowledge of each other, and a batch that
+# is appended twice changes nothing.
 
-def read_versioned(spark: SparkSession, table_dir: str) -> DataFrame | None:
-    """The newest whole version (``write_versioned``)."""
-    commits = _commits(spark, table_dir)
-    return spark.read.parquet(f"{table_dir.rstrip('/')}/{commits[-1][2]}") if commits else None
+WRITER, BATCH = "_writer", "_batch"
 
 
-def write_versioned(df: DataFrame, table_dir: str, keep_versions: int = 3) -> int:
-    """Write ``df`` as the next version of ``table_dir`` (whole replacement)."""
-    spark = df.sparkSession
-    commits = _commits(spark, table_dir)
-    new_v = (commits[-1][0] if commits else 0) + 1
-    df.write.mode("overwrite").parquet(f"{table_dir.rstrip('/')}/v={new_v:010d}")
-    _delete(spark, table_dir, [name for _, _, name in _commits(spark, table_dir)[:-keep_versions]])
-    return new_v
+def append_rows(batch: DataFrame, table_dir: str, writer: str, batch_id: int) -> None:
+    """Append ``batch`` to the table under its writer's name (a stream: the
+    query's id) and batch number."""
+    batch.withColumn(WRITER, F.lit(writer)).withColumn(BATCH, F.lit(batch_id).cast("bigint")) \
+        .write.mode("append").parquet(table_dir)
 
 
-def _delete(spark: SparkSession, table_dir: str, names: list[str]) -> None:
-    fs, root, jvm = _fs(spark, table_dir)
-    for name in names:
-        fs.delete(jvm.org.apache.hadoop.fs.Path(root, name), True)
+def read_latest(spark: SparkSession, table_dir: str, key: str = "job_id", order: str = "last_seq") -> DataFrame:
+    """The current row of every key: the one with the highest ``order``, of
+    equal ones the one of the latest batch (then of the later writer by name).
+    One grouped aggregation with map-side combine; columns that came in later
+    are null in older rows."""
+    rows = spark.read.option("mergeSchema", "true").parquet(table_dir)
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(order, BATCH, WRITER)).alias("_r")) \
+        .select(key, "_r.*").drop(WRITER, BATCH)
 
 
-# --- last-write-wins table (B2) -------------------------------------------------------
-#
-# Every write adds a folder ``v=<version>.<token>`` with its own rows only; the
-# newest (version, token) of a key wins when the table is read. Writers
-# therefore lose nothing of each other, even under the same version number,
-# and merging a folder twice changes nothing.
-
-_W = "_tf_write"
-
-
-def _merged(spark: SparkSession, table_dir: str, names: list[str], key: str) -> DataFrame:
-    rows = spark.read.option("mergeSchema", "true").parquet(*[f"{table_dir.rstrip('/')}/{n}" for n in names])
-    rest = [c for c in rows.columns if c not in (key, _W)]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), _W).alias("_r"), F.max(_W).alias(_W)) \
-        .select(key, "_r.*", _W)
-
-
-def read_upserted(spark: SparkSession, table_dir: str, key: str = "job_id") -> DataFrame | None:
-    """The current row of every key, or None if nothing was written yet."""
-    names = [name for _, _, name in _commits(spark, table_dir)]
-    return _merged(spark, table_dir, names, key).drop(_W) if names else None
-
-
-def upsert_latest(batch: DataFrame, table_dir: str, key: str = "job_id", order: str = "updated_at",
-                  token: str | None = None, compact_after: int = 20) -> int:
-    """Add ``batch`` to the table: per ``key`` a later write beats an earlier
-    one, and inside a write the row with the highest ``order`` wins. Each write
-    takes a version above the newest; only its own rows are written.
-
-    ``token`` names the write (a stream: query id and batch id): a write whose
-    token is committed already is a no-op. Every ``compact_after`` folders they
-    are merged into one; folders older than the compaction before that one are
-    then removed, so readers have that long to finish. Returns the version."""
-    spark = batch.sparkSession
-    commits = _commits(spark, table_dir)
-    for v, known, _ in commits:
-        if token is not None and known == token:
-            return v
-    new_v = (commits[-1][0] if commits else 0) + 1
-    name = token if token is not None else uuid.uuid4().hex
-    rest = [c for c in batch.columns if c != key]
-    won = batch.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(key, "_r.*")
-    won.withColumn(_W, F.struct(F.lit(new_v).cast("bigint").alias("version"), F.lit(name).alias("token"))) \
-        .write.mode("overwrite").parquet(f"{table_dir.rstrip('/')}/v={new_v:010d}.{name}")
-    _compact(spark, table_dir, key, compact_after)
-    return new_v
-
-
-def _compact(spark: SparkSession, table_dir: str, key: str, after: int) -> None:
-    commits = _commits(spark, table_dir)
-    bases = [v for v, token, _ in commits if token.startswith("base-")]
-    if len([1 for v, _, _ in commits if not bases or v > bases[-1]]) < after:
-        return
-    base = f"v={commits[-1][0]:010d}.base-{uuid.uuid4().hex}"
-    _merged(spark, table_dir, [n for _, _, n in commits], key) \
-        .write.mode("overwrite").parquet(f"{table_dir.rstrip('/')}/{base}")
-    if bases:
-        _delete(spark, table_dir, [n for v, _, n in commits if v < bases[-1]])
+def compact(spark: SparkSession, table_dir: str, new_dir: str, key: str = "job_id", order: str = "last_seq") -> None:
+    """Write the current rows as a new table, which readers and writers then
+    turn to; the old one is left as it is."""
+    append_rows(read_latest(spark, table_dir, key, order), new_dir, "compaction", -1)

@@ -3,12 +3,9 @@ interrupted-job detection by event-time timeout (T4)."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tuneframe import constants as K
 from tuneframe.operators.jobs import fold_state
@@ -39,43 +36,144 @@ def _id_type(events: DataFrame) -> str:
     return events.schema["job_id"].dataType.simpleString()
 
 
+def _rocksdb(events: DataFrame) -> None:
+    """Stateful processors keep lists and timers, which only the RocksDB state
+    store holds; a session that chose another provider keeps its choice."""
+    conf = events.sparkSession.conf
+    if not conf.get(_PROVIDER, "").endswith("RocksDBStateStoreProvider"):
+        conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def _millis(times) -> list[int]:
+    import pandas as pd
+    return [pd.Timestamp(t).value // 1_000_000 for t in times]
+
+
+class TransitionAudit(StatefulProcessor):
+    """Per job the last ``(seq, status)``, and a list of the events that wait
+    for the watermark, one entry each. A timer stands at the earliest waiting
+    event's time; when the watermark passes it, the events that are due are
+    taken in ``seq`` order."""
+
+    def __init__(self, allowed):
+        self.allowed = {f"{a}>{b}" for a, b in allowed}
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "seq long, status string")
+        self.timer = handle.getValueState("timer", "millis long")
+        self.waiting = handle.getListState("waiting", "seq long, status string, millis long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+        earliest = None
+        for pdf in rows:
+            millis = _millis(pdf["ts"])
+            self.waiting.appendList(list(zip(pdf["seq"].tolist(), pdf["status"].tolist(), millis)))
+            earliest = min([earliest, *millis] if earliest is not None else millis)
+        if earliest is not None:
+            self._wake(earliest)
+        yield pd.DataFrame(columns=_TRANSITION)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        import pandas as pd
+        passed = timerValues.getCurrentWatermarkInMs()
+        due, later = [], []
+        for seq, status, millis in self.waiting.get():
+            (due if millis <= passed else later).append((seq, status, millis))
+        last = self.last.get() if self.last.exists() else None
+        rows = []
+        for seq, status, _ in sorted(due, key=lambda e: (e[0], str(e[1]))):
+            if last is not None and seq <= last[0]:
+                continue
+            if last is not None:
+                rows.append((key[0], last[1], status, f"{last[1]}>{status}" in self.allowed))
+            last = (seq, status)
+        if last is not None:
+            self.last.update(tuple(last))
+        self.timer.clear()
+        self.waiting.clear()
+        if later:
+            self.waiting.put(later)
+            self._wake(min(e[2] for e in later))
+        yield pd.DataFrame(rows, columns=_TRANSITION)
+
+    def _wake(self, millis: int) -> None:
+        """One timer a job, at the earliest time asked for."""
+        if self.timer.exists():
+            (set_to,) = self.timer.get()
+            if set_to <= millis:
+                return
+            self.handle.deleteTimer(set_to)
+        self.handle.registerTimer(millis)
+        self.timer.update((millis,))
+
+    def close(self) -> None:
+        pass
+
+
+_TRANSITION = ["job_id", "from_status", "to_status", "allowed"]
+
+
 def stream_transitions(events: DataFrame, allowed=K.ALLOWED_TRANSITIONS, watermark: str = "10 minutes") -> DataFrame:
     """Each consecutive status pair of a job in ``seq`` order, flagged against
-    the allowed pairs. Events wait in the job's state until the watermark has
-    passed their time and are then taken in ``seq`` order, so events may arrive
-    in any order within ``watermark``; Spark drops those that come later. The
-    state is the last ``(seq, status)`` and the waiting events, at most those
-    of one watermark delay."""
-    allowed_set = {f"{a}>{b}" for a, b in allowed}
-    columns = ["job_id", "from_status", "to_status", "allowed"]
-
-    def step(key, batches: Iterator, state):
+    the allowed pairs. Events wait in the job's list state until the watermark
+    has passed their time and are then taken in ``seq`` order, so events may
+    arrive in any order within ``watermark``; Spark drops those that come
+    later. The state is the last ``(seq, status)`` and the waiting events, at
+    most those of one watermark delay."""
+    _rocksdb(events)
+    rows = events.withWatermark("ts", watermark).select("job_id", "seq", "status", "ts")
+    schema = f"job_id {_id_type(events)}, from_status string, to_status string, allowed boolean"
+    return rows.groupBy("job_id").transformWithStateInPandas(TransitionAudit(allowed), schema, "Append", "EventTime")
+
+
+class SilenceWatch(StatefulProcessor):
+    """Per job the event of the highest ``seq`` and one timer, ``timeout``
+    after that event."""
+
+    def __init__(self, timeout_ms: int):
+        self.timeout_ms = timeout_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "seq long, status string, ts string, timer long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+        known = self.last.get() if self.last.exists() else None
+        best = known
+        for pdf in rows:
+            top = pdf.loc[pdf["seq"].idxmax()]
+            if best is None or int(top["seq"]) > best[0]:
+                best = (int(top["seq"]), top["status"], str(top["ts"]), 0)
+        if best is not known:
+            if known is not None:
+                self.handle.deleteTimer(known[3])
+            # The deadline of an event that arrives behind it is the next batch.
+            due = max(_millis([best[2]])[0] + self.timeout_ms, timerValues.getCurrentWatermarkInMs() + 1)
+            self.handle.registerTimer(due)
+            self.last.update((*best[:3], due))
+        yield pd.DataFrame(columns=_SILENT)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         import pandas as pd
-        last_seq, last_status, waiting = state.get if state.exists else (None, None, "[]")
-        waiting = json.loads(waiting)
-        for pdf in batches:
-            waiting += zip(pdf["seq"].tolist(), pdf["status"].tolist(), (pdf["ts"].astype("int64") // 1_000_000).tolist()
-                           if str(pdf["ts"].dtype).startswith("datetime64[ns") else
-                           [pd.Timestamp(t).value // 1_000_000 for t in pdf["ts"]])
-        passed = state.getCurrentWatermarkMs()
-        ready = sorted({(s, st) for s, st, ms in waiting if ms <= passed}, key=lambda x: (x[0], str(x[1])))
-        waiting = [w for w in waiting if w[2] > passed]
         rows = []
-        for seq, status in ready:
-            if last_seq is not None and seq <= last_seq:
-                continue
-            if last_seq is not None:
-                rows.append((key[0], last_status, status, f"{last_status}>{status}" in allowed_set))
-            last_seq, last_status = seq, status
-        state.update((last_seq, last_status, json.dumps(waiting)))
-        if waiting:
-            state.setTimeoutTimestamp(max(min(w[2] for w in waiting), passed + 1))
-        yield pd.DataFrame(rows, columns=columns)
+        if self.last.exists():
+            _, status, ts, _ = self.last.get()
+            self.last.clear()
+            if status in K.ACTIVE_STATUSES:
+                rows.append((key[0], "failed", K.INTERRUPTED_ERROR, K.INTERRUPTED_MESSAGE, ts))
+        yield pd.DataFrame(rows, columns=_SILENT)
+
+    def close(self) -> None:
+        pass
 
-    return events.withWatermark("ts", watermark).select("job_id", "seq", "status", "ts").groupBy("job_id") \
-        .applyInPandasWithState(
-            step, f"job_id {_id_type(events)}, from_status string, to_status string, allowed boolean",
-            "last_seq long, last_status string, waiting string", "append", GroupStateTimeout.EventTimeTimeout)
+
+_SILENT = ["job_id", "status", "error", "message", "last_event"]
 
 
 def stream_interrupted(events: DataFrame, timeout: str = "1 hour", watermark: str = "10 minutes") -> DataFrame:
@@ -83,56 +181,29 @@ def stream_interrupted(events: DataFrame, timeout: str = "1 hour", watermark: st
     failed with the fixed interruption error. Per job the state is the event of
     the highest ``seq``, so an older event that arrives late changes nothing; a
     finished job keeps its state as long, so that no late event revives it. An
-    event-time timeout fires once the watermark passes ``last event +
-    timeout`` and removes the state."""
-    timeout_ms = int(_pd_timedelta(timeout).total_seconds() * 1000)
-    columns = ["job_id", "status", "error", "message", "last_event"]
-
-    def step(key, batches: Iterator, state):
-        import pandas as pd
-        rows = []
-        if state.hasTimedOut:
-            _, status, last_ts = state.get
-            state.remove()
-            if status in K.ACTIVE_STATUSES:
-                rows.append((key[0], "failed", K.INTERRUPTED_ERROR, K.INTERRUPTED_MESSAGE, last_ts))
-        else:
-            seen = [state.get] if state.exists else []
-            for pdf in batches:
-                top = pdf.loc[pdf["seq"].idxmax()]
-                seen.append((int(top["seq"]), top["status"], str(top["ts"])))
-            best = max(seen, key=lambda x: x[0])
-            state.update(tuple(best))
-            due = int(pd.Timestamp(best[2]).value // 1_000_000) + timeout_ms
-            # Events that arrive after the watermark already passed their
-            # deadline fire on the next batch.
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(rows, columns=columns)
-
-    return events.withWatermark("ts", watermark).select("job_id", "seq", "status", "ts").groupBy("job_id") \
-        .applyInPandasWithState(
-            step, f"job_id {_id_type(events)}, status string, error string, message string, last_event string",
-            "seq long, status string, last_ts string", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def _pd_timedelta(interval: str):
+    event-time timer fires once the watermark passes ``last event + timeout``
+    and removes the state; a newer event moves the timer."""
     import pandas as pd
-    return pd.Timedelta(interval)
+    _rocksdb(events)
+    rows = events.withWatermark("ts", watermark).select("job_id", "seq", "status", "ts")
+    schema = f"job_id {_id_type(events)}, status string, error string, message string, last_event string"
+    watch = SilenceWatch(int(pd.Timedelta(timeout).total_seconds() * 1000))
+    return rows.groupBy("job_id").transformWithStateInPandas(watch, schema, "Append", "EventTime")
 
 
 def sink_job_state(events: DataFrame, table_dir: str, checkpoint: str, available_now: bool = True):
     """Run ``stream_job_state`` into the last-write-wins job table (T1 + B2).
 
     In ``update`` mode every micro-batch emits the complete current state of
-    each job it touched (the state store keeps the rest), so writing those
-    rows last-write-wins per job is exact. A write is named by the query's id
-    and the batch id: a batch replayed after a failure is skipped, while a new
-    checkpoint over an old table writes on above it."""
-    from tuneframe.sinks import upsert_latest
+    each job it touched (the state store keeps the rest); the rows are appended
+    under the query's and the batch's id. The row with the highest ``last_seq``
+    is a job's current one, so a batch that is replayed after a failure, or a
+    new checkpoint over an old table, changes nothing that is newer."""
+    from tuneframe.sinks import append_rows
 
     def write(batch: DataFrame, batch_id: int) -> None:
         query = batch.sparkSession.read.schema("id string").json(f"{checkpoint.rstrip('/')}/metadata").first()["id"]
-        upsert_latest(batch, table_dir, key="job_id", order="last_seq", token=f"{query}-{batch_id}")
+        append_rows(batch, table_dir, query, batch_id)
 
     w = stream_job_state(events).writeStream.outputMode("update").foreachBatch(write) \
         .option("checkpointLocation", checkpoint)

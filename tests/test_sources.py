@@ -133,8 +133,8 @@ def test_weight_headers(spark, tmp_path):
     }
     for name, data in cases.items():
         (tmp_path / name).write_bytes(data)
-    heads = W.header_problems(W.read_weight_heads(spark, str(tmp_path))).cache()
-    problems = {r.path.rsplit("/", 1)[-1]: r.problem for r in heads.collect()}
+    heads = W.read_weight_heads(spark, str(tmp_path)).cache()
+    problems = {r.path.rsplit("/", 1)[-1]: r.problem for r in W.header_problems(heads).collect()}
     assert problems == {
         "good.safetensors": None, "short.safetensors": "header_missing", "zero.safetensors": "header_length",
         "huge.safetensors": "header_length", "badjson.safetensors": "header_json",
@@ -157,15 +157,14 @@ def test_refresh_verdicts_reads_only_new_or_changed_files(spark, tmp_path):
     (d / f"{HEX}_one.jsonl").write_text(rec() + "\n")
     (d / f"{HEX[:31]}0_two.jsonl").write_text(rec() + "\n" + rec() + "\n")
     table = str(tmp_path / "verdicts")
-    assert V.refresh_verdicts(spark, str(d), table, REQ, 2) == (1, 2)
-    assert V.refresh_verdicts(spark, str(d), table, REQ, 2) == (2, 0)
+    assert V.current_verdicts(spark, str(d), table) is None
+    assert V.refresh_verdicts(spark, str(d), table, REQ, 2) == 2
+    assert V.refresh_verdicts(spark, str(d), table, REQ, 2) == 0
     (d / f"{HEX}_one.jsonl").write_text(rec() + "\n" + rec() + "\n")
     os.utime(d / f"{HEX}_one.jsonl", (1_800_000_000, 1_800_000_000))
     (d / f"{HEX[:31]}0_two.jsonl").unlink()
-    v, n = V.refresh_verdicts(spark, str(d), table, REQ, 2)
-    assert n == 1
-    from tuneframe.sinks import read_versioned
-    rows = read_versioned(spark, table).collect()
+    assert V.refresh_verdicts(spark, str(d), table, REQ, 2) == 1
+    rows = V.current_verdicts(spark, str(d), table).collect()
     assert [(r.filename, r.record_count, r.valid) for r in rows] == [("one.jsonl", 2, True)]
 
 
@@ -190,8 +189,8 @@ def test_names_with_special_characters(spark, tmp_path):
     got = {r.filename: (r.error, r.record_count) for r in V.validate_files(spark, str(d), REQ, 1).collect()}
     assert got == {f"{n}.jsonl": (None, i + 1) for i, n in enumerate(NAMES)} | {"none here.jsonl": (None, 0)}
     table = str(tmp_path / "verdicts")
-    assert V.refresh_verdicts(spark, str(d), table, REQ, 1) == (1, len(NAMES) + 1)
-    assert V.refresh_verdicts(spark, str(d), table, REQ, 1) == (2, 0)
+    assert V.refresh_verdicts(spark, str(d), table, REQ, 1) == len(NAMES) + 1
+    assert V.refresh_verdicts(spark, str(d), table, REQ, 1) == 0
 
 
 def test_weights_in_folders_with_special_names(spark, tmp_path):
@@ -204,3 +203,72 @@ def test_weights_in_folders_with_special_names(spark, tmp_path):
     assert {(r.path.split("/")[-2], r.problem) for r in heads.collect()} == {(n, None) for n in NAMES}
     files = S.list_artifacts(spark, str(tmp_path)).collect()
     assert {r.rel_path for r in files} == {f"{n}/{n} model.safetensors" for n in NAMES}
+
+
+def test_flat_folder_of_many_files_is_listed_by_many_tasks(spark, tmp_path):
+    d = tmp_path / "flat"
+    d.mkdir()
+    for i in range(20_000):
+        (d / f"{i:032x}_set.jsonl").touch()
+    (d / "sub").mkdir()
+    (d / "sub" / "inner.jsonl").write_text("x")
+    listed = S.file_listing(spark, str(d), recursive=False)
+    assert sorted(r.path.rsplit("/", 1)[-1] for r in listed.collect()) == sorted(e.name for e in os.scandir(d) if e.is_file())
+    per_task = listed.groupBy(F.spark_partition_id()).count().collect()
+    assert len(per_task) == 4 and min(r["count"] for r in per_task) > 4000
+    assert S.file_listing(spark, str(d), recursive=True).count() == 20_001
+
+
+def test_header_is_parsed_as_it_is_read():
+    """The members of headers cut into small reads, sound and broken, against json.loads."""
+    import io
+    import random
+    rng = random.Random(3)
+
+    def some(depth=0):
+        kind = rng.random()
+        if kind < 0.3:
+            return rng.choice([1, 1.5, -2, 1e30, 12345678901234567890, True, None, "a\"b\\\u00e9\U0001f600"])
+        if depth < 2 and kind < 0.6:
+            return [some(depth + 1) for _ in range(rng.randrange(4))]
+        return {f"k{i}": some(depth + 1) for i in range(rng.randrange(3))} if depth < 2 else 7
+
+    for _ in range(400):
+        data = json.dumps({f"n{rng.randrange(30)}": some() for _ in range(rng.randrange(6))}, ensure_ascii=rng.random() < 0.5).encode()
+        if rng.random() < 0.5:
+            at = rng.randrange(len(data))
+            data = data[:at] + rng.choice([b"", b",", b"}", b"\xff", b"x", b"1", b".", b"e"]) + data[at + rng.randrange(2):]
+        try:
+            want = json.loads(data.decode())
+            want = want if isinstance(want, dict) else None
+        except ValueError:
+            want = None
+        for chunk in (1, 3, 1000):
+            try:
+                got = dict(W.header_entries(io.BytesIO(data), len(data), chunk))
+            except ValueError:
+                got = None
+            assert repr(got) == repr(want), data
+
+
+def test_large_header_in_a_small_worker(tmp_path):
+    """60 MiB of header in an interpreter that may take 1 GB."""
+    import subprocess
+    import sys
+    one = '"model.layers.{:07d}.weight": {{"dtype": "F32", "shape": [1, 1], "data_offsets": [0, 4]}}'
+    n = (60 << 20) // (len(one.format(0)) + 2)
+    head = ("{" + ", ".join(map(one.format, range(n))) + "}").encode()
+    (tmp_path / "big.safetensors").write_bytes(len(head).to_bytes(8, "little") + head + b"\0" * 4)
+    script = f"""
+import resource, sys
+resource.setrlimit(resource.RLIMIT_DATA, (1 << 30, 1 << 30))
+sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.abspath(__file__)))!r})
+from tuneframe.sources.weights import _rows_of
+p = {str(tmp_path / 'big.safetensors')!r}
+rows = 0
+for r in _rows_of("file:" + p, {len(head) + 12}, 100 << 20):
+    rows += 1
+print(rows, r[5], r[6])
+"""
+    out = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=300)
+    assert out.stdout.split() == [str(n + 1), "True", str(n)], out.stderr[-2000:]

@@ -88,10 +88,10 @@ def validate_model_dirs(spark: SparkSession, models_dir: str) -> DataFrame:
         .agg(F.array_join(F.array_sort(F.collect_list("shard")), ", ").alias("missing_first"))
 
     # weight contents: headers and magic bytes, read by offset
-    heads = header_problems(read_weight_heads(spark, models_dir)).drop("header").checkpoint()
+    heads = read_weight_heads(spark, models_dir).checkpoint()
     tens = check_tensors(tensor_rows(heads))
     bad_tensor = tens.where(F.col("problem") != "ok").select("path").distinct().withColumn("_t_bad", F.lit(True))
-    weights = heads.join(bad_tensor, "path", "left").withColumn("upload_id", _upload_of(spark, F.col("path"), models_dir)) \
+    weights = header_problems(heads).join(bad_tensor, "path", "left").withColumn("upload_id", _upload_of(spark, F.col("path"), models_dir)) \
         .join(roots.select("upload_id", "model_dir"), "upload_id") \
         .where(F.col("path").startswith(F.concat(F.col("model_dir"), F.lit("/"))))
     w_bad = weights.where(F.col("problem").isNotNull() | F.coalesce(F.col("_t_bad"), F.lit(False))) \

@@ -10,6 +10,7 @@ as in Python's universal newlines); whole JSON documents with ``wholetext``.
 from __future__ import annotations
 
 import os
+import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -20,7 +21,7 @@ from pyspark.sql.window import Window
 
 from tuneframe import constants as K
 from tuneframe.functions.jsonl import JSON_OPTS, is_json_object, json_document
-from tuneframe.functions.text import is_upload_id, split_stored_name
+from tuneframe.functions.text import is_upload_id, is_utf8, split_stored_name
 from tuneframe.session import shuffle_partitions
 
 BOM = "\ufeff"
@@ -46,12 +47,21 @@ def relative(spark: SparkSession, path_col, root: str) -> Column:
     return F.substr(path_col, F.lit(len(qualified(spark, root).rstrip("/")) + 2))
 
 
-def _children(folder: str) -> Iterator[tuple]:
-    """``(path, is_dir, length, millis)`` of every entry of one folder. Entries
-    that vanish meanwhile and links to folders are left out."""
+#: Tasks that share the listing of one folder, at most.
+LIST_SHARES = 256
+
+
+def _children(folder: str, share: int = 0, of: int = 1) -> Iterator[tuple]:
+    """``(path, is_dir, length, millis)`` of the entries of one folder, or of
+    one share of them: names are dealt by hash, so every task reads the names
+    and looks up only its own files. (Elsewhere than on file systems a listing
+    brings sizes and times along; there the first share has all of it.)
+    Entries that vanish meanwhile and links to folders are left out."""
     if folder.startswith("file:"):
         with os.scandir("/" + folder[5:].lstrip("/")) as entries:
             for e in entries:
+                if of > 1 and zlib.crc32(os.fsencode(e.name)) % of != share:
+                    continue
                 try:
                     st = e.stat()
                 except FileNotFoundError:
@@ -61,6 +71,8 @@ def _children(folder: str) -> Iterator[tuple]:
                     name = os.fsencode(e.name).decode("utf-8", "replace")
                     yield f"{folder}/{name}", is_dir, st.st_size, st.st_mtime_ns // 1_000_000
         return
+    if share:
+        return
     from pyarrow import fs as pafs
     fs, inner = pafs.FileSystem.from_uri(quote(folder, safe="/:@"))
     for info in fs.get_file_info(pafs.FileSelector(inner)):
@@ -68,42 +80,51 @@ def _children(folder: str) -> Iterator[tuple]:
                (info.mtime_ns or 0) // 1_000_000)
 
 
-def _list_folders(deep: bool):
-    """Entries of the given folders; with ``deep`` the files of all folders
-    below them, and files among the input as they are."""
+def _handed(entries: Iterator[tuple]) -> Iterator:
+    import pandas as pd
+    columns = ["path", "is_dir", "length", "millis"]
+    rows: list[tuple] = []
+    for entry in entries:
+        rows.append(entry)
+        if len(rows) >= LIST_ROWS:
+            yield pd.DataFrame(rows, columns=columns)
+            rows = []
+    yield pd.DataFrame(rows, columns=columns)
+
+
+def _list_shares(folder: str, of: int):
+    def run(batches):
+        yield from _handed(e for pdf in batches for share in pdf["id"] for e in _children(folder, int(share), of))
+    return run
+
+
+def _walk_folders(batches):
+    """Files of all given folders and of those below them; files among the
+    input as they are."""
     def walk(folder: str) -> Iterator[tuple]:
         open_folders = [folder]
         while open_folders:
             for entry in _children(open_folders.pop()):
-                if deep and entry[1]:
+                if entry[1]:
                     open_folders.append(entry[0])
                 else:
                     yield entry
 
-    def run(batches):
-        import pandas as pd
-        columns = ["path", "is_dir", "length", "millis"]
-        rows: list[tuple] = []
-        for pdf in batches:
-            for given in pdf[columns].itertuples(index=False, name=None):
-                for entry in walk(given[0]) if given[1] else [given]:
-                    rows.append(entry)
-                    if len(rows) >= LIST_ROWS:
-                        yield pd.DataFrame(rows, columns=columns)
-                        rows = []
-        yield pd.DataFrame(rows, columns=columns)
-    return run
+    given = (g for pdf in batches for g in pdf[["path", "is_dir", "length", "millis"]].itertuples(index=False, name=None))
+    yield from _handed(e for g in given for e in (walk(g[0]) if g[1] else [g]))
 
 
 def file_listing(spark: SparkSession, path: str, recursive: bool) -> DataFrame:
     """``path, length, modificationTime`` of every file, empty ones included.
 
-    One task lists ``path`` itself, as a stream of rows; with ``recursive``
-    the folders in it are dealt out over tasks, each of which walks its own."""
-    root = spark.createDataFrame([(qualified(spark, path).rstrip("/"), True, 0, 0)], _ENTRY)
-    entries = root.coalesce(1).mapInPandas(_list_folders(False), _ENTRY)
+    The entries of ``path`` itself are dealt over tasks by a hash of their
+    names; with ``recursive`` the folders among them are dealt out again, and
+    each task walks its own. All are streams of rows."""
+    folder = qualified(spark, path).rstrip("/")
+    shares = min(shuffle_partitions(spark), LIST_SHARES) if folder.startswith("file:") else 1
+    entries = spark.range(0, shares, 1, shares).mapInPandas(_list_shares(folder, shares), _ENTRY)
     if recursive:
-        entries = entries.repartition(shuffle_partitions(spark), "path").mapInPandas(_list_folders(True), _ENTRY)
+        entries = entries.repartition(shuffle_partitions(spark), "path").mapInPandas(_walk_folders, _ENTRY)
     return entries.where(~F.col("is_dir")).select("path", "length",
                                                   F.timestamp_millis("millis").alias("modificationTime"))
 
@@ -136,7 +157,7 @@ def number_scanned_lines(scanned: DataFrame) -> DataFrame:
     first = (line_no == 1) & (F.col("block") == 0)
     line = F.when(first & F.col("line").startswith(BOM), F.substr(F.col("line"), F.lit(len(BOM) + 1))).otherwise(F.col("line"))
     return numbered.select("file", line_no.alias("line_no"), line.alias("line"),
-                           F.is_valid_utf8(F.col("line")).alias("utf8_ok"))
+                           is_utf8("line").alias("utf8_ok"))
 
 
 def is_dataset(path_col) -> Column:
@@ -192,11 +213,11 @@ def read_documents(spark: SparkSession, root: str, glob: str) -> DataFrame:
            .option("pathGlobFilter", glob).load(root))
     path = file_path()
     text = F.col("value")
-    ok_obj = F.is_valid_utf8(text) & is_json_object(text)
+    ok_obj = is_utf8(text) & is_json_object(text)
     return raw.select(path.alias("path"),
                       F.regexp_replace(path, "/[^/]*$", "").alias("dir"),
                       F.lower(F.substring_index(path, "/", -1)).alias("name"),
-                      text.alias("text"), F.is_valid_utf8(text).alias("utf8_ok"), ok_obj.alias("is_object"),
+                      text.alias("text"), is_utf8(text).alias("utf8_ok"), ok_obj.alias("is_object"),
                       json_document(text).alias("doc"))
 
 

@@ -25,4 +25,4 @@ def query(name: str, oracle: str | None = None):
 
 
 def load_all() -> None:
-    from tuneframe.plans import q_render, q_validation, q_jobs, q_artifacts, q_batches  # noqa: F401
+    from tuneframe.plans import q_render, q_validation, q_jobs, q_artifacts, q_batches, q_files  # noqa: F401

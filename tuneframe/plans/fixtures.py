@@ -34,7 +34,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("The reply follows the message.").alias("success_condition"))
 
 
-def raw_lines(spark: SparkSession, sf_dir: str, numbered: bool = True) -> DataFrame:
+def raw_lines(spark: SparkSession, sf_dir: str, numbered: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """JSONL lines per file, with some lines broken on purpose. With
     ``numbered=False`` (for results that never show a line number) the
     numbering pass is skipped and ``line_no`` is null."""
@@ -49,7 +49,7 @@ def raw_lines(spark: SparkSession, sf_dir: str, numbered: bool = True) -> DataFr
             .when(eid % 73 == 3, F.concat(props, F.lit(" x")))
             .otherwise(props))
     return numbered.select(F.col("user_id").alias("file_id"), F.col("line_no").cast("bigint").alias("line_no"),
-                           line.alias("line"))
+                           line.alias("line"), *keep)
 
 
 def job_events(spark: SparkSession, sf_dir: str, numbered: bool = True) -> DataFrame:

@@ -83,17 +83,24 @@ def q_model_manifest(spark, d):
     return A.model_manifest(files, is_index=(F.col("pos") % 17 == 0))
 
 
-MANIFEST_FILES = 60  # between the sizes of the test uploads
+# Uploads made of order lines: a supplier's lines are some hundred files, a
+# return flag's some thousand, more than an upload may have.
+_LINES = ("SELECT CASE WHEN l_linenumber <= 2 THEN 'flag ' || l_returnflag ELSE 'supplier ' || l_suppkey END AS upload_id, "
+          "l_orderkey || '/' || l_partkey || '-' || l_linenumber || '.bin' AS path, cast(l_quantity * 4000000 AS BIGINT) AS size FROM lineitem")
 
 
-@query("upload_manifests", with_views(
+@query("upload_manifests", (
     "SELECT upload_id, count(*) AS file_count, cast(sum(size) AS BIGINT) AS size_bytes, "
-    f"CASE WHEN count(*) <= {MANIFEST_FILES} THEN array_to_string(list(path ORDER BY pos), ',') END AS files, "
-    f"sum(size) > {UPLOAD_CAP} AS over_cap, count(*) > {MANIFEST_FILES} AS too_many_files FROM artifacts GROUP BY upload_id",
-    "artifacts"))
+    f"CASE WHEN count(*) <= {K.MAX_MODEL_FILES} THEN array_to_string(list(path ORDER BY path), ',') END AS files, "
+    f"sum(size) > {K.MAX_MODEL_BYTES} AS over_cap, count(*) > {K.MAX_MODEL_FILES} AS too_many_files FROM ({_LINES}) t GROUP BY upload_id"))
 def q_upload_manifests(spark, d):
-    out = A.upload_manifests(FX.artifacts(spark, d), order="pos", byte_cap=UPLOAD_CAP, file_cap=MANIFEST_FILES)
-    return out.withColumn("files", F.array_join("files", ","))
+    line = FX.table(spark, d, "lineitem")
+    upload = F.when(F.col("l_linenumber") <= 2, F.concat(F.lit("flag "), "l_returnflag")).otherwise(
+        F.concat(F.lit("supplier "), F.col("l_suppkey").cast("string")))
+    path = F.concat(F.col("l_orderkey").cast("string"), F.lit("/"), F.col("l_partkey").cast("string"), F.lit("-"),
+                    F.col("l_linenumber").cast("string"), F.lit(".bin"))
+    files = line.select(upload.alias("upload_id"), path.alias("path"), (F.col("l_quantity") * 4_000_000).cast("bigint").alias("size"))
+    return A.upload_manifests(files).withColumn("files", F.array_join("files", ","))
 
 
 _PAIRED = with_views(

@@ -32,7 +32,7 @@ def _state_sql_with(body: str, *extra) -> str:
 
 def _state(spark, d):
     # The fold needs the event order, not dense numbers: order by (ts, event_id).
-    return J.fold_state(FX.job_events(spark, d, numbered=False), seq=["ts", "event_id"])
+    return J.fold_state(FX.job_events(spark, d, numbered=False), seq=["ts", "event_id"], codes={"status": K.STATUSES})
 
 
 @query("job_state", _state_sql("SELECT job_id, status, loss, step FROM state"))
@@ -109,16 +109,20 @@ def q_run_labels(spark, d):
     return J.run_labels(_state(spark, d), FX.models(spark, d))
 
 
+#: Job ids as they are: 32 hexadecimal digits.
+_HEX = ("hexed", "SELECT s.* REPLACE (md5(cast(job_id AS VARCHAR)) AS job_id) FROM state s")
+
+
 @query("default_model", _state_sql_with(
     f"SELECT c.job_id, {_NAME} AS model_name FROM chosen c LEFT JOIN models m ON c.model_id = m.model_id "
     "WHERE c.job_id IS NOT NULL",
-    ("latest", "SELECT job_id, status, model_id FROM state ORDER BY created_at DESC, job_id DESC LIMIT 1"),
-    ("newest", "SELECT job_id, model_id FROM state WHERE status = 'completed' ORDER BY created_at DESC, job_id LIMIT 1"),
+    _HEX, ("latest", "SELECT job_id, status, model_id FROM hexed ORDER BY created_at DESC, job_id DESC LIMIT 1"),
+    ("newest", "SELECT job_id, model_id FROM hexed WHERE status = 'completed' ORDER BY created_at DESC, job_id LIMIT 1"),
     ("chosen", "SELECT CASE WHEN l.status = 'completed' THEN l.job_id ELSE n.job_id END AS job_id, "
                "CASE WHEN l.status = 'completed' THEN l.model_id ELSE n.model_id END AS model_id "
                "FROM latest l LEFT JOIN newest n ON true")))
 def q_default_model(spark, d):
-    return J.default_model(_state(spark, d), FX.models(spark, d))
+    return J.default_model(_state(spark, d).withColumn("job_id", F.md5(F.col("job_id").cast("string"))), FX.models(spark, d))
 
 
 @query("exportable_jobs", _state_sql_with(

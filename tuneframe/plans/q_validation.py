@@ -93,14 +93,23 @@ def q_upload_gate(spark, d):
 
 # --- UTF-8, architectures, field values (C5, C13, C25) ---------------------------------
 
-@query("utf8_check", "SELECT doc_id, doc_id % 7 NOT IN (1, 2, 3) AS utf8_ok FROM documents")
+#: Well-formed UTF-8, over upper-case hexadecimal digits.
+UTF8_HEX = ("([0-7].|(C[2-9A-F]|D.)[89AB].|E0[AB].[89AB].|(E[1-9A-CEF])([89AB].){2}|ED[89].[89AB].|F0[9AB].([89AB].){2}|"
+            "F[1-3]([89AB].){3}|F48.([89AB].){2})*")
+
+
+@query("utf8_check",
+       f"SELECT doc_id, regexp_full_match(h, '{UTF8_HEX}') AS utf8_ok FROM (SELECT doc_id, hex(encode(coalesce(text, ''))) || CASE doc_id % 9 "
+       "WHEN 1 THEN 'FF' WHEN 2 THEN 'E282' WHEN 3 THEN 'EDA080' WHEN 4 THEN 'E282AC' WHEN 5 THEN 'C080' WHEN 6 THEN 'F4908080' "
+       "WHEN 7 THEN 'F09F9880' ELSE '' END AS h FROM documents) t")
 def q_utf8_check(spark, d):
     docs = FX.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("b"))
-    k = F.col("doc_id") % 7
-    # A byte that never occurs, a cut-off sequence, a surrogate's half; and a sound letter.
-    bad = F.when(k == 1, F.unhex(F.lit("FF"))).when(k == 2, F.unhex(F.lit("E282"))).when(k == 3, F.unhex(F.lit("EDA080"))) \
-        .when(k == 4, F.unhex(F.lit("E282AC"))).otherwise(F.unhex(F.lit("")))
-    return docs.select("doc_id", F.is_valid_utf8(F.concat("b", bad).cast("string")).alias("utf8_ok"))
+    k = F.col("doc_id") % 9
+    # A byte that never occurs, a cut-off sequence, half a surrogate pair, an overlong form, a code point
+    # beyond the last; and two sound letters.
+    ends = {1: "FF", 2: "E282", 3: "EDA080", 4: "E282AC", 5: "C080", 6: "F4908080", 7: "F09F9880"}
+    end = F.coalesce(*[F.when(k == i, F.unhex(F.lit(h))) for i, h in ends.items()], F.unhex(F.lit("")))
+    return docs.select("doc_id", TX.is_utf8(F.concat("b", end)).alias("utf8_ok"))
 
 
 _CONFIGS = ('{"model_type": "llama", "architectures": ["LlamaForCausalLM"]}', '{"model_type": "x", "architectures": "GPT2LMHeadModel"}',
@@ -108,24 +117,28 @@ _CONFIGS = ('{"model_type": "llama", "architectures": ["LlamaForCausalLM"]}', '{
             '{"model_type": "x"}', '{"model_type": 3, "architectures": ["AForCausalLM"]}', '["model_type"]',
             '{"model_type": "x", "architectures": ["AForCausalLM", 1]}', '{"model_type": "x", "architectures": {"a": 1}}',
             '{"model_type": "x", "architectures": ""}', '{"architectures": ["AForCausalLM"]}')
-_CONFIG_SQL = "CASE n_nationkey % 11 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_CONFIGS)) + " END"
+_CONFIG_SQL = "CASE c_custkey % 11 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_CONFIGS)) + " END"
+# The names in them are a customer's segment and number.
+_CONFIG_SQL = f"replace(replace({_CONFIG_SQL}, 'llama', lower(c_mktsegment)), 'AForCausalLM', c_mktsegment || c_custkey || 'ForCausalLM')"
 _ARCH = "json_extract(config, '$.architectures')"
 _NAMES = f"CASE WHEN json_type({_ARCH}) = 'VARCHAR' THEN [json_extract_string(config, '$.architectures')] ELSE " \
          f"coalesce(json_extract_string({_ARCH}, '$[*]'), []) END"
 
 
 @query("architecture_check",
-       "SELECT n_nationkey, CASE WHEN json_type(config) <> 'OBJECT' OR coalesce(json_type(config, '$.model_type'), '') <> 'VARCHAR' "
+       "SELECT c_custkey, CASE WHEN json_type(config) <> 'OBJECT' OR coalesce(json_type(config, '$.model_type'), '') <> 'VARCHAR' "
        f"THEN 'no_model_type' WHEN {_ARCH} IS NULL OR cast({_ARCH} AS VARCHAR) IN ('[]', '\"\"') THEN NULL "
        f"WHEN json_type({_ARCH}) NOT IN ('ARRAY', 'VARCHAR') OR (json_type({_ARCH}) = 'ARRAY' AND "
        f"len(list_filter(json_extract({_ARCH}, '$[*]'), lambda x: json_type(x) <> 'VARCHAR')) > 0) THEN 'bad_architectures' "
        f"WHEN len(list_filter({_NAMES}, lambda x: contains(x, 'ForCausalLM') OR contains(x, 'LMHeadModel'))) = 0 "
-       f"THEN 'not_causal_lm' END AS problem FROM (SELECT n_nationkey, {_CONFIG_SQL} AS config FROM nation) t")
+       f"THEN 'not_causal_lm' END AS problem FROM (SELECT c_custkey, {_CONFIG_SQL} AS config FROM customer) t")
 def q_architecture_check(spark, d):
-    k = F.col("n_nationkey") % 11
+    k = F.col("c_custkey") % 11
     text = F.coalesce(*[F.when(k == i, F.lit(c)) for i, c in enumerate(_CONFIGS)])
-    configs = FX.table(spark, d, "nation").select("n_nationkey", F.parse_json(text).alias("config"))
-    return V.check_architecture(configs).select("n_nationkey", "problem")
+    text = F.replace(F.replace(text, F.lit("llama"), F.lower("c_mktsegment")), F.lit("AForCausalLM"),
+                     F.concat("c_mktsegment", F.col("c_custkey").cast("string"), F.lit("ForCausalLM")))
+    configs = FX.table(spark, d, "customer").select("c_custkey", F.parse_json(text).alias("config"))
+    return V.check_architecture(configs).select("c_custkey", "problem")
 
 
 # Values by kind, as JSON and as Python's str prints them; {} is the number in props.

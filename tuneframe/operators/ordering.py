@@ -109,15 +109,17 @@ def _plan_split(keyed: DataFrame, keys: list[str], n_ranges: int):
     the driver gets whatever the input. Both only steer the balance of work;
     any answer gives the same numbers."""
     groups = keyed.groupBy(_GK).agg(F.count(F.lit(1)).alias("_tf_c"), *[
-        F.kll_sketch_agg_double(k, SKETCH).alias(f"_tf_s{i}") for i, k in enumerate(keys)])
+        c for i, k in enumerate(keys) for c in (F.kll_sketch_agg_double(k, SKETCH).alias(f"_tf_s{i}"), F.count(k).alias(f"_tf_d{i}"))])
     seen = Observation()
     largest = groups.observe(seen, F.sum("_tf_c").alias("total")).where(F.col("_tf_c") >= 2) \
         .orderBy(F.desc("_tf_c")).limit(n_ranges)
     placed = largest.withColumn("_tf_m", F.row_number().over(Window.orderBy(F.desc("_tf_c"))))
     ranks = F.lit([i / n_ranges for i in range(1, max(n_ranges, 2))])
     got = placed.select(_GK, "_tf_c", *[
-        F.filter(F.kll_sketch_get_quantile_double(f"_tf_s{i}", ranks), _every("_tf_m")).alias(f"_tf_q{i}") for i in range(len(keys))]).collect()
-    total = seen.get["total"] or 0
+        # a group without any value has no quantiles
+        F.when(F.col(f"_tf_d{i}") > 0, F.filter(F.kll_sketch_get_quantile_double(f"_tf_s{i}", ranks), _every("_tf_m"))).alias(f"_tf_q{i}")
+        for i in range(len(keys))]).collect()
+    total = seen.get["total"] if got else 0
     hot = [r for r in got if r["_tf_c"] * n_ranges >= total]
     hot_df = keyed.sparkSession.createDataFrame([(r[_GK],) for r in hot], T.StructType([
         T.StructField(_GK, keyed.schema[_GK].dataType, False)]))

@@ -132,15 +132,15 @@ def check_mix(got, docs):
         by_source.setdefault(r["source"], []).append(r)
     for s, rs in by_source.items():
         assert all(r["weight"] == pytest.approx(weight[s], rel=1e-9) for r in rs)
-        part, have = weight[s] * total, tokens[s]
-        whole = int(part // have) if have else 1
-        rest, used, cut = (part - whole * have if have else 0.0), 0, None
+        part, have = rs[0]["weight"] * total, tokens[s]
+        rest = math.fmod(part, have) if have else 0.0
+        whole, used, cut = round((part - rest) / have) if have else 1, 0, None
         for r in sorted(rs, key=lambda r: r["place"]):
             used += r["n_tokens"]
-            if cut is None and used > rest + 1e-6:
+            if cut is None and used > rest:
                 cut = r["place"]
         for r in rs:
-            extra = rest > 1e-6 and (cut is None or r["place"] < cut)
+            extra = rest > 0 and (cut is None or r["place"] < cut)
             assert r["copies"] == whole + extra, (s, r["place"], cut)
 
 

@@ -79,10 +79,12 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
 def gram_buckets(host: Column, path: Column) -> Column:
     """Bucket of every character n-gram of ``^host/path$``; empty if both are."""
     text = F.concat(F.lit("^"), host, path, F.lit("$"))
-    grams = F.flatten(F.array(*[
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (k - 1), F.lit(1))),
-                    lambda i, k=k: F.pmod(F.xxhash64(F.substr(text, i, F.lit(k))), F.lit(BUCKETS)).cast("int"))
-        for k in ORDERS]))
+
+    def of(k: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (k - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.substr(text, i, F.lit(k))), F.lit(BUCKETS)).cast("int"))
+
+    grams = F.flatten(F.array(*[of(k) for k in ORDERS]))
     return F.when((host != "") | (path != ""), grams).otherwise(F.array().cast("array<int>"))
 
 

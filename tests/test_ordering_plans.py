@@ -223,3 +223,10 @@ def test_dataset_validation_reads_the_text_twice_at_most(spark, tmp_path):
     # the lines once, the split offsets once (metadata columns only)
     assert len(re.findall(r"FileScan text", plan)) == 2
     assert len(re.findall(r"FileScan text \[value", plan)) == 1
+
+
+def test_job_state_plans_hash_aggregates(spark):
+    from tuneframe.plans import catalog
+    catalog.load_all()
+    plan = _plan(catalog.QUERIES["job_state"](spark, SF_SMALL))
+    assert "HashAggregate" in plan and "SortAggregate" not in plan

@@ -35,9 +35,13 @@ def fold_rank(events: DataFrame, seq) -> Column:
         return F.col(seq)
     kinds = [events.schema[c].dataType for c in seq]
     whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-    if len(seq) != 2 or not isinstance(kinds[0], (T.TimestampType, *whole[:3])) or not isinstance(kinds[1], whole):
+    if len(seq) != 2 or not isinstance(kinds[0], (T.TimestampType, T.TimestampNTZType, *whole[:3])) or not isinstance(kinds[1], whole):
         return F.struct(*seq)
-    first = F.unix_micros(seq[0]) if isinstance(kinds[0], T.TimestampType) else F.col(seq[0])
+    first = F.col(seq[0])
+    if isinstance(kinds[0], T.TimestampType):
+        first = F.unix_micros(first)
+    elif isinstance(kinds[0], T.TimestampNTZType):
+        first = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), first)
     high = F.coalesce(first.cast("bigint"), F.lit(-(10 ** 18))).cast("decimal(18,0)")
     low = F.coalesce(F.col(seq[1]).cast("decimal(20,0)") + F.lit(decimal.Decimal((1 << 63) + 1)), F.lit(decimal.Decimal(0)))
     return (high * F.lit(_WORD).cast("decimal(20,0)") + low).cast("decimal(38,0)")

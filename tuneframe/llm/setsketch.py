@@ -17,7 +17,8 @@ links one document stays. The steps:
    (smaller, equal, larger), given the known sizes: a pair goes on unless the
    registers are exp(SURE) times likelier at the best intersection than at any
    that links, which loses a link with a probability of about exp(-SURE).
-5. What goes on is verified on the full sets, each pair in the list of the first
+5. What goes on is verified, first by parity bitmaps of the sets, which bound
+   their difference from below, then on the full sets, each pair in the list of the first
    band it shares. Lists are cut into blocks of
    about BLOCK rows by size, and a task holds one pair of blocks; it emits a
    spanning forest of the links that join different components, never all
@@ -43,7 +44,7 @@ from tuneframe.session import shuffle_partitions
 
 from .common import bounded_batches, fresh, saved
 from .components import components
-from .similarity_join import _blocks, _dealt, _sets_again, fingerprint, links, min_overlap, shingle_set
+from .similarity_join import _blocks, _dealt, _sets_again, fingerprint, folded, links, min_overlap, parity_bits, shingle_set
 
 SHINGLE = 3
 #: Bands whose lists are verified first.
@@ -152,8 +153,9 @@ def may_link(n: np.ndarray, m: np.ndarray, larger: np.ndarray, smaller: np.ndarr
 # ------------------------------------------------------------- block pairs
 
 TASK = ["token", "c1", "c2"]
-#: Pairs of rows that one numpy step tries.
+#: Pairs of rows that one numpy step tries, and bytes of their bitmaps that it holds.
 TRIED = 1 << 16
+BITMAP_BYTES = 1 << 24
 
 
 def _each_task(compare, columns: list[str], percent: int):
@@ -215,10 +217,40 @@ def _pairs(t: dict, cuts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndar
     return firsts, seconds
 
 
-def _hopeful(t: dict, firsts: np.ndarray, seconds: np.ndarray, cuts: np.ndarray) -> dict:
-    """The rows that may link with another of their task."""
-    found = np.unique(np.concatenate([firsts, seconds]))
-    return {c: t[c][found] for c in (*TASK, "cls", "n", "comp", "band")}
+def _close(t: dict, firsts: np.ndarray, seconds: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs' bitmaps allow a link: they bound the number of elements in
+    which the sets differ from below, so no link is lost."""
+    n, width = t["n"].astype(np.int64), np.array([len(x) for x in t["parity"]])
+    room = n[firsts] + n[seconds] - 2 * min_overlap(n[firsts], n[seconds], percent)
+    common = np.minimum(width[firsts], width[seconds])
+    out = np.zeros(len(firsts), dtype=bool)
+
+    def bitmap(i: int, w: int) -> np.ndarray:
+        x = t["parity"][i]
+        while len(x) > w:
+            x = folded(x)
+        return np.frombuffer(x, dtype=np.uint8)
+
+    for w in np.unique(common):
+        pairs = np.flatnonzero(common == w)
+        step = max(1, BITMAP_BYTES // int(w))
+        for k in range(0, len(pairs), step):
+            some = pairs[k : k + step]
+            rows, at = np.unique(np.concatenate([firsts[some], seconds[some]]), return_inverse=True)
+            bits = np.array([bitmap(int(i), int(w)) for i in rows])
+            x, y = at[: len(some)], at[len(some) :]
+            out[some] = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= room[some]
+    return out
+
+
+def _hopeful(percent: int):
+    def compare(t: dict, firsts: np.ndarray, seconds: np.ndarray, cuts: np.ndarray) -> dict:
+        """The rows that may link with another of their task."""
+        near = _close(t, firsts, seconds, percent)
+        found = np.unique(np.concatenate([firsts[near], seconds[near]]))
+        return {c: t[c][found] for c in (*TASK, "cls", "n", "comp", "band")}
+
+    return compare
 
 
 def _verified(percent: int):
@@ -259,10 +291,10 @@ def _dealt_rows(work: DataFrame) -> DataFrame:
 
 
 def with_sketches(docs: DataFrame, text_col: str, name: str, k: int = SHINGLE) -> DataFrame:
-    """``docs`` with a struct ``name`` of n (size of the set), fp (its digest)
-    and sketch; the last two are null for empty sets."""
+    """``docs`` with a struct ``name`` of n (size of the set), fp (its digest),
+    sketch and parity (a bitmap); all but n are null for empty sets."""
 
-    @F.pandas_udf("n int, fp binary, sketch binary")
+    @F.pandas_udf("n int, fp binary, sketch binary, parity binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             sets = [shingle_set(t, k) for t in texts]
@@ -270,7 +302,8 @@ def with_sketches(docs: DataFrame, text_col: str, name: str, k: int = SHINGLE) -
             full = [s for s in sets if len(s)]
             rows = iter([r.tobytes() for r in np.ascontiguousarray(sketches(full))] if full else [])
             yield pd.DataFrame({"n": n, "fp": [fingerprint(s) if len(s) else None for s in sets],
-                                "sketch": [next(rows) if x else None for x in n]})
+                                "sketch": [next(rows) if x else None for x in n],
+                                "parity": [parity_bits(s) if len(s) else None for s in sets]})
 
     return docs.withColumn(name, run(F.col(text_col)))
 
@@ -284,12 +317,12 @@ def linked(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: i
     every = saved(with_sketches(rows, "text", "s", k).select("id", "s.*"))
     classes = saved(every.where(F.col("n") > 0).groupBy("fp").agg(
         F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("least"), F.first("n").alias("n"),
-        F.first("sketch").alias("sketch")).withColumn("cls", F.xxhash64("fp")))
+        F.first("sketch").alias("sketch"), F.first("parity").alias("parity")).withColumn("cls", F.xxhash64("fp")))
     width = 2 * BAND
     bands = F.posexplode(F.array(*[F.expr(f"substring(sketch, {1 + width * i}, {width})") for i in range(REGISTERS // BAND)]))
     lists = classes.select("cls", "n", bands.alias("band", "part")).select(
         F.xxhash64("band", "part").alias("token"), "cls", "n", "band")
-    shapes = classes.select("cls", "sketch")
+    shapes = classes.select("cls", "sketch", "parity")
     roots = classes.select("cls", F.col("cls").alias("root"))
     roots = _round(lists.where(F.col("band") < FIRST_BANDS), roots, rows, classes, shapes, k, percent, across=False)
     roots = _round(lists, roots, rows, classes, shapes, k, percent, across=None)
@@ -315,7 +348,7 @@ def _round(lists: DataFrame, roots: DataFrame, rows: DataFrame, classes: DataFra
     lists = lists.join(one, "token", "left_semi")
     dealt = _dealt(_blocks(lists), percent, across=across).join(shapes, "cls")
     found = "token long, c1 int, c2 int, cls long, n int, comp long, band int"
-    hope = saved(_dealt_rows(dealt).mapInPandas(_each_task(_hopeful, [*TASK, "cls", "n", "comp", "band"], percent), found))
+    hope = saved(_dealt_rows(dealt).mapInPandas(_each_task(_hopeful(percent), [*TASK, "cls", "n", "comp", "band"], percent), found))
     wanted = saved(classes.join(hope.select("cls").distinct(), "cls", "left_semi").select(
         "cls", F.col("least.id").alias("id"), F.col("sketch").alias("parity")))
     sets = _sets_again(rows, wanted, k).withColumnRenamed("parity", "sketch")

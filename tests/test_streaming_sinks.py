@@ -11,6 +11,7 @@ from tuneframe import sinks
 from tuneframe.operators import jobs as J
 from tuneframe.operators import validation as V
 from tuneframe.plans import fixtures as FX
+from tuneframe.sources.files import list_datasets
 from tuneframe.streaming import jobs as SJ
 from tuneframe.streaming.validate import stream_validate
 
@@ -133,6 +134,32 @@ def test_stream_validate_reports_empty_files_once(spark, tmp_path):
         [(f"{hexid}_empty.jsonl", 0, False)]
 
 
+def test_stream_validate_takes_a_backlog_in_few_batches_and_lists_it_once(spark, tmp_path, monkeypatch):
+    from tuneframe.streaming import validate as SV
+    src = tmp_path / "in"
+    src.mkdir()
+    names = [f"{i:032x}_a.jsonl" for i in range(12)]
+    for i, name in enumerate(names):
+        (src / name).write_text("" if i == 11 else json.dumps({"k": i}) + "\n")
+    listings = []
+    monkeypatch.setattr(SV, "list_datasets", lambda *a: listings.append(a) or list_datasets(*a))
+    monkeypatch.setattr(SV, "BATCH_FILES", 2)
+    monkeypatch.setattr(SV, "BACKLOG_BATCHES", 3)
+    out = str(tmp_path / "out")
+    stream_validate(spark, str(src), out, str(tmp_path / "ckpt"), required=("k",), expected=1).awaitTermination(300)
+    rows = spark.read.parquet(f"{out}/verdicts").collect()
+    assert sorted(os.path.basename(r.file_id) for r in rows if r.valid) == names[:11]
+    assert len({r.batch_id for r in rows}) == 3 and len(listings) == 1
+    assert [os.path.basename(r.file_id) for r in spark.read.parquet(f"{out}/empty").collect()] == names[11:]
+    # A run over three files that come later lists the folder once more.
+    for i in range(12, 15):
+        (src / f"{i:032x}_a.jsonl").write_text(json.dumps({"k": i}) + "\n")
+    (src / f"{15:032x}_a.jsonl").write_text("")
+    stream_validate(spark, str(src), out, str(tmp_path / "ckpt"), required=("k",), expected=1).awaitTermination(300)
+    assert spark.read.parquet(f"{out}/verdicts").count() == 14 and len(listings) == 2
+    assert spark.read.parquet(f"{out}/empty").count() == 2
+
+
 JOB_ROW = "job_id long, status string, updated_at double"
 
 

@@ -44,6 +44,13 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Called where steps behind a ``saved`` result are done with: Spark removes
+    the shuffle files of frames that nothing refers to, but only learns of them
+    from the driver's garbage collector, which a small driver load seldom runs."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def tabled(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared checkpoint folder: like
     ``saved``, and the planner knows its size."""

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from tuneframe.session import shuffle_partitions
 
-from .common import bounded_batches, fresh, saved
+from .common import bounded_batches, fresh, let_go, saved
 from .components import components
 from .similarity_join import _blocks, _dealt, _sets_again, fingerprint, folded, links, min_overlap, parity_bits, shingle_set
 
@@ -320,12 +320,18 @@ def linked(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: i
         F.first("sketch").alias("sketch"), F.first("parity").alias("parity")).withColumn("cls", F.xxhash64("fp")))
     width = 2 * BAND
     bands = F.posexplode(F.array(*[F.expr(f"substring(sketch, {1 + width * i}, {width})") for i in range(REGISTERS // BAND)]))
-    lists = classes.select("cls", "n", bands.alias("band", "part")).select(
-        F.xxhash64("band", "part").alias("token"), "cls", "n", "band")
+
+    def lists(members: DataFrame) -> DataFrame:
+        """The bands of classes with known components, which joins have met before they are listed."""
+        return members.select("cls", "n", "comp", bands.alias("band", "part")).select(
+            F.xxhash64("band", "part").alias("token"), "cls", "n", "band", "comp")
+
     shapes = classes.select("cls", "sketch", "parity")
     roots = classes.select("cls", F.col("cls").alias("root"))
-    roots = _round(lists.where(F.col("band") < FIRST_BANDS), roots, rows, classes, shapes, k, percent, across=False)
-    roots = _round(lists, roots, rows, classes, shapes, k, percent, across=None)
+    first = lists(classes.withColumn("comp", F.col("cls"))).where(F.col("band") < FIRST_BANDS)
+    roots = _round(first, roots, rows, classes, shapes, k, percent, across=False)
+    known = classes.select("cls", "n", "sketch").join(roots.withColumnRenamed("root", "comp"), "cls")
+    roots = _round(lists(known), roots, rows, classes, shapes, k, percent, across=None)
     roots = classes.select("cls", "fp", "least").join(roots, "cls")
     first = roots.groupBy("root").agg(F.min("least").alias("first"))
     roots = roots.join(first, "root").select("fp", F.col("least.id").alias("class_id"), F.col("first.id").alias("first_id"))
@@ -338,8 +344,8 @@ def linked(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: i
 def _round(lists: DataFrame, roots: DataFrame, rows: DataFrame, classes: DataFrame, shapes: DataFrame, k: int, percent: int,
            across: bool | None) -> DataFrame:
     """``roots`` (cls, root of its component) with the links of ``lists``
-    added: those inside blocks (``across`` false) or all (None)."""
-    lists = lists.join(roots.withColumnRenamed("root", "comp"), "cls")
+    (token, cls, n, band, comp) added: those inside blocks (``across`` false)
+    or all (None)."""
     # Lists of several components; near copies share many bands, so of lists
     # with equal members the lowest band's, told by sums made before the shuffle.
     sums = lists.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("band").alias("band"), F.count("*").alias("m0"),
@@ -349,6 +355,7 @@ def _round(lists: DataFrame, roots: DataFrame, rows: DataFrame, classes: DataFra
     dealt = _dealt(_blocks(lists), percent, across=across).join(shapes, "cls")
     found = "token long, c1 int, c2 int, cls long, n int, comp long, band int"
     hope = saved(_dealt_rows(dealt).mapInPandas(_each_task(_hopeful(percent), [*TASK, "cls", "n", "comp", "band"], percent), found))
+    let_go(rows.sparkSession)
     wanted = saved(classes.join(hope.select("cls").distinct(), "cls", "left_semi").select(
         "cls", F.col("least.id").alias("id"), F.col("sketch").alias("parity")))
     sets = _sets_again(rows, wanted, k).withColumnRenamed("parity", "sketch")

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from tuneframe.session import shuffle_partitions
 
-from .common import fresh, mixed, saved, unit_hash, word_hashes
+from .common import fresh, let_go, mixed, saved, unit_hash, word_hashes
 from .components import components
 
 SHINGLE = 3
@@ -57,6 +57,8 @@ BLOCK = 512
 HOT_LEVEL = 10
 #: Hashes that one group of the count holds, about.
 BUCKET = 1 << 22
+#: Bytes of a hash in the count, beside its bucket: a bucket of BUCKET hashes takes a quarter of their values.
+KEY_BYTES = 3
 #: Hashes that a task gathers before it deals them out.
 GATHER = 1 << 20
 #: Bits of the document filter when sets are read again.
@@ -86,24 +88,26 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
 
 
 def frequent_shingles(docs: DataFrame, text_col: str, k: int = SHINGLE) -> tuple[int, np.ndarray, np.ndarray]:
-    """Bucket bits, sorted keys and levels (floor of log2 of the documents
+    """Key bits, sorted keys and levels (floor of log2 of the documents
     that have the shingle) of the most frequent shingles. A key is the top
-    (bits + 32) bits of the hash."""
+    bits of the hash: its bucket and KEY_BYTES more bytes. Shingles of equal
+    keys count as one, which orders them alike in every set."""
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     # Buckets by the corpus' size: a word takes some 5 bytes, so no bucket outgrows BUCKET hashes by much.
     bits = max(6, (shuffle_partitions(docs.sparkSession) - 1).bit_length(), (size // (5 * BUCKET)).bit_length())
 
+    width = bits + 8 * KEY_BYTES
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
 
         def out() -> pa.RecordBatch:
-            keys = np.sort(np.concatenate(held) >> np.uint64(32 - bits))
-            low = keys.astype(np.uint32)
-            cut = np.searchsorted(keys >> np.uint64(32), np.arange((1 << bits) + 1, dtype=np.uint64))
+            keys = np.sort(np.concatenate(held) >> np.uint64(64 - width))
+            cut = np.searchsorted(keys >> np.uint64(8 * KEY_BYTES), np.arange((1 << bits) + 1, dtype=np.uint64))
             used = np.flatnonzero(np.diff(cut))
             return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(
-                [low[cut[i] : cut[i + 1]].tobytes() for i in used], pa.binary())], ["bucket", "keys"])
+                [short_keys(keys[cut[i] : cut[i + 1]]) for i in used], pa.binary())], ["bucket", "keys"])
 
         for b in batches:
             for t in b.column(0):
@@ -116,7 +120,7 @@ def frequent_shingles(docs: DataFrame, text_col: str, k: int = SHINGLE) -> tuple
             yield out()
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
-        keys, n = np.unique(np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in rows["keys"]]), return_counts=True)
+        keys, n = np.unique(np.concatenate([long_keys(x) for x in rows["keys"]]), return_counts=True)
         keys, level = keys[n >= MIN_FREQUENT], np.log2(n[n >= MIN_FREQUENT]).astype(np.int32)
         found = np.unique(level)
         return pd.DataFrame({"bucket": rows["bucket"].iloc[0], "level": found, "n": [int((level == x).sum()) for x in found],
@@ -133,12 +137,26 @@ def frequent_shingles(docs: DataFrame, text_col: str, k: int = SHINGLE) -> tuple
         least = r["level"]
     keys, levels = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.uint8)]
     for r in counted.where(F.col("level") >= least).collect():
-        x = np.frombuffer(r["keys"], dtype=np.uint32).astype(np.uint64) | np.uint64(r["bucket"] << 32)
+        x = np.frombuffer(r["keys"], dtype=np.uint32).astype(np.uint64) | np.uint64(r["bucket"] << 8 * KEY_BYTES)
         keys.append(x)
         levels.append(np.full(len(x), r["level"], dtype=np.uint8))
     keys, levels = np.concatenate(keys), np.concatenate(levels)
     order = np.argsort(keys)
-    return bits, keys[order], levels[order]
+    del dealt, counted
+    let_go(docs.sparkSession)
+    return width, keys[order], levels[order]
+
+
+def short_keys(keys: np.ndarray) -> bytes:
+    """The low KEY_BYTES bytes of 64-bit keys, one after the other."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+
+
+def long_keys(blob: bytes) -> np.ndarray:
+    """``short_keys`` as 32-bit numbers."""
+    out = np.zeros((len(blob) // KEY_BYTES, 4), dtype=np.uint8)
+    out[:, :KEY_BYTES] = np.frombuffer(blob, dtype=np.uint8).reshape(-1, KEY_BYTES)
+    return out.view("<u4").ravel()
 
 
 # --------------------------------------------------- sets, prefixes, bitmaps
@@ -159,7 +177,7 @@ def prefix_of(s: np.ndarray, bits: int, keys: np.ndarray, levels: np.ndarray, pe
     p = prefix_size(len(s), percent)
     if not len(keys):
         return s[:p], p
-    x = s >> np.uint64(32 - bits)
+    x = s >> np.uint64(64 - bits)
     at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
     level = np.where(keys[at] == x, levels[at], 0)
     first = np.argsort(level, kind="stable")[:p]
@@ -330,6 +348,7 @@ def linked(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: i
     near = (100 * F.col("less") >= percent * F.col("n")) | (percent * F.col("more") <= 100 * F.col("n"))
     lists = lists.where(F.coalesce(near, F.lit(False)) | (F.col("mixed") & (F.col("pos") == 0))).select(*slim)
     lists = _one_of_equal(lists.union(every.where(~cool).select(*slim)), "grp")
+    let_go(docs.sparkSession)  # the shuffle of all prefixes
     # Group pairs, by size and place alone; a group of several classes has pairs of its own.
     fit = _blocks(lists.join(groups.select("grp", "n"), "grp").withColumnRenamed("grp", "cls"))
     fit = _sorted(_dealt(fit.withColumn("comp", F.col("cls")), percent, across=None)).mapInPandas(_by_task(_fitting(percent)), "a long, b long")
@@ -338,6 +357,7 @@ def linked(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: i
     # The groups left are expanded to their classes, and lists cut into blocks.
     lists = lists.join(fit, ["token", "grp"], "left_semi")
     lists = _blocks(lists.join(classes.select("grp", "n", "cls"), "grp").drop("grp"))
+    let_go(docs.sparkSession)
     shapes = classes.select("cls", "parity")
 
     def hopeful(t: dict) -> list[tuple[int, int]]:
@@ -358,6 +378,7 @@ def linked(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: i
     wanted = hope.join(classes, "cls").select("cls", F.col("least.id").alias("id"), "parity")
     sets_of = saved(_sets_again(rows, saved(wanted), k))
     lists = _blocks(_one_of_equal(lists.drop("chunk").join(hope, "cls"), "cls"))
+    let_go(docs.sparkSession)
     within = _dealt(lists.withColumn("comp", F.col("cls")), percent, across=False).join(sets_of, "cls")
     found = saved(_sorted(within).mapInPandas(_by_task(joins), pair).distinct())
     comps = saved(components(found))
